@@ -144,21 +144,24 @@ _BLOCKS = tuple(
 _TAG = r"(?s)<[^>]*>"
 
 
+def markup_text(c) -> Column:
+    """Text of a markup fragment: comments, script/style/template blocks and
+    tags dropped, character references decoded, whitespace collapsed."""
+    s = F.coalesce(_col(c), F.lit(""))
+    s = F.regexp_replace(s, _COMMENT, " ")
+    for block in _BLOCKS:
+        s = F.regexp_replace(s, block, " ")
+    s = F.regexp_replace(s, _TAG, " ")
+    return clean_text(decode_entities(s))
+
+
 def html_to_text(c) -> Column:
     """Markup to whitespace-collapsed text.
 
     Escaped markup is decoded first (payloads often carry ``&lt;p&gt;``),
-    then comments, script/style/template blocks and tags are dropped, the
-    remaining references are decoded and whitespace is collapsed.
+    then the fragment's text is taken with ``markup_text``.
     """
-    c = F.coalesce(_col(c), F.lit(""))
-    s = decode_entities(c)
-    s = F.regexp_replace(s, _COMMENT, " ")
-    for block in _BLOCKS:
-        s = F.regexp_replace(s, block, " ")
-    s = F.regexp_replace(s, _TAG, " ")
-    s = decode_entities(s)
-    return clean_text(s)
+    return markup_text(decode_entities(F.coalesce(_col(c), F.lit(""))))
 
 
 def exact_html_to_text(value: str | None) -> str:

@@ -54,3 +54,45 @@ def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") ->
     return ranked.withColumn(name, (F.col("_off") + F.col("_local") + 1).cast("long")).drop(
         "_pid", "_local", "_off"
     )
+
+
+def salted_top_k(df: DataFrame, key: str, order: list[str], k: int, salts: int = 64, name: str = "rn") -> DataFrame:
+    """First ``k`` rows per ``key`` by ``order`` (ascending), numbered 1..k.
+
+    Two phases so that a key holding a large share of the rows is never
+    one task: a top-k per (key, salt) cuts every key to at most k x salts
+    rows, then a top-k per key over that bounded set.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(salts))
+    w1 = Window.partitionBy(F.col(key), F.col("_salt")).orderBy(*[F.col(c) for c in order])
+    local = df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
+    w2 = Window.partitionBy(F.col(key)).orderBy(*[F.col(c) for c in order])
+    return local.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= k).drop("_salt", "_r1")
+
+
+def ordered_lag(df: DataFrame, key: str, order: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` within ``key`` by ``order``, safe for a hot key.
+
+    Rows are range-partitioned on (key, order) and pinned by a checkpoint, so
+    a hot key spans several partitions.  The lag is taken inside each
+    (partition, key) group; the first row of a group takes the last row of
+    the previous non-empty partition when it has the same key (a table with
+    one row per partition).
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(key)] + [F.col(c) for c in order]
+    pinned = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).checkpoint(eager=True)
+    t = pinned.withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid", key).orderBy(*[F.col(c) for c in order])
+    t = t.withColumn(name, F.lag(value).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = t.groupBy("_pid").agg(
+        F.max_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), F.struct(*cols)).alias("_last")
+    )
+    prev = last.withColumn("_prev", F.lag("_last").over(Window.orderBy("_pid"))).select("_pid", "_prev")
+    t = t.join(F.broadcast(prev), "_pid", "left")
+    fixed = F.when(
+        F.col("_first") & (F.col("_prev.k") == F.col(key)), F.col("_prev.v")
+    ).otherwise(F.col(name))
+    return t.withColumn(name, fixed).drop("_pid", "_first", "_prev")

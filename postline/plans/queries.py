@@ -11,11 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import iso_text
+from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, SNAPSHOTS_KEPT
+from ..functions import text as T
+from ..functions.dates import iso_text, next_slot, normalize_date
+from ..functions.urls import normalize_url, resolve_url, safe_link, url_domain
+from ..operators import eligibility as E
+from ..operators import explore as X
+from ..operators import exports as P
 from ..operators import merge
+from ..operators import requests_log as R
+from ..operators import runs as U
+from ..operators import snapshots as K
 from ..operators.ordering import review_order, with_global_rank
 from ..operators.scoring import score_postings
 from ..sources import fixtures as fx
+from ..sources import payloads as S
 
 RULES = list(fx.FIXTURE_RULES)
 
@@ -54,6 +64,444 @@ def ranked_postings(spark: SparkSession, sf: str, minimum_score: int = 35) -> Da
     )
 
 
+
+# --- shared pieces ----------------------------------------------------------
+FEED_MIN = 20
+SHEET_MIN = 35
+SLOTS = ("09:00", "12:00", "16:00", "20:00")
+PURGE_PHRASES = (EXPORT_CONTROL_PHRASE, CLEARANCE_EXCLUSION_PHRASE, "Licensed under the Apache License")
+
+
+def _iso(df: DataFrame, *cols: str) -> DataFrame:
+    for c in cols:
+        df = df.withColumn(c, iso_text(c))
+    return df
+
+
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Public feed rows with their stored review position ``feed_pos``."""
+    rows = reviewed(spark, sf).filter(F.col("match_score") >= FEED_MIN)
+    ranked = with_global_rank(rows, review_order(), "feed_pos")
+    return P.public_feed(ranked, FEED_MIN).join(ranked.select("job_hash", "feed_pos", "entity_key"), "job_hash")
+
+
+def feed_with_seq(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed rows with the doc id of their entity's last sighting (for fixture actions)."""
+    b = scored(spark, sf).select(F.col("seq"), "entity_key")
+    last = b.groupBy("entity_key").agg(F.max("seq").alias("seq"))
+    return feed(spark, sf).join(last, "entity_key")
+
+
+def action_map(spark: SparkSession, sf: str) -> DataFrame:
+    f = feed_with_seq(spark, sf)
+    return X.apply_actions(fx.actions(spark, sf, f))
+
+
+# --- scalar functions --------------------------------------------------------
+def clean_text(spark, sf):
+    p = fx.postings(spark, sf)
+    return p.select("seq", T.clean_text("title").alias("title_clean"), T.clean_text("description").alias("description_clean"))
+
+
+def fold_text(spark, sf):
+    p = fx.postings(spark, sf)
+    return p.select("seq", T.fold_text("title").alias("title_fold"), T.fold_text("description").alias("description_fold"))
+
+
+def html_text(spark, sf):
+    pg = fx.table(spark, sf, "pages")
+    return pg.select("page_id", T.html_to_text("html").alias("text"))
+
+
+def normalize_url_q(spark, sf):
+    pg = fx.table(spark, sf, "pages")
+    return pg.select("page_id", "url", normalize_url("url").alias("url_norm"))
+
+
+def url_domain_q(spark, sf):
+    pg = fx.table(spark, sf, "pages")
+    return pg.select("page_id", url_domain("url").alias("domain"))
+
+
+def normalize_date_q(spark, sf):
+    p = fx.postings(spark, sf)
+    return p.select("seq", "date_posted", normalize_date("date_posted").alias("date_norm"))
+
+
+def job_hash_q(spark, sf):
+    return normalized(spark, sf).select("seq", "job_hash", "entity_key")
+
+
+def next_slot_q(spark, sf):
+    return fx.sightings(spark, sf).select("seq", next_slot("run_time", SLOTS).alias("next_slot"))
+
+
+# --- predicates --------------------------------------------------------------
+def us_locations(spark, sf):
+    return normalized(spark, sf).select("seq", "location", E.is_us_location("location").alias("is_us"))
+
+
+def us_names_only(spark, sf):
+    return normalized(spark, sf).select(
+        "seq", "location", E.is_us_location("location", mode="names_only").alias("is_us_ui")
+    )
+
+
+def internships(spark, sf):
+    n = normalized(spark, sf)
+    return n.select("seq", "employment_type", E.is_internship("title", "employment_type").alias("is_intern"))
+
+
+def restricted_language(spark, sf):
+    n = normalized(spark, sf)
+    return n.select("seq", E.requires_clearance("title", "employment_type", "description").alias("needs_clearance"))
+
+
+def eligible_postings(spark, sf):
+    n = normalized(spark, sf)
+    return E.eligible_only(n).select("seq", "job_hash", "title", "company", "location")
+
+
+def keyword_hits(spark, sf):
+    """(posting, rule) pairs with a whole-word hit and where it hit."""
+    n = normalized(spark, sf)
+    t, d = T.fold_text("title"), T.fold_text("description")
+    x = n.select("seq", t.alias("_t"), d.alias("_d")).withColumn("_c", F.concat("_t", F.lit(" "), "_d"))
+    hits = []
+    for r in RULES:
+        for field, col in (("title", "_t"), ("description", "_d"), ("all", "_c")):
+            hits.append(
+                F.when(
+                    T.contains_word(F.col(col), r.keyword),
+                    F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"),
+                             F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")),
+                )
+            )
+    arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return x.select("seq", F.explode(arr).alias("h")).select("seq", "h.*")
+
+
+def score_threshold(spark, sf):
+    return reviewed(spark, sf).filter(F.col("match_score") >= SHEET_MIN).select("job_hash", "match_score")
+
+
+def phrase_purge(spark, sf):
+    out = reviewed(spark, sf)
+    for ph in PURGE_PHRASES:
+        out = merge.phrase_purge(out, ph)
+    return out.select("job_hash", "title")
+
+
+def hash_purge(spark, sf):
+    e = edits(spark, sf)
+    doomed = e.filter(F.col("status") == "Rejected").select("job_hash")
+    return merge.hash_purge(reviewed(spark, sf), doomed).select("job_hash", "title")
+
+
+def legacy_store(spark, sf):
+    """A store written without the eligibility filter (rows a later rule removes)."""
+    n = merge.normalize_postings(fx.postings(spark, sf))
+    return merge.upsert(merge.empty_store(spark), score_postings(n, RULES), fx.AS_OF_FIRST).drop("is_new")
+
+
+def eligibility_purge(spark, sf):
+    return merge.eligibility_purge(legacy_store(spark, sf)).select("job_hash", "location", "employment_type")
+
+
+def search_feed(spark, sf):
+    f = feed(spark, sf)
+    return X.search_feed(f, query="The", location="us", minimum_score=35).select("job_hash", "title", "location")
+
+
+# --- projections -------------------------------------------------------------
+def normalized_postings(spark, sf):
+    return normalized(spark, sf)
+
+
+def salary_text(spark, sf):
+    d = fx.table(spark, sf, "documents").select("doc_id")
+    i = F.col("doc_id")
+    lo = F.when(i % 4 == 0, F.lit(None)).otherwise((i % 50) * 1000).cast("bigint")
+    hi = F.when(i % 3 == 0, F.lit(None)).otherwise((i % 50) * 1000 + 20000).cast("bigint")
+    cur = F.when(i % 5 == 0, F.lit("USD")).when(i % 5 == 1, F.lit("")).when(i % 5 == 2, F.lit(None)).otherwise(F.lit("EUR"))
+    return d.select("doc_id", S.salary_text(lo, hi, cur).alias("salary"))
+
+
+def public_feed(spark, sf):
+    return P.public_feed(reviewed(spark, sf), FEED_MIN)
+
+
+def export_jobs_sheet(spark, sf):
+    return P.jobs_sheet(reviewed(spark, sf), SHEET_MIN)
+
+
+def job_keys(spark, sf):
+    return X.with_keys(feed(spark, sf)).select("job_hash", "job_key", "legacy_key")
+
+
+def display_rows(spark, sf):
+    return X.display_rows(feed(spark, sf))
+
+
+def safe_links(spark, sf):
+    links = S.page_links(fx.table(spark, sf, "pages"))
+    return links.select("page_id", "pos", "href", safe_link("href").alias("safe"))
+
+
+def export_run_log(spark, sf):
+    return P.run_log_sheet(_iso(fx.runs(spark, sf), "run_time"))
+
+
+# --- joins / merge -------------------------------------------------------------
+def upsert_postings(spark, sf):
+    out = merge.upsert(reviewed(spark, sf), scored(spark, sf, shift=1), fx.AS_OF_SECOND)
+    return _iso(out, "date_found", "last_seen", "updated_at").select(
+        "job_hash", "entity_key", "title", "location", "status", "match_score", "notes",
+        "date_found", "last_seen", "updated_at", "is_new",
+    )
+
+
+def apply_edits(spark, sf):
+    out = merge.apply_edits(stored_first(spark, sf), edits(spark, sf), fx.AS_OF_EDITS)
+    return _iso(out, "updated_at").select("job_hash", "status", "notes", "updated_at", "edited")
+
+
+def edits_clean(spark, sf):
+    return merge.clean_edits(edits(spark, sf))
+
+
+def run_checks(spark, sf, as_of: str, shift: int = 0):
+    """Source-check rows of one run: result text per enabled source."""
+    src = fx.sources(spark, sf)
+    fetched = U.enabled_sources(src).select(F.col("name").alias("source_name")).join(
+        fx.postings(spark, sf, shift), "source_name"
+    )
+    errors = U.unsupported_sources(src)
+    res = U.source_results(src, fetched, errors)
+    return res.select(
+        F.col("name").alias("source_name"),
+        F.lit(as_of).cast("timestamp").alias("last_checked"),
+        "last_result",
+        F.lit(shift).cast("long").alias("seq"),
+    )
+
+
+def latest_checks(spark, sf):
+    old = run_checks(spark, sf, fx.AS_OF_FIRST, 0)
+    new = run_checks(spark, sf, fx.AS_OF_SECOND, 1).filter(F.col("last_result").startswith("Success"))
+    return _iso(merge.latest_checks(old, new), "last_checked", "updated_at")
+
+
+def source_status(spark, sf):
+    checks = merge.latest_checks(
+        run_checks(spark, sf, fx.AS_OF_FIRST, 0), run_checks(spark, sf, fx.AS_OF_SECOND, 1)
+    )
+    return P.source_status(fx.sources(spark, sf), checks)
+
+
+def source_results(spark, sf):
+    return run_checks(spark, sf, fx.AS_OF_FIRST).select("source_name", "last_result")
+
+
+def unsupported_sources(spark, sf):
+    return U.unsupported_sources(fx.sources(spark, sf))
+
+
+def union_sources(spark, sf):
+    return S.union_sources(fx.postings(spark, sf), fx.sources(spark, sf)).select("seq", "source_name", "source_type")
+
+
+def review_buckets(spark, sf):
+    f = feed(spark, sf)
+    acts = X.migrate_actions(action_map(spark, sf), f)
+    return X.review_buckets(f, acts).select("job_hash", "bucket")
+
+
+def migrate_actions(spark, sf):
+    return X.migrate_actions(action_map(spark, sf), feed(spark, sf))
+
+
+def apply_actions(spark, sf):
+    return action_map(spark, sf)
+
+
+# --- aggregations ------------------------------------------------------------
+def status_counts(spark, sf):
+    return P.status_counts(reviewed(spark, sf))
+
+
+def summary_metrics(spark, sf):
+    return P.summary_metrics(reviewed(spark, sf), fx.AS_OF_SECOND, SLOTS)
+
+
+def relevance_score(spark, sf):
+    return scored(spark, sf).select("seq", "match_score")
+
+
+def match_reason(spark, sf):
+    return scored(spark, sf).select("seq", "match_reason")
+
+
+def run_stats(spark, sf):
+    src = fx.sources(spark, sf)
+    fetched = U.enabled_sources(src).select(F.col("name").alias("source_name")).join(fx.postings(spark, sf), "source_name")
+    errors = U.unsupported_sources(src).join(src.select("name", "pos"), "name")
+    upserted = merge.upsert(merge.empty_store(spark), merge.prepare_batch(fetched, RULES), fx.AS_OF_FIRST)
+    return U.run_stats(src, fetched, errors, upserted)
+
+
+def feed_summary(spark, sf):
+    return X.feed_summary(feed(spark, sf))
+
+
+def facets(spark, sf):
+    f = feed(spark, sf)
+    return X.facets(f, "company").unionByName(X.facets(f, "status"))
+
+
+def bucket_counts(spark, sf):
+    f = feed(spark, sf)
+    return X.bucket_counts(X.review_buckets(f, X.migrate_actions(action_map(spark, sf), f)))
+
+
+def change_counts(spark, sf):
+    """Affected rows per step of the two runs."""
+    st1 = stored_first(spark, sf)
+    e = edits(spark, sf)
+    up2 = merge.upsert(reviewed(spark, sf), scored(spark, sf, shift=1), fx.AS_OF_SECOND)
+    rev = reviewed(spark, sf)
+    doomed = None
+    for ph in PURGE_PHRASES:
+        p = F.coalesce(merge.phrase_predicate(ph), F.lit(False))
+        doomed = p if doomed is None else (doomed | p)
+    parts = [
+        ("inserted_run1", st1.agg(F.count(F.lit(1)).alias("n"))),
+        ("edits_applied", merge.edits_that_hit(st1, e).agg(F.count(F.lit(1)).alias("n"))),
+        ("inserted_run2", up2.agg(F.count_if(F.col("is_new")).alias("n"))),
+        ("updated_run2", up2.agg(F.count_if(~F.col("is_new") & (F.col("updated_at") == F.lit(fx.AS_OF_SECOND).cast("timestamp"))).alias("n"))),
+        ("phrase_deleted", rev.agg(F.count_if(doomed).alias("n"))),
+        ("eligibility_deleted", legacy_store(spark, sf).agg(F.count_if(~E.is_eligible(None)).alias("n"))),
+    ]
+    out = None
+    for name, df in parts:
+        row = df.select(F.lit(name).alias("metric"), F.col("n").cast("long").alias("count"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def feed_manifest(spark, sf):
+    return P.feed_manifest(P.public_feed(reviewed(spark, sf), FEED_MIN), FEED_MIN, fx.AS_OF_SECOND)
+
+
+def skipped_postings(spark, sf):
+    return U.skipped_postings(normalized(spark, sf))
+
+
+# --- windows -------------------------------------------------------------------
+def batch_collapse(spark, sf):
+    return merge.collapse_batch(scored(spark, sf)).select(
+        "entity_key", "job_hash", "first_seq", "last_seq", "sightings", "title", "match_score"
+    )
+
+
+def request_admission(spark, sf):
+    return R.request_admission(fx.requests(spark, sf), max_total=120).select("seq", "domain", "granted", "decision")
+
+
+def backoff_delays(spark, sf):
+    return R.backoff_delays(fx.requests(spark, sf)).select("seq", "domain", "attempt", "delay_seconds")
+
+
+def pacing_shortfall(spark, sf):
+    return R.pacing_shortfall(fx.requests(spark, sf)).select("seq", "domain", "gap_seconds", "shortfall_seconds")
+
+
+def response_classes(spark, sf):
+    return R.response_classes(fx.requests(spark, sf)).select("seq", "status_code", "response_class")
+
+
+def expired_snapshots(spark, sf):
+    manifest = fx.runs(spark, sf).select(F.unix_seconds("run_time").alias("version"))
+    return K.expired_snapshots(manifest, SNAPSHOTS_KEPT)
+
+
+def first_last_seen(spark, sf):
+    out = merge.first_last_seen(fx.sightings(spark, sf))
+    return _iso(out, "first_seen", "last_seen")
+
+
+# --- sorts ---------------------------------------------------------------------
+def sorted_feed(spark, sf):
+    return X.sorted_feed(feed(spark, sf), "score").select("job_hash", "sort_pos")
+
+
+def html_links(spark, sf):
+    return S.html_links(fx.table(spark, sf, "pages"))
+
+
+def recent_run_logs(spark, sf):
+    return _iso(P.recent_run_logs(fx.runs(spark, sf), 200), "run_time")
+
+
 REGISTRY = {
     "ranked_postings": ranked_postings,
+    "clean_text": clean_text,
+    "fold_text": fold_text,
+    "html_text": html_text,
+    "normalize_url": normalize_url_q,
+    "url_domain": url_domain_q,
+    "normalize_date": normalize_date_q,
+    "job_hash": job_hash_q,
+    "next_slot": next_slot_q,
+    "us_locations": us_locations,
+    "us_names_only": us_names_only,
+    "internships": internships,
+    "restricted_language": restricted_language,
+    "eligible_postings": eligible_postings,
+    "keyword_hits": keyword_hits,
+    "score_threshold": score_threshold,
+    "phrase_purge": phrase_purge,
+    "hash_purge": hash_purge,
+    "eligibility_purge": eligibility_purge,
+    "search_feed": search_feed,
+    "normalized_postings": normalized_postings,
+    "salary_text": salary_text,
+    "public_feed": public_feed,
+    "export_jobs_sheet": export_jobs_sheet,
+    "job_keys": job_keys,
+    "display_rows": display_rows,
+    "safe_links": safe_links,
+    "export_run_log": export_run_log,
+    "upsert_postings": upsert_postings,
+    "apply_edits": apply_edits,
+    "edits_clean": edits_clean,
+    "latest_checks": latest_checks,
+    "source_status": source_status,
+    "source_results": source_results,
+    "unsupported_sources": unsupported_sources,
+    "union_sources": union_sources,
+    "review_buckets": review_buckets,
+    "migrate_actions": migrate_actions,
+    "apply_actions": apply_actions,
+    "status_counts": status_counts,
+    "summary_metrics": summary_metrics,
+    "relevance_score": relevance_score,
+    "match_reason": match_reason,
+    "run_stats": run_stats,
+    "feed_summary": feed_summary,
+    "facets": facets,
+    "bucket_counts": bucket_counts,
+    "change_counts": change_counts,
+    "feed_manifest": feed_manifest,
+    "skipped_postings": skipped_postings,
+    "batch_collapse": batch_collapse,
+    "request_admission": request_admission,
+    "backoff_delays": backoff_delays,
+    "pacing_shortfall": pacing_shortfall,
+    "response_classes": response_classes,
+    "expired_snapshots": expired_snapshots,
+    "first_last_seen": first_last_seen,
+    "sorted_feed": sorted_feed,
+    "recent_run_logs": recent_run_logs,
+    "html_links": html_links,
 }

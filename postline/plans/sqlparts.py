@@ -199,3 +199,119 @@ def score_columns(rules, t: str = "_st", d: str = "_sd", c: str = "_sc") -> tupl
     )
     final = f"CAST(greatest(0.0, least(100.0, round_even({score}, 0))) AS INTEGER)"
     return final, reason
+
+
+# --- markup -------------------------------------------------------------------
+from ..functions.text import HTML_ENTITIES, _BLOCKS, _COMMENT, _NUMERIC_REF, _TAG  # noqa: E402
+
+
+def _ref_char(r: str) -> str:
+    code = (
+        f"(CASE WHEN lower(substr({r}, 3, 1)) = 'x' THEN TRY_CAST('0x' || substr({r}, 4, length({r}) - 4) AS BIGINT) "
+        f"ELSE TRY_CAST(substr({r}, 3, length({r}) - 3) AS BIGINT) END)"
+    )
+    valid = f"({code} > 0 AND {code} <= 1114111 AND NOT ({code} >= 55296 AND {code} <= 57343))"
+    return f"(CASE WHEN {valid} THEN chr(CAST({code} AS INTEGER)) ELSE '�' END)"
+
+
+def decode_entities(x: str) -> str:
+    refs = f"regexp_extract_all({x}, {lit('(' + _NUMERIC_REF + ')')}, 1)"
+    pieces = f"regexp_split_to_array({x}, {lit(_NUMERIC_REF)})"
+    joined = (
+        f"list_transform([{{'p': {pieces}, 'r': {refs}}}], lambda z: z.p[1] || "
+        f"array_to_string(list_transform(z.r, lambda r, i: {_ref_char('r')} || z.p[i + 1]), ''))[1]"
+    )
+    out = f"(CASE WHEN len({refs}) = 0 THEN {x} ELSE {joined} END)"
+    for name, char in HTML_ENTITIES:
+        out = f"replace({out}, {lit(name)}, {lit(char)})"
+    return out
+
+
+def markup_text(x: str) -> str:
+    s = f"regexp_replace(coalesce({x}, ''), {lit(_COMMENT)}, ' ', 'g')"
+    for block in _BLOCKS:
+        s = f"regexp_replace({s}, {lit(block)}, ' ', 'g')"
+    s = f"regexp_replace({s}, {lit(_TAG)}, ' ', 'g')"
+    return clean(decode_entities(s))
+
+
+def html_to_text(x: str) -> str:
+    return markup_text(decode_entities(f"coalesce({x}, '')"))
+
+
+# --- links ----------------------------------------------------------------------
+def safe_link(x: str) -> str:
+    scheme = f"lower(regexp_extract(coalesce({x}, ''), '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1))"
+    return f"(CASE WHEN {scheme} IN ('', 'http', 'https') THEN coalesce({x}, '') ELSE '#' END)"
+
+
+def _remove_dots(segs: str) -> str:
+    step = (
+        "lambda acc, s: CASE WHEN s = '..' THEN acc[1:greatest(len(acc) - 1, 0)] "
+        "WHEN s = '.' THEN acc ELSE list_append(acc, s) END"
+    )
+    resolved = f"list_reduce({segs}, {step}, CAST([] AS VARCHAR[]))"
+    last = f"{segs}[-1]"
+    resolved = f"(CASE WHEN {last} IN ('.', '..') THEN list_append({resolved}, '') ELSE {resolved} END)"
+    return f"array_to_string({resolved}, '/')"
+
+
+def resolve_url(base: str, href: str) -> str:
+    b = f"regexp_extract(coalesce({base}, ''), {lit(URL_PARTS)}, ['sc', 'nl', 'pa', 'qu', 'fr'])"
+    h = f"regexp_extract(coalesce({href}, ''), {lit(URL_PARTS)}, ['sc', 'nl', 'pa', 'qu', 'fr'])"
+    hq = f"regexp_extract(coalesce({href}, ''), {lit(r'(?s)^[^?#]*(\?[^#]*)?')}, 1)"
+    hf = f"regexp_extract(coalesce({href}, ''), {lit(r'(?s)^[^#]*(#.*)?')}, 1)"
+    body = (
+        "(CASE WHEN B.sc <> '' THEN B.sc || ':' ELSE '' END) || (CASE WHEN B.nl <> '' THEN '//' || B.nl ELSE '' END)"
+    )
+    base_dir = "(CASE WHEN string_split(B.pa, '/')[-1] <> '' THEN string_split(B.pa, '/')[1:len(string_split(B.pa, '/')) - 1] ELSE string_split(B.pa, '/') END)"
+    rel = f"list_concat({base_dir}, string_split(H.pa, '/'))"
+    rel_f = (
+        f"(CASE WHEN len({rel}) > 2 THEN list_concat(list_concat({rel}[1:1], "
+        f"list_filter({rel}[2:len({rel}) - 1], lambda s: s <> '')), {rel}[len({rel}):len({rel})]) ELSE {rel} END)"
+    )
+
+    def with_path(p: str) -> str:
+        p1 = f"(CASE WHEN {p} = '' THEN '/' ELSE {p} END)"
+        p2 = f"(CASE WHEN B.nl <> '' AND NOT starts_with({p1}, '/') THEN '/' || {p1} ELSE {p1} END)"
+        return f"{body} || {p2} || HQ || HF"
+
+    abs_path = with_path(_remove_dots("string_split(H.pa, '/')"))
+    rel_path = with_path(_remove_dots(rel_f))
+    expr = (
+        f"CASE WHEN HREF = '' THEN BASE "
+        f"WHEN H.sc <> '' THEN HREF "
+        f"WHEN starts_with(HREF, '//') THEN B.sc || ':' || HREF "
+        f"WHEN H.pa = '' THEN {body} || B.pa || (CASE WHEN HQ <> '' THEN HQ WHEN B.qu <> '' THEN '?' || B.qu ELSE '' END) || HF "
+        f"WHEN starts_with(H.pa, '/') THEN {abs_path} "
+        f"ELSE {rel_path} END"
+    )
+    packed = f"{{'B': {b}, 'H': {h}, 'HQ': {hq}, 'HF': {hf}, 'BASE': coalesce({base}, ''), 'HREF': coalesce({href}, '')}}"
+    lam = (
+        expr.replace("B.", "z.B.").replace("H.", "z.H.").replace("HQ", "z.HQ").replace("HF", "z.HF")
+        .replace("HREF", "z.HREF").replace("BASE", "z.BASE")
+    )
+    return f"list_transform([{packed}], lambda z: {lam})[1]"
+
+
+ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+
+
+def attr(attrs: str, name: str) -> str:
+    pat = r"(?is)\b" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    val = (
+        f"coalesce(nullif(regexp_extract({attrs}, {lit(pat)}, 1), ''), nullif(regexp_extract({attrs}, {lit(pat)}, 2), ''), "
+        f"nullif(regexp_extract({attrs}, {lit(pat)}, 3), ''))"
+    )
+    decoded = decode_entities(f"coalesce({val}, '')")
+    return f"(CASE WHEN regexp_matches({attrs}, {lit(pat)}) THEN {decoded} END)"
+
+
+def page_links_sql(pages: str = "pages") -> str:
+    return f"""SELECT page_id, page_url, CAST(pos AS BIGINT) AS pos, {attr('a', 'href')} AS href,
+        {markup_text('t')} AS text, {attr('a', 'title')} AS title_attr, {attr('a', 'aria-label')} AS aria_label
+    FROM (SELECT page_id, url AS page_url,
+            unnest(regexp_extract_all(html, {lit(ANCHOR)}, 1)) AS a,
+            unnest(regexp_extract_all(html, {lit(ANCHOR)}, 2)) AS t,
+            unnest(range(1, len(regexp_extract_all(html, {lit(ANCHOR)}, 1)) + 1)) AS pos
+          FROM {pages})"""
