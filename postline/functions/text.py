@@ -31,6 +31,11 @@ def fold_text(c) -> Column:
     return F.replace(F.lower(clean_text(c)), F.lit("ß"), F.lit("ss"))
 
 
+def fold_cleaned(c) -> Column:
+    """Case folding of text that is already whitespace-clean (no second regex pass)."""
+    return F.replace(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("ß"), F.lit("ss"))
+
+
 def fold_literal(value: str | None) -> str:
     """Driver-side fold of a parameter (keywords, phrases): exact casefold."""
     return _re.sub(r"\s+", " ", (value or "").strip()).casefold()
@@ -41,7 +46,8 @@ def contains_word(text: Column, keyword: str) -> Column:
     folded = fold_literal(keyword)
     if not folded:
         return F.lit(False)
-    return text.rlike(java_word(folded))
+    # the substring test is a cheap necessary condition; the regex checks the word edges
+    return F.contains(text, F.lit(folded)) & text.rlike(java_word(folded))
 
 
 def nonempty(c) -> Column:

@@ -16,7 +16,10 @@ from ..constants import (
     US_LOCATION_PATTERNS,
 )
 from ..functions.regex import java_pattern
-from ..functions.text import fold_text
+from ..functions.text import fold_cleaned, fold_text
+
+# Every clearance pattern contains this word: a cheap exact pre-test.
+CLEARANCE_WORD = "clearance"
 
 
 def _col(c) -> Column:
@@ -46,14 +49,32 @@ def is_us_location(location, mode: str = "strict") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
-def is_internship(title, employment_type) -> Column:
-    text = F.concat_ws(" ", fold_text(title), fold_text(employment_type))
+def internship_folded(title_f, type_f) -> Column:
+    """Internship test on folded title and employment type."""
+    text = F.concat_ws(" ", _col(title_f), _col(type_f))
     return _any(text, INTERNSHIP_PATTERNS)
 
 
+def clearance_folded(title_f, type_f, desc_f) -> Column:
+    """Clearance-language test on folded title, employment type and description."""
+    text = F.concat_ws(" ", _col(title_f), _col(type_f), _col(desc_f))
+    return F.contains(text, F.lit(CLEARANCE_WORD)) & _any(text, SECURITY_CLEARANCE_PATTERNS)
+
+
+def is_internship(title, employment_type) -> Column:
+    return internship_folded(fold_text(title), fold_text(employment_type))
+
+
 def requires_clearance(title, employment_type, description) -> Column:
-    text = F.concat_ws(" ", fold_text(title), fold_text(employment_type), fold_text(description))
-    return _any(text, SECURITY_CLEARANCE_PATTERNS)
+    return clearance_folded(fold_text(title), fold_text(employment_type), fold_text(description))
+
+
+def eligible_folded(location, title_f, type_f, desc_f) -> Column:
+    return (
+        is_us_location(location)
+        & ~internship_folded(title_f, type_f)
+        & ~clearance_folded(title_f, type_f, desc_f)
+    )
 
 
 def eligibility_columns(df: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def recent_run_logs(runs: DataFrame, limit: int = 200, order: str = "run_time")
     from pyspark.sql import Window
 
     w = Window.orderBy(F.col(order).asc())  # at most ``limit`` rows
-    return last.withColumn("pos", F.row_number().over(w))
+    return last.withColumn("pos", F.row_number().over(w).cast("long"))
 
 
 def source_locator(df: DataFrame):

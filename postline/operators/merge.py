@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from ..constants import DEFAULT_STATUS, STATUSES
 from ..functions.dates import normalize_date
 from ..functions.identity import entity_key, job_hash
-from ..functions.text import clean_text
+from ..functions.text import clean_text, fold_cleaned
 from ..functions.urls import normalize_url
-from .eligibility import is_eligible
+from .eligibility import eligible_folded, is_eligible
 from .scoring import Rule, score_postings
 
 SOURCE_FIELDS = (
@@ -87,27 +87,52 @@ def normalize_postings(df: DataFrame) -> DataFrame:
     return out.withColumn("entity_key", entity_key("url", "job_hash"))
 
 
-def prepare_batch(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Normalise, keep eligible rows, score (the per-posting part of a run)."""
+def flag_batch(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Normalise, flag eligibility, score eligible rows (the per-posting part of a run).
+
+    Every row is kept with an ``eligible`` flag; score and reason are NULL
+    for ineligible rows and no rule is evaluated for them.  Nothing filters
+    on a derived column here: a filter would be pushed below the projection
+    and re-evaluate the text cleaning and folding inside it.
+    """
     norm = normalize_postings(df)
-    return score_postings(norm.filter(is_eligible(norm)), rules)
+    f = (
+        norm.withColumn("_ft", fold_cleaned("title"))
+        .withColumn("_fe", fold_cleaned("employment_type"))
+        .withColumn("_fd", fold_cleaned("description"))
+    )
+    f = f.withColumn("eligible", eligible_folded("location", "_ft", "_fe", "_fd"))
+    scored = score_postings(f, rules, title="_ft", description="_fd", folded=True, only_if="eligible")
+    return scored.drop("_ft", "_fe", "_fd")
 
 
-def collapse_batch(batch: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per entity_key: first row's hash, last row's other fields."""
-    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order)]
-    last = F.max_by(F.struct(*[F.col(c) for c in fields]), F.col(order)).alias("_last")
+def prepare_batch(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Eligible rows of ``flag_batch`` (normalised and scored)."""
+    return flag_batch(df, rules).filter(F.col("eligible")).drop("eligible")
+
+
+def collapse_batch(batch: DataFrame, order: str = "seq", eligible: str | None = None) -> DataFrame:
+    """One row per entity_key: first row's hash, last row's other fields.
+
+    With ``eligible`` (a flag column) ineligible rows are skipped inside the
+    aggregate (their ordering key is NULL), so no filter is needed before it.
+    """
+    key = F.when(F.col(eligible), F.col(order)) if eligible else F.col(order)
+    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible)]
+    last = F.max_by(F.struct(*[F.col(c) for c in fields]), key).alias("_last")
     agg = batch.groupBy("entity_key").agg(
-        F.min_by("job_hash", order).alias("job_hash"),
-        F.min(order).alias("first_seq"),
-        F.max(order).alias("last_seq"),
-        F.count(F.lit(1)).alias("sightings"),
+        F.min_by("job_hash", key).alias("job_hash"),
+        F.min(key).alias("first_seq"),
+        F.max(key).alias("last_seq"),
+        F.count(key).alias("sightings"),
         last,
     )
+    if eligible:
+        agg = agg.filter(F.col("first_seq").isNotNull())
     return agg.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", "_last.*")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, as_of, collapse: bool = True) -> DataFrame:
+def upsert(stored: DataFrame, batch: DataFrame, as_of, collapse: bool = True, eligible: str | None = None) -> DataFrame:
     """Merge a scored batch into the stored table; returns the new table plus ``is_new``.
 
     Inserts get date_found = last_seen = created_at = updated_at = as_of,
@@ -116,7 +141,7 @@ def upsert(stored: DataFrame, batch: DataFrame, as_of, collapse: bool = True) ->
     notes, date_found or created_at.
     """
     ts = as_timestamp(as_of)
-    b = collapse_batch(batch) if collapse else batch
+    b = collapse_batch(batch, eligible=eligible) if collapse else batch
     b = b.select(
         "entity_key",
         "job_hash",

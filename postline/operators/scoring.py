@@ -109,7 +109,8 @@ def _word(text: Column, rule: Rule) -> Column:
     folded = rule.folded
     if not folded:
         return F.lit(False)
-    return text.rlike(java_word(folded))
+    # substring first (cheap, necessary); the regex then checks the word edges
+    return F.contains(text, F.lit(folded)) & text.rlike(java_word(folded))
 
 
 def score_postings(
@@ -117,32 +118,47 @@ def score_postings(
     rules: list[Rule] | None = None,
     title: str = "title",
     description: str = "description",
+    folded: bool = False,
+    only_if: str | None = None,
 ) -> DataFrame:
     """Adds ``match_score`` (INT 0..100) and ``match_reason``.
 
     Score = title boosts + include weights (x1.5 in the title, else x1 in the
     description) - exclude penalties - 1000 for the export-control phrase,
     rounded half-even and clamped to 0..100.
+
+    ``folded=True`` says ``title`` / ``description`` are already folded.
+    ``only_if`` names a boolean column: rows where it is false get NULL score
+    and reason and no rule is evaluated for them.
     """
     rules = default_rules() if rules is None else rules
     if len(rules) > LITERAL_RULE_LIMIT:
+        if folded or only_if:
+            raise ValueError("score_by_tokens takes raw text and no guard")
         return score_by_tokens(df, rules, title, description)
     by = ordered(rules)
     base = df.columns
-    tmp = df.withColumn("_st", fold_text(title)).withColumn("_sd", fold_text(description))
+    if folded:
+        tmp = df.withColumn("_st", F.col(title)).withColumn("_sd", F.col(description))
+    else:
+        tmp = df.withColumn("_st", fold_text(title)).withColumn("_sd", fold_text(description))
     tmp = tmp.withColumn("_sc", F.concat(F.col("_st"), F.lit(" "), F.col("_sd")))
     t, d, c = F.col("_st"), F.col("_sd"), F.col("_sc")
+    guard = F.col(only_if) if only_if else None
+
+    def g(test: Column) -> Column:
+        return test if guard is None else F.when(guard, test).otherwise(F.lit(False))
 
     flags = []
     for i, r in enumerate(by["title_boost"]):
-        flags.append(_word(t, r).alias(f"_b{i}"))
+        flags.append(g(_word(t, r)).alias(f"_b{i}"))
     for i, r in enumerate(by["include"]):
-        flags.append(_word(t, r).alias(f"_it{i}"))
-        flags.append(_word(d, r).alias(f"_id{i}"))
+        flags.append(g(_word(t, r)).alias(f"_it{i}"))
+        flags.append(g(_word(d, r)).alias(f"_id{i}"))
     for i, r in enumerate(by["exclude"]):
-        flags.append(_word(c, r).alias(f"_x{i}"))
+        flags.append(g(_word(c, r)).alias(f"_x{i}"))
     phrase = fold_literal(EXPORT_CONTROL_PHRASE)
-    flags.append((F.lit(bool(phrase)) & F.contains(c, F.lit(phrase))).alias("_ph"))
+    flags.append(g(F.lit(bool(phrase)) & F.contains(c, F.lit(phrase))).alias("_ph"))
     tmp = tmp.select(*[F.col(x) for x in base], *flags)
 
     score: Column = F.lit(0.0)
@@ -169,6 +185,9 @@ def score_postings(
         F.when(pen != "", F.concat(F.lit(". Penalties: "), pen)).otherwise(F.lit("")),
     )
     final = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(score, 0))).cast("int")
+    if guard is not None:
+        final = F.when(guard, final)
+        reason = F.when(guard, reason)
     return tmp.select(*[F.col(x) for x in base], final.alias("match_score"), reason.alias("match_reason"))
 
 

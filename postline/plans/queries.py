@@ -8,6 +8,9 @@ The shared chain mirrors one run of the workflow on the driver tables:
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,21 +28,51 @@ from ..operators import snapshots as K
 from ..operators.ordering import review_order, with_global_rank
 from ..operators.scoring import score_postings
 from ..sources import fixtures as fx
+from ..session import work_dir
 from ..sources import payloads as S
 
 RULES = list(fx.FIXTURE_RULES)
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def persisted(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A table written once per session and source folder, then read back.
+
+    The stored postings table is a table on disk in the workflow as well;
+    writing it to the shared checkpoint folder cuts the lineage, survives
+    executor loss and lets every later query read it instead of re-running
+    the ingest.
+    """
+    key = (spark.sparkContext.applicationId, sf, name)
+    path = _WRITTEN.get(key)
+    if path is None:
+        tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
+        path = os.path.join(work_dir(spark, "tables"), f"{name}-{tag}")
+        build().write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
+def flagged(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
+    """Every posting normalised, flagged for eligibility, scored when eligible."""
+    return persisted(spark, sf, f"flagged{shift}", lambda: merge.flag_batch(fx.postings(spark, sf, shift), RULES))
+
+
 def normalized(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
-    return merge.normalize_postings(fx.postings(spark, sf, shift))
+    return flagged(spark, sf, shift).drop("eligible", "match_score", "match_reason")
 
 
 def scored(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
-    return merge.prepare_batch(fx.postings(spark, sf, shift), RULES)
+    return flagged(spark, sf, shift).filter(F.col("eligible")).drop("eligible")
 
 
 def stored_first(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.upsert(merge.empty_store(spark), scored(spark, sf), fx.AS_OF_FIRST).drop("is_new")
+    return persisted(
+        spark, sf, "stored1",
+        lambda: merge.upsert(merge.empty_store(spark), flagged(spark, sf), fx.AS_OF_FIRST, eligible="eligible").drop("is_new"),
+    )
 
 
 def edits(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,11 +80,18 @@ def edits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.apply_edits(stored_first(spark, sf), edits(spark, sf), fx.AS_OF_EDITS).drop("edited")
+    return persisted(
+        spark, sf, "reviewed",
+        lambda: merge.apply_edits(stored_first(spark, sf), edits(spark, sf), fx.AS_OF_EDITS).drop("edited"),
+    )
+
+
+def upserted_second(spark: SparkSession, sf: str) -> DataFrame:
+    return merge.upsert(reviewed(spark, sf), flagged(spark, sf, 1), fx.AS_OF_SECOND, eligible="eligible")
 
 
 def stored_second(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.upsert(reviewed(spark, sf), scored(spark, sf, shift=1), fx.AS_OF_SECOND).drop("is_new")
+    return upserted_second(spark, sf).drop("is_new")
 
 
 def ranked_postings(spark: SparkSession, sf: str, minimum_score: int = 35) -> DataFrame:
@@ -80,9 +120,13 @@ def _iso(df: DataFrame, *cols: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf: str) -> DataFrame:
     """Public feed rows with their stored review position ``feed_pos``."""
-    rows = reviewed(spark, sf).filter(F.col("match_score") >= FEED_MIN)
-    ranked = with_global_rank(rows, review_order(), "feed_pos")
-    return P.public_feed(ranked, FEED_MIN).join(ranked.select("job_hash", "feed_pos", "entity_key"), "job_hash")
+
+    def build():
+        rows = reviewed(spark, sf).filter(F.col("match_score") >= FEED_MIN)
+        ranked = with_global_rank(rows, review_order(), "feed_pos")
+        return P.public_feed(ranked, FEED_MIN).join(ranked.select("job_hash", "feed_pos", "entity_key"), "job_hash")
+
+    return persisted(spark, sf, "feed", build)
 
 
 def feed_with_seq(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +244,7 @@ def hash_purge(spark, sf):
 
 def legacy_store(spark, sf):
     """A store written without the eligibility filter (rows a later rule removes)."""
-    n = merge.normalize_postings(fx.postings(spark, sf))
+    n = normalized(spark, sf)
     return merge.upsert(merge.empty_store(spark), score_postings(n, RULES), fx.AS_OF_FIRST).drop("is_new")
 
 
@@ -254,7 +298,7 @@ def export_run_log(spark, sf):
 
 # --- joins / merge -------------------------------------------------------------
 def upsert_postings(spark, sf):
-    out = merge.upsert(reviewed(spark, sf), scored(spark, sf, shift=1), fx.AS_OF_SECOND)
+    out = upserted_second(spark, sf)
     return _iso(out, "date_found", "last_seen", "updated_at").select(
         "job_hash", "entity_key", "title", "location", "status", "match_score", "notes",
         "date_found", "last_seen", "updated_at", "is_new",
@@ -368,7 +412,7 @@ def change_counts(spark, sf):
     """Affected rows per step of the two runs."""
     st1 = stored_first(spark, sf)
     e = edits(spark, sf)
-    up2 = merge.upsert(reviewed(spark, sf), scored(spark, sf, shift=1), fx.AS_OF_SECOND)
+    up2 = upserted_second(spark, sf)
     rev = reviewed(spark, sf)
     doomed = None
     for ph in PURGE_PHRASES:

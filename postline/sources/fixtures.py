@@ -62,8 +62,21 @@ AS_OF_SECOND = "2026-06-08 12:00:00"
 AS_OF_EDITS = "2026-06-08 10:00:00"
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores when it yields fewer partitions than that.
+
+    A parquet file with one row group is one partition; the text work on it
+    (regexes over whole documents) would run in one task.  Large inputs
+    already have many partitions and are left alone (no extra shuffle).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _pick(values, idx: Column) -> Column:

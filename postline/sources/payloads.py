@@ -250,7 +250,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return z.select(
         "page_id",
         "page_url",
-        (F.col("pos") + 1).alias("pos"),
+        (F.col("pos") + 1).cast("long").alias("pos"),
         _attr(F.col("x.a"), "href").alias("href"),
         markup_text(F.col("x.t")).alias("text"),
         _attr(F.col("x.a"), "title").alias("title_attr"),
