@@ -571,6 +571,7 @@ def queries() -> dict[str, str]:
         f"""SELECT entity, {q.iso('min(run_time)')} AS first_seen, {q.iso('max(run_time)')} AS last_seen, count(*) AS sightings
         FROM v_sightings GROUP BY entity"""
     )
+    out["stream_first_last_seen"] = out["first_last_seen"]
     # sorts
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"

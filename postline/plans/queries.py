@@ -483,6 +483,95 @@ def html_links(spark, sf):
     return S.html_links(fx.table(spark, sf, "pages"))
 
 
+# --- sources, sinks, streams ------------------------------------------------------
+def landed(spark, sf) -> dict:
+    """Landed payload folders (written once per session from the postings fixture)."""
+    from ..sources import landing
+
+    key = (spark.sparkContext.applicationId, sf, "landed")
+    if key not in _WRITTEN:
+        tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
+        root = os.path.join(work_dir(spark, "landed"), tag)
+        landing.land_payloads(fx.postings(spark, sf), fx.sources(spark, sf), root)
+        _WRITTEN[key] = root
+    root = _WRITTEN[key]
+    return {k: os.path.join(root, k) for k in ("lever", "ashby", "greenhouse")}
+
+
+def _scan(kind):
+    def run(spark, sf):
+        raw = S.READERS[kind](spark, landed(spark, sf)[kind])
+        return S.with_company(raw, fx.sources(spark, sf)).select(*S.RAW_COLUMNS)
+
+    run.__name__ = f"scan_{kind}"
+    return run
+
+
+def quarantine(spark, sf):
+    paths = landed(spark, sf)
+    parts = [S.quarantine(spark, paths[k], k) for k in ("lever", "ashby", "greenhouse")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def raw_json(spark, sf):
+    raw = S.read_ashby(spark, landed(spark, sf)["ashby"])
+    return raw.select("seq", "source_name", "raw_data")
+
+
+def feed_scan(spark, sf):
+    """The public feed written as an envelope of JSON Lines parts plus a manifest, read back."""
+    root = os.path.join(work_dir(spark, "feed"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    f = feed(spark, sf).drop("feed_pos", "entity_key")
+    f.write.mode("overwrite").json(os.path.join(root, "jobs"))
+    P.feed_manifest(f, FEED_MIN, fx.AS_OF_SECOND).write.mode("overwrite").json(os.path.join(root, "manifest"))
+    return S.read_feed(spark, root)
+
+
+def run_log_append(spark, sf):
+    path = os.path.join(work_dir(spark, "run_log"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    runs = fx.runs(spark, sf)
+    K.append_run_log(runs.filter(F.col("run_time") < F.lit("2024-01-15").cast("timestamp")), path)
+    K.append_run_log(runs.filter(F.col("run_time") >= F.lit("2024-01-15").cast("timestamp")), path)
+    return _iso(spark.read.parquet(path), "run_time")
+
+
+def snapshot_write(spark, sf):
+    """Three writes of the stored table: v1, v2 (changed), an unchanged write (skipped)."""
+    root = os.path.join(work_dir(spark, "snapshots"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    versions = [
+        K.write_snapshot(stored_first(spark, sf), root),
+        K.write_snapshot(reviewed(spark, sf), root),
+        K.write_snapshot(reviewed(spark, sf), root),
+    ]
+    current = K.read_current(spark, root)
+    return current.withColumn("version", F.lit(versions[-1])).select("version", "job_hash", "status")
+
+
+def snapshot_changed(spark, sf):
+    """Order-insensitive checksums of two snapshots and whether they differ."""
+    a = K.content_checksum(stored_first(spark, sf)).withColumn("snapshot", F.lit("stored1"))
+    b = K.content_checksum(reviewed(spark, sf)).withColumn("snapshot", F.lit("reviewed"))
+    c = K.content_checksum(reviewed(spark, sf).orderBy("title")).withColumn("snapshot", F.lit("reviewed_reordered"))
+    return a.unionByName(b).unionByName(c)
+
+
+def stream_ingest(spark, sf):
+    from ..streaming.ingest import stream_ingest as run
+
+    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
+    base = os.path.join(work_dir(spark, "stream_ingest"), tag)
+    out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES)
+    return _iso(out, "date_found", "last_seen").select("job_hash", "entity_key", "title", "match_score", "date_found", "last_seen")
+
+
+def stream_first_last_seen(spark, sf):
+    from ..streaming.ingest import running_first_last_seen
+
+    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
+    base = os.path.join(work_dir(spark, "stream_seen"), tag)
+    return _iso(running_first_last_seen(spark, sf, base), "first_seen", "last_seen")
+
+
 def recent_run_logs(spark, sf):
     return _iso(P.recent_run_logs(fx.runs(spark, sf), 200), "run_time")
 
@@ -548,4 +637,15 @@ REGISTRY = {
     "sorted_feed": sorted_feed,
     "recent_run_logs": recent_run_logs,
     "html_links": html_links,
+    "scan_lever": _scan("lever"),
+    "scan_ashby": _scan("ashby"),
+    "scan_greenhouse": _scan("greenhouse"),
+    "quarantine": quarantine,
+    "raw_json": raw_json,
+    "feed_scan": feed_scan,
+    "run_log_append": run_log_append,
+    "snapshot_write": snapshot_write,
+    "snapshot_changed": snapshot_changed,
+    "stream_ingest": stream_ingest,
+    "stream_first_last_seen": stream_first_last_seen,
 }

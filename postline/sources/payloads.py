@@ -79,23 +79,29 @@ def salary_text(lo, hi, currency) -> Column:
 
 
 def _with_source(df: DataFrame) -> DataFrame:
-    # landed layout: <root>/<source_name>/<file>.json
+    """Source name from the landed layout: ``<root>/source_name=<name>/...``
+    (partition discovery) or ``<root>/<name>/<file>``."""
     path = F.input_file_name()
-    return df.withColumn("_file", path).withColumn(
-        "source_name", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
-    )
+    df = df.withColumn("_file", path)
+    if "source_name" in df.columns:
+        return df.withColumn("source_name", F.col("source_name").cast("string"))
+    return df.withColumn("source_name", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1))
 
 
 def _file_seq(df: DataFrame, pos: Column) -> Column:
     return F.xxhash64(F.col("_file"), pos)
 
 
-def read_lever(spark: SparkSession, root: str) -> DataFrame:
-    """Lever boards: each file is a top-level JSON array of postings."""
+def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """Lever boards: each payload is a top-level JSON array of postings.
+
+    ``multi_line=False``: one payload per line (JSON Lines); ``True``: one
+    (pretty-printed) payload per file.
+    """
     schema = T.StructType(LEVER_ITEM.fields + [T.StructField("_corrupt_record", S)])
     df = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(root)
@@ -130,11 +136,11 @@ def _variant_text(v: Column, path: str = "$") -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def read_jobs_envelope(spark: SparkSession, root: str, item: T.StructType) -> DataFrame:
+def read_jobs_envelope(spark: SparkSession, root: str, item: T.StructType, multi_line: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField("jobs", T.ArrayType(item)), T.StructField("_corrupt_record", S)])
     df = (
         spark.read.schema(schema)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(root)
@@ -143,9 +149,9 @@ def read_jobs_envelope(spark: SparkSession, root: str, item: T.StructType) -> Da
     return df.select("_file", "source_name", F.posexplode(F.coalesce(F.col("jobs"), F.array())).alias("pos", "j"))
 
 
-def read_ashby(spark: SparkSession, root: str) -> DataFrame:
+def read_ashby(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
     """Ashby boards: ``{"jobs": [...]}``; location is text or ``{"name": ...}``."""
-    df = read_jobs_envelope(spark, root, ASHBY_ITEM)
+    df = read_jobs_envelope(spark, root, ASHBY_ITEM, multi_line)
     j = F.col("j")
     loc = F.coalesce(_variant_text(j["location"], "$.name"), _variant_text(j["location"]), F.lit(""))
     comp = j["compensation"]
@@ -167,9 +173,9 @@ def read_ashby(spark: SparkSession, root: str) -> DataFrame:
     return out.filter(F.col("title") != "")
 
 
-def read_greenhouse(spark: SparkSession, root: str) -> DataFrame:
+def read_greenhouse(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
     """Greenhouse boards: location name, else the office names joined by ', '."""
-    df = read_jobs_envelope(spark, root, GREENHOUSE_ITEM)
+    df = read_jobs_envelope(spark, root, GREENHOUSE_ITEM, multi_line)
     j = F.col("j")
     offices = F.array_join(
         F.filter(F.transform(F.coalesce(j["offices"], F.array()), lambda o: F.coalesce(o["name"], F.lit(""))), lambda n: n != ""),
@@ -193,16 +199,14 @@ def read_greenhouse(spark: SparkSession, root: str) -> DataFrame:
     return out.filter(F.col("title") != "")
 
 
-def quarantine(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """Landed files whose payload is not of the expected shape.
+def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = False) -> DataFrame:
+    """Landed payloads that are not of the expected shape.
 
     Lever payloads must be a JSON array; the others an object whose ``jobs``
-    (when present) is an array.  Each file is one row (``wholetext``).
+    (when present) is an array.  One payload per line, or per file with
+    ``multi_line``.
     """
-    raw = spark.read.option("wholetext", True).text(root)
-    raw = raw.withColumn("_file", F.input_file_name()).withColumn(
-        "source_name", F.regexp_extract(F.col("_file"), r"/([^/]+)/[^/]+$", 1)
-    )
+    raw = _with_source(spark.read.option("wholetext", multi_line).text(root))
     v = F.try_parse_json(F.col("value"))
     shape = F.schema_of_variant(v)
     if kind == "lever":
@@ -287,3 +291,35 @@ def with_company(raw: DataFrame, sources: DataFrame) -> DataFrame:
     dims = sources.select(F.col("name").alias("source_name"), F.col("company").alias("_company"))
     j = raw.join(F.broadcast(dims), "source_name", "left")
     return j.withColumn("company", F.coalesce(F.col("_company"), F.col("source_name"), F.lit(""))).drop("_company")
+
+
+FEED_JOB = T.StructType([T.StructField(c, T.IntegerType() if c == "match_score" else S) for c in (
+    "job_hash", "title", "company", "location", "url", "source_name", "source_type", "salary", "employment_type",
+    "date_posted", "date_found", "last_seen", "status", "match_score", "match_reason",
+)])
+FEED_MANIFEST = T.StructType(
+    [T.StructField("generated_at", S), T.StructField("minimum_score", T.IntegerType()), T.StructField("total", T.LongType())]
+)
+
+
+def read_feed(spark: SparkSession, root: str) -> DataFrame:
+    """Public feed as written by the export: ``jobs/`` (JSON Lines) + ``manifest/``.
+
+    Each job row carries the manifest's generated_at and minimum_score (the
+    manifest is one row, read as two scalars).
+    """
+    jobs = spark.read.schema(FEED_JOB).json(f"{root}/jobs")
+    m = spark.read.schema(FEED_MANIFEST).json(f"{root}/manifest").first()
+    gen, minimum = (m.generated_at, m.minimum_score) if m else (None, None)
+    return jobs.withColumn("generated_at", F.lit(gen).cast("string")).withColumn(
+        "minimum_score", F.lit(minimum).cast("int")
+    )
+
+
+def read_feed_envelope(spark: SparkSession, path: str) -> DataFrame:
+    """A single-document envelope ``{generated_at, minimum_score, total, jobs[]}``; missing jobs -> no rows."""
+    schema = T.StructType(FEED_MANIFEST.fields + [T.StructField("jobs", T.ArrayType(FEED_JOB))])
+    env = spark.read.schema(schema).option("multiLine", True).json(path)
+    return env.select("generated_at", "minimum_score", F.explode_outer(F.coalesce(F.col("jobs"), F.array())).alias("j")).filter(
+        F.col("j").isNotNull()
+    ).select("generated_at", "minimum_score", "j.*")
