@@ -90,3 +90,17 @@ def append_run_log(df: DataFrame, path: str) -> None:
 def rank_versions(manifest: DataFrame, version: str = "version") -> DataFrame:
     """Age rank of each version (1 = newest) for a manifest of bounded size."""
     return manifest.withColumn("age_rank", F.row_number().over(Window.orderBy(F.col(version).desc())))
+
+
+def write_bucketed(df: DataFrame, table: str, buckets: int | None = None, key: str = "entity_key") -> DataFrame:
+    """Write the stored table bucketed and sorted by ``key`` (needs a catalog).
+
+    With ``buckets`` equal to ``spark.sql.shuffle.partitions`` the merge
+    join reads the stored table in place: the collapsed batch is already
+    hash-partitioned on ``key`` into the same number of partitions, so
+    neither side of the join is shuffled again.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.mode("overwrite").bucketBy(n, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)

@@ -62,21 +62,27 @@ AS_OF_SECOND = "2026-06-08 12:00:00"
 AS_OF_EDITS = "2026-06-08 10:00:00"
 
 
-def balanced(df: DataFrame) -> DataFrame:
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a scan over the cores when it yields fewer partitions than that.
 
     A parquet file with one row group is one partition; the text work on it
     (regexes over whole documents) would run in one task.  Large inputs
     already have many partitions and are left alone (no extra shuffle).
+    With ``key`` the rows are hash-partitioned on it, so a following join on
+    that key reuses the partitioning instead of shuffling again.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, key) if key else df.repartition(target)
     return df
 
 
+# join keys of the tables that are joined on their id
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "labels": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
 
 
 def _pick(values, idx: Column) -> Column:

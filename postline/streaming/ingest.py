@@ -32,7 +32,7 @@ def stream_ingest(
     checkpoint: str,
     rules: list[Rule] | None,
     start: str = "2026-06-08 09:00:00",
-    files_per_batch: int = 4,
+    files_per_batch: int = 16,
 ) -> DataFrame:
     """Run an ``availableNow`` stream over landed Lever payloads; return the final table."""
     schema = T.StructType(
