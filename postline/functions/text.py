@@ -26,6 +26,11 @@ def clean_text(c) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), _WS_RUN, " "))
 
 
+def strip_text(c) -> Column:
+    """Leading and trailing whitespace removed (every character str.isspace accepts)."""
+    return F.regexp_replace(F.coalesce(_col(c), F.lit("")), "^" + _WS_RUN + "|" + _WS_RUN + "$", "")
+
+
 def fold_text(c) -> Column:
     """clean_text + case folding (lower case, and sharp s to ss)."""
     return F.replace(F.lower(clean_text(c)), F.lit("ß"), F.lit("ss"))

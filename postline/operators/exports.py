@@ -15,6 +15,7 @@ from ..constants import (
     WORKBOOK_MIN_SCORE,
 )
 from ..functions.dates import iso_text, next_slot
+from .ordering import broadcast_if_small
 from .scoring import Rule
 
 TIMESTAMP_COLUMNS = ("date_found", "last_seen", "created_at", "updated_at")
@@ -98,7 +99,7 @@ def source_locator(df: DataFrame):
 def source_status(sources: DataFrame, checks: DataFrame) -> DataFrame:
     """Sources sheet: sources LEFT JOIN latest checks on name (both small dimensions)."""
     c = checks.select(F.col("source_name").alias("name"), "last_checked")
-    j = sources.join(F.broadcast(c), "name", "left")
+    j = sources.join(broadcast_if_small(c), "name", "left")
     return j.select(
         F.col("name").alias("Source Name"),
         F.coalesce(F.col("type"), F.lit("")).alias("Source Type"),

@@ -96,3 +96,13 @@ def ordered_lag(df: DataFrame, key: str, order: list[str], value: str, name: str
         F.col("_first") & (F.col("_prev.k") == F.col(key)), F.col("_prev.v")
     ).otherwise(F.col(name))
     return t.withColumn(name, fixed).drop("_pid", "_first", "_prev")
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """Broadcast hint only when the row count is proven to be at most ``limit``.
+
+    The count stops at ``limit + 1`` rows, so the check costs little even on
+    a large table; above the limit the join is left to the planner.
+    """
+    n = df.limit(limit + 1).count()
+    return F.broadcast(df) if n <= limit else df

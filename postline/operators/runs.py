@@ -18,7 +18,7 @@ def unsupported_sources(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     types = spark.createDataFrame([(t,) for t in SUPPORTED_SOURCE_TYPES], "ftype string")
     s = enabled_sources(sources).withColumn("ftype", F.lower(F.coalesce(F.col("type"), F.lit(""))))
-    bad = s.join(F.broadcast(types), "ftype", "left_anti")
+    bad = s.join(F.broadcast(types), "ftype", "left_anti")  # the fixed list of supported types
     return bad.select(
         "name",
         "type",

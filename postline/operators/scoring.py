@@ -289,3 +289,27 @@ def score_by_tokens(
     )
     final = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(total, 0))).cast("int")
     return joined.select(*[F.col(x) for x in base], final.alias("match_score"), reason.alias("match_reason"))
+
+
+def keyword_hits(df: DataFrame, rules: list[Rule], title: str = "title", description: str = "description") -> DataFrame:
+    """(row, rule) pairs with a whole-word hit and the field it hit in
+    (title, description or the combined text), one row per pair.
+
+    Each rule is a literal test; the hits of a row are built as one array and
+    exploded, so no row is paired with rules that do not hit it.
+    """
+    t, d = fold_text(title), fold_text(description)
+    x = df.withColumn("_t", t).withColumn("_d", d).withColumn("_c", F.concat("_t", F.lit(" "), "_d"))
+    hits = []
+    for r in rules:
+        for field, col in (("title", "_t"), ("description", "_d"), ("all", "_c")):
+            hits.append(
+                F.when(
+                    _word(F.col(col), r),
+                    F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"),
+                             F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")),
+                )
+            )
+    arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    keep = [c for c in df.columns if c not in (title, description)]
+    return x.select(*keep, F.explode(arr).alias("_h")).select(*keep, "_h.*")

@@ -572,6 +572,7 @@ def queries() -> dict[str, str]:
         FROM v_sightings GROUP BY entity"""
     )
     out["stream_first_last_seen"] = out["first_last_seen"]
+    out.update(_scan_oracles())
     # sorts
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"
@@ -589,3 +590,57 @@ def queries() -> dict[str, str]:
               FROM links l WHERE l.href IS NOT NULL AND l.href <> '') WHERE title <> '') WHERE k = 1"""
     )
     return out
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), {L('^' + q.WS_RUN + '|' + q.WS_RUN + '$')}, '', 'g')"
+
+
+def _truthy(*xs: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in xs) + ", '')"
+
+
+def _scan_oracles() -> dict[str, str]:
+    """Expected reader output for the payloads landed from the postings fixture."""
+    comp = "coalesce(s.company, p.source_name, '')"
+    apply_url = "'https://jobs.example.com/apply/' || CAST(p.seq AS VARCHAR)"
+    base = "FROM v_postings p LEFT JOIN v_sources s ON s.name = p.source_name"
+    i = "p.seq"
+    lo = f"(CASE WHEN {i} % 4 = 0 THEN NULL ELSE CAST(({i} % 50) * 1000 AS BIGINT) END)"
+    hi = f"(CASE WHEN {i} % 3 = 0 THEN NULL ELSE CAST(({i} % 50) * 1000 + 20000 AS BIGINT) END)"
+    cur = f"(CASE WHEN {i} % 5 = 0 THEN 'USD' END)"
+    rng = f"concat_ws(' - ', CAST({lo} AS VARCHAR), CAST({hi} AS VARCHAR))"
+    sal = f"trim(CASE WHEN coalesce({cur}, '') <> '' THEN concat_ws(' ', nullif({rng}, ''), {cur}) ELSE {rng} END)"
+    lever_desc = (
+        f"concat_ws(' ', nullif({_truthy(f'CASE WHEN {i} % 2 = 0 THEN p.description END', q.html_to_text(chr(39) + '<p>' + chr(39) + ' || p.description || ' + chr(39) + '</p>' + chr(39)))}, ''), "
+        f"nullif({q.html_to_text(f'CASE WHEN {i} % 4 = 1 THEN {L(chr(60) + "ul><li>")} || p.source_name || {L("</li></ul>")} END')}, ''))"
+    )
+    lever = f"""SELECT * FROM (SELECT {_strip('p.title')} AS title, {comp} AS company, p.location AS location,
+            {_truthy("p.url", apply_url)} AS url, p.source_name, 'lever' AS source_type, {lever_desc} AS description,
+            CASE WHEN {i} % 6 = 5 THEN '' ELSE {sal} END AS salary, p.employment_type,
+            CAST((1700000000 + {i} * 3600) * 1000 AS VARCHAR) AS date_posted
+        {base} WHERE p.source_type = 'lever') WHERE title <> ''"""
+    ashby = f"""SELECT * FROM (SELECT {_strip('p.title')} AS title, {comp} AS company, p.location AS location,
+            {_truthy("p.url", apply_url)} AS url, p.source_name, 'ashby' AS source_type,
+            {q.html_to_text("'<p>' || p.description || '</p>'")} AS description,
+            CASE WHEN {i} % 3 <> 0 THEN p.salary ELSE '' END AS salary, p.employment_type, p.date_posted
+        {base} WHERE p.source_type = 'ashby') WHERE title <> ''"""
+    offices = "array_to_string(list_filter([p.location, '', p.source_name], lambda n: n <> ''), ', ')"
+    esc = "replace(replace(replace('<p>' || p.description || '</p>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    greenhouse = f"""SELECT * FROM (SELECT {_strip('p.title')} AS title, {comp} AS company,
+            {_truthy(f"CASE WHEN {i} % 3 <> 0 THEN p.location END", offices)} AS location,
+            p.url AS url, p.source_name, 'greenhouse' AS source_type, {q.html_to_text(esc)} AS description,
+            '' AS salary, '' AS employment_type, p.date_posted
+        {base} WHERE p.source_type = 'greenhouse') WHERE title <> ''"""
+    quarantine = " UNION ALL ".join(
+        f"""SELECT name AS source_name, '{k}' AS source_type,
+            name || ': CollectorError: Unexpected {k} API response' AS error
+        FROM v_sources WHERE pos % 5 = 4 AND lower(type) = '{k}'"""
+        for k in ("lever", "ashby", "greenhouse")
+    )
+    return {
+        "scan_lever": with_ctes(lever),
+        "scan_ashby": with_ctes(ashby),
+        "scan_greenhouse": with_ctes(greenhouse),
+        "quarantine": with_ctes(quarantine),
+    }

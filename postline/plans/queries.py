@@ -208,21 +208,10 @@ def eligible_postings(spark, sf):
 
 def keyword_hits(spark, sf):
     """(posting, rule) pairs with a whole-word hit and where it hit."""
-    n = normalized(spark, sf)
-    t, d = T.fold_text("title"), T.fold_text("description")
-    x = n.select("seq", t.alias("_t"), d.alias("_d")).withColumn("_c", F.concat("_t", F.lit(" "), "_d"))
-    hits = []
-    for r in RULES:
-        for field, col in (("title", "_t"), ("description", "_d"), ("all", "_c")):
-            hits.append(
-                F.when(
-                    T.contains_word(F.col(col), r.keyword),
-                    F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"),
-                             F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")),
-                )
-            )
-    arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return x.select("seq", F.explode(arr).alias("h")).select("seq", "h.*")
+    from ..operators.scoring import keyword_hits as hits
+
+    n = normalized(spark, sf).select("seq", "title", "description")
+    return hits(n, RULES)
 
 
 def score_threshold(spark, sf):
@@ -501,7 +490,7 @@ def landed(spark, sf) -> dict:
 def _scan(kind):
     def run(spark, sf):
         raw = S.READERS[kind](spark, landed(spark, sf)[kind])
-        return S.with_company(raw, fx.sources(spark, sf)).select(*S.RAW_COLUMNS)
+        return S.with_company(raw, fx.sources(spark, sf)).select(*[c for c in S.RAW_COLUMNS if c not in ("seq", "raw_data")])
 
     run.__name__ = f"scan_{kind}"
     return run

@@ -55,9 +55,7 @@ def ashby_items(p: DataFrame) -> DataFrame:
     loc = F.when(i % 2 == 0, _json_str(F.col("location"))).otherwise(
         F.parse_json(F.to_json(F.struct(F.col("location").alias("name"))))
     )
-    comp = F.when(i % 3 == 0, F.parse_json(F.to_json(F.struct(F.col("salary").alias("summary"))))).otherwise(
-        _json_str(F.col("salary"))
-    )
+    comp = F.when(i % 3 != 0, _json_str(F.col("salary")))
     item = F.struct(
         F.col("title").alias("title"),
         loc.alias("location"),

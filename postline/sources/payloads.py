@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import SUPPORTED_SOURCE_TYPES
-from ..functions.text import clean_text, decode_entities, first_truthy, html_to_text, markup_text, nonempty
+from ..functions.text import clean_text, decode_entities, first_truthy, html_to_text, markup_text, nonempty, strip_text
 from ..functions.urls import resolve_url
+from ..operators.ordering import broadcast_if_small
 
 RAW_COLUMNS = (
     "seq", "title", "company", "location", "url", "source_name", "source_type",
@@ -115,7 +116,7 @@ def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> Data
     )
     out = df.select(
         F.xxhash64("_file", F.col("text"), F.col("hostedUrl"), F.col("createdAt")).alias("seq"),
-        F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("title"),
+        strip_text(F.col("text")).alias("title"),
         F.lit(None).cast("string").alias("company"),
         F.coalesce(F.col("categories.location"), F.lit("")).alias("location"),
         first_truthy(F.col("hostedUrl"), F.col("applyUrl")).alias("url"),
@@ -158,7 +159,7 @@ def read_ashby(spark: SparkSession, root: str, multi_line: bool = False) -> Data
     comp_text = F.coalesce(_variant_text(comp), F.to_json(comp), F.lit(""))
     out = df.select(
         _file_seq(df, F.col("pos")).alias("seq"),
-        F.trim(F.coalesce(j["title"], F.lit(""))).alias("title"),
+        strip_text(j["title"]).alias("title"),
         F.lit(None).cast("string").alias("company"),
         loc.alias("location"),
         first_truthy(j["jobUrl"], j["applyUrl"]).alias("url"),
@@ -184,7 +185,7 @@ def read_greenhouse(spark: SparkSession, root: str, multi_line: bool = False) ->
     loc = first_truthy(j["location"]["name"], offices)
     out = df.select(
         _file_seq(df, F.col("pos")).alias("seq"),
-        F.trim(F.coalesce(j["title"], F.lit(""))).alias("title"),
+        strip_text(j["title"]).alias("title"),
         F.lit(None).cast("string").alias("company"),
         loc.alias("location"),
         F.coalesce(j["absolute_url"], F.lit("")).alias("url"),
@@ -283,13 +284,13 @@ def union_sources(postings: DataFrame, sources: DataFrame) -> DataFrame:
     parts = [postings.filter(F.lower(F.col("source_type")) == t) for t in SUPPORTED_SOURCE_TYPES]
     u = reduce(DataFrame.unionByName, parts)
     enabled = sources.filter(F.coalesce(F.col("enabled"), F.lit(False))).select(F.col("name").alias("source_name"))
-    return u.join(F.broadcast(enabled), "source_name", "left_semi")
+    return u.join(broadcast_if_small(enabled), "source_name", "left_semi")
 
 
 def with_company(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Company = configured company, else the source name (absent key, not empty)."""
     dims = sources.select(F.col("name").alias("source_name"), F.col("company").alias("_company"))
-    j = raw.join(F.broadcast(dims), "source_name", "left")
+    j = raw.join(broadcast_if_small(dims), "source_name", "left")
     return j.withColumn("company", F.coalesce(F.col("_company"), F.col("source_name"), F.lit(""))).drop("_company")
 
 
