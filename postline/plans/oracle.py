@@ -577,6 +577,13 @@ def queries() -> dict[str, str]:
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"
     )
+    out["sorted_feed_company"] = W(
+        "SELECT job_hash, company, row_number() OVER (ORDER BY company, feed_pos) AS sort_pos FROM feed"
+    )
+    out["sorted_feed_newest"] = W(
+        "SELECT job_hash, date_found, row_number() OVER (ORDER BY date_found DESC, feed_pos) AS sort_pos FROM feed"
+    )
+    out["facet_filter"] = W("SELECT job_hash, company, status FROM feed WHERE company = 'src3' AND status = 'New'")
     out["recent_run_logs"] = W(
         f"""SELECT {q.iso('run_time')} AS run_time, sources_checked, jobs_found, new_jobs_added, errors, duration_seconds,
             row_number() OVER (ORDER BY run_time) AS pos
@@ -586,7 +593,8 @@ def queries() -> dict[str, str]:
         f"""SELECT page_id, pos, url, title FROM (
             SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM (
               SELECT l.page_id, l.pos, {q.resolve_url('l.page_url', 'l.href')} AS url,
-                {q.clean("coalesce(nullif(l.text, ''), nullif(l.title_attr, ''), nullif(l.aria_label, ''), '')")} AS title
+                CASE WHEN l.raw_text <> '' THEN l.text
+                     ELSE {q.clean("coalesce(nullif(l.title_attr, ''), nullif(l.aria_label, ''), '')")} END AS title
               FROM links l WHERE l.href IS NOT NULL AND l.href <> '') WHERE title <> '') WHERE k = 1"""
     )
     return out

@@ -246,6 +246,11 @@ def search_feed(spark, sf):
     return X.search_feed(f, query="The", location="us", minimum_score=35).select("job_hash", "title", "location")
 
 
+def facet_filter(spark, sf):
+    f = feed(spark, sf)
+    return X.search_feed(f, company="src3", status="New", minimum_score=FEED_MIN).select("job_hash", "company", "status")
+
+
 # --- projections -------------------------------------------------------------
 def normalized_postings(spark, sf):
     return normalized(spark, sf)
@@ -468,6 +473,14 @@ def sorted_feed(spark, sf):
     return X.sorted_feed(feed(spark, sf), "score").select("job_hash", "sort_pos")
 
 
+def sorted_feed_company(spark, sf):
+    return X.sorted_feed(feed(spark, sf), "company").select("job_hash", "company", "sort_pos")
+
+
+def sorted_feed_newest(spark, sf):
+    return X.sorted_feed(feed(spark, sf), "newest").select("job_hash", "date_found", "sort_pos")
+
+
 def html_links(spark, sf):
     return S.html_links(fx.table(spark, sf, "pages"))
 
@@ -624,6 +637,9 @@ REGISTRY = {
     "expired_snapshots": expired_snapshots,
     "first_last_seen": first_last_seen,
     "sorted_feed": sorted_feed,
+    "sorted_feed_company": sorted_feed_company,
+    "sorted_feed_newest": sorted_feed_newest,
+    "facet_filter": facet_filter,
     "recent_run_logs": recent_run_logs,
     "html_links": html_links,
     "scan_lever": _scan("lever"),

@@ -309,7 +309,8 @@ def attr(attrs: str, name: str) -> str:
 
 def page_links_sql(pages: str = "pages") -> str:
     return f"""SELECT page_id, page_url, CAST(pos AS BIGINT) AS pos, {attr('a', 'href')} AS href,
-        {markup_text('t')} AS text, {attr('a', 'title')} AS title_attr, {attr('a', 'aria-label')} AS aria_label
+        {markup_text('t')} AS text, {attr('a', 'title')} AS title_attr, {attr('a', 'aria-label')} AS aria_label,
+        {decode_entities("regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")} AS raw_text
     FROM (SELECT page_id, url AS page_url,
             unnest(regexp_extract_all(html, {lit(ANCHOR)}, 1)) AS a,
             unnest(regexp_extract_all(html, {lit(ANCHOR)}, 2)) AS t,

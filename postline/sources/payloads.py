@@ -258,6 +258,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         (F.col("pos") + 1).cast("long").alias("pos"),
         _attr(F.col("x.a"), "href").alias("href"),
         markup_text(F.col("x.t")).alias("text"),
+        # the anchor's text nodes joined without separators: '' only when it has no text at all
+        decode_entities(F.regexp_replace(F.regexp_replace(F.col("x.t"), r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")).alias("raw_text"),
         _attr(F.col("x.a"), "title").alias("title_attr"),
         _attr(F.col("x.a"), "aria-label").alias("aria_label"),
     )
@@ -270,7 +272,10 @@ def html_links(pages: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     links = page_links(pages).filter(F.col("href").isNotNull() & (F.col("href") != ""))
-    title = clean_text(first_truthy(F.col("text"), F.col("title_attr"), F.col("aria_label")))
+    # attributes are used only when the anchor has no text at all (whitespace-only text counts as text)
+    title = F.when(F.col("raw_text") != "", F.col("text")).otherwise(
+        clean_text(first_truthy(F.col("title_attr"), F.col("aria_label")))
+    )
     out = links.select(
         "page_id", "pos", resolve_url(F.col("page_url"), F.col("href")).alias("url"), title.alias("title")
     ).filter(F.col("title") != "")

@@ -83,6 +83,7 @@ def test_quarantine_of_malformed_payloads(spark, tmp_dir):
 def test_html_links_first_titled_per_url(spark):
     html = (
         '<a href="/jobs/1"> </a><a href="/jobs/1">Graphics <b>Engineer</b></a><a href="/jobs/1">Again</a>'
+        '<a href="/jobs/9" title="Ignored"> </a><a href="/jobs/8" title="Nested"><b></b></a>'
         '<a href="jobs/2" title="From title"></a><a href=\'/jobs/3\' aria-label="Label"></a><a>no href</a>'
         '<a href="https://other.org/x?a=1&amp;b=2">Other</a>'
     )
@@ -90,6 +91,7 @@ def test_html_links_first_titled_per_url(spark):
     got = [(r.url, r.title) for r in S.html_links(pages).orderBy("pos").collect()]
     assert got == [
         ("https://ex.com/jobs/1", "Graphics Engineer"),
+        ("https://ex.com/jobs/8", "Nested"),
         ("https://ex.com/careers/jobs/2", "From title"),
         ("https://ex.com/jobs/3", "Label"),
         ("https://other.org/x?a=1&b=2", "Other"),
