@@ -29,10 +29,11 @@ def _text(df: DataFrame, c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
 
-def public_feed(stored: DataFrame, minimum_score: int = WEBSITE_MIN_SCORE) -> DataFrame:
-    """The privacy whitelist: 15 public columns of rows at or above the threshold."""
+def public_feed(stored: DataFrame, minimum_score: int = WEBSITE_MIN_SCORE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The privacy whitelist: 15 public columns of rows at or above the threshold
+    (``keep`` names extra internal columns to carry along, e.g. a position)."""
     rows = stored.filter(F.col("match_score") >= minimum_score)
-    return rows.select(*[_text(rows, c) for c in PUBLIC_FIELDS])
+    return rows.select(*[_text(rows, c) for c in PUBLIC_FIELDS], *keep)
 
 
 def jobs_sheet(stored: DataFrame, minimum_score: int = WORKBOOK_MIN_SCORE) -> DataFrame:

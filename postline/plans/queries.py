@@ -124,7 +124,7 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
     def build():
         rows = reviewed(spark, sf).filter(F.col("match_score") >= FEED_MIN)
         ranked = with_global_rank(rows, review_order(), "feed_pos")
-        return P.public_feed(ranked, FEED_MIN).join(ranked.select("job_hash", "feed_pos", "entity_key"), "job_hash")
+        return P.public_feed(ranked, FEED_MIN, keep=("feed_pos", "entity_key"))
 
     return persisted(spark, sf, "feed", build)
 
@@ -574,6 +574,25 @@ def stream_first_last_seen(spark, sf):
     return _iso(running_first_last_seen(spark, sf, base), "first_seen", "last_seen")
 
 
+def workflow_run(spark, sf):
+    """Two complete runs over the landed payloads (edits applied before the second)."""
+    from . import workflow
+
+    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
+    root = os.path.join(work_dir(spark, "workflow"), tag)
+    src = fx.sources(spark, sf)
+    paths = landed(spark, sf)
+    first = workflow.run(spark, root, src, paths, RULES, fx.AS_OF_FIRST)
+    e = first.store.select(
+        F.lit(1).cast("long").alias("seq"), "job_hash", F.lit("").alias("url"),
+        F.lit("Interested").alias("status"), F.lit("seen").alias("notes"),
+    ).filter(F.col("match_score") >= 60)
+    second = workflow.run(spark, root, src, paths, RULES, fx.AS_OF_SECOND, edits=e, old_checks=first.checks)
+    return _iso(second.store, "date_found", "last_seen", "updated_at").select(
+        "job_hash", "title", "company", "location", "status", "notes", "match_score", "date_found", "last_seen"
+    )
+
+
 def recent_run_logs(spark, sf):
     return _iso(P.recent_run_logs(fx.runs(spark, sf), 200), "run_time")
 
@@ -653,4 +672,5 @@ REGISTRY = {
     "snapshot_changed": snapshot_changed,
     "stream_ingest": stream_ingest,
     "stream_first_last_seen": stream_first_last_seen,
+    "workflow_run": workflow_run,
 }
