@@ -1,0 +1,35 @@
+from pyspark.sql import functions as F
+
+from postline.functions import exact
+from postline.functions.text import fold_text, html_to_text
+from postline.functions.urls import normalize_url, resolve_url
+from postline.sources import payloads as S
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_fold_exact_vs_builtin(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.select(fold_text("text").alias("a"), exact.fold_text_exact("text").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    # where they differ: full case folding
+    df = spark.createDataFrame([("ǰ ŉ Straße",)], "t string")
+    r = df.select(fold_text("t").alias("a"), exact.fold_text_exact("t").alias("b")).first()
+    assert r.b == "ǰ ŉ strasse".casefold() and r.a != r.b
+
+
+def test_html_exact_vs_builtin(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.select(html_to_text("html").alias("a"), exact.html_to_text_exact("html").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_url_exact_vs_builtin(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.select(normalize_url("url").alias("a"), exact.normalize_url_exact("url").alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+    links = S.page_links(pages).filter(F.col("href").isNotNull())
+    rows = links.select(
+        resolve_url("page_url", "href").alias("a"), exact.resolve_url_exact("page_url", "href").alias("b")
+    ).collect()
+    assert len(rows) > 100 and all(r.a == r.b for r in rows)
