@@ -24,24 +24,58 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def posting_timestamp(c) -> Column:
-    """TIMESTAMP of a posting date given as epoch seconds / millis or text."""
-    s = F.coalesce(_col(c).cast("string"), F.lit(""))
+_ZONE = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def _epoch(s: Column) -> Column:
     n = F.when(s.rlike("^[0-9]{1,18}$"), s.cast("bigint"))
     secs = F.when(n > EPOCH_MILLIS_ABOVE, F.floor(n / 1000).cast("bigint")).otherwise(n)
-    epoch = F.when(secs <= MAX_EPOCH_SECONDS, F.timestamp_seconds(secs))
-    parsed = F.coalesce(
-        F.try_to_timestamp(s),
-        *[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS],
-    )
-    return F.when(s.rlike("^[0-9]+$"), epoch).otherwise(parsed)
+    return F.when(secs <= MAX_EPOCH_SECONDS, F.timestamp_seconds(secs))
+
+
+def _wall_clock(body: Column) -> Column:
+    """Wall-clock time written in ``body`` (no zone), or NULL."""
+    return F.coalesce(F.try_to_timestamp(body), *[F.try_to_timestamp(body, F.lit(fmt)) for fmt in DATE_FORMATS])
+
+
+def posting_timestamp(c) -> Column:
+    """TIMESTAMP of a posting date given as epoch seconds / millis or text
+    (text with a zone is read in that zone, text without one in the session zone)."""
+    s = F.coalesce(_col(c).cast("string"), F.lit(""))
+    parsed = F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.when(s.rlike("^[0-9]+$"), _epoch(s)).otherwise(parsed)
 
 
 def normalize_date(c) -> Column:
-    """'' for empty; ISO-8601 text (session time zone) when it parses; else unchanged."""
+    """'' for empty; ISO-8601 text when it parses; else unchanged.
+
+    Epoch values become the session-zone time with its offset (seconds).
+    Text keeps its own wall-clock time: with a zone the offset is written as
+    ``+HH:MM`` (``Z`` -> ``+00:00``), without one no offset is written;
+    microseconds appear only when non-zero.
+    """
     s = F.coalesce(_col(c).cast("string"), F.lit(""))
-    ts = posting_timestamp(s)
-    return F.when(s == "", F.lit("")).when(ts.isNotNull(), F.date_format(ts, ISO_OUT)).otherwise(s)
+    digits = s.rlike("^[0-9]+$")
+    epoch = _epoch(s)
+    zone = F.regexp_extract(s, _ZONE, 1)
+    body = F.when(zone != "", F.substring(s, F.lit(1), F.length(s) - F.length(zone))).otherwise(s)
+    # a trailing zone name (UTC, PST, ...) would be converted away: keep such text as is
+    wall = F.when(~body.rlike("[A-Za-z]{3,}$"), _wall_clock(body))
+    offset = (
+        F.when(zone == "", F.lit(""))
+        .when(F.upper(zone) == "Z", F.lit("+00:00"))
+        .when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
+        .otherwise(zone)
+    )
+    micros = F.date_format(wall, "SSSSSS")
+    frac = F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit(""))
+    text = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), frac, offset)
+    return (
+        F.when(s == "", F.lit(""))
+        .when(digits, F.coalesce(F.date_format(epoch, ISO_OUT), s))
+        .when(wall.isNotNull(), text)
+        .otherwise(s)
+    )
 
 
 def iso_text(c) -> Column:

@@ -140,8 +140,23 @@ def posting_ts(x: str) -> str:
 
 def normalize_date(x: str) -> str:
     s = f"coalesce(CAST({x} AS VARCHAR), '')"
-    ts = posting_ts(x)
-    return f"(CASE WHEN {s} = '' THEN '' WHEN {ts} IS NOT NULL THEN {iso(ts)} ELSE {s} END)"
+    n = f"(CASE WHEN regexp_full_match({s}, '[0-9]{{1,18}}') THEN CAST({s} AS BIGINT) END)"
+    secs = f"(CASE WHEN {n} > 10000000000 THEN {n} // 1000 ELSE {n} END)"
+    epoch = f"(CASE WHEN {secs} <= 253402300799 THEN make_timestamp({secs} * 1000000) END)"
+    zone = f"regexp_extract({s}, '(Z|z|[+-][0-9]{{2}}:?[0-9]{{2}})$', 1)"
+    body = f"(CASE WHEN {zone} <> '' THEN substr({s}, 1, length({s}) - length({zone})) ELSE {s} END)"
+    fmts = "['%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%d %H:%M:%S.%f', '%Y-%m-%d']"
+    wall = f"(CASE WHEN NOT regexp_matches({body}, '[A-Za-z]{{3,}}$') THEN try_strptime({body}, {fmts}) END)"
+    offset = (
+        f"(CASE WHEN {zone} = '' THEN '' WHEN upper({zone}) = 'Z' THEN '+00:00' "
+        f"WHEN length({zone}) = 5 THEN substr({zone}, 1, 3) || ':' || substr({zone}, 4, 2) ELSE {zone} END)"
+    )
+    frac = f"(CASE WHEN epoch_us({wall}) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us({wall}) % 1000000 AS VARCHAR), 6, '0') ELSE '' END)"
+    text = f"strftime({wall}, '%Y-%m-%dT%H:%M:%S') || {frac} || {offset}"
+    return (
+        f"(CASE WHEN {s} = '' THEN '' WHEN regexp_full_match({s}, '[0-9]+') THEN coalesce({iso(epoch)}, {s}) "
+        f"WHEN {wall} IS NOT NULL THEN {text} ELSE {s} END)"
+    )
 
 
 def job_hash(title: str, company: str, url: str, location: str) -> str:
