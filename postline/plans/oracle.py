@@ -573,6 +573,14 @@ def queries() -> dict[str, str]:
     )
     out["stream_first_last_seen"] = out["first_last_seen"]
     out.update(_scan_oracles())
+    out["feed_scan"] = W(
+        f"SELECT {', '.join(PUBLIC_FIELDS)}, {q.iso(_ts(fx.AS_OF_SECOND))} AS generated_at, 20 AS minimum_score FROM feed"
+    )
+    out["run_log_append"] = W(
+        f"""SELECT {q.iso('run_time')} AS run_time, sources_checked, jobs_found, new_jobs_added, errors, duration_seconds
+        FROM v_runs"""
+    )
+    out["snapshot_write"] = W("SELECT 2 AS version, job_hash, status FROM reviewed")
     # sorts
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"
