@@ -233,8 +233,8 @@ def apply_edits(stored: DataFrame, edits: DataFrame, as_of) -> DataFrame:
 def edits_that_hit(stored: DataFrame, edits: DataFrame) -> DataFrame:
     """Edit rows that changed at least one stored row (the import count)."""
     e = clean_edits(edits).filter(F.col("status").isin(*STATUSES))
-    hashes = stored.select("job_hash").filter(F.col("job_hash") != "").distinct()
-    urls = stored.select("url").filter(F.col("url") != "").distinct()
+    hashes = stored.select("job_hash").filter(F.col("job_hash") != "")
+    urls = stored.select("url").filter(F.col("url") != "")
     h = e.filter(F.col("job_hash") != "").join(hashes, "job_hash", "left_semi")
     u = e.filter((F.col("job_hash") == "") & (F.col("url") != "")).join(urls, "url", "left_semi")
     return h.unionByName(u)

@@ -464,8 +464,11 @@ def queries() -> dict[str, str]:
     out["source_results"] = W("SELECT source_name, last_result FROM checks1")
     out["unsupported_sources"] = W("SELECT name, type, error FROM unsupported")
     out["union_sources"] = W(
-        f"""SELECT p.seq, p.source_name, p.source_type FROM v_postings p
-        WHERE lower(p.source_type) IN {q.in_list(SUPPORTED_SOURCE_TYPES)}
+        f"""SELECT p.source_name, p.source_type, {_strip('p.title')} AS title,
+            CASE WHEN p.source_type = 'greenhouse' THEN p.url
+                 ELSE {_truthy("p.url", "'https://jobs.example.com/apply/' || CAST(p.seq AS VARCHAR)")} END AS url
+        FROM v_postings p
+        WHERE p.source_type IN ('lever', 'ashby', 'greenhouse') AND {_strip('p.title')} <> ''
           AND EXISTS (SELECT 1 FROM v_sources s WHERE s.name = p.source_name AND coalesce(s.enabled, false))"""
     )
     out["review_buckets"] = W("SELECT job_hash, bucket FROM buckets")

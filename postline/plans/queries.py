@@ -346,7 +346,9 @@ def unsupported_sources(spark, sf):
 
 
 def union_sources(spark, sf):
-    return S.union_sources(fx.postings(spark, sf), fx.sources(spark, sf)).select("seq", "source_name", "source_type")
+    paths = landed(spark, sf)
+    frames = [S.READERS[k](spark, paths[k]).select("source_name", "source_type", "title", "url") for k in ("lever", "ashby", "greenhouse")]
+    return S.union_sources(frames, fx.sources(spark, sf))
 
 
 def review_buckets(spark, sf):

@@ -283,11 +283,10 @@ def html_links(pages: DataFrame) -> DataFrame:
     return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
 
 
-def union_sources(postings: DataFrame, sources: DataFrame) -> DataFrame:
-    """Reader outputs (one frame per supported type) unioned, limited to
-    enabled sources by a semi-join on the (small) source dimension."""
-    parts = [postings.filter(F.lower(F.col("source_type")) == t) for t in SUPPORTED_SOURCE_TYPES]
-    u = reduce(DataFrame.unionByName, parts)
+def union_sources(frames: list[DataFrame], sources: DataFrame) -> DataFrame:
+    """Reader outputs (one frame per source type) unioned by column name and
+    limited to enabled sources by a semi-join on the (small) source dimension."""
+    u = reduce(DataFrame.unionByName, frames)
     enabled = sources.filter(F.coalesce(F.col("enabled"), F.lit(False))).select(F.col("name").alias("source_name"))
     return u.join(broadcast_if_small(enabled), "source_name", "left_semi")
 
