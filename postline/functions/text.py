@@ -32,13 +32,19 @@ def strip_text(c) -> Column:
 
 
 def fold_text(c) -> Column:
-    """clean_text + case folding (lower case, and sharp s to ss)."""
-    return F.replace(F.lower(clean_text(c)), F.lit("ß"), F.lit("ss"))
+    """clean_text + case folding (lower case, sharp s to ss, final sigma to sigma)."""
+    return _casefold(clean_text(c))
+
+
+def _casefold(c: Column) -> Column:
+    # lower case, then the two folds lower() does not do: sharp s, and final sigma
+    # (lower() writes a word-final capital sigma as final sigma; case folding never does)
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def fold_cleaned(c) -> Column:
     """Case folding of text that is already whitespace-clean (no second regex pass)."""
-    return F.replace(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("ß"), F.lit("ss"))
+    return _casefold(F.coalesce(_col(c), F.lit("")))
 
 
 def fold_literal(value: str | None) -> str:

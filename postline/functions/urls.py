@@ -123,6 +123,7 @@ def resolve_url(base, href) -> Column:
     b_path = F.regexp_extract(base, URL_PARTS, 3)
     b_query = F.regexp_extract(base, URL_PARTS, 4)
     h_scheme = F.regexp_extract(href, URL_PARTS, 1)
+    h_netloc = F.regexp_extract(href, URL_PARTS, 2)
     h_path = F.regexp_extract(href, URL_PARTS, 3)
     h_query_raw = F.regexp_extract(href, r"(?s)^[^?#]*(\?[^#]*)?", 1)
     h_frag_raw = F.regexp_extract(href, r"(?s)^[^#]*(#.*)?", 1)
@@ -156,7 +157,7 @@ def resolve_url(base, href) -> Column:
     return (
         F.when(href == "", base)
         .when(h_scheme != "", href)
-        .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
+        .when(href.startswith("//") & (h_netloc != ""), F.concat(b_scheme, F.lit(":"), href))
         .when(
             h_path == "",
             F.concat(

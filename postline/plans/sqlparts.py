@@ -37,7 +37,7 @@ def clean(x: str) -> str:
 
 
 def fold(x: str) -> str:
-    return f"replace(lower({clean(x)}), 'ß', 'ss')"
+    return f"replace(replace(lower({clean(x)}), 'ß', 'ss'), 'ς', 'σ')"
 
 
 def ascii_words(x: str) -> str:
@@ -296,7 +296,7 @@ def resolve_url(base: str, href: str) -> str:
     expr = (
         f"CASE WHEN HREF = '' THEN BASE "
         f"WHEN H.sc <> '' THEN HREF "
-        f"WHEN starts_with(HREF, '//') THEN B.sc || ':' || HREF "
+        f"WHEN starts_with(HREF, '//') AND H.nl <> '' THEN B.sc || ':' || HREF "
         f"WHEN H.pa = '' THEN {body} || B.pa || (CASE WHEN HQ <> '' THEN HQ WHEN B.qu <> '' THEN '?' || B.qu ELSE '' END) || HF "
         f"WHEN starts_with(H.pa, '/') THEN {abs_path} "
         f"ELSE {rel_path} END"
