@@ -77,12 +77,14 @@ def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
     return df
 
 
-# join keys of the tables that are joined on their id
-TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "labels": "doc_id", "conversations": "conv_id"}
+# tables whose rows carry whole texts (regex work per row), with the key they are joined on;
+# the other tables carry short rows and are not spread (that would only add a shuffle)
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _pick(values, idx: Column) -> Column:
