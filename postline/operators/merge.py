@@ -111,49 +111,73 @@ def prepare_batch(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     return flag_batch(df, rules).filter(F.col("eligible")).drop("eligible")
 
 
-def collapse_batch(batch: DataFrame, order: str = "seq", eligible: str | None = None) -> DataFrame:
+def collapse_batch(
+    batch: DataFrame, order: str = "seq", eligible: str | None = None, keep_ineligible: bool = False
+) -> DataFrame:
     """One row per entity_key: first row's hash, last row's other fields.
 
     With ``eligible`` (a flag column) ineligible rows are skipped inside the
     aggregate (their ordering key is NULL), so no filter is needed before it.
+    ``keep_ineligible`` keeps entities whose sightings are all ineligible and
+    adds ``newest_eligible`` (the flag of the entity's latest sighting).
     """
     key = F.when(F.col(eligible), F.col(order)) if eligible else F.col(order)
     fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible)]
     last = F.max_by(F.struct(*[F.col(c) for c in fields]), key).alias("_last")
-    agg = batch.groupBy("entity_key").agg(
+    aggs = [
         F.min_by("job_hash", key).alias("job_hash"),
         F.min(key).alias("first_seq"),
         F.max(key).alias("last_seq"),
         F.count(key).alias("sightings"),
         last,
-    )
-    if eligible:
+    ]
+    if eligible and keep_ineligible:
+        aggs.append(F.max_by(F.col(eligible), F.col(order)).alias("newest_eligible"))
+    agg = batch.groupBy("entity_key").agg(*aggs)
+    extra = ["newest_eligible"] if eligible and keep_ineligible else []
+    if eligible and not keep_ineligible:
         agg = agg.filter(F.col("first_seq").isNotNull())
-    return agg.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", "_last.*")
+    return agg.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", *extra, "_last.*")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, as_of, collapse: bool = True, eligible: str | None = None) -> DataFrame:
+def upsert(
+    stored: DataFrame,
+    batch: DataFrame,
+    as_of,
+    collapse: bool = True,
+    eligible: str | None = None,
+    expire_ineligible: bool = False,
+) -> DataFrame:
     """Merge a scored batch into the stored table; returns the new table plus ``is_new``.
 
     Inserts get date_found = last_seen = created_at = updated_at = as_of,
     status 'New', notes ''.  Updates refresh the source fields, score,
     reason, last_seen and updated_at and never touch job_hash, status,
     notes, date_found or created_at.
+
+    By default a stored row whose newest sighting is ineligible is kept as
+    stored (the sighting is skipped).  ``expire_ineligible=True`` (needs
+    ``eligible``) drops such rows instead.
     """
     ts = as_timestamp(as_of)
-    b = collapse_batch(batch, eligible=eligible) if collapse else batch
+    expire = bool(expire_ineligible and eligible)
+    b = collapse_batch(batch, eligible=eligible, keep_ineligible=expire) if collapse else batch
     b = b.select(
         "entity_key",
         "job_hash",
         *SOURCE_FIELDS,
         "match_score",
         "match_reason",
-        F.lit(True).alias("_in_batch"),
+        (F.col("first_seq").isNotNull() if expire else F.lit(True)).alias("_in_batch"),
+        (~F.col("newest_eligible") if expire else F.lit(False)).alias("_expire"),
     )
     s = stored.select(*STORED_COLUMNS).withColumn("_in_store", F.lit(True))
     j = s.alias("s").join(b.alias("b"), "entity_key", "full_outer")
     hit = F.coalesce(F.col("b._in_batch"), F.lit(False))
     old = F.coalesce(F.col("s._in_store"), F.lit(False))
+    if expire:
+        # drop expired rows, and entities seen only in ineligible sightings that are not stored
+        j = j.filter(~F.coalesce(F.col("b._expire"), F.lit(False)) & (old | hit))
 
     def fresh(c: str) -> Column:
         return F.when(hit, F.col(f"b.{c}")).otherwise(F.col(f"s.{c}")).alias(c)

@@ -151,3 +151,20 @@ def test_latest_checks(spark):
     new = new.withColumn("last_checked", F.col("last_checked").cast("timestamp"))
     got = {r.source_name: r.last_result for r in merge.latest_checks(old, new).collect()}
     assert got == {"a": "a: ValueError: boom", "b": "x"}
+
+
+def test_expire_ineligible_option(spark):
+    from postline.operators.merge import flag_batch
+
+    first = frame(spark, [dict(seq=1, title="Graphics Engineer", company="Acme", location="Austin", url="https://a/1")])
+    store = merge.upsert(merge.empty_store(spark), flag_batch(first), AS1, eligible="eligible").drop("is_new")
+    moved = frame(spark, [dict(seq=2, title="Graphics Engineer", company="Acme", location="Berlin", url="https://a/1"),
+                          dict(seq=3, title="Tools", company="Acme", location="Paris", url="https://a/9")])
+    kept = merge.upsert(store, flag_batch(moved), AS2, eligible="eligible").drop("is_new").collect()
+    assert [(r.url, r.location) for r in kept] == [("https://a/1", "Austin")]  # sighting skipped, row kept
+    gone = merge.upsert(store, flag_batch(moved), AS2, eligible="eligible", expire_ineligible=True).collect()
+    assert gone == []
+    back = frame(spark, [dict(seq=4, title="Graphics Engineer", company="Acme", location="Berlin", url="https://a/1"),
+                         dict(seq=5, title="Graphics Engineer", company="Acme", location="Seattle, WA", url="https://a/1")])
+    rows = merge.upsert(store, flag_batch(back), AS2, eligible="eligible", expire_ineligible=True).collect()
+    assert [(r.location, r.is_new) for r in rows] == [("Seattle, WA", False)]  # newest sighting eligible
