@@ -243,7 +243,11 @@ def score_by_tokens(
     tokens = texts.select(
         "_rid", F.explode(F.array_distinct(F.split("_sc", r"[^\p{L}\p{N}_]+"))).alias("lead")
     ).filter(F.col("lead") != "")
-    by_lead = tokens.join(rdf.filter(F.col("lead") != ""), "lead")  # equi-join on the leading word
+    from .ordering import broadcast_if_small
+
+    # equi-join on the leading word; the rules side is broadcast only when its size is
+    # proven small, so a hot token ('the') never gathers all its rows in one task
+    by_lead = tokens.join(broadcast_if_small(rdf.filter(F.col("lead") != "")), "lead")
     cand = by_lead.select("_rid", "section", "pos", "keyword", "weight", "pattern", "order")
     hits = cand.join(texts, "_rid").select(
         "_rid", "section", "pos", "keyword", "weight", "order",
