@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, SNAPSHOTS_KEPT
 from ..functions import text as T
 from ..functions.dates import iso_text, next_slot, normalize_date
-from ..functions.urls import normalize_url, resolve_url, safe_link, url_domain
+from ..functions.urls import normalize_url, safe_link, url_domain
 from ..operators import eligibility as E
 from ..operators import explore as X
 from ..operators import exports as P

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import SUPPORTED_SOURCE_TYPES
 from ..functions.text import clean_text, decode_entities, first_truthy, html_to_text, markup_text, nonempty, strip_text
 from ..functions.urls import resolve_url
 from ..operators.ordering import broadcast_if_small

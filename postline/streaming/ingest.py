@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..operators import merge, snapshots
 from ..operators.scoring import Rule
-from ..sources.payloads import LEVER_ITEM, read_lever
+from ..sources.payloads import LEVER_ITEM
 
 
 def stream_ingest(
