@@ -23,6 +23,7 @@ from ..functions.identity import entity_key, job_hash
 from ..functions.text import clean_text, fold_cleaned
 from ..functions.urls import normalize_url
 from .eligibility import eligible_folded, is_eligible
+from .ordering import broadcast_if_small
 from .scoring import Rule, score_postings
 
 SOURCE_FIELDS = (
@@ -233,7 +234,9 @@ def apply_edits(stored: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     by_url = _last_edit(
         e.filter((F.col("job_hash") == "") & (F.col("url") != "")), "url"
     ).withColumnRenamed("e", "eu")
-    j = stored.join(by_hash, "job_hash", "left").join(by_url, "url", "left")
+    # one row per edited key: broadcast when that is proven small, so the stored
+    # table is not shuffled twice (once per lookup key)
+    j = stored.join(broadcast_if_small(by_hash), "job_hash", "left").join(broadcast_if_small(by_url), "url", "left")
     pick = (
         F.when(F.col("eh").isNull(), F.col("eu"))
         .when(F.col("eu").isNull(), F.col("eh"))
