@@ -1,6 +1,6 @@
 """Request-log operators: response classes, admission budget, backoff, pacing.
 
-The reference throttles requests one at a time; here the same rules are
+A sequential rate limiter throttles requests one at a time; here the same rules are
 table operators over a log ``(seq, url, api, status_code, ts)``.
 """
 
