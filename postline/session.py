@@ -18,12 +18,23 @@ DEFAULT_CONF = {
 }
 
 
+def _driver_memory(default_gb: int = 8) -> str:
+    """Driver heap for local runs: the override, else at most 60 % of physical memory."""
+    if os.environ.get("POSTLINE_DRIVER_MEMORY"):
+        return os.environ["POSTLINE_DRIVER_MEMORY"]
+    try:
+        total_gb = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+        return f"{max(1, min(default_gb, int(total_gb * 0.6)))}g"
+    except (ValueError, OSError, AttributeError):
+        return f"{default_gb}g"
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "postline") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("POSTLINE_DRIVER_MEMORY", "8g"))
+    builder = builder.config("spark.driver.memory", _driver_memory())
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
