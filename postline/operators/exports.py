@@ -144,3 +144,20 @@ def feed_envelope(feed: DataFrame, minimum_score: int, generated_at) -> DataFram
         "total",
         "jobs",
     )
+
+
+ROW_COLUMN = "Row"
+
+
+def write_jobs_sheet_csv(stored: DataFrame, path: str, minimum_score: int = WORKBOOK_MIN_SCORE) -> None:
+    """Review sheet as CSV part files with a header, rows in review order.
+
+    A ``Row`` column carries the sheet position (a distributed rank), so the
+    edits read back later keep their order without a single-file write.
+    """
+    from .ordering import review_order, with_global_rank
+
+    rows = stored.filter(F.col("match_score") >= minimum_score)
+    ranked = with_global_rank(rows, review_order(), ROW_COLUMN)
+    sheet = ranked.select(*[_text(ranked, c).alias(header) for header, c in JOBS_SHEET_COLUMNS], ROW_COLUMN)
+    sheet.write.mode("overwrite").option("header", True).csv(path)

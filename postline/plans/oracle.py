@@ -584,6 +584,7 @@ def queries() -> dict[str, str]:
         FROM v_runs"""
     )
     out["snapshot_write"] = W("SELECT 2 AS version, job_hash, status FROM reviewed")
+    out["sheet_round_trip"] = W("SELECT job_hash, status, notes, match_score >= 35 AS edited FROM reviewed")
     # sorts
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"

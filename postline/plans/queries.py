@@ -576,6 +576,16 @@ def stream_first_last_seen(spark, sf):
     return _iso(running_first_last_seen(spark, sf, base), "first_seen", "last_seen")
 
 
+def sheet_round_trip(spark, sf):
+    """Export the review sheet as CSV, read it back as edits, apply them."""
+    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
+    path = os.path.join(work_dir(spark, "sheet"), tag)
+    store = reviewed(spark, sf)
+    P.write_jobs_sheet_csv(store, path, SHEET_MIN)
+    out = merge.apply_edits(store, S.read_edits_csv(spark, path), fx.AS_OF_SECOND)
+    return out.select("job_hash", "status", "notes", "edited")
+
+
 def workflow_run(spark, sf):
     """Two complete runs over the landed payloads (edits applied before the second)."""
     from . import workflow
@@ -675,4 +685,5 @@ REGISTRY = {
     "stream_ingest": stream_ingest,
     "stream_first_last_seen": stream_first_last_seen,
     "workflow_run": workflow_run,
+    "sheet_round_trip": sheet_round_trip,
 }

@@ -327,3 +327,33 @@ def read_feed_envelope(spark: SparkSession, path: str) -> DataFrame:
     return env.select("generated_at", "minimum_score", F.explode_outer(F.coalesce(F.col("jobs"), F.array())).alias("j")).filter(
         F.col("j").isNotNull()
     ).select("generated_at", "minimum_score", "j.*")
+
+
+# header of the review sheet -> edit column (fixed values: the sheet's column titles)
+EDIT_HEADERS = (("Status", "status"), ("Notes", "notes"), ("Job Hash", "job_hash"), ("URL", "url"), ("Row", "seq"))
+
+
+def read_edits_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Edited review sheet (CSV with a header) -> ``(seq, job_hash, url, status, notes)``.
+
+    Columns are found by their (trimmed) header; absent ones become NULL.
+    ``seq`` is the sheet's ``Row`` column when present (later rows win).
+    """
+    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    by_header = {c.strip(): c for c in df.columns}
+
+    def col(header: str, name: str):
+        src = by_header.get(header)
+        return (F.col(f"`{src}`") if src else F.lit(None)).cast("string").alias(name)
+
+    seq = F.col(f"`{by_header['Row']}`").cast("long") if "Row" in by_header else F.monotonically_increasing_id()
+    return df.select(
+        seq.alias("seq"),
+        *[col(h, n) for h, n in EDIT_HEADERS if n != "seq"],
+    ).select(
+        "seq",
+        F.when(F.col("job_hash") != "", F.col("job_hash")).alias("job_hash"),
+        F.when(F.col("url") != "", F.col("url")).alias("url"),
+        "status",
+        "notes",
+    )

@@ -168,3 +168,32 @@ def test_expire_ineligible_option(spark):
                          dict(seq=5, title="Graphics Engineer", company="Acme", location="Seattle, WA", url="https://a/1")])
     rows = merge.upsert(store, flag_batch(back), AS2, eligible="eligible", expire_ineligible=True).collect()
     assert [(r.location, r.is_new) for r in rows] == [("Seattle, WA", False)]  # newest sighting eligible
+
+
+def test_sheet_round_trip_keeps_human_edits(spark, tmp_dir):
+    """Export the review sheet, edit it like a person would, import, run again."""
+    import glob
+    import os
+
+    import pandas as pd
+
+    from postline.sources.payloads import read_edits_csv
+
+    store = merge.upsert(merge.empty_store(spark), _job(spark), AS1).drop("is_new")
+    path = os.path.join(tmp_dir, "sheet")
+    P.write_jobs_sheet_csv(store, path, 35)
+    part = [f for f in glob.glob(os.path.join(path, "part-*.csv")) if os.path.getsize(f) > 0][0]
+    sheet = pd.read_csv(part, dtype=str, keep_default_na=False)
+    assert list(sheet.columns)[:4] == ["Date Found", "Last Seen", "Status", "Score"]
+    sheet.loc[0, "Status"] = "Applied"
+    sheet.loc[0, "Notes"] = "Applied on company site"
+    sheet.to_csv(part, index=False)
+    crc = os.path.join(os.path.dirname(part), "." + os.path.basename(part) + ".crc")
+    if os.path.exists(crc):
+        os.remove(crc)  # the edited file is a new file; its old checksum no longer applies
+    edits = read_edits_csv(spark, path)
+    assert merge.edits_that_hit(store, edits).count() == 1
+    store = merge.apply_edits(store, edits, "2026-06-08 10:00:00").drop("edited")
+    again = merge.upsert(store, _job(spark, description="Updated description"), AS2).drop("is_new")
+    row = P.jobs_sheet(again, 35).first()
+    assert (row["Status"], row["Notes"]) == ("Applied", "Applied on company site")
