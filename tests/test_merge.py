@@ -187,11 +187,10 @@ def test_sheet_round_trip_keeps_human_edits(spark, tmp_dir):
     assert list(sheet.columns)[:4] == ["Date Found", "Last Seen", "Status", "Score"]
     sheet.loc[0, "Status"] = "Applied"
     sheet.loc[0, "Notes"] = "Applied on company site"
-    sheet.to_csv(part, index=False)
-    crc = os.path.join(os.path.dirname(part), "." + os.path.basename(part) + ".crc")
-    if os.path.exists(crc):
-        os.remove(crc)  # the edited file is a new file; its old checksum no longer applies
-    edits = read_edits_csv(spark, path)
+    edited = os.path.join(tmp_dir, "edited")  # the person saves a new file
+    os.makedirs(edited)
+    sheet.to_csv(os.path.join(edited, "jobs.csv"), index=False)
+    edits = read_edits_csv(spark, edited)
     assert merge.edits_that_hit(store, edits).count() == 1
     store = merge.apply_edits(store, edits, "2026-06-08 10:00:00").drop("edited")
     again = merge.upsert(store, _job(spark, description="Updated description"), AS2).drop("is_new")
