@@ -495,6 +495,7 @@ def queries() -> dict[str, str]:
     )
     out["relevance_score"] = W("SELECT seq, match_score FROM scored1")
     out["match_reason"] = W("SELECT seq, match_reason FROM scored1")
+    out["relevance_tokens"] = W("SELECT seq, match_score, match_reason FROM scored1")
     fetched_scored = _scored("(SELECT * FROM (" + _normalized("fetched1") + "))", fx.FIXTURE_RULES)
     out["run_stats"] = W(
         f"""SELECT CAST((SELECT count(*) FROM v_sources WHERE coalesce(enabled, false)) AS INTEGER) AS sources_checked,

@@ -378,6 +378,15 @@ def relevance_score(spark, sf):
     return scored(spark, sf).select("seq", "match_score")
 
 
+def relevance_tokens(spark, sf):
+    """The large-rule-set path (token equi-join + exact check) on the eligible postings."""
+    from ..operators.scoring import rules_frame, score_by_tokens
+
+    eligible = scored(spark, sf).select("seq", "title", "description")
+    out = score_by_tokens(eligible, rules_frame(spark, RULES))
+    return out.select("seq", "match_score", "match_reason")
+
+
 def match_reason(spark, sf):
     return scored(spark, sf).select("seq", "match_reason")
 
@@ -653,6 +662,7 @@ REGISTRY = {
     "summary_metrics": summary_metrics,
     "relevance_score": relevance_score,
     "match_reason": match_reason,
+    "relevance_tokens": relevance_tokens,
     "run_stats": run_stats,
     "feed_summary": feed_summary,
     "facets": facets,
