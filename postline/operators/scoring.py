@@ -265,7 +265,11 @@ def score_by_tokens(
     )
     hits = hits.withColumn("contrib", contrib).filter(F.col("contrib").isNotNull())
     hits = hits.withColumn("label_w", F.abs(F.col("contrib")))
-    label_num = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.col("label_w")), r"0+$", ""), r"\.$", "")
+    # six significant digits without trailing zeros (the ':g' number format)
+    g6 = F.format_string("%.6g", F.col("label_w"))
+    label_num = F.when(
+        F.contains(g6, F.lit("e")), F.regexp_replace(g6, r"\.?0+e", "e")
+    ).when(F.contains(g6, F.lit(".")), F.regexp_replace(g6, r"\.?0+$", "")).otherwise(g6)
     label = (
         F.when(F.col("section") == "exclude", F.concat(F.lit('"'), kw, F.lit('" -'), label_num))
         .when(F.col("in_title"), F.concat(F.lit('title "'), kw, F.lit('" +'), label_num))

@@ -68,3 +68,13 @@ def test_token_join_path_matches_literal_path(spark):
     a = {r.seq: (r.match_score, r.match_reason) for r in score_postings(df, rules).collect()}
     b = {r.seq: (r.match_score, r.match_reason) for r in score_by_tokens(df, rules).collect()}
     assert a == b
+
+
+def test_token_path_labels_follow_g_format(spark):
+    rules = [Rule("include", 0, "vulkan", 12.3456789), Rule("include", 1, "opengl", 1234567.0),
+             Rule("title_boost", 0, "graphics", 0.5), Rule("exclude", 0, "sales", 7.25)]
+    rows = [dict(seq=1, title="graphics vulkan", description="opengl sales")]
+    df = frame(spark, rows)
+    a = score_postings(df, rules).first().match_reason
+    b = score_by_tokens(df, rules).first().match_reason
+    assert a == b, (a, b)
