@@ -64,3 +64,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
         base = base[len("file:"):]
     path = os.path.join(base, "work", name)
     return path
+
+
+def cluster_conf(input_bytes: int, total_cores: int, executor_memory_gb: float = 16.0, cores_per_executor: int = 4) -> dict:
+    """Spark settings sized for a run over ``input_bytes`` of input on ``total_cores`` cores.
+
+    * scan splits of input / (3 x cores), kept within 32..256 MB and within a quarter
+      of a task's memory share, so every core gets work and no split outgrows memory;
+    * shuffle partitions sized for about 200 MB each (text rows expand in the
+      merge), at least 2 x cores, so AQE can coalesce down but never has to split up;
+    * AQE on, with the skew-join split for partitions 5x the median and over 512 MB.
+    """
+    mem_per_task = executor_memory_gb * (1 << 30) * 0.6 / max(1, cores_per_executor)
+    target = input_bytes // max(1, 3 * total_cores)
+    split = int(min(max(32 << 20, min(256 << 20, target)), mem_per_task / 4))
+    shuffle = max(2 * total_cores, int(input_bytes / (200 << 20)))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

@@ -91,3 +91,14 @@ def test_search_and_summary(spark):
     assert [r.job_hash for r in X.search_feed(feed, location="us", minimum_score=0).collect()] == ["a"]
     s = X.feed_summary(feed).first()
     assert (s.jobs, s.strong, s.companies, s.remote, s.top_score) == (3, 1, 2, 1, 80)
+
+
+def test_cluster_conf_scales_with_input():
+    from postline.session import cluster_conf
+
+    big = cluster_conf(100 * (1 << 40), total_cores=4000)
+    small = cluster_conf(50 << 20, total_cores=8)
+    assert int(big["spark.sql.shuffle.partitions"]) >= 500_000
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 << 20
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert 32 << 20 <= int(small["spark.sql.files.maxPartitionBytes"]) <= 256 << 20
