@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ RULES = list(fx.FIXTURE_RULES)
 
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+# builders nest (a table's build reads other tables), hence a re-entrant lock
+_BUILD_LOCK = threading.RLock()
 
 
 def persisted(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -46,15 +49,24 @@ def persisted(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     the ingest.
     """
     key = (spark.sparkContext.applicationId, sf, name)
-    path = _WRITTEN.get(key)
-    if path is None:
-        tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
-        path = os.path.join(work_dir(spark, "tables"), f"{name}-{tag}")
-        build().write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _BUILD_LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
+            path = os.path.join(work_dir(spark, "tables"), f"{name}-{tag}")
+            build().write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the checkpoint folder for one call of a query that
+    writes (appends, versions): calling the query again starts from scratch."""
+    import uuid
+
+    return os.path.join(work_dir(spark, name), uuid.uuid4().hex)
+
+
 def flagged(spark: SparkSession, sf: str, shift: int = 0) -> DataFrame:
     """Every posting normalised, flagged for eligibility, scored when eligible."""
     return persisted(spark, sf, f"flagged{shift}", lambda: merge.flag_batch(fx.postings(spark, sf, shift), RULES))
@@ -502,12 +514,13 @@ def landed(spark, sf) -> dict:
     from ..sources import landing
 
     key = (spark.sparkContext.applicationId, sf, "landed")
-    if key not in _WRITTEN:
-        tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
-        root = os.path.join(work_dir(spark, "landed"), tag)
-        landing.land_payloads(fx.postings(spark, sf), fx.sources(spark, sf), root)
-        _WRITTEN[key] = root
-    root = _WRITTEN[key]
+    with _BUILD_LOCK:
+        if key not in _WRITTEN:
+            tag = hashlib.sha1(f"{key[0]}|{sf}".encode()).hexdigest()[:12]
+            root = os.path.join(work_dir(spark, "landed"), tag)
+            landing.land_payloads(fx.postings(spark, sf), fx.sources(spark, sf), root)
+            _WRITTEN[key] = root
+        root = _WRITTEN[key]
     return {k: os.path.join(root, k) for k in ("lever", "ashby", "greenhouse")}
 
 
@@ -533,7 +546,7 @@ def raw_json(spark, sf):
 
 def feed_scan(spark, sf):
     """The public feed written as an envelope of JSON Lines parts plus a manifest, read back."""
-    root = os.path.join(work_dir(spark, "feed"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    root = fresh_dir(spark, "feed")
     f = feed(spark, sf).drop("feed_pos", "entity_key")
     f.write.mode("overwrite").json(os.path.join(root, "jobs"))
     P.feed_manifest(f, FEED_MIN, fx.AS_OF_SECOND).write.mode("overwrite").json(os.path.join(root, "manifest"))
@@ -541,7 +554,7 @@ def feed_scan(spark, sf):
 
 
 def run_log_append(spark, sf):
-    path = os.path.join(work_dir(spark, "run_log"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    path = fresh_dir(spark, "run_log")
     runs = fx.runs(spark, sf)
     K.append_run_log(runs.filter(F.col("run_time") < F.lit("2024-01-15").cast("timestamp")), path)
     K.append_run_log(runs.filter(F.col("run_time") >= F.lit("2024-01-15").cast("timestamp")), path)
@@ -550,7 +563,7 @@ def run_log_append(spark, sf):
 
 def snapshot_write(spark, sf):
     """Three writes of the stored table: v1, v2 (changed), an unchanged write (skipped)."""
-    root = os.path.join(work_dir(spark, "snapshots"), hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12])
+    root = fresh_dir(spark, "snapshots")
     versions = [
         K.write_snapshot(stored_first(spark, sf), root),
         K.write_snapshot(reviewed(spark, sf), root),
@@ -571,8 +584,7 @@ def snapshot_changed(spark, sf):
 def stream_ingest(spark, sf):
     from ..streaming.ingest import stream_ingest as run
 
-    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
-    base = os.path.join(work_dir(spark, "stream_ingest"), tag)
+    base = fresh_dir(spark, "stream_ingest")
     out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES)
     return _iso(out, "date_found", "last_seen").select("job_hash", "entity_key", "title", "match_score", "date_found", "last_seen")
 
@@ -580,15 +592,13 @@ def stream_ingest(spark, sf):
 def stream_first_last_seen(spark, sf):
     from ..streaming.ingest import running_first_last_seen
 
-    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
-    base = os.path.join(work_dir(spark, "stream_seen"), tag)
+    base = fresh_dir(spark, "stream_seen")
     return _iso(running_first_last_seen(spark, sf, base), "first_seen", "last_seen")
 
 
 def sheet_round_trip(spark, sf):
     """Export the review sheet as CSV, read it back as edits, apply them."""
-    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
-    path = os.path.join(work_dir(spark, "sheet"), tag)
+    path = fresh_dir(spark, "sheet")
     store = reviewed(spark, sf)
     P.write_jobs_sheet_csv(store, path, SHEET_MIN)
     out = merge.apply_edits(store, S.read_edits_csv(spark, path), fx.AS_OF_SECOND)
@@ -599,8 +609,7 @@ def workflow_run(spark, sf):
     """Two complete runs over the landed payloads (edits applied before the second)."""
     from . import workflow
 
-    tag = hashlib.sha1(f"{spark.sparkContext.applicationId}|{sf}".encode()).hexdigest()[:12]
-    root = os.path.join(work_dir(spark, "workflow"), tag)
+    root = fresh_dir(spark, "workflow")
     src = fx.sources(spark, sf)
     paths = landed(spark, sf)
     first = workflow.run(spark, root, src, paths, RULES, fx.AS_OF_FIRST)
