@@ -113,7 +113,11 @@ def prepare_batch(df: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 
 def collapse_batch(
-    batch: DataFrame, order: str = "seq", eligible: str | None = None, keep_ineligible: bool = False
+    batch: DataFrame,
+    order: str = "seq",
+    eligible: str | None = None,
+    keep_ineligible: bool = False,
+    time: str | None = None,
 ) -> DataFrame:
     """One row per entity_key: first row's hash, last row's other fields.
 
@@ -121,9 +125,11 @@ def collapse_batch(
     aggregate (their ordering key is NULL), so no filter is needed before it.
     ``keep_ineligible`` keeps entities whose sightings are all ineligible and
     adds ``newest_eligible`` (the flag of the entity's latest sighting).
+    ``time`` names a per-row sighting time: ``first_time`` / ``last_time`` of
+    the entity's first and last (eligible) sightings are added.
     """
     key = F.when(F.col(eligible), F.col(order)) if eligible else F.col(order)
-    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible)]
+    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible, time)]
     last = F.max_by(F.struct(*[F.col(c) for c in fields]), key).alias("_last")
     aggs = [
         F.min_by("job_hash", key).alias("job_hash"),
@@ -134,8 +140,10 @@ def collapse_batch(
     ]
     if eligible and keep_ineligible:
         aggs.append(F.max_by(F.col(eligible), F.col(order)).alias("newest_eligible"))
+    if time:
+        aggs += [F.min_by(F.col(time), key).alias("first_time"), F.max_by(F.col(time), key).alias("last_time")]
     agg = batch.groupBy("entity_key").agg(*aggs)
-    extra = ["newest_eligible"] if eligible and keep_ineligible else []
+    extra = (["newest_eligible"] if eligible and keep_ineligible else []) + (["first_time", "last_time"] if time else [])
     if eligible and not keep_ineligible:
         agg = agg.filter(F.col("first_seq").isNotNull())
     return agg.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", *extra, "_last.*")
@@ -148,6 +156,8 @@ def upsert(
     collapse: bool = True,
     eligible: str | None = None,
     expire_ineligible: bool = False,
+    order: str = "seq",
+    time: str | None = None,
 ) -> DataFrame:
     """Merge a scored batch into the stored table; returns the new table plus ``is_new``.
 
@@ -159,10 +169,14 @@ def upsert(
     By default a stored row whose newest sighting is ineligible is kept as
     stored (the sighting is skipped).  ``expire_ineligible=True`` (needs
     ``eligible``) drops such rows instead.
+
+    ``time`` merges several batches at once: each row carries its own
+    sighting time, inserts take the first sighting's time and updates the
+    last one's (``as_of`` is then unused), which equals merging the batches
+    one after the other in ``order``.
     """
-    ts = as_timestamp(as_of)
     expire = bool(expire_ineligible and eligible)
-    b = collapse_batch(batch, eligible=eligible, keep_ineligible=expire) if collapse else batch
+    b = collapse_batch(batch, order=order, eligible=eligible, keep_ineligible=expire, time=time) if collapse else batch
     b = b.select(
         "entity_key",
         "job_hash",
@@ -171,6 +185,8 @@ def upsert(
         "match_reason",
         (F.col("first_seq").isNotNull() if expire else F.lit(True)).alias("_in_batch"),
         (~F.col("newest_eligible") if expire else F.lit(False)).alias("_expire"),
+        (F.col("first_time") if time else as_timestamp(as_of)).alias("_t_first"),
+        (F.col("last_time") if time else as_timestamp(as_of)).alias("_t_last"),
     )
     s = stored.select(*STORED_COLUMNS).withColumn("_in_store", F.lit(True))
     j = s.alias("s").join(b.alias("b"), "entity_key", "full_outer")
@@ -187,14 +203,14 @@ def upsert(
         F.coalesce(F.col("s.job_hash"), F.col("b.job_hash")).alias("job_hash"),
         F.col("entity_key"),
         *[fresh(c) for c in SOURCE_FIELDS],
-        F.when(old, F.col("s.date_found")).otherwise(ts).alias("date_found"),
-        F.when(hit, ts).otherwise(F.col("s.last_seen")).alias("last_seen"),
+        F.when(old, F.col("s.date_found")).otherwise(F.col("b._t_first")).alias("date_found"),
+        F.when(hit, F.col("b._t_last")).otherwise(F.col("s.last_seen")).alias("last_seen"),
         F.when(old, F.col("s.status")).otherwise(F.lit(DEFAULT_STATUS)).alias("status"),
         fresh("match_score"),
         fresh("match_reason"),
         F.when(old, F.col("s.notes")).otherwise(F.lit("")).alias("notes"),
-        F.when(old, F.col("s.created_at")).otherwise(ts).alias("created_at"),
-        F.when(hit, ts).otherwise(F.col("s.updated_at")).alias("updated_at"),
+        F.when(old, F.col("s.created_at")).otherwise(F.col("b._t_first")).alias("created_at"),
+        F.when(hit, F.col("b._t_last")).otherwise(F.col("s.updated_at")).alias("updated_at"),
         (~old).alias("is_new"),
     ]
     return j.select(*cols)

@@ -8,32 +8,74 @@ sees a half-written table and a table is never overwritten while read.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTER = "CURRENT"
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _active() -> SparkSession:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("no active SparkSession")
+    return spark
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(FileSystem, Path) for any Hadoop-supported location (local, HDFS, S3A, ...)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def current_version(root: str) -> int | None:
-    p = os.path.join(_local(root), POINTER)
-    if not os.path.exists(p):
+def read_pointer(path: str, spark: SparkSession | None = None) -> str | None:
+    """First line of a small text file, or None when it does not exist."""
+    spark = spark or _active()
+    jvm = spark._jvm
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
         return None
-    with open(p, encoding="utf-8") as fh:
-        text = fh.read().strip()
+    stream = fs.open(p)
+    try:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        line = reader.readLine()
+    finally:
+        stream.close()
+    return line.strip() if line is not None else None
+
+
+def write_pointer(path: str, text: str, spark: SparkSession | None = None) -> None:
+    """Replace a small text file atomically: write a temporary file, then rename
+    it over the old one (``FileContext.rename`` with OVERWRITE)."""
+    import uuid
+
+    spark = spark or _active()
+    jvm = spark._jvm
+    fs, p = _hadoop(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    conf = spark._jsc.hadoopConfiguration()
+    fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    opts = spark.sparkContext._gateway.new_array(rename, 1)
+    opts[0] = rename.OVERWRITE
+    fc.rename(tmp, p, opts)
+
+
+def current_version(root: str, spark: SparkSession | None = None) -> int | None:
+    text = read_pointer(f"{root.rstrip('/')}/{POINTER}", spark)
     return int(text) if text else None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    v = current_version(root)
+    v = current_version(root, spark)
     if v is None:
         return None
-    return spark.read.parquet(os.path.join(root, f"v={v}"))
+    return spark.read.parquet(f"{root.rstrip('/')}/v={v}")
 
 
 def content_checksum(df: DataFrame, exclude=()) -> DataFrame:
@@ -61,19 +103,15 @@ def write_snapshot(df: DataFrame, root: str, only_if_changed: bool = True, exclu
     ``exclude`` columns ignored) keeps the current version.
     """
     spark = df.sparkSession
-    cur = current_version(root)
+    root = root.rstrip("/")
+    cur = current_version(root, spark)
     if only_if_changed and cur is not None:
-        old = spark.read.parquet(os.path.join(root, f"v={cur}"))
+        old = spark.read.parquet(f"{root}/v={cur}")
         if not snapshot_changed(df, old, exclude):
             return cur
     version = (cur or 0) + 1
-    df.write.mode("errorifexists").parquet(os.path.join(root, f"v={version}"))
-    local = _local(root)
-    os.makedirs(local, exist_ok=True)
-    tmp = os.path.join(local, f".{POINTER}.{version}.tmp")
-    with open(tmp, "w", encoding="utf-8") as fh:
-        fh.write(str(version))
-    os.replace(tmp, os.path.join(local, POINTER))
+    df.write.mode("overwrite").parquet(f"{root}/v={version}")
+    write_pointer(f"{root}/{POINTER}", str(version), spark)
     return version
 
 

@@ -585,7 +585,8 @@ def stream_ingest(spark, sf):
     from ..streaming.ingest import stream_ingest as run
 
     base = fresh_dir(spark, "stream_ingest")
-    out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES)
+    out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES,
+              merge_every=4)
     return _iso(out, "date_found", "last_seen").select("job_hash", "entity_key", "title", "match_score", "date_found", "last_seen")
 
 

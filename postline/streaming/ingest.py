@@ -33,8 +33,17 @@ def stream_ingest(
     rules: list[Rule] | None,
     start: str = "2026-06-08 09:00:00",
     files_per_batch: int = 16,
+    merge_every: int | None = None,
 ) -> DataFrame:
-    """Run an ``availableNow`` stream over landed Lever payloads; return the final table."""
+    """Run an ``availableNow`` stream over landed Lever payloads; return the final table.
+
+    ``merge_every=None``: every micro-batch is merged into the stored table
+    (a new snapshot per micro-batch).  ``merge_every=k``: micro-batches are
+    only staged (flagged rows + batch time, written under the table folder;
+    cost grows with the batch, not the table) and merged every ``k`` batches
+    and at the end in one time-aware merge, which equals merging them one
+    after the other.
+    """
     schema = T.StructType(
         LEVER_ITEM.fields
         + [T.StructField("_corrupt_record", T.StringType()), T.StructField("source_name", T.StringType())]
@@ -46,17 +55,42 @@ def stream_ingest(
         .json(landed_lever)
     )
     t0 = datetime.fromisoformat(start)
+    root = table_root.rstrip("/")
+    staging = f"{root}/_staging"
+
+    def batch_time(batch_id: int) -> str:
+        return (t0 + timedelta(minutes=batch_id)).strftime("%Y-%m-%d %H:%M:%S")
+
+    def current() -> DataFrame:
+        stored = snapshots.read_current(spark, root)
+        return stored if stored is not None else merge.empty_store(spark)
+
+    def merge_staged() -> None:
+        done = snapshots.read_pointer(f"{root}/MERGED", spark)
+        last = int(done) if done else -1
+        try:
+            staged = spark.read.parquet(staging).filter(F.col("batch_id") > last)
+        except Exception:  # noqa: BLE001 - nothing staged yet
+            return
+        top = staged.agg(F.max("batch_id")).first()[0]
+        if top is None:
+            return
+        staged = staged.withColumn("_ord", F.struct("batch_id", "seq"))
+        new = merge.upsert(current(), staged, None, eligible="eligible", order="_ord", time="batch_time")
+        snapshots.write_snapshot(new.drop("is_new"), root, only_if_changed=False)
+        snapshots.write_pointer(f"{root}/MERGED", str(top), spark)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is a static DataFrame: run the batch path on it
-        raw = _lever_rows(batch)
-        as_of = (t0 + timedelta(minutes=batch_id)).strftime("%Y-%m-%d %H:%M:%S")
-        stored = snapshots.read_current(spark, table_root)
-        if stored is None:
-            stored = merge.empty_store(spark)
-        flagged = merge.flag_batch(raw, rules)
-        new = merge.upsert(stored, flagged, as_of, eligible="eligible").drop("is_new")
-        snapshots.write_snapshot(new, table_root, only_if_changed=False)
+        flagged = merge.flag_batch(_lever_rows(batch), rules)
+        if merge_every is None:
+            new = merge.upsert(current(), flagged, batch_time(batch_id), eligible="eligible").drop("is_new")
+            snapshots.write_snapshot(new, root, only_if_changed=False)
+            return
+        staged = flagged.withColumn("batch_time", F.lit(batch_time(batch_id)).cast("timestamp"))
+        staged.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            merge_staged()
 
     q = (
         stream.writeStream.foreachBatch(merge_batch)
@@ -65,8 +99,9 @@ def stream_ingest(
         .start()
     )
     q.awaitTermination()
-    out = snapshots.read_current(spark, table_root)
-    return out if out is not None else merge.empty_store(spark)
+    if merge_every is not None:
+        merge_staged()
+    return current()
 
 
 def _lever_rows(batch: DataFrame) -> DataFrame:

@@ -45,3 +45,21 @@ def test_running_first_last_seen_equals_batch(spark, tmp_dir):
         F.count(F.lit(1)).alias("sightings"),
     )
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_staged_merge_equals_per_batch_merge(spark, tmp_dir):
+    landed = os.path.join(tmp_dir, "lever")
+    for i in range(5):
+        _write(landed, "acme", f"{i}.json", [
+            {"text": f"Engine Dev {i}", "hostedUrl": "https://a/1", "categories": {"location": "Austin" if i != 3 else "Paris"},
+             "descriptionPlain": "Vulkan" if i % 2 else "", "createdAt": 1700000000000 + i},
+            {"text": f"Role {i}", "hostedUrl": f"https://a/{10 + i}", "categories": {"location": "Seattle, WA"},
+             "createdAt": 1700000000100 + i},
+        ])
+    cols = ["job_hash", "entity_key", "title", "match_score", "date_found", "last_seen", "created_at", "updated_at"]
+    a = stream_ingest(spark, landed, os.path.join(tmp_dir, "t1"), os.path.join(tmp_dir, "c1"), RULES, files_per_batch=1)
+    b = stream_ingest(spark, landed, os.path.join(tmp_dir, "t2"), os.path.join(tmp_dir, "c2"), RULES, files_per_batch=1,
+                      merge_every=2)
+    rows_a = sorted(tuple(r) for r in a.select(*cols).collect())
+    rows_b = sorted(tuple(r) for r in b.select(*cols).collect())
+    assert rows_a == rows_b and len(rows_a) == 6
