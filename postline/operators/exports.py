@@ -101,13 +101,18 @@ def source_status(sources: DataFrame, checks: DataFrame) -> DataFrame:
     """Sources sheet: sources LEFT JOIN latest checks on name (both small dimensions)."""
     c = checks.select(F.col("source_name").alias("name"), "last_checked")
     j = sources.join(broadcast_if_small(c), "name", "left")
+
+    def opt(name: str, default):
+        # optional source settings: an absent key reads as the default
+        return F.coalesce(F.col(name), F.lit(default)) if name in j.columns else F.lit(default)
+
     return j.select(
         F.col("name").alias("Source Name"),
-        F.coalesce(F.col("type"), F.lit("")).alias("Source Type"),
+        opt("type", "").alias("Source Type"),
         source_locator(j).alias("URL"),
-        F.coalesce(F.col("enabled"), F.lit(False)).alias("Enabled"),
+        opt("enabled", False).alias("Enabled"),
         F.coalesce(iso_text("last_checked"), F.lit("")).alias("Last Checked"),
-        F.coalesce(F.col("notes"), F.lit("")).alias("Notes"),
+        opt("notes", "").alias("Notes"),
     )
 
 
@@ -161,3 +166,34 @@ def write_jobs_sheet_csv(stored: DataFrame, path: str, minimum_score: int = WORK
     ranked = with_global_rank(rows, review_order(), ROW_COLUMN)
     sheet = ranked.select(*[_text(ranked, c).alias(header) for header, c in JOBS_SHEET_COLUMNS], ROW_COLUMN)
     sheet.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_review_export(
+    out_dir: str,
+    stored: DataFrame,
+    sources: DataFrame,
+    checks: DataFrame,
+    rules: list[Rule],
+    runs: DataFrame,
+    as_of,
+    slots=(),
+    minimum_score: int = WORKBOOK_MIN_SCORE,
+    run_log_limit: int = 200,
+) -> dict[str, str]:
+    """The five review relations as CSV folders (header row) under ``out_dir``:
+    Jobs (review order, with a Row column), Sources, Keywords, Summary, Run_Log."""
+    spark = stored.sparkSession
+    base = out_dir.rstrip("/")
+    paths = {name: f"{base}/{name}" for name in ("Jobs", "Sources", "Keywords", "Summary", "Run_Log")}
+    write_jobs_sheet_csv(stored, paths["Jobs"], minimum_score)
+    frames = {
+        "Sources": source_status(sources, checks),
+        "Keywords": rules_table(spark, rules).drop("pos"),
+        "Summary": summary_metrics(stored, as_of, slots).orderBy("pos").drop("pos"),
+        "Run_Log": run_log_sheet(
+            recent_run_logs(runs, run_log_limit).orderBy("pos").withColumn("run_time", iso_text("run_time"))
+        ),
+    }
+    for name, df in frames.items():
+        df.write.mode("overwrite").option("header", True).csv(paths[name])
+    return paths

@@ -81,7 +81,12 @@ def run(
     edits: DataFrame | None = None,
     old_checks: DataFrame | None = None,
     purge_phrases=(EXPORT_CONTROL_PHRASE, CLEARANCE_EXCLUSION_PHRASE),
+    export_dir: str | None = None,
+    slots=(),
 ) -> RunResult:
+    """One run.  The run-log row is appended to ``<store_root>/_run_log``; with
+    ``export_dir`` the public feed (JSON Lines + manifest) and the five review
+    relations (CSV) are written there."""
     stored = K.read_current(spark, store_root)
     if stored is None:
         stored = merge.empty_store(spark)
@@ -103,6 +108,7 @@ def run(
     checks = checks_now if old_checks is None else merge.latest_checks(old_checks, checks_now)
     stats = U.run_stats(sources, raw, errors, merged)
     run_log = stats.select(F.lit(as_of).cast("timestamp").alias("run_time"), "*")
+    K.append_run_log(run_log.drop("run_status"), f"{store_root.rstrip('/')}/_run_log")
 
     store = merged.drop("is_new")
     for phrase in purge_phrases:
@@ -110,11 +116,20 @@ def run(
     store = merge.eligibility_purge(store)
     version = K.write_snapshot(store, store_root)
     written = K.read_current(spark, store_root)
+    feed = P.public_feed(written, WEBSITE_MIN_SCORE)
+    if export_dir:
+        from ..operators.scoring import default_rules
+
+        out = export_dir.rstrip("/")
+        feed.write.mode("overwrite").json(f"{out}/feed/jobs")
+        P.feed_manifest(feed, WEBSITE_MIN_SCORE, as_of).write.mode("overwrite").json(f"{out}/feed/manifest")
+        runs = spark.read.parquet(f"{store_root.rstrip('/')}/_run_log")
+        P.write_review_export(f"{out}/review", written, sources, checks, rules or default_rules(), runs, as_of, slots)
     return RunResult(
         store=written,
         version=version,
         run_log=run_log,
         checks=checks,
-        feed=P.public_feed(written, WEBSITE_MIN_SCORE),
+        feed=feed,
         jobs_sheet=P.jobs_sheet(written, WORKBOOK_MIN_SCORE),
     )

@@ -102,3 +102,28 @@ def test_cluster_conf_scales_with_input():
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 << 20
     assert int(small["spark.sql.shuffle.partitions"]) == 16
     assert 32 << 20 <= int(small["spark.sql.files.maxPartitionBytes"]) <= 256 << 20
+
+
+def test_review_export_writes_five_relations(spark, tmp_dir):
+    import os
+
+    from postline.operators.scoring import default_rules
+
+    store = _store(spark)
+    sources = spark.createDataFrame([(0, "Test", "lever", True, "acme-board", None, "n")],
+                                    "pos int, name string, type string, enabled boolean, company_slug string, url string, notes string")
+    checks = spark.createDataFrame([("Test", "2026-06-08 09:00:00", "Success: 1 jobs")],
+                                   "source_name string, last_checked string, last_result string").withColumn(
+        "last_checked", F.col("last_checked").cast("timestamp"))
+    runs = spark.createDataFrame([("2026-06-08 09:00:00", 1, 1, 1, "", 1.0)],
+                                 "run_time string, sources_checked int, jobs_found long, new_jobs_added long, errors string, duration_seconds double"
+                                 ).withColumn("run_time", F.col("run_time").cast("timestamp"))
+    paths = P.write_review_export(os.path.join(tmp_dir, "review"), store, sources, checks, default_rules(), runs,
+                                  "2026-06-08 13:00:00", ["09:00", "16:00"])
+    read = {k: spark.read.option("header", True).csv(v) for k, v in paths.items()}
+    assert read["Jobs"].count() == 1 and read["Jobs"].first()["Status"] == "Interested"
+    assert read["Sources"].first()["URL"] == "acme-board"
+    assert read["Keywords"].count() == 62
+    summary = {r.Metric: r.Value for r in read["Summary"].collect()}
+    assert summary["Total Jobs"] == "1" and summary["Next Expected Run Time"] == "2026-06-08T16:00:00+00:00"
+    assert read["Run_Log"].first()["Run Time"] == "2026-06-08T09:00:00+00:00"
