@@ -87,6 +87,9 @@ def run(
     """One run.  The run-log row is appended to ``<store_root>/_run_log``; with
     ``export_dir`` the public feed (JSON Lines + manifest) and the five review
     relations (CSV) are written there."""
+    import time
+
+    started = time.monotonic()
     stored = K.read_current(spark, store_root)
     if stored is None:
         stored = merge.empty_store(spark)
@@ -107,7 +110,11 @@ def run(
     )
     checks = checks_now if old_checks is None else merge.latest_checks(old_checks, checks_now)
     stats = U.run_stats(sources, raw, errors, merged)
-    run_log = stats.select(F.lit(as_of).cast("timestamp").alias("run_time"), "*")
+    run_log = stats.select(
+        F.lit(as_of).cast("timestamp").alias("run_time"),
+        "*",
+        F.lit(round(time.monotonic() - started, 2)).alias("duration_seconds"),
+    )
     K.append_run_log(run_log.drop("run_status"), f"{store_root.rstrip('/')}/_run_log")
 
     store = merged.drop("is_new")
