@@ -339,7 +339,7 @@ def read_edits_csv(spark: SparkSession, path: str) -> DataFrame:
     Columns are found by their (trimmed) header; absent ones become NULL.
     ``seq`` is the sheet's ``Row`` column when present (later rows win).
     """
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False).csv(path)
     by_header = {c.strip(): c for c in df.columns}
 
     def col(header: str, name: str):

@@ -52,7 +52,7 @@ def test_two_runs_keep_edits_and_purge(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     r2 = workflow.run(spark, store_root, sources, paths, RULES, "2026-06-08 12:00:00", edits=edits, old_checks=r1.checks,
                       export_dir=out, slots=["09:00"])
-    review = spark.read.option("header", True).csv(os.path.join(out, "review", "Run_Log"))
+    review = spark.read.option("header", True).option("multiLine", True).csv(os.path.join(out, "review", "Run_Log"))
     assert review.count() == 2  # both runs are in the run log
     assert spark.read.json(os.path.join(out, "feed", "jobs")).count() == 1
     row = r2.store.first()
