@@ -200,7 +200,11 @@ def lead_word(folded_keyword: str) -> str | None:
 
 
 def score_by_tokens(
-    df: DataFrame, rules: list[Rule] | DataFrame, title: str = "title", description: str = "description"
+    df: DataFrame,
+    rules: list[Rule] | DataFrame,
+    title: str = "title",
+    description: str = "description",
+    key: str | None = None,
 ) -> DataFrame:
     """Same result as ``score_postings`` for rule sets of any size.
 
@@ -210,6 +214,10 @@ def score_by_tokens(
     then verified with the exact pattern, so the result is exact.  Keywords
     that begin with a non-word character have no leading word and are refused
     here (``score_postings`` handles them).
+
+    ``key`` names a unique row key used to join the hits back; without one a
+    row id is generated and pinned with a reliable checkpoint, so a task
+    recomputed after an executor loss cannot hand out different ids.
     """
     spark = df.sparkSession
     if not isinstance(rules, DataFrame):
@@ -234,7 +242,13 @@ def score_by_tokens(
         "order", F.when(F.col("section") == "title_boost", 0).when(F.col("section") == "include", 1).otherwise(2)
     )
     base = df.columns
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
+    if key:
+        keyed = df.withColumn("_rid", F.col(key))
+    else:
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        keyed = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
     texts = keyed.select(
         "_rid",
         fold_text(title).alias("_st"),

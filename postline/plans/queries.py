@@ -395,7 +395,7 @@ def relevance_tokens(spark, sf):
     from ..operators.scoring import rules_frame, score_by_tokens
 
     eligible = scored(spark, sf).select("seq", "title", "description")
-    out = score_by_tokens(eligible, rules_frame(spark, RULES))
+    out = score_by_tokens(eligible, rules_frame(spark, RULES), key="seq")
     return out.select("seq", "match_score", "match_reason")
 
 
