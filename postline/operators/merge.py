@@ -250,9 +250,9 @@ def apply_edits(stored: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     by_url = _last_edit(
         e.filter((F.col("job_hash") == "") & (F.col("url") != "")), "url"
     ).withColumnRenamed("e", "eu")
-    # one row per edited key: broadcast when that is proven small, so the stored
-    # table is not shuffled twice (once per lookup key)
-    j = stored.join(broadcast_if_small(by_hash), "job_hash", "left").join(broadcast_if_small(by_url), "url", "left")
+    # one row per edited key; both sides come out of an aggregation stage, so AQE
+    # sees their actual size and broadcasts them when small (no stored-table shuffle)
+    j = stored.join(by_hash, "job_hash", "left").join(by_url, "url", "left")
     pick = (
         F.when(F.col("eh").isNull(), F.col("eu"))
         .when(F.col("eu").isNull(), F.col("eh"))
