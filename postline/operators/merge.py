@@ -23,7 +23,6 @@ from ..functions.identity import entity_key, job_hash
 from ..functions.text import clean_text, fold_cleaned
 from ..functions.urls import normalize_url
 from .eligibility import eligible_folded, is_eligible
-from .ordering import broadcast_if_small
 from .scoring import Rule, score_postings
 
 SOURCE_FIELDS = (

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from postline.operators import eligibility as E
 from tests.conftest import frame
 

@@ -1,8 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from postline.functions.text import clean_text, fold_text
 from postline.functions.urls import normalize_url, resolve_url
 from postline.operators.scoring import Rule, score_postings

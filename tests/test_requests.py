@@ -1,8 +1,6 @@
 import random
 from urllib.parse import urlsplit
 
-from pyspark.sql import functions as F
-
 from postline.operators import requests_log as R
 
 

@@ -1,8 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from postline.functions.text import exact_html_to_text, html_to_text
 from postline.sources import payloads as S
 

@@ -1,8 +1,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
-
 from postline.operators import snapshots as K
 from postline.operators.scoring import Rule
 from postline.plans import workflow
