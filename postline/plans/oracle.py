@@ -464,12 +464,12 @@ def queries() -> dict[str, str]:
     out["source_results"] = W("SELECT source_name, last_result FROM checks1")
     out["unsupported_sources"] = W("SELECT name, type, error FROM unsupported")
     out["union_sources"] = W(
-        f"""SELECT p.source_name, p.source_type, {_strip('p.title')} AS title,
-            CASE WHEN p.source_type = 'greenhouse' THEN p.url
+        f"""SELECT p.source_name, lower(s.type) AS source_type, {_strip('p.title')} AS title,
+            CASE WHEN lower(s.type) = 'greenhouse' THEN p.url
                  ELSE {_truthy("p.url", "'https://jobs.example.com/apply/' || CAST(p.seq AS VARCHAR)")} END AS url
-        FROM v_postings p
-        WHERE p.source_type IN ('lever', 'ashby', 'greenhouse') AND {_strip('p.title')} <> ''
-          AND EXISTS (SELECT 1 FROM v_sources s WHERE s.name = p.source_name AND coalesce(s.enabled, false))"""
+        FROM v_postings p JOIN v_sources s ON s.name = p.source_name
+        WHERE lower(s.type) IN ('lever', 'ashby', 'greenhouse') AND {_strip('p.title')} <> ''
+          AND coalesce(s.enabled, false)"""
     )
     out["review_buckets"] = W("SELECT job_hash, bucket FROM buckets")
     out["migrate_actions"] = W("SELECT job_key, action FROM migrated")
@@ -640,19 +640,19 @@ def _scan_oracles() -> dict[str, str]:
             {_truthy("p.url", apply_url)} AS url, p.source_name, 'lever' AS source_type, {lever_desc} AS description,
             CASE WHEN {i} % 6 = 5 THEN '' ELSE {sal} END AS salary, p.employment_type,
             CAST((1700000000 + {i} * 3600) * 1000 AS VARCHAR) AS date_posted
-        {base} WHERE p.source_type = 'lever') WHERE title <> ''"""
+        {base} WHERE lower(s.type) = 'lever') WHERE title <> ''"""
     ashby = f"""SELECT * FROM (SELECT {_strip('p.title')} AS title, {comp} AS company, p.location AS location,
             {_truthy("p.url", apply_url)} AS url, p.source_name, 'ashby' AS source_type,
             {q.html_to_text("'<p>' || p.description || '</p>'")} AS description,
             CASE WHEN {i} % 3 <> 0 THEN p.salary ELSE '' END AS salary, p.employment_type, p.date_posted
-        {base} WHERE p.source_type = 'ashby') WHERE title <> ''"""
+        {base} WHERE lower(s.type) = 'ashby') WHERE title <> ''"""
     offices = "array_to_string(list_filter([p.location, '', p.source_name], lambda n: n <> ''), ', ')"
     esc = "replace(replace(replace('<p>' || p.description || '</p>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     greenhouse = f"""SELECT * FROM (SELECT {_strip('p.title')} AS title, {comp} AS company,
             {_truthy(f"CASE WHEN {i} % 3 <> 0 THEN p.location END", offices)} AS location,
             p.url AS url, p.source_name, 'greenhouse' AS source_type, {q.html_to_text(esc)} AS description,
             '' AS salary, '' AS employment_type, p.date_posted
-        {base} WHERE p.source_type = 'greenhouse') WHERE title <> ''"""
+        {base} WHERE lower(s.type) = 'greenhouse') WHERE title <> ''"""
     quarantine = " UNION ALL ".join(
         f"""SELECT name AS source_name, '{k}' AS source_type,
             name || ': CollectorError: Unexpected {k} API response' AS error

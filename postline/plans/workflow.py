@@ -46,12 +46,14 @@ def read_sources(spark: SparkSession, sources: DataFrame, landed: dict[str, str]
     enabled = U.enabled_sources(sources)
     frames = []
     errors = [U.unsupported_sources(sources).select("name", "error")]
+    typed = enabled.select(F.col("name").alias("source_name"), F.lower(F.coalesce(F.col("type"), F.lit(""))).alias("_kind"))
     for kind, reader in S.READERS.items():
         path = landed.get(kind)
         if not path:
             continue
-        raw = reader(spark, path)
-        frames.append(raw)
+        # dispatch: a source is read only by the reader of its configured type
+        mine = broadcast_if_small(typed.filter(F.col("_kind") == kind).select("source_name"))
+        frames.append(reader(spark, path).join(mine, "source_name", "left_semi"))
         errors.append(S.quarantine(spark, path, kind).select(F.col("source_name").alias("name"), "error"))
     raw = reduce(DataFrame.unionByName, frames) if frames else None
     dims = broadcast_if_small(enabled.select(F.col("name").alias("source_name"), "pos"))

@@ -91,8 +91,9 @@ BUILDERS = {"lever": lever_items, "ashby": ashby_items, "greenhouse": greenhouse
 
 
 def payload_lines(postings: DataFrame, kind: str, chunk: int = CHUNK) -> DataFrame:
-    """One JSON payload per (source, chunk of ``chunk`` postings)."""
-    items = BUILDERS[kind](postings.filter(F.col("source_type") == kind))
+    """One JSON payload per (source, chunk of ``chunk`` postings) for the
+    postings whose source's configured type (``kind`` column) is ``kind``."""
+    items = BUILDERS[kind](postings.filter(F.col("kind") == kind))
     items = items.select("source_name", "seq", F.to_json("item").alias("js"))
     grouped = items.groupBy("source_name", F.floor(F.col("seq") / chunk).alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("seq", "js"))).alias("xs")
@@ -109,7 +110,12 @@ def malformed_lines(sources: DataFrame, kind: str) -> DataFrame:
 
 
 def land_payloads(postings: DataFrame, sources: DataFrame, root: str) -> dict[str, str]:
-    """Write lever / ashby / greenhouse payloads; returns kind -> folder."""
+    """Write lever / ashby / greenhouse payloads, each source in the format of
+    its configured (case-folded) type; returns kind -> folder."""
+    from ..operators.ordering import broadcast_if_small
+
+    kinds = sources.select(F.col("name").alias("source_name"), F.lower(F.col("type")).alias("kind"))
+    postings = postings.join(broadcast_if_small(kinds), "source_name", "inner")
     out = {}
     for kind in BUILDERS:
         path = os.path.join(root, kind)
