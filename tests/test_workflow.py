@@ -71,3 +71,17 @@ def test_snapshot_pointer_and_unchanged_skip(spark, tmp_dir):
     assert sorted(r.v for r in K.read_current(spark, root).collect()) == ["x", "z"]
     manifest = spark.createDataFrame([(v,) for v in range(1, 26)], "version int")
     assert sorted(r.version for r in K.expired_snapshots(manifest, 20).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_pointer_files_through_hadoop_fs(spark, tmp_dir):
+    root = "file://" + os.path.join(tmp_dir, "ptr")
+    assert K.read_pointer(root + "/CURRENT", spark) is None
+    K.write_pointer(root + "/CURRENT", "1", spark)
+    K.write_pointer(root + "/CURRENT", "2", spark)  # replaces the old file
+    assert K.read_pointer(root + "/CURRENT", spark) == "2"
+    assert K.current_version(root, spark) == 2
+    # a version folder left by a crashed write is overwritten by the retry
+    df = spark.createDataFrame([(1,)], "x int")
+    df.write.parquet(root + "/v=3")
+    assert K.write_snapshot(df.union(df), root, only_if_changed=False) == 3
+    assert K.read_current(spark, root).count() == 2
