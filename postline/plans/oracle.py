@@ -659,7 +659,27 @@ def _scan_oracles() -> dict[str, str]:
         FROM v_sources WHERE pos % 5 = 4 AND lower(type) = '{k}'"""
         for k in ("lever", "ashby", "greenhouse")
     )
+    def field(name: str, value: str) -> str:
+        # a JSON member, left out when the value is NULL (as the JSON writer does)
+        return f"CASE WHEN {value} IS NOT NULL THEN '\"{name}\":' || {value} END"
+
+    loc = (f"CASE WHEN {i} % 2 = 0 THEN to_json(p.location) "
+           f"ELSE '{{\"name\":' || to_json(p.location) || '}}' END")
+    members = [
+        field("title", "to_json(p.title)"),
+        field("location", loc),
+        field("jobUrl", "to_json(nullif(p.url, ''))"),
+        field("applyUrl", f"to_json({apply_url})"),
+        field("descriptionHtml", "to_json('<p>' || p.description || '</p>')"),
+        field("compensation", f"CASE WHEN {i} % 3 <> 0 THEN to_json(p.salary) END"),
+        field("employmentType", "to_json(p.employment_type)"),
+        field("publishedAt", "to_json(p.date_posted)"),
+    ]
+    raw = f"""SELECT * FROM (SELECT p.source_name, {_strip('p.title')} AS title,
+            '{{' || concat_ws(',', {', '.join(members)}) || '}}' AS raw_data
+        {base} WHERE lower(s.type) = 'ashby') WHERE title <> ''"""
     return {
+        "raw_json": with_ctes(raw),
         "scan_lever": with_ctes(lever),
         "scan_ashby": with_ctes(ashby),
         "scan_greenhouse": with_ctes(greenhouse),

@@ -541,7 +541,7 @@ def quarantine(spark, sf):
 
 def raw_json(spark, sf):
     raw = S.read_ashby(spark, landed(spark, sf)["ashby"])
-    return raw.select("seq", "source_name", "raw_data")
+    return raw.select("source_name", "title", "raw_data")
 
 
 def feed_scan(spark, sf):
