@@ -678,7 +678,15 @@ def _scan_oracles() -> dict[str, str]:
     raw = f"""SELECT * FROM (SELECT p.source_name, {_strip('p.title')} AS title,
             '{{' || concat_ws(',', {', '.join(members)}) || '}}' AS raw_data
         {base} WHERE lower(s.type) = 'ashby') WHERE title <> ''"""
+    stream_rows = f"""SELECT * FROM (SELECT p.seq, {_strip('p.title')} AS title, p.source_name AS company,
+            p.location AS location, {_truthy("p.url", apply_url)} AS url, p.source_name, 'lever' AS source_type,
+            {lever_desc} AS description, CASE WHEN {i} % 6 = 5 THEN '' ELSE {sal} END AS salary,
+            p.employment_type, CAST((1700000000 + {i} * 3600) * 1000 AS VARCHAR) AS date_posted
+        {base} WHERE lower(s.type) = 'lever') WHERE title <> ''"""
+    stream = f"""SELECT job_hash, entity_key, title, location, match_score, match_reason
+        FROM ({_collapsed("(" + _scored("(" + _normalized("(" + stream_rows + ")") + ")", fx.FIXTURE_RULES) + ")")})"""
     return {
+        "stream_ingest": with_ctes(stream),
         "raw_json": with_ctes(raw),
         "scan_lever": with_ctes(lever),
         "scan_ashby": with_ctes(ashby),

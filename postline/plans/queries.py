@@ -587,7 +587,9 @@ def stream_ingest(spark, sf):
     base = fresh_dir(spark, "stream_ingest")
     out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES,
               merge_every=4)
-    return _iso(out, "date_found", "last_seen").select("job_hash", "entity_key", "title", "match_score", "date_found", "last_seen")
+    # sighting times depend on which files each micro-batch picked up; the streaming
+    # tests check them against batch-by-batch merging
+    return out.select("job_hash", "entity_key", "title", "location", "match_score", "match_reason")
 
 
 def stream_first_last_seen(spark, sf):
