@@ -685,7 +685,23 @@ def _scan_oracles() -> dict[str, str]:
         {base} WHERE lower(s.type) = 'lever') WHERE title <> ''"""
     stream = f"""SELECT job_hash, entity_key, title, location, match_score, match_reason
         FROM ({_collapsed("(" + _scored("(" + _normalized("(" + stream_rows + ")") + ")", fx.FIXTURE_RULES) + ")")})"""
+    # two workflow runs over the enabled, type-dispatched sources; edits mark rows scoring 60+
+    def with_seq(body: str) -> str:
+        return body.replace("SELECT * FROM (SELECT ", "SELECT * FROM (SELECT p.seq, ", 1).replace(
+            "WHERE lower(s.type)", "WHERE coalesce(s.enabled, false) AND lower(s.type)", 1)
+
+    rows = " UNION ALL ".join(with_seq(b) for b in (lever, ashby, greenhouse))
+    purge = " AND ".join(
+        f"NOT coalesce({_phrase(ph)}, false)" for ph in (EXPORT_CONTROL_PHRASE, CLEARANCE_EXCLUSION_PHRASE)
+    )
+    entities = _collapsed("(" + _scored("(" + _normalized("(" + rows + ")") + ")", fx.FIXTURE_RULES) + ")")
+    workflow = f"""SELECT job_hash, title, company, location,
+            CASE WHEN match_score >= 60 THEN 'Interested' ELSE 'New' END AS status,
+            CASE WHEN match_score >= 60 THEN 'seen' ELSE '' END AS notes,
+            match_score, {q.iso(_ts(fx.AS_OF_FIRST))} AS date_found, {q.iso(_ts(fx.AS_OF_SECOND))} AS last_seen
+        FROM ({entities}) WHERE {purge} AND {q.eligible()}"""
     return {
+        "workflow_run": with_ctes(workflow),
         "stream_ingest": with_ctes(stream),
         "raw_json": with_ctes(raw),
         "scan_lever": with_ctes(lever),

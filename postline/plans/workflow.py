@@ -26,8 +26,6 @@ from ..operators.ordering import broadcast_if_small
 from ..operators.scoring import Rule
 from ..sources import payloads as S
 
-# a run orders its postings by source position, then by the reader's row id
-SOURCE_STRIDE = 1 << 40
 
 
 @dataclass
@@ -58,7 +56,8 @@ def read_sources(spark: SparkSession, sources: DataFrame, landed: dict[str, str]
     raw = reduce(DataFrame.unionByName, frames) if frames else None
     dims = broadcast_if_small(enabled.select(F.col("name").alias("source_name"), "pos"))
     raw = raw.join(dims, "source_name", "inner")
-    raw = raw.withColumn("seq", F.col("pos") * SOURCE_STRIDE + F.pmod(F.col("seq"), F.lit(SOURCE_STRIDE))).drop("pos")
+    # run order: source position, then payload order inside the source (a struct key)
+    raw = raw.withColumn("seq", F.struct(F.col("pos").alias("source_pos"), F.col("seq").alias("row"))).drop("pos")
     err = reduce(DataFrame.unionByName, errors)
     err = err.join(broadcast_if_small(enabled.select("name", "pos")), "name", "inner")
     # one message per source (the first by text), as a source fails once per run

@@ -88,10 +88,6 @@ def _with_source(df: DataFrame) -> DataFrame:
     return df.withColumn("source_name", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1))
 
 
-def _file_seq(df: DataFrame, pos: Column) -> Column:
-    return F.xxhash64(F.col("_file"), pos)
-
-
 def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
     """Lever boards: each payload is a top-level JSON array of postings.
 
@@ -114,7 +110,8 @@ def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> Data
         nonempty(html_to_text(first_truthy(F.col("additionalPlain"), F.col("additional")))),
     )
     out = df.select(
-        F.xxhash64("_file", F.col("text"), F.col("hostedUrl"), F.col("createdAt")).alias("seq"),
+        # payload order: ids taken on the file scan itself (no shuffle before), increasing within each file
+        F.monotonically_increasing_id().alias("seq"),
         strip_text(F.col("text")).alias("title"),
         F.lit(None).cast("string").alias("company"),
         F.coalesce(F.col("categories.location"), F.lit("")).alias("location"),
@@ -146,7 +143,10 @@ def read_jobs_envelope(spark: SparkSession, root: str, item: T.StructType, multi
         .json(root)
     )
     df = _with_source(df).filter(F.col("_corrupt_record").isNull())
-    return df.select("_file", "source_name", F.posexplode(F.coalesce(F.col("jobs"), F.array())).alias("pos", "j"))
+    items = df.select("_file", "source_name", F.posexplode(F.coalesce(F.col("jobs"), F.array())).alias("pos", "j"))
+    # payload order: ids taken right after the explode (no shuffle before), so they
+    # increase along each payload's job list
+    return items.withColumn("_seq", F.monotonically_increasing_id())
 
 
 def read_ashby(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
@@ -157,7 +157,7 @@ def read_ashby(spark: SparkSession, root: str, multi_line: bool = False) -> Data
     comp = j["compensation"]
     comp_text = F.coalesce(_variant_text(comp), F.to_json(comp), F.lit(""))
     out = df.select(
-        _file_seq(df, F.col("pos")).alias("seq"),
+        F.col("_seq").alias("seq"),
         strip_text(j["title"]).alias("title"),
         F.lit(None).cast("string").alias("company"),
         loc.alias("location"),
@@ -183,7 +183,7 @@ def read_greenhouse(spark: SparkSession, root: str, multi_line: bool = False) ->
     )
     loc = first_truthy(j["location"]["name"], offices)
     out = df.select(
-        _file_seq(df, F.col("pos")).alias("seq"),
+        F.col("_seq").alias("seq"),
         strip_text(j["title"]).alias("title"),
         F.lit(None).cast("string").alias("company"),
         loc.alias("location"),
