@@ -48,20 +48,41 @@ def request_admission(
     no budget.  Closed form (``per_domain <= per_api_domain``): the first
     ``per_domain`` requests of a domain pass, then only API requests, the
     first ``per_api_domain - per_domain`` of them; the run admits the first
-    ``max_total`` of those.  Every step keeps a bounded number of rows per
-    domain (salted top-k), and the run cap is a distributed top-k.
+    ``max_total`` of those.  Two window passes, each over a bounded number of
+    rows per task: per (domain, salt) the first ``per_domain`` rows and the
+    first ``per_api_domain`` API rows survive (every admissible row does), then
+    per domain the ranks decide; the run cap is a distributed top-k.
     """
     if per_domain > per_api_domain:
         raise ValueError("per_domain must not exceed per_api_domain")
     r = log.withColumn("domain", url_domain("url"))
-    head = salted_top_k(r.select("seq", "domain"), "domain", ["seq"], per_domain, salts, "rn").select("seq")
+    api = F.col("api").cast("int")
+    # phase 1, per (domain, salt): keep the first per_domain rows and the first
+    # per_api_domain API rows -- every row that can be admitted survives, and at most
+    # per_domain + per_api_domain rows per (domain, salt) remain
+    salt = F.pmod(F.xxhash64("seq"), F.lit(salts))
+    w1 = Window.partitionBy("domain", "_salt").orderBy("seq")
+    cand = (
+        r.select("seq", "domain", F.coalesce(F.col("api"), F.lit(False)).alias("api"))
+        .withColumn("_salt", salt)
+        .withColumn("_r", F.row_number().over(w1))
+        .withColumn("_ra", F.sum(api).over(w1.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("_r") <= per_domain) | (F.col("api") & (F.col("_ra") <= per_api_domain)))
+    )
+    # phase 2, per domain over that bounded set: global rank, running API count, and the
+    # API requests inside the first per_domain
+    w2 = Window.partitionBy("domain").orderBy("seq")
+    whole = Window.partitionBy("domain")
+    ranked = (
+        cand.withColumn("rn", F.row_number().over(w2))
+        .withColumn("ra", F.sum(api).over(w2.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("ra_head", F.sum(F.when(F.col("rn") <= per_domain, api).otherwise(F.lit(0))).over(whole))
+    )
     extra_api = per_api_domain - per_domain
-    api_rows = r.filter(F.col("api")).select("seq", "domain")
-    api_first = salted_top_k(api_rows, "domain", ["seq"], per_api_domain, salts, "ra")
-    api_after = api_first.join(head, "seq", "left_anti")
-    w = Window.partitionBy("domain").orderBy("seq")  # at most per_api_domain rows per domain
-    api_ok = api_after.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= extra_api).select("seq")
-    dom_ok = head.unionByName(api_ok)
+    ok = (F.col("rn") <= per_domain) | (
+        F.col("api") & (F.col("ra") - F.col("ra_head") <= extra_api)
+    )
+    dom_ok = ranked.filter(ok).select("seq")
     granted = dom_ok.orderBy("seq").limit(max_total).withColumn("granted", F.lit(True))
     out = r.join(F.broadcast(granted), "seq", "left")  # at most max_total rows
     # one scalar: the seq at which the run budget ran out (None if it never did)
