@@ -55,18 +55,17 @@ def numbered(df: DataFrame, by: list[str], spread: list[str], order: list[str],
     offsets by a running sum over the small bucket table, rows a number within their bucket.
     Equal rows get numbers in any order; everything else is fixed by the data.
     """
-    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total = total.withColumn("_b", F.greatest(F.lit(1), F.ceil(F.sqrt("_n"))).cast("long")).drop("_n")
-    rows = df.join(total, on=[df[c].eqNullSafe(total[c]) for c in by], how="inner").select(*[df[c] for c in df.columns], "_b")
-    rows = cut(rows.withColumn("_k", F.pmod(F.xxhash64(*spread), F.col("_b"))).drop("_b"), label)
-    sizes = rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    names = [f"_by{i}" for i in range(len(by))]
+    total = df.groupBy(*by).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).cast("long").alias("_b")).toDF(*names, "_b")
+    match = lambda t: [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+    rows = df.join(total, on=match(total), how="inner").select(*df.columns, F.pmod(F.xxhash64(*spread), F.col("_b")).alias("_k"))
+    rows = cut(rows, label)
     before = W.partitionBy(*by).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    sizes = sizes.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_k").alias("_bk"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    sizes = rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n")).withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = sizes.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_k").alias("_bk"), "_at")
     inside = F.row_number().over(W.partitionBy(*by, "_k").orderBy(*order)) - 1
-    on = [rows[c].eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)] + [rows["_k"] == F.col("_bk")]
-    ranked = rows.withColumn("_in", inside)
-    on = [ranked[c].eqNullSafe(sizes[f"_{i}"]) for i, c in enumerate(by)] + [ranked["_k"] == sizes["_bk"]]
-    return ranked.join(sizes, on=on, how="inner").select(*df.columns, (F.col("_in") + F.col("_at")).cast("long").alias(out))
+    ranked = rows.withColumn("_in", inside).join(sizes, on=[*match(sizes), F.col("_k") == F.col("_bk")], how="inner")
+    return ranked.select(*df.columns, (F.col("_in") + F.col("_at")).cast("long").alias(out))
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postline.llm import ledger, mixing, simhash, toxicity
+from postline.llm import ledger, mixing, packing, sharding, simhash, toxicity
 from postline.llm.common import read
 
 
@@ -22,6 +22,16 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharding(read(spark, sf_dir, "documents"), shards=8)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.secrets(read(spark, sf_dir, "documents"))
 
@@ -30,5 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
+    "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
