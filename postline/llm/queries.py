@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postline.llm import ledger, mixing, packing, sharding, simhash, toxicity
+from postline.llm import embeddings, ledger, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from postline.llm.common import read
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -26,6 +36,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(read(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,10 +51,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
+    "op3_embeddings": op3_embeddings,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
