@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postline.llm import embeddings, ledger, mixing, packing, quality, sharding, simhash, token_counts, toxicity
+from postline.llm import embeddings, ledger, mixing, packing, quality, sharding, simhash, token_counts, toxicity, warc
 from postline.llm.common import read
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures_of_pages(read(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +55,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
     "op3_embeddings": op3_embeddings,
     "op4_simhash": op4_simhash,
