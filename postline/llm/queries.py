@@ -66,3 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
 }
+
+ORACLE_SQL: dict[str, str] = {}
