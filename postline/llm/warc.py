@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -81,6 +82,7 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows.select(F.substring(text, F.lit(1), F.length(text) - 1).alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
+LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)")
 RECORD = "type string, record_id string, concurrent_to array<string>, target_uri string, date string, fields map<string, string>, http_length long, payload_bytes long, payload_sha1 string"
 
 
@@ -120,10 +122,10 @@ def whole_records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
         at = raw.find(b"\r\n\r\n")
         if at < 0:
             return len(raw) + 1
-        length = dict(_fields(bytes(raw[:at]))).get("content-length")
+        length = LENGTH.search(raw, 0, at)
         if length is None:
             raise ValueError("a WARC record has no Content-Length")
-        return at + 4 + int(length)
+        return at + 4 + int(length[1])
 
     def done() -> bytes:
         if len(held) < need:
