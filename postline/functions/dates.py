@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,16 @@ DATE_FORMATS = (
     "d MMM yyyy",
     "MM/dd/yyyy",
     "yyyy/MM/dd",
+    "MMM d yyyy",
+    "MMMM d yyyy",
+    "d MMMM yyyy",
+    "M/d/yyyy",
+    "MMMM d, yyyy h:mm a",
+    "MMM d, yyyy h:mm a",
+    "d MMM yyyy HH:mm:ss",
 )
+# a mail date: weekday, date, time, GMT
+_MAIL_DATE = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), ([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8}) GMT$"
 
 
 def _col(c) -> Column:
@@ -38,14 +49,6 @@ def _wall_clock(body: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(body), *[F.try_to_timestamp(body, F.lit(fmt)) for fmt in DATE_FORMATS])
 
 
-def posting_timestamp(c) -> Column:
-    """TIMESTAMP of a posting date given as epoch seconds / millis or text
-    (text with a zone is read in that zone, text without one in the session zone)."""
-    s = F.coalesce(_col(c).cast("string"), F.lit(""))
-    parsed = F.coalesce(F.try_to_timestamp(s), *[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    return F.when(s.rlike("^[0-9]+$"), _epoch(s)).otherwise(parsed)
-
-
 def normalize_date(c) -> Column:
     """'' for empty; ISO-8601 text when it parses; else unchanged.
 
@@ -57,8 +60,9 @@ def normalize_date(c) -> Column:
     s = F.coalesce(_col(c).cast("string"), F.lit(""))
     digits = s.rlike("^[0-9]+$")
     epoch = _epoch(s)
-    zone = F.regexp_extract(s, _ZONE, 1)
-    body = F.when(zone != "", F.substring(s, F.lit(1), F.length(s) - F.length(zone))).otherwise(s)
+    mail = F.regexp_extract(s, _MAIL_DATE, 1)
+    zone = F.when(mail != "", F.lit("Z")).otherwise(F.regexp_extract(s, _ZONE, 1))
+    body = F.when(mail != "", mail).when(zone != "", F.substring(s, F.lit(1), F.length(s) - F.length(zone))).otherwise(s)
     # a trailing zone name (UTC, PST, ...) would be converted away: keep such text as is
     wall = F.when(~body.rlike("[A-Za-z]{3,}$"), _wall_clock(body))
     offset = (
@@ -83,17 +87,13 @@ def iso_text(c) -> Column:
     return F.date_format(_col(c), ISO_OUT)
 
 
+_SLOT = re.compile(r"\s*([01]?\d|2[0-3])\s*:\s*([0-5]?\d)\s*")
+
+
 def parse_slots(slots) -> list[tuple[int, int]]:
-    """Driver-side parse of 'HH:MM' parameters; bad entries are skipped."""
-    out = []
-    for value in slots or ():
-        try:
-            hour, minute = (int(part) for part in str(value).split(":", maxsplit=1))
-        except (TypeError, ValueError):
-            continue
-        if 0 <= hour <= 23 and 0 <= minute <= 59:
-            out.append((hour, minute))
-    return out
+    """Driver-side parse of 'HH:MM' parameters; entries of another form are skipped."""
+    found = [_SLOT.fullmatch(str(s)) for s in slots or ()]
+    return [(int(m[1]), int(m[2])) for m in found if m]
 
 
 def next_slot(ts, slots) -> Column:

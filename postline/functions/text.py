@@ -6,7 +6,6 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
-import html as _html
 import re as _re
 
 from pyspark.sql import Column
@@ -179,34 +178,3 @@ def html_to_text(c) -> Column:
     then the fragment's text is taken with ``markup_text``.
     """
     return markup_text(decode_entities(F.coalesce(_col(c), F.lit(""))))
-
-
-def exact_html_to_text(value: str | None) -> str:
-    """Pure-Python reference used by tests: stdlib parser walk."""
-    from html.parser import HTMLParser
-
-    if not value:
-        return ""
-
-    class _Walk(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.parts: list[str] = []
-            self.skip = 0
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style", "template"):
-                self.skip += 1
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style", "template") and self.skip:
-                self.skip -= 1
-
-        def handle_data(self, data):
-            if not self.skip:
-                self.parts.append(data)
-
-    walker = _Walk()
-    walker.feed(_html.unescape(value))
-    walker.close()
-    return _re.sub(r"\s+", " ", " ".join(walker.parts).strip())

@@ -446,7 +446,7 @@ def queries() -> dict[str, str]:
     )
     out["apply_edits"] = W(f"SELECT job_hash, status, notes, {q.iso('updated_at')} AS updated_at, edited FROM reviewed_e")
     out["edits_clean"] = W("SELECT * FROM e_clean")
-    latest = _latest("checks1", "(SELECT * FROM checks2 WHERE starts_with(last_result, 'Success'))")
+    latest = _latest("checks1", "checks2")
     out["latest_checks"] = W(
         f"SELECT source_name, {q.iso('last_checked')} AS last_checked, last_result, {q.iso('updated_at')} AS updated_at FROM ({latest})"
     )
@@ -678,7 +678,7 @@ def _scan_oracles() -> dict[str, str]:
     raw = f"""SELECT * FROM (SELECT p.source_name, {_strip('p.title')} AS title,
             '{{' || concat_ws(',', {', '.join(members)}) || '}}' AS raw_data
         {base} WHERE lower(s.type) = 'ashby') WHERE title <> ''"""
-    stream_rows = f"""SELECT * FROM (SELECT p.seq, {_strip('p.title')} AS title, p.source_name AS company,
+    stream_rows = f"""SELECT * FROM (SELECT p.seq, {_strip('p.title')} AS title, coalesce(s.company, p.source_name) AS company,
             p.location AS location, {_truthy("p.url", apply_url)} AS url, p.source_name, 'lever' AS source_type,
             {lever_desc} AS description, CASE WHEN {i} % 6 = 5 THEN '' ELSE {sal} END AS salary,
             p.employment_type, CAST((1700000000 + {i} * 3600) * 1000 AS VARCHAR) AS date_posted

@@ -338,7 +338,7 @@ def run_checks(spark, sf, as_of: str, shift: int = 0):
 
 def latest_checks(spark, sf):
     old = run_checks(spark, sf, fx.AS_OF_FIRST, 0)
-    new = run_checks(spark, sf, fx.AS_OF_SECOND, 1).filter(F.col("last_result").startswith("Success"))
+    new = run_checks(spark, sf, fx.AS_OF_SECOND, 1)
     return _iso(merge.latest_checks(old, new), "last_checked", "updated_at")
 
 
@@ -504,6 +504,10 @@ def sorted_feed_newest(spark, sf):
     return X.sorted_feed(feed(spark, sf), "newest").select("job_hash", "date_found", "sort_pos")
 
 
+def sorted_feed_title(spark, sf):
+    return X.sorted_feed(feed(spark, sf), "title").select("job_hash", "title", "sort_pos")
+
+
 def html_links(spark, sf):
     return S.html_links(fx.table(spark, sf, "pages"))
 
@@ -586,7 +590,7 @@ def stream_ingest(spark, sf):
 
     base = fresh_dir(spark, "stream_ingest")
     out = run(spark, landed(spark, sf)["lever"], os.path.join(base, "table"), os.path.join(base, "checkpoint"), RULES,
-              merge_every=4)
+              merge_every=4, sources=fx.sources(spark, sf))
     # sighting times depend on which files each micro-batch picked up; the streaming
     # tests check them against batch-by-batch merging
     return out.select("job_hash", "entity_key", "title", "location", "match_score", "match_reason")
@@ -692,6 +696,7 @@ REGISTRY = {
     "sorted_feed": sorted_feed,
     "sorted_feed_company": sorted_feed_company,
     "sorted_feed_newest": sorted_feed_newest,
+    "sorted_feed_title": sorted_feed_title,
     "facet_filter": facet_filter,
     "recent_run_logs": recent_run_logs,
     "html_links": html_links,

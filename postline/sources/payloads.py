@@ -6,9 +6,9 @@ description, salary, employment_type, date_posted, raw_data)``; the landed
 files of one source live under ``<root>/<source_name>/`` so the source name
 comes from the path, not from the payload.
 
-Readers use explicit schemas (never inference) and PERMISSIVE parsing: a
-payload that is not of the expected shape becomes a quarantine row instead
-of failing the whole read.
+Readers take payloads as text and each posting as VARIANT, never by inference.
+A payload that is not of the expected shape becomes a quarantine row, and so
+does a single posting with a field of another shape; its neighbours are kept.
 """
 
 from __future__ import annotations
@@ -29,46 +29,17 @@ RAW_COLUMNS = (
 )
 
 S = T.StringType()
-LEVER_ITEM = T.StructType(
-    [
-        T.StructField("text", S),
-        T.StructField("hostedUrl", S),
-        T.StructField("applyUrl", S),
-        T.StructField("categories", T.StructType([T.StructField("location", S), T.StructField("commitment", S)])),
-        T.StructField(
-            "salaryRange",
-            T.StructType([T.StructField("min", T.LongType()), T.StructField("max", T.LongType()), T.StructField("currency", S)]),
-        ),
-        T.StructField("descriptionPlain", S),
-        T.StructField("description", S),
-        T.StructField("additionalPlain", S),
-        T.StructField("additional", S),
-        T.StructField("createdAt", T.LongType()),
-    ]
-)
-ASHBY_ITEM = T.StructType(
-    [
-        T.StructField("title", S),
-        T.StructField("location", T.VariantType()),
-        T.StructField("jobUrl", S),
-        T.StructField("applyUrl", S),
-        T.StructField("descriptionHtml", S),
-        T.StructField("description", S),
-        T.StructField("compensation", T.VariantType()),
-        T.StructField("employmentType", S),
-        T.StructField("publishedAt", S),
-    ]
-)
-GREENHOUSE_ITEM = T.StructType(
-    [
-        T.StructField("title", S),
-        T.StructField("location", T.StructType([T.StructField("name", S)])),
-        T.StructField("offices", T.ArrayType(T.StructType([T.StructField("name", S)]))),
-        T.StructField("absolute_url", S),
-        T.StructField("content", S),
-        T.StructField("updated_at", S),
-    ]
-)
+
+# fixed values: the fields read from a posting, by the shape they must have ("text": any scalar)
+FIELDS = {
+    "lever": {
+        "text": ("text", "hostedUrl", "applyUrl", "descriptionPlain", "description", "additionalPlain", "additional", "createdAt",
+                 "categories.location", "categories.commitment", "salaryRange.min", "salaryRange.max", "salaryRange.currency"),
+        "OBJECT": ("categories", "salaryRange"),
+    },
+    "ashby": {"text": ("title", "location.name", "jobUrl", "applyUrl", "descriptionHtml", "description", "employmentType", "publishedAt")},
+    "greenhouse": {"text": ("title", "location.name", "absolute_url", "content", "updated_at"), "OBJECT": ("location",), "ARRAY": ("offices",)},
+}
 
 
 def salary_text(lo, hi, currency) -> Column:
@@ -88,138 +59,148 @@ def _with_source(df: DataFrame) -> DataFrame:
     return df.withColumn("source_name", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1))
 
 
-def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
-    """Lever boards: each payload is a top-level JSON array of postings.
+def payload_lines(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """Landed payloads as text: one per line, or with ``multi_line`` one per file."""
+    return _with_source(spark.read.text(root, wholetext=multi_line)).filter(F.trim("value") != "")
+
+
+def _well_shaped(kind: str) -> Column:
+    """Lever payloads are a JSON array; the others an object whose ``jobs`` (when present) is an array."""
+    v = F.try_parse_json(F.col("value"))
+    shape = F.schema_of_variant(v)
+    if kind == "lever":
+        return v.isNotNull() & shape.startswith("ARRAY")
+    jobs = F.try_variant_get(v, "$.jobs", "variant")
+    return v.isNotNull() & shape.startswith("OBJECT") & (jobs.isNull() | F.schema_of_variant(jobs).rlike("^(ARRAY|VOID)"))
 
-    ``multi_line=False``: one payload per line (JSON Lines); ``True``: one
-    (pretty-printed) payload per file.
+
+def items(lines: DataFrame, kind: str) -> DataFrame:
+    """(source_name, seq, raw, item, faults): every posting of the well-shaped payloads, in payload order.
+
+    ``raw`` is the posting's JSON text with all its fields, ``item`` the same as
+    VARIANT, ``faults`` the fields whose shape can't be read (or 'not an object').
+    A fault stays with its posting; the others of the payload are not touched.
     """
-    schema = T.StructType(LEVER_ITEM.fields + [T.StructField("_corrupt_record", S)])
-    df = (
-        spark.read.schema(schema)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(root)
-    )
-    df = _with_source(df).filter(F.col("_corrupt_record").isNull())
-    sal = F.col("salaryRange")
+    if kind == "lever":
+        postings = F.from_json("value", "array<string>")
+    else:
+        postings = F.from_json("value", "struct<jobs: array<string>>")["jobs"]
+    one = lines.filter(_well_shaped(kind)).select("source_name", F.posexplode(F.coalesce(postings, F.array().cast("array<string>"))).alias("pos", "raw"))
+    # payload order: ids taken right after the explode (no shuffle before)
+    one = one.select("source_name", F.monotonically_increasing_id().alias("seq"), "raw", F.try_parse_json("raw").alias("item"))
+
+    def fault(path: str, want: str) -> Column:
+        shape = F.schema_of_variant(F.try_variant_get("item", f"$.{path}", "variant"))
+        bad = shape.rlike("^(OBJECT|ARRAY)") if want == "text" else ~shape.rlike(f"^({want}|VOID)")
+        return F.when(bad, F.lit(path))
+
+    every = F.array_compact(F.array(*[fault(path, want) for want, paths in FIELDS[kind].items() for path in paths]))
+    whole = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    return one.withColumn("faults", F.when(whole, every).otherwise(F.array(F.lit("not an object"))))
+
+
+def _text(path: str) -> Column:
+    """A scalar of the posting as text (numbers as written), NULL when absent or of another shape."""
+    v = F.try_variant_get("item", f"$.{path}", "variant")
+    return F.when(~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"), F.try_variant_get("item", f"$.{path}", "string"))
+
+
+def _readable(rows: DataFrame, kind: str) -> DataFrame:
+    """The postings without a fault, their text fields as columns named by path (so each is read once)."""
+    return rows.filter(F.size("faults") == 0).select("source_name", "seq", "raw", "item", *[_text(p).alias(p) for p in FIELDS[kind]["text"]])
+
+
+def _f(path: str) -> Column:
+    return F.col(f"`{path}`")
+
+
+def lever_rows(rows: DataFrame) -> DataFrame:
+    """Raw posting rows of Lever items; the batch reader and the stream share it."""
     desc = F.concat_ws(
         " ",
-        nonempty(first_truthy(F.col("descriptionPlain"), html_to_text("description"))),
-        nonempty(html_to_text(first_truthy(F.col("additionalPlain"), F.col("additional")))),
+        nonempty(first_truthy(_f("descriptionPlain"), html_to_text(_f("description")))),
+        nonempty(html_to_text(first_truthy(_f("additionalPlain"), _f("additional")))),
     )
-    out = df.select(
-        # payload order: ids taken on the file scan itself (no shuffle before), increasing within each file
-        F.monotonically_increasing_id().alias("seq"),
-        strip_text(F.col("text")).alias("title"),
+    out = _readable(rows, "lever").select(
+        "seq",
+        strip_text(_f("text")).alias("title"),
         F.lit(None).cast("string").alias("company"),
-        F.coalesce(F.col("categories.location"), F.lit("")).alias("location"),
-        first_truthy(F.col("hostedUrl"), F.col("applyUrl")).alias("url"),
+        F.coalesce(_f("categories.location"), F.lit("")).alias("location"),
+        first_truthy(_f("hostedUrl"), _f("applyUrl")).alias("url"),
         "source_name",
         F.lit("lever").alias("source_type"),
         desc.alias("description"),
-        F.when(sal.isNull(), F.lit("")).otherwise(
-            salary_text(sal["min"], sal["max"], sal["currency"])
-        ).alias("salary"),
-        F.coalesce(F.col("categories.commitment"), F.lit("")).alias("employment_type"),
-        F.coalesce(F.col("createdAt").cast("string"), F.lit("")).alias("date_posted"),
-        F.to_json(F.struct(*[F.col(f.name) for f in LEVER_ITEM.fields])).alias("raw_data"),
+        salary_text(_f("salaryRange.min"), _f("salaryRange.max"), _f("salaryRange.currency")).alias("salary"),
+        F.coalesce(_f("categories.commitment"), F.lit("")).alias("employment_type"),
+        F.coalesce(_f("createdAt"), F.lit("")).alias("date_posted"),
+        F.col("raw").alias("raw_data"),
     )
     return out.filter(F.col("title") != "")
 
 
-def _variant_text(v: Column, path: str = "$") -> Column:
-    return F.try_variant_get(v, path, "string")
-
-
-def read_jobs_envelope(spark: SparkSession, root: str, item: T.StructType, multi_line: bool = False) -> DataFrame:
-    schema = T.StructType([T.StructField("jobs", T.ArrayType(item)), T.StructField("_corrupt_record", S)])
-    df = (
-        spark.read.schema(schema)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(root)
-    )
-    df = _with_source(df).filter(F.col("_corrupt_record").isNull())
-    items = df.select("_file", "source_name", F.posexplode(F.coalesce(F.col("jobs"), F.array())).alias("pos", "j"))
-    # payload order: ids taken right after the explode (no shuffle before), so they
-    # increase along each payload's job list
-    return items.withColumn("_seq", F.monotonically_increasing_id())
+def read_lever(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """Lever boards: each payload is a top-level JSON array of postings."""
+    return lever_rows(items(payload_lines(spark, root, multi_line), "lever"))
 
 
 def read_ashby(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
     """Ashby boards: ``{"jobs": [...]}``; location is text or ``{"name": ...}``."""
-    df = read_jobs_envelope(spark, root, ASHBY_ITEM, multi_line)
-    j = F.col("j")
-    loc = F.coalesce(_variant_text(j["location"], "$.name"), _variant_text(j["location"]), F.lit(""))
-    comp = j["compensation"]
-    comp_text = F.coalesce(_variant_text(comp), F.to_json(comp), F.lit(""))
-    out = df.select(
-        F.col("_seq").alias("seq"),
-        strip_text(j["title"]).alias("title"),
+    rows = _readable(items(payload_lines(spark, root, multi_line), "ashby"), "ashby")
+    comp = F.try_variant_get("item", "$.compensation", "variant")
+    out = rows.select(
+        "seq",
+        strip_text(_f("title")).alias("title"),
         F.lit(None).cast("string").alias("company"),
-        loc.alias("location"),
-        first_truthy(j["jobUrl"], j["applyUrl"]).alias("url"),
+        F.coalesce(_f("location.name"), _text("location"), F.lit("")).alias("location"),
+        first_truthy(_f("jobUrl"), _f("applyUrl")).alias("url"),
         "source_name",
         F.lit("ashby").alias("source_type"),
-        html_to_text(first_truthy(j["descriptionHtml"], j["description"])).alias("description"),
-        comp_text.alias("salary"),
-        F.coalesce(j["employmentType"], F.lit("")).alias("employment_type"),
-        F.coalesce(j["publishedAt"], F.lit("")).alias("date_posted"),
-        F.to_json(j).alias("raw_data"),
+        html_to_text(first_truthy(_f("descriptionHtml"), _f("description"))).alias("description"),
+        F.coalesce(F.try_variant_get("item", "$.compensation", "string"), F.to_json(comp), F.lit("")).alias("salary"),
+        F.coalesce(_f("employmentType"), F.lit("")).alias("employment_type"),
+        F.coalesce(_f("publishedAt"), F.lit("")).alias("date_posted"),
+        F.col("raw").alias("raw_data"),
     )
     return out.filter(F.col("title") != "")
 
 
 def read_greenhouse(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
     """Greenhouse boards: location name, else the office names joined by ', '."""
-    df = read_jobs_envelope(spark, root, GREENHOUSE_ITEM, multi_line)
-    j = F.col("j")
-    offices = F.array_join(
-        F.filter(F.transform(F.coalesce(j["offices"], F.array()), lambda o: F.coalesce(o["name"], F.lit(""))), lambda n: n != ""),
-        ", ",
-    )
-    loc = first_truthy(j["location"]["name"], offices)
-    out = df.select(
-        F.col("_seq").alias("seq"),
-        strip_text(j["title"]).alias("title"),
+    rows = _readable(items(payload_lines(spark, root, multi_line), "greenhouse"), "greenhouse")
+    offices = F.coalesce(F.try_variant_get("item", "$.offices", "array<variant>"), F.array().cast("array<variant>"))
+    names = F.transform(offices, lambda o: F.coalesce(F.try_variant_get(o, "$.name", "string"), F.lit("")))
+    out = rows.select(
+        "seq",
+        strip_text(_f("title")).alias("title"),
         F.lit(None).cast("string").alias("company"),
-        loc.alias("location"),
-        F.coalesce(j["absolute_url"], F.lit("")).alias("url"),
+        first_truthy(_f("location.name"), F.array_join(F.filter(names, lambda n: n != ""), ", ")).alias("location"),
+        F.coalesce(_f("absolute_url"), F.lit("")).alias("url"),
         "source_name",
         F.lit("greenhouse").alias("source_type"),
-        html_to_text(j["content"]).alias("description"),
+        html_to_text(_f("content")).alias("description"),
         F.lit("").alias("salary"),
         F.lit("").alias("employment_type"),
-        F.coalesce(j["updated_at"], F.lit("")).alias("date_posted"),
-        F.to_json(j).alias("raw_data"),
+        F.coalesce(_f("updated_at"), F.lit("")).alias("date_posted"),
+        F.col("raw").alias("raw_data"),
     )
     return out.filter(F.col("title") != "")
 
 
-def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = False) -> DataFrame:
-    """Landed payloads that are not of the expected shape.
+def faulty_items(rows: DataFrame, kind: str) -> DataFrame:
+    """Postings of ``items`` that can't be read, with the fields that are at fault."""
+    what = F.concat(F.col("source_name"), F.lit(f": CollectorError: Unexpected {kind} posting: "), F.array_join("faults", ", "))
+    return rows.filter(F.size("faults") > 0).select("source_name", F.lit(kind).alias("source_type"), what.alias("error"))
 
-    Lever payloads must be a JSON array; the others an object whose ``jobs``
-    (when present) is an array.  One payload per line, or per file with
-    ``multi_line``.
-    """
-    raw = _with_source(spark.read.option("wholetext", multi_line).text(root))
-    v = F.try_parse_json(F.col("value"))
-    shape = F.schema_of_variant(v)
-    if kind == "lever":
-        ok = v.isNotNull() & shape.startswith("ARRAY")
-    else:
-        jobs = F.try_variant_get(v, "$.jobs", "variant")
-        ok = v.isNotNull() & shape.startswith("OBJECT") & (jobs.isNull() | F.schema_of_variant(jobs).startswith("ARRAY"))
-    bad = raw.filter(~ok)
-    return bad.select(
+
+def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = False) -> DataFrame:
+    """Payloads that are not of the expected shape, and single postings with a field that is not."""
+    lines = payload_lines(spark, root, multi_line)
+    payloads = lines.filter(~F.coalesce(_well_shaped(kind), F.lit(False))).select(
         "source_name",
         F.lit(kind).alias("source_type"),
         F.concat(F.col("source_name"), F.lit(": CollectorError: Unexpected "), F.lit(kind), F.lit(" API response")).alias("error"),
     )
+    return payloads.unionByName(faulty_items(items(lines, kind), kind))
 
 
 READERS = {

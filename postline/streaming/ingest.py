@@ -16,13 +16,13 @@ from __future__ import annotations
 import os
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import merge, snapshots
 from ..operators.scoring import Rule
-from ..sources.payloads import LEVER_ITEM
+from ..sources import payloads
 
 
 def stream_ingest(
@@ -34,6 +34,7 @@ def stream_ingest(
     start: str = "2026-06-08 09:00:00",
     files_per_batch: int = 16,
     merge_every: int | None = None,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """Run an ``availableNow`` stream over landed Lever payloads; return the final table.
 
@@ -43,16 +44,15 @@ def stream_ingest(
     cost grows with the batch, not the table) and merged every ``k`` batches
     and at the end in one time-aware merge, which equals merging them one
     after the other.
+
+    Rows are those of the batch reader, company included (``sources`` has the
+    configured ones); postings that can't be read go to ``_quarantine``.
     """
-    schema = T.StructType(
-        LEVER_ITEM.fields
-        + [T.StructField("_corrupt_record", T.StringType()), T.StructField("source_name", T.StringType())]
-    )
     stream = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema("value string, source_name string")
         .option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", False)
-        .json(landed_lever)
+        .text(landed_lever)
     )
     t0 = datetime.fromisoformat(start)
     root = table_root.rstrip("/")
@@ -70,8 +70,10 @@ def stream_ingest(
         last = int(done) if done else -1
         try:
             staged = spark.read.parquet(staging).filter(F.col("batch_id") > last)
-        except Exception:  # noqa: BLE001 - nothing staged yet
-            return
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return  # nothing has been staged yet
         top = staged.agg(F.max("batch_id")).first()[0]
         if top is None:
             return
@@ -80,9 +82,18 @@ def stream_ingest(
         snapshots.write_snapshot(new.drop("is_new"), root, only_if_changed=False)
         snapshots.write_pointer(f"{root}/MERGED", str(top), spark)
 
+    def _in_order(rows: DataFrame) -> DataFrame:
+        """Order within a micro-batch is the posting's creation time; postings without one come first."""
+        rows = rows.withColumn("seq", F.coalesce(F.col("date_posted").try_cast("bigint"), F.lit(0).cast("bigint"))).drop("raw_data")
+        if sources is None:
+            return rows.withColumn("company", F.col("source_name"))
+        return payloads.with_company(rows, sources)
+
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is a static DataFrame: run the batch path on it
-        flagged = merge.flag_batch(_lever_rows(batch), rules)
+        rows = payloads.items(batch.filter(F.trim("value") != ""), "lever")
+        payloads.faulty_items(rows, "lever").write.mode("overwrite").parquet(f"{root}/_quarantine/batch_id={batch_id}")
+        flagged = merge.flag_batch(_in_order(payloads.lever_rows(rows)), rules)
         if merge_every is None:
             new = merge.upsert(current(), flagged, batch_time(batch_id), eligible="eligible").drop("is_new")
             snapshots.write_snapshot(new, root, only_if_changed=False)
@@ -104,33 +115,6 @@ def stream_ingest(
     return current()
 
 
-def _lever_rows(batch: DataFrame) -> DataFrame:
-    """Raw posting rows of one micro-batch of Lever payload rows."""
-    from ..functions.text import first_truthy, html_to_text, nonempty
-    from ..sources.payloads import salary_text
-
-    b = batch.filter(F.col("_corrupt_record").isNull()) if "_corrupt_record" in batch.columns else batch
-    sal = F.col("salaryRange")
-    desc = F.concat_ws(
-        " ",
-        nonempty(first_truthy(F.col("descriptionPlain"), html_to_text("description"))),
-        nonempty(html_to_text(first_truthy(F.col("additionalPlain"), F.col("additional")))),
-    )
-    return b.select(
-        F.col("createdAt").alias("seq"),
-        F.trim(F.coalesce(F.col("text"), F.lit(""))).alias("title"),
-        F.col("source_name").cast("string").alias("company"),
-        F.coalesce(F.col("categories.location"), F.lit("")).alias("location"),
-        first_truthy(F.col("hostedUrl"), F.col("applyUrl")).alias("url"),
-        F.col("source_name").cast("string").alias("source_name"),
-        F.lit("lever").alias("source_type"),
-        desc.alias("description"),
-        F.when(sal.isNull(), F.lit("")).otherwise(salary_text(sal["min"], sal["max"], sal["currency"])).alias("salary"),
-        F.coalesce(F.col("categories.commitment"), F.lit("")).alias("employment_type"),
-        F.coalesce(F.col("createdAt").cast("string"), F.lit("")).alias("date_posted"),
-    ).filter(F.col("title") != "")
-
-
 def running_first_last_seen(
     spark: SparkSession, events_dir: str, checkpoint: str, file_glob: str = "events.parquet"
 ) -> DataFrame:

@@ -37,3 +37,11 @@ def test_normalize_date_matches_reference_on_supported_forms(spark):
 def test_unparsable_text_is_kept(spark):
     df = spark.createDataFrame([("soon",), ("next week-ish",)], "d string")
     assert [r.n for r in df.select(normalize_date("d").alias("n")).collect()] == ["soon", "next week-ish"]
+
+
+def test_more_layouts(spark):
+    texts = {"Mar 5 2024": "2024-03-05T00:00:00", "5 March 2024": "2024-03-05T00:00:00", "3/5/2024": "2024-03-05T00:00:00",
+             "March 5, 2024 10:30 AM": "2024-03-05T10:30:00", "Tue, 05 Mar 2024 10:20:30 GMT": "2024-03-05T10:20:30+00:00",
+             "Tue, 5 Blah 2024": "Tue, 5 Blah 2024"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in df.select("t", normalize_date("t").alias("n")).collect()} == texts

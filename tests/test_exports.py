@@ -8,25 +8,24 @@ from tests.conftest import frame
 
 
 def _store(spark):
-    df = frame(spark, [dict(seq=1, title="Rendering Engineer", company="Acme", location="Remote",
-                            url="https://example.com/jobs/1", source_name="Test", source_type="lever",
-                            description="Private long description")])
-    n = merge.normalize_postings(df).withColumn("match_score", F.lit(80)).withColumn("match_reason", F.lit("Matched rendering"))
-    store = merge.upsert(merge.empty_store(spark), n, "2026-06-08 09:00:00").drop("is_new")
-    h = store.first().job_hash
-    edits = spark.createDataFrame([(1, h, "", "Interested", "Private note")],
-                                  "seq long, job_hash string, url string, status string, notes string")
-    return merge.apply_edits(store, edits, "2026-06-08 10:00:00").drop("edited")
-
-
-def test_exports_public_fields_only(spark):
-    feed = P.public_feed(_store(spark), 35)
+    """One stored posting that a reviewer has marked."""
+    rows = [dict(seq=5, title="Shader Artist", company="North", location="Oslo", url="https://h.io/j/5", source_name="board",
+                 source_type="ashby", description="Internal text", salary="90k", employment_type="Permanent")]
+    scored = merge.normalize_postings(frame(spark, rows)).withColumns({"match_score": F.lit(61), "match_reason": F.lit("Matched shader")})
+    first = merge.upsert(merge.empty_store(spark), scored, "2026-06-08 09:00:00").drop("is_new")
+    marked = first.select(F.lit(1).cast("long").alias("seq"), "job_hash", F.lit("").alias("url"), F.lit("Interested").alias("status"), F.lit("call back").alias("notes"))
+    return merge.apply_edits(first, marked, "2026-06-08 10:00:00").drop("edited")
+
+
+def test_feed_has_the_public_columns_and_no_others(spark):
+    store = _store(spark)
+    feed = P.public_feed(store, 35)
     assert tuple(feed.columns) == PUBLIC_FIELDS
-    row = feed.first()
-    assert row.title == "Rendering Engineer" and row.status == "Interested"
-    assert "notes" not in feed.columns and "description" not in feed.columns and "raw_data" not in feed.columns
-    assert row.job_hash
-    assert row.date_found == "2026-06-08T09:00:00+00:00"
+    assert not (set(store.columns) - set(PUBLIC_FIELDS)) & set(feed.columns)
+    text = " ".join(str(v) for v in feed.first())
+    assert "Internal text" not in text and "call back" not in text
+    assert feed.first().asDict().items() >= {"status": "Interested", "match_score": 61, "salary": "90k", "date_found": "2026-06-08T09:00:00+00:00"}.items()
+    assert P.public_feed(store, 62).count() == 0
 
 
 def test_status_counts_zero_filled_with_total(spark):
@@ -49,13 +48,13 @@ def test_feed_manifest_and_envelope(spark):
     m = P.feed_manifest(feed, 35, "2026-06-08 11:00:00").first()
     assert (m.minimum_score, m.total) == (35, 1)
     env = P.feed_envelope(feed, 35, "2026-06-08 11:00:00").first()
-    assert env.total == 1 and env.jobs[0].title == "Rendering Engineer"
+    assert env.total == 1 and env.jobs[0].title == "Shader Artist"
 
 
 def test_buckets_actions_and_migration(spark):
     feed = P.public_feed(_store(spark), 35).withColumn("feed_pos", F.lit(1))
     h = feed.first().job_hash
-    legacy = "Rendering Engineer||Acme||Remote||https://example.com/jobs/1"
+    legacy = "Shader Artist||North||Oslo||https://h.io/j/5"
     log = spark.createDataFrame([(1, legacy, "applyed"), (2, "other", "not-fit"), (3, "other", "review")],
                                 "seq long, job_key string, action string")
     current = X.apply_actions(log)
@@ -110,9 +109,9 @@ def test_review_export_writes_five_relations(spark, tmp_dir):
     from postline.operators.scoring import default_rules
 
     store = _store(spark)
-    sources = spark.createDataFrame([(0, "Test", "lever", True, "acme-board", None, "n")],
+    sources = spark.createDataFrame([(0, "board", "lever", True, "acme-board", None, "n")],
                                     "pos int, name string, type string, enabled boolean, company_slug string, url string, notes string")
-    checks = spark.createDataFrame([("Test", "2026-06-08 09:00:00", "Success: 1 jobs")],
+    checks = spark.createDataFrame([("board", "2026-06-08 09:00:00", "Success: 1 jobs")],
                                    "source_name string, last_checked string, last_result string").withColumn(
         "last_checked", F.col("last_checked").cast("timestamp"))
     runs = spark.createDataFrame([("2026-06-08 09:00:00", 1, 1, 1, "", 1.0)],

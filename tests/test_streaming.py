@@ -36,6 +36,21 @@ def test_stream_ingest_merges_micro_batches(spark, tmp_dir):
     assert [tuple(x) for x in again] == [tuple(x) for x in out]
 
 
+def test_postings_without_a_date_and_with_faults(spark, tmp_dir):
+    landed = os.path.join(tmp_dir, "lever")
+    _write(landed, "acme", "a.json", [
+        {"text": "No date", "hostedUrl": "https://a/1", "categories": {"location": "Austin"}},
+        {"text": "Dated", "hostedUrl": "https://a/2", "categories": {"location": "Austin"}, "createdAt": 5},
+        {"text": "Bad", "hostedUrl": "https://a/3", "categories": ["Austin"]},
+    ])
+    sources = spark.createDataFrame([("acme", "Acme Corp")], "name string, company string")
+    for i, every in enumerate((None, 4)):
+        table = os.path.join(tmp_dir, f"t{i}")
+        out = stream_ingest(spark, landed, table, os.path.join(tmp_dir, f"c{i}"), RULES, merge_every=every, sources=sources).collect()
+        assert sorted((r.title, r.company) for r in out) == [("Dated", "Acme Corp"), ("No date", "Acme Corp")]
+        assert [r.error for r in spark.read.parquet(f"{table}/_quarantine").collect()] == ["acme: CollectorError: Unexpected lever posting: categories"]
+
+
 def test_running_first_last_seen_equals_batch(spark, tmp_dir):
     sf = "/root/testdata/sf0.001"
     got = running_first_last_seen(spark, sf, os.path.join(tmp_dir, "seen"))
