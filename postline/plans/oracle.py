@@ -469,7 +469,9 @@ def queries() -> dict[str, str]:
                  ELSE {_truthy("p.url", "'https://jobs.example.com/apply/' || CAST(p.seq AS VARCHAR)")} END AS url
         FROM v_postings p JOIN v_sources s ON s.name = p.source_name
         WHERE lower(s.type) IN ('lever', 'ashby', 'greenhouse') AND {_strip('p.title')} <> ''
-          AND coalesce(s.enabled, false)"""
+          AND coalesce(s.enabled, false)
+        UNION ALL SELECT source_name, source_type, title, url
+        FROM ({_html_postings()}) WHERE source_name IN (SELECT name FROM v_sources WHERE coalesce(enabled, false))"""
     )
     out["review_buckets"] = W("SELECT job_hash, bucket FROM buckets")
     out["migrate_actions"] = W("SELECT job_key, action FROM migrated")
@@ -621,6 +623,16 @@ def _truthy(*xs: str) -> str:
     return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in xs) + ", '')"
 
 
+def _html_postings() -> str:
+    """Postings of the landed pages: the first titled link per page and URL."""
+    url = _truthy("p.url", "'https://jobs.example.com/apply/' || CAST(p.seq AS VARCHAR)")
+    return f"""SELECT * FROM (SELECT {q.clean('p.title')} AS title, coalesce(s.company, p.source_name, '') AS company, '' AS location,
+            {url} AS url, p.source_name, 'html' AS source_type, '' AS description, '' AS salary, '' AS employment_type,
+            '' AS date_posted FROM v_postings p LEFT JOIN v_sources s ON s.name = p.source_name
+        WHERE lower(s.type) = 'html' AND {q.clean('p.title')} <> ''
+        QUALIFY row_number() OVER (PARTITION BY p.source_name, p.seq // 500, {url} ORDER BY p.seq) = 1)"""
+
+
 def _scan_oracles() -> dict[str, str]:
     """Expected reader output for the payloads landed from the postings fixture."""
     comp = "coalesce(s.company, p.source_name, '')"
@@ -657,7 +669,7 @@ def _scan_oracles() -> dict[str, str]:
         f"""SELECT name AS source_name, '{k}' AS source_type,
             name || ': CollectorError: Unexpected {k} API response' AS error
         FROM v_sources WHERE pos % 5 = 4 AND lower(type) = '{k}'"""
-        for k in ("lever", "ashby", "greenhouse")
+        for k in ("lever", "ashby", "greenhouse", "html")
     )
     def field(name: str, value: str) -> str:
         # a JSON member, left out when the value is NULL (as the JSON writer does)
@@ -690,7 +702,7 @@ def _scan_oracles() -> dict[str, str]:
         return body.replace("SELECT * FROM (SELECT ", "SELECT * FROM (SELECT p.seq, ", 1).replace(
             "WHERE lower(s.type)", "WHERE coalesce(s.enabled, false) AND lower(s.type)", 1)
 
-    rows = " UNION ALL ".join(with_seq(b) for b in (lever, ashby, greenhouse))
+    rows = " UNION ALL ".join(with_seq(b) for b in (lever, ashby, greenhouse, _html_postings()))
     purge = " AND ".join(
         f"NOT coalesce({_phrase(ph)}, false)" for ph in (EXPORT_CONTROL_PHRASE, CLEARANCE_EXCLUSION_PHRASE)
     )
@@ -707,5 +719,6 @@ def _scan_oracles() -> dict[str, str]:
         "scan_lever": with_ctes(lever),
         "scan_ashby": with_ctes(ashby),
         "scan_greenhouse": with_ctes(greenhouse),
+        "scan_html": with_ctes(_html_postings()),
         "quarantine": with_ctes(quarantine),
     }

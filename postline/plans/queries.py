@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import threading
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from ..session import work_dir
 from ..sources import payloads as S
 
 RULES = list(fx.FIXTURE_RULES)
+KINDS = ("lever", "ashby", "greenhouse", "html")
 
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -359,7 +361,7 @@ def unsupported_sources(spark, sf):
 
 def union_sources(spark, sf):
     paths = landed(spark, sf)
-    frames = [S.READERS[k](spark, paths[k]).select("source_name", "source_type", "title", "url") for k in ("lever", "ashby", "greenhouse")]
+    frames = [S.READERS[k](spark, paths[k]).select("source_name", "source_type", "title", "url") for k in KINDS]
     return S.union_sources(frames, fx.sources(spark, sf))
 
 
@@ -525,7 +527,7 @@ def landed(spark, sf) -> dict:
             landing.land_payloads(fx.postings(spark, sf), fx.sources(spark, sf), root)
             _WRITTEN[key] = root
         root = _WRITTEN[key]
-    return {k: os.path.join(root, k) for k in ("lever", "ashby", "greenhouse")}
+    return {k: os.path.join(root, k) for k in KINDS}
 
 
 def _scan(kind):
@@ -539,8 +541,7 @@ def _scan(kind):
 
 def quarantine(spark, sf):
     paths = landed(spark, sf)
-    parts = [S.quarantine(spark, paths[k], k) for k in ("lever", "ashby", "greenhouse")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, [S.quarantine(spark, paths[k], k) for k in KINDS])
 
 
 def raw_json(spark, sf):
@@ -703,6 +704,7 @@ REGISTRY = {
     "scan_lever": _scan("lever"),
     "scan_ashby": _scan("ashby"),
     "scan_greenhouse": _scan("greenhouse"),
+    "scan_html": _scan("html"),
     "quarantine": quarantine,
     "raw_json": raw_json,
     "feed_scan": feed_scan,

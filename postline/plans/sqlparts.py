@@ -309,7 +309,7 @@ def resolve_url(base: str, href: str) -> str:
     return f"list_transform([{packed}], lambda z: {lam})[1]"
 
 
-ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+ANCHOR_OPEN, ANCHOR_CLOSE = r"(?i)<a\b", r"(?i)</a\s*>"
 
 
 def attr(attrs: str, name: str) -> str:
@@ -326,8 +326,9 @@ def page_links_sql(pages: str = "pages") -> str:
     return f"""SELECT page_id, page_url, CAST(pos AS BIGINT) AS pos, {attr('a', 'href')} AS href,
         {markup_text('t')} AS text, {attr('a', 'title')} AS title_attr, {attr('a', 'aria-label')} AS aria_label,
         {decode_entities("regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")} AS raw_text
-    FROM (SELECT page_id, url AS page_url,
-            unnest(regexp_extract_all(html, {lit(ANCHOR)}, 1)) AS a,
-            unnest(regexp_extract_all(html, {lit(ANCHOR)}, 2)) AS t,
-            unnest(range(1, len(regexp_extract_all(html, {lit(ANCHOR)}, 1)) + 1)) AS pos
-          FROM {pages})"""
+    FROM (SELECT page_id, page_url, split_part(p, '>', 1) AS a, pos,
+            string_split_regex(substr(p, strpos(p, '>') + 1), {lit(ANCHOR_CLOSE)})[1] AS t
+          FROM (SELECT page_id, page_url, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS pos
+            FROM (SELECT page_id, url AS page_url,
+                list_filter(string_split_regex(html, {lit(ANCHOR_OPEN)})[2:], lambda p: contains(p, '>')) AS ps
+              FROM {pages})))"""

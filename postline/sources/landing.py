@@ -87,6 +87,20 @@ def greenhouse_items(p: DataFrame) -> DataFrame:
     return p.select("source_name", "seq", item.alias("item"))
 
 
+def page_lines(postings: DataFrame, sources: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Landed pages of the html sources: one page of links per (source, chunk of ``chunk`` postings)."""
+    url = F.when(F.col("url") != "", F.col("url")).otherwise(F.concat(F.lit("https://jobs.example.com/apply/"), F.col("seq").cast("string")))
+    link = F.concat(F.lit('<li><a href="'), F.replace(_escape_html(url), F.lit('"'), F.lit("&quot;")), F.lit('">'), _escape_html(F.col("title")), F.lit("</a></li>"))
+    links = postings.filter(F.col("kind") == "html").select("source_name", "seq", link.alias("link"))
+    grouped = links.groupBy("source_name", F.floor(F.col("seq") / chunk).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", "link"))).alias("xs")
+    )
+    own = sources.select(F.col("name").alias("source_name"), F.col("url").alias("page_url"))
+    body = F.concat(F.lit("<html><body><ul>"), F.array_join(F.transform(F.col("xs"), lambda x: x["link"]), "\n"), F.lit("</ul></body></html>"))
+    page = F.struct(F.col("page_url").alias("url"), body.alias("html"))
+    return grouped.join(own, "source_name").select("source_name", F.to_json(page).alias("value"))
+
+
 BUILDERS = {"lever": lever_items, "ashby": ashby_items, "greenhouse": greenhouse_items}
 
 
@@ -110,16 +124,17 @@ def malformed_lines(sources: DataFrame, kind: str) -> DataFrame:
 
 
 def land_payloads(postings: DataFrame, sources: DataFrame, root: str) -> dict[str, str]:
-    """Write lever / ashby / greenhouse payloads, each source in the format of
+    """Write lever / ashby / greenhouse payloads and html pages, each source in the format of
     its configured (case-folded) type; returns kind -> folder."""
     from ..operators.ordering import broadcast_if_small
 
     kinds = sources.select(F.col("name").alias("source_name"), F.lower(F.col("type")).alias("kind"))
     postings = postings.join(broadcast_if_small(kinds), "source_name", "inner")
     out = {}
-    for kind in BUILDERS:
+    for kind in (*BUILDERS, "html"):
         path = os.path.join(root, kind)
-        lines = payload_lines(postings, kind).unionByName(malformed_lines(sources, kind))
+        good = page_lines(postings, sources) if kind == "html" else payload_lines(postings, kind)
+        lines = good.unionByName(malformed_lines(sources, kind))
         lines.write.mode("overwrite").partitionBy("source_name").text(path)
         out[kind] = path
     return out

@@ -65,9 +65,13 @@ def payload_lines(spark: SparkSession, root: str, multi_line: bool = False) -> D
 
 
 def _well_shaped(kind: str) -> Column:
-    """Lever payloads are a JSON array; the others an object whose ``jobs`` (when present) is an array."""
+    """Lever payloads are a JSON array, landed pages an object with text ``url`` and ``html``;
+    the others an object whose ``jobs`` (when present) is an array."""
     v = F.try_parse_json(F.col("value"))
     shape = F.schema_of_variant(v)
+    if kind == "html":
+        text = [F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.lit(False)) for k in ("url", "html")]
+        return v.isNotNull() & shape.startswith("OBJECT") & text[0] & text[1] & (F.trim(F.try_variant_get(v, "$.url", "string")) != "")
     if kind == "lever":
         return v.isNotNull() & shape.startswith("ARRAY")
     jobs = F.try_variant_get(v, "$.jobs", "variant")
@@ -200,18 +204,11 @@ def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = Fal
         F.lit(kind).alias("source_type"),
         F.concat(F.col("source_name"), F.lit(": CollectorError: Unexpected "), F.lit(kind), F.lit(" API response")).alias("error"),
     )
-    return payloads.unionByName(faulty_items(items(lines, kind), kind))
+    return payloads if kind == "html" else payloads.unionByName(faulty_items(items(lines, kind), kind))
 
 
-READERS = {
-    "ashby": read_ashby,
-    "greenhouse": read_greenhouse,
-    "lever": read_lever,
-}
-
-
-_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+_ANCHOR_OPEN = r"(?i)<a\b"
+_ANCHOR_CLOSE = r"(?i)</a\s*>"
 
 
 def _attr(attrs: Column, name: str) -> Column:
@@ -225,16 +222,25 @@ def _attr(attrs: Column, name: str) -> Column:
     return F.when(present, decode_entities(F.coalesce(val, F.lit(""))))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Every anchor of every page: (page_id, pos, href, text, title_attr, aria_label)."""
-    attrs = F.regexp_extract_all(F.col("html"), F.lit(_ANCHOR), 1)
-    inner = F.regexp_extract_all(F.col("html"), F.lit(_ANCHOR), 2)
-    z = pages.select(
-        "page_id", F.col("url").alias("page_url"), F.posexplode(F.arrays_zip(attrs.alias("a"), inner.alias("t"))).alias("pos", "x")
-    )
+def page_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None = None) -> DataFrame:
+    """Every anchor of every page: (page_id, pos, href, text, title_attr, aria_label) and the columns ``keep``.
+
+    ``number`` names a column that numbers the anchors in the order of pages and positions.
+
+    An anchor ends at its end tag, or at the next anchor when it has none. The
+    page is cut at the tags, so the work is linear in its length.
+    """
+    def anchor(piece: Column) -> Column:
+        inner = F.substring(piece, F.locate(">", piece) + 1, F.length(piece))
+        return F.struct(F.substring_index(piece, ">", 1).alias("a"), F.element_at(F.split(inner, _ANCHOR_CLOSE, 2), 1).alias("t"))
+
+    pieces = F.filter(F.slice(F.split("html", _ANCHOR_OPEN), 2, 1 << 30), lambda p: F.contains(p, F.lit(">")))
+    z = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.posexplode(F.transform(pieces, anchor)).alias("pos", "x"))
     return z.select(
         "page_id",
         "page_url",
+        *keep,
+        *([F.monotonically_increasing_id().alias(number)] if number else []),  # right after the explode: no shuffle before
         (F.col("pos") + 1).cast("long").alias("pos"),
         _attr(F.col("x.a"), "href").alias("href"),
         markup_text(F.col("x.t")).alias("text"),
@@ -245,24 +251,56 @@ def page_links(pages: DataFrame) -> DataFrame:
     )
 
 
-def html_links(pages: DataFrame) -> DataFrame:
+def html_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None = None) -> DataFrame:
     """Job links of HTML pages: anchors with an href, resolved against the page
     URL; title = anchor text, else title attribute, else aria-label; the first
-    titled anchor per absolute URL and page wins."""
+    titled anchor per absolute URL and page wins.  ``keep`` and ``number`` as in ``page_links``."""
     from pyspark.sql import Window
 
-    links = page_links(pages).filter(F.col("href").isNotNull() & (F.col("href") != ""))
+    links = page_links(pages, keep, number).filter(F.col("href").isNotNull() & (F.col("href") != ""))
     # attributes are used only when the anchor has no text at all (whitespace-only text counts as text)
     title = F.when(F.col("raw_text") != "", F.col("text")).otherwise(
         clean_text(first_truthy(F.col("title_attr"), F.col("aria_label")))
     )
     out = links.select(
-        "page_id", "pos", resolve_url(F.col("page_url"), F.col("href")).alias("url"), title.alias("title")
+        "page_id", "pos", resolve_url(F.col("page_url"), F.col("href")).alias("url"), title.alias("title"), *keep, *([number] if number else [])
     ).filter(F.col("title") != "")
     w = Window.partitionBy("page_id", "url").orderBy("pos")
     return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
 
 
+def read_html(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """HTML sources: each payload is a landed page ``{"url": ..., "html": ...}``; its titled links are the postings."""
+    lines = payload_lines(spark, root, multi_line).filter(F.coalesce(_well_shaped("html"), F.lit(False)))
+    page = F.from_json("value", "struct<url: string, html: string>")
+    pages = lines.select("source_name", F.monotonically_increasing_id().alias("page_id"), page.alias("p"))
+    pages = pages.select("source_name", "page_id", "p.url", F.col("p.url").alias("source_page"), "p.html")
+    links = html_links(pages, keep=("source_name", "source_page"), number="seq")
+    empty = F.lit("")
+    return links.select(
+        "seq",
+        "title",
+        F.lit(None).cast("string").alias("company"),
+        empty.alias("location"),
+        "url",
+        "source_name",
+        F.lit("html").alias("source_type"),
+        empty.alias("description"),
+        empty.alias("salary"),
+        empty.alias("employment_type"),
+        empty.alias("date_posted"),
+        F.to_json(F.struct("source_page")).alias("raw_data"),
+    )
+
+
+READERS = {
+    "ashby": read_ashby,
+    "greenhouse": read_greenhouse,
+    "html": read_html,
+    "lever": read_lever,
+}
+
+
 def union_sources(frames: list[DataFrame], sources: DataFrame) -> DataFrame:
     """Reader outputs (one frame per source type) unioned by column name and
     limited to enabled sources by a semi-join on the (small) source dimension."""

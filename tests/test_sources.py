@@ -163,3 +163,32 @@ def test_feed_envelope_scan(spark, tmp_dir):
     with open(empty, "w") as fh:
         json.dump({"generated_at": "g", "minimum_score": 20, "total": 0}, fh)
     assert S.read_feed_envelope(spark, empty).count() == 0
+
+
+def test_read_html_pages(spark, tmp_dir):
+    good = {"url": "https://h.example/careers/", "html": '<a href="1">One &amp; only</a><a href="1">Again</a><a href="2"> </a><a name="x">None</a><a href="3">Open<a href="4">Last</a>'}
+    folder = os.path.join(tmp_dir, "html", "source_name=site")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "p.json"), "w") as out:
+        for page in (good, {"html": "<a href='5'>No address</a>"}, {"url": "https://h.example/n", "html": 7}, {"url": "https://h.example/e", "html": ""}):
+            out.write(json.dumps(page) + "\n")
+    root = os.path.join(tmp_dir, "html")
+    rows = S.read_html(spark, root)
+    assert tuple(rows.columns) == S.RAW_COLUMNS
+    rows = rows.orderBy("seq").collect()
+    assert [(r.title, r.url) for r in rows] == [
+        ("One & only", "https://h.example/careers/1"),
+        ("Open", "https://h.example/careers/3"),
+        ("Last", "https://h.example/careers/4"),
+    ]
+    assert {(r.source_name, r.source_type, r.raw_data) for r in rows} == {("site", "html", '{"source_page":"https://h.example/careers/"}')}
+    errors = [r.error for r in S.quarantine(spark, root, "html").collect()]
+    assert errors == ["site: CollectorError: Unexpected html API response"] * 2
+
+
+def test_unclosed_anchors_end_at_the_next(spark):
+    n = 20_000
+    page = "".join(f'<a href="/j/{i}">Job {i} ' for i in range(n))
+    pages = spark.createDataFrame([(1, "https://ex.com/", page), (2, "https://ex.com/", None), (3, "https://ex.com/", "")], "page_id long, url string, html string")
+    got = {r.pos: (r.url, r.title) for r in S.html_links(pages).collect()}
+    assert len(got) == n and got[n] == (f"https://ex.com/j/{n - 1}", f"Job {n - 1}")

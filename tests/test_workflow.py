@@ -24,25 +24,26 @@ def test_two_runs_keep_edits_and_purge(spark, tmp_dir):
         {"text": "Tools Engineer", "categories": {"location": "Berlin"}},
     ])
     _write(landed, "ashby", "beta", {"jobs": "unavailable"})
+    _write(landed, "html", "site", {"url": "https://site.example/", "html": '<a href="a">Tools</a><a href="b">Art</a>'})
     sources = spark.createDataFrame(
         [(0, "acme", "lever", True, None), (1, "beta", "ashby", True, "Beta Inc"), (2, "gamma", "workday", True, None),
-         (3, "off", "lever", False, None)],
+         (3, "off", "lever", False, None), (4, "site", "HTML", True, None)],
         "pos int, name string, type string, enabled boolean, company string",
     )
-    paths = {"lever": os.path.join(landed, "lever"), "ashby": os.path.join(landed, "ashby")}
+    paths = {kind: os.path.join(landed, kind) for kind in ("lever", "ashby", "html")}
     store_root = os.path.join(tmp_dir, "store")
     r1 = workflow.run(spark, store_root, sources, paths, RULES, "2026-06-08 09:00:00")
     rows = {r.url: r for r in r1.store.collect()}
     assert set(rows) == {"https://acme.example/1"}  # intern and non-US rows are skipped
     assert rows["https://acme.example/1"].match_score == 45 and rows["https://acme.example/1"].company == "acme"
     stats = r1.run_log.first()
-    assert (stats.sources_checked, stats.jobs_found, stats.new_jobs_added, stats.run_status) == (3, 3, 1, 1)
+    assert (stats.sources_checked, stats.jobs_found, stats.new_jobs_added, stats.run_status) == (4, 5, 1, 1)
     assert stats.errors.splitlines() == [
         "beta: CollectorError: Unexpected ashby API response",
         "gamma: ValueError: Unsupported source type: workday",
     ]
     checks = {r.source_name: r.last_result for r in r1.checks.collect()}
-    assert checks["acme"] == "Success: 3 jobs" and checks["gamma"].startswith("gamma: ValueError")
+    assert checks["acme"] == "Success: 3 jobs" and checks["site"] == "Success: 2 jobs" and checks["gamma"].startswith("gamma: ValueError")
     assert r1.feed.count() == 1 and r1.jobs_sheet.count() == 1
 
     h = rows["https://acme.example/1"].job_hash
