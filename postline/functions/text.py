@@ -6,7 +6,9 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+import json as _json
 import re as _re
+from html.entities import html5 as _html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,28 +72,14 @@ def first_truthy(*cols) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols], F.lit(""))
 
 
-# fixed values: named character references decoded by html_to_text
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&bull;", "•"),
-    ("&amp;", "&"),
-)
-_NUMERIC_REF = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+# named character references with their semicolon, as the standard library tables them
+HTML_ENTITIES = {"&" + name: text for name, text in _html5.items() if name.endswith(";")}
+# code points 128 to 159 are read as that byte of windows-1252, where it has a character
+C1_CODES = tuple(ord(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(128, 160))
+_REFERENCE = r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;)"
+# sign and leading zeros of a numeric reference, then the digits that count
+_REF_DIGITS = r"^&#[xX]?0*([0-9a-fA-F]*)"
+MAX_REF_DIGITS = 7  # more significant digits are beyond the last code point
 
 
 def _code_point_text(code: Column) -> Column:
@@ -121,43 +109,47 @@ def _code_point_text(code: Column) -> Column:
     ).otherwise(F.lit("�"))
 
 
+def _ref_code(ref: Column) -> Column:
+    digits = F.regexp_extract(ref, _REF_DIGITS, 1)
+    hexed = F.lower(F.substring(ref, 3, 1)) == "x"
+    code = F.when(hexed, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
+    return F.when(F.length(digits) > MAX_REF_DIGITS, F.lit(0x110000)).otherwise(F.coalesce(code, F.lit(0))).cast("bigint")
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric character references and the named ones listed above."""
+    """Decode numeric character references of any length and named ones (with their semicolon), in one pass.
+
+    A code that is no character becomes U+FFFD; an unknown name stays as it is.
+    """
     c = _col(c)
-    refs = F.regexp_extract_all(c, F.lit("(" + _NUMERIC_REF + ")"), 1)
-    pieces = F.split(c, _NUMERIC_REF, -1)
-
-    def ref_text(ref: Column) -> Column:
-        body = F.substring(ref, 3, 100)
-        body = F.substring(body, 1, F.length(body) - 1)
-        code = F.when(
-            F.lower(F.substring(body, 1, 1)) == "x",
-            F.conv(F.substring(body, 2, 100), 16, 10).cast("bigint"),
-        ).otherwise(body.cast("bigint"))
-        return _code_point_text(code)
-
-    numeric = F.when(
-        F.size(refs) == 0, c
-    ).otherwise(
-        F.concat(
-            F.element_at(pieces, 1),
-            F.array_join(
-                F.zip_with(refs, F.slice(pieces, 2, 1 << 30), lambda r, p: F.concat(ref_text(r), p)),
-                "",
-            ),
-        )
+    refs = F.regexp_extract_all(c, F.lit("(" + _REFERENCE + ")"), 1)
+    pieces = F.split(c, _REFERENCE, -1)
+    names = F.from_json(F.lit(_json.dumps(HTML_ENTITIES)), "map<string,string>")  # folded to one literal
+    c1 = F.array(*[F.lit(x).cast("bigint") for x in C1_CODES])
+    # (code, reference) first, so that the text of a code refers to a variable and not to its whole expression
+    coded = F.transform(refs, lambda r: F.struct(F.when(F.startswith(r, F.lit("&#")), _ref_code(r)).alias("n"), r.alias("r")))
+    coded = F.transform(
+        coded, lambda x: F.struct(F.when(x["n"].between(128, 159), F.element_at(c1, (x["n"] - 127).cast("int"))).otherwise(x["n"]).alias("n"), x["r"].alias("r"))
     )
-    out = numeric
-    for name, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+
+    def ref_text(x: Column) -> Column:
+        return F.when(x["n"].isNotNull(), _code_point_text(x["n"])).otherwise(F.coalesce(F.try_element_at(names, x["r"]), x["r"]))
+
+    decoded = F.concat(
+        F.element_at(pieces, 1),
+        F.array_join(F.zip_with(coded, F.slice(pieces, 2, 1 << 30), lambda x, p: F.concat(ref_text(x), p)), ""),
+    )
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 _COMMENT = r"(?s)<!--.*?-->"
 _BLOCKS = tuple(
     r"(?is)<" + tag + r"\b[^>]*>.*?</" + tag + r"\s*>" for tag in ("script", "style", "template")
 )
-_TAG = r"(?s)<[^>]*>"
+# a tag begins with a letter, '/', '!' or '?'; a '>' within a quoted value doesn't end it
+_TAG = (
+    r"<[A-Za-z/!?](?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>"
+)
 
 
 def markup_text(c) -> Column:

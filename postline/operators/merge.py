@@ -248,10 +248,13 @@ def apply_edits(stored: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     by_hash = _last_edit(e.filter(F.col("job_hash") != ""), "job_hash").withColumnRenamed("e", "eh")
     by_url = _last_edit(
         e.filter((F.col("job_hash") == "") & (F.col("url") != "")), "url"
-    ).withColumnRenamed("e", "eu")
+    ).select(F.col("url").alias("_u"), F.col("e").alias("eu"))
     # one row per edited key; both sides come out of an aggregation stage, so AQE
     # sees their actual size and broadcasts them when small (no stored-table shuffle)
-    j = stored.join(by_hash, "job_hash", "left").join(by_url, "url", "left")
+    # rows without a URL match none of by_url; their key is their hash, so they aren't dealt to one task
+    blank = F.coalesce(F.col("url"), F.lit("")) == ""
+    j = stored.join(by_hash, "job_hash", "left")
+    j = j.withColumn("_u", F.when(blank, F.concat(F.lit("\u0000"), F.col("job_hash"))).otherwise(F.col("url"))).join(by_url, "_u", "left")
     pick = (
         F.when(F.col("eh").isNull(), F.col("eu"))
         .when(F.col("eu").isNull(), F.col("eh"))

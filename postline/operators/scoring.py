@@ -10,7 +10,6 @@ gives the same result through an equi-join on each keyword's leading word.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,14 +69,6 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     )
 
 
-def collect_rules(df: DataFrame, limit: int = LITERAL_RULE_LIMIT) -> list[Rule]:
-    """Read a rules DataFrame on the driver, refusing more than ``limit`` rows."""
-    rows = df.select("section", "pos", "keyword", "weight").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"rule set larger than {limit}; use score_by_tokens")
-    return [Rule(r.section, int(r.pos), r.keyword or "", float(r.weight or 0.0)) for r in rows]
-
-
 def _g(value: float) -> str:
     return f"{value:g}"
 
@@ -133,9 +124,7 @@ def score_postings(
     """
     rules = default_rules() if rules is None else rules
     if len(rules) > LITERAL_RULE_LIMIT:
-        if folded or only_if:
-            raise ValueError("score_by_tokens takes raw text and no guard")
-        return score_by_tokens(df, rules, title, description)
+        return score_by_tokens(df, rules, title, description, folded=folded, only_if=only_if)
     by = ordered(rules)
     base = df.columns
     if folded:
@@ -191,46 +180,37 @@ def score_postings(
     return tmp.select(*[F.col(x) for x in base], final.alias("match_score"), reason.alias("match_reason"))
 
 
-_WORD_RUN = re.compile(r"^[^\W]+", re.UNICODE)
-
-
-def lead_word(folded_keyword: str) -> str | None:
-    m = _WORD_RUN.match(folded_keyword)
-    return m.group(0) if m else None
-
-
 def score_by_tokens(
     df: DataFrame,
     rules: list[Rule] | DataFrame,
     title: str = "title",
     description: str = "description",
     key: str | None = None,
+    folded: bool = False,
+    only_if: str | None = None,
 ) -> DataFrame:
     """Same result as ``score_postings`` for rule sets of any size.
 
-    A whole-word match of a keyword that starts with a word character starts
-    at a text token equal to the keyword's leading word.  Candidates come from
-    an equi-join of (row, token) with (rule, leading word); each candidate is
-    then verified with the exact pattern, so the result is exact.  Keywords
-    that begin with a non-word character have no leading word and are refused
-    here (``score_postings`` handles them).
+    Where a keyword matches as a whole word, its first run of word characters
+    is a whole token of the text.  Candidates come from an equi-join of
+    (row, token) with (rule, first word); each candidate is then verified with
+    the exact pattern, so the result is exact.  Keywords without any word
+    character are verified against every row (an empty token stands for them,
+    added only where there are such rules).  ``folded`` and ``only_if`` are
+    those of ``score_postings``.
 
     ``key`` names a unique row key used to join the hits back; without one a
     row id is generated and pinned with a reliable checkpoint, so a task
     recomputed after an executor loss cannot hand out different ids.
     """
     spark = df.sparkSession
-    if not isinstance(rules, DataFrame):
-        bad = [r.keyword for r in rules if r.folded and lead_word(r.folded) is None]
-        if bad:
-            raise ValueError(f"keywords without a leading word character need score_postings: {bad}")
     if isinstance(rules, DataFrame):
         rdf = rules.select("section", "pos", "keyword", "weight")
     else:
         rdf = rules_frame(spark, rules)
     # keyword folding mirrors the text fold (lower case + sharp s)
     rdf = rdf.withColumn("folded", fold_text("keyword")).filter(F.col("folded") != "")
-    rdf = rdf.withColumn("lead", F.regexp_extract("folded", r"^[\p{L}\p{N}_]+", 0))
+    rdf = rdf.withColumn("lead", F.regexp_extract("folded", r"[\p{L}\p{N}_]+", 0))
     rdf = rdf.withColumn(
         "pattern",
         F.concat(
@@ -249,19 +229,22 @@ def score_by_tokens(
 
         checkpoint_dir(spark)
         keyed = df.withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True)
-    texts = keyed.select(
+    fold = F.col if folded else fold_text
+    guarded = keyed.filter(F.col(only_if)) if only_if else keyed
+    texts = guarded.select(
         "_rid",
-        fold_text(title).alias("_st"),
-        fold_text(description).alias("_sd"),
+        fold(title).alias("_st"),
+        fold(description).alias("_sd"),
     ).withColumn("_sc", F.concat(F.col("_st"), F.lit(" "), F.col("_sd")))
-    tokens = texts.select(
-        "_rid", F.explode(F.array_distinct(F.split("_sc", r"[^\p{L}\p{N}_]+"))).alias("lead")
-    ).filter(F.col("lead") != "")
+    words = F.filter(F.array_distinct(F.split("_sc", r"[^\p{L}\p{N}_]+")), lambda x: x != "")
+    if rdf.filter(F.col("lead") == "").limit(1).count():
+        words = F.array_append(words, F.lit(""))
+    tokens = texts.select("_rid", F.explode(words).alias("lead"))
     from .ordering import broadcast_if_small
 
     # equi-join on the leading word; the rules side is broadcast only when its size is
     # proven small, so a hot token ('the') never gathers all its rows in one task
-    by_lead = tokens.join(broadcast_if_small(rdf.filter(F.col("lead") != "")), "lead")
+    by_lead = tokens.join(broadcast_if_small(rdf), "lead")
     cand = by_lead.select("_rid", "section", "pos", "keyword", "weight", "pattern", "order")
     hits = cand.join(texts, "_rid").select(
         "_rid", "section", "pos", "keyword", "weight", "order",
@@ -293,7 +276,7 @@ def score_by_tokens(
         F.sort_array(F.collect_list(F.struct("order", "pos", "contrib", label.alias("label")))).alias("hits")
     )
     phrase = fold_literal(EXPORT_CONTROL_PHRASE)
-    joined = keyed.join(per_row, "_rid", "left").join(texts.select("_rid", "_sc"), "_rid")
+    joined = keyed.join(per_row, "_rid", "left").join(texts.select("_rid", "_sc"), "_rid", "left")
     hits_arr = F.coalesce(F.col("hits"), F.array().cast("array<struct<order:int,pos:int,contrib:double,label:string>>"))
     adds = F.filter(hits_arr, lambda h: h["order"] < 2)
     pens = F.filter(hits_arr, lambda h: h["order"] == 2)
@@ -310,6 +293,8 @@ def score_by_tokens(
         F.when(pen != "", F.concat(F.lit(". Penalties: "), pen)).otherwise(F.lit("")),
     )
     final = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(total, 0))).cast("int")
+    if only_if:
+        final, reason = F.when(F.col(only_if), final), F.when(F.col(only_if), reason)
     return joined.select(*[F.col(x) for x in base], final.alias("match_score"), reason.alias("match_reason"))
 
 

@@ -587,6 +587,12 @@ def queries() -> dict[str, str]:
         FROM v_runs"""
     )
     out["snapshot_write"] = W("SELECT 2 AS version, job_hash, status FROM reviewed")
+    differ = "EXISTS (FROM stored1 EXCEPT ALL FROM reviewed) OR EXISTS (FROM reviewed EXCEPT ALL FROM stored1)"
+    out["snapshot_changed"] = W(
+        "SELECT '1 stored' AS snapshot, (SELECT count(*) FROM stored1) AS rows, true AS changed "
+        f"UNION ALL SELECT '2 reviewed', (SELECT count(*) FROM reviewed), {differ} "
+        "UNION ALL SELECT '3 reordered', (SELECT count(*) FROM reviewed), false"
+    )
     out["sheet_round_trip"] = W("SELECT job_hash, status, notes, match_score >= 35 AS edited FROM reviewed")
     # sorts
     out["sorted_feed"] = W(

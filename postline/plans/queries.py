@@ -13,7 +13,7 @@ import os
 import threading
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, SNAPSHOTS_KEPT
@@ -579,11 +579,13 @@ def snapshot_write(spark, sf):
 
 
 def snapshot_changed(spark, sf):
-    """Order-insensitive checksums of two snapshots and whether they differ."""
-    a = K.content_checksum(stored_first(spark, sf)).withColumn("snapshot", F.lit("stored1"))
-    b = K.content_checksum(reviewed(spark, sf)).withColumn("snapshot", F.lit("reviewed"))
-    c = K.content_checksum(reviewed(spark, sf).orderBy("title")).withColumn("snapshot", F.lit("reviewed_reordered"))
-    return a.unionByName(b).unionByName(c)
+    """Rows of three successive snapshots and whether each differs from the one before (checksums, whatever the order)."""
+    a = K.content_checksum(stored_first(spark, sf)).withColumn("snapshot", F.lit("1 stored"))
+    b = K.content_checksum(reviewed(spark, sf)).withColumn("snapshot", F.lit("2 reviewed"))
+    c = K.content_checksum(reviewed(spark, sf).orderBy("title")).withColumn("snapshot", F.lit("3 reordered"))
+    sums = F.struct("rows", "checksum", "checksum2")
+    before = F.lag(sums).over(Window.orderBy("snapshot"))  # three rows
+    return a.unionByName(b).unionByName(c).select("snapshot", "rows", F.coalesce(sums != before, F.lit(True)).alias("changed"))
 
 
 def stream_ingest(spark, sf):

@@ -217,29 +217,33 @@ def score_columns(rules, t: str = "_st", d: str = "_sd", c: str = "_sc") -> tupl
 
 
 # --- markup -------------------------------------------------------------------
-from ..functions.text import HTML_ENTITIES, _BLOCKS, _COMMENT, _NUMERIC_REF, _TAG  # noqa: E402
+from ..functions.text import C1_CODES, HTML_ENTITIES, MAX_REF_DIGITS, _BLOCKS, _COMMENT, _REFERENCE, _REF_DIGITS, _TAG  # noqa: E402
 
 
-def _ref_char(r: str) -> str:
+_NAMES = "MAP {" + ", ".join(f"{lit(name)}: {lit(text)}" for name, text in HTML_ENTITIES.items()) + "}"
+
+
+def _ref_text(r: str) -> str:
+    digits = f"regexp_extract({r}, {lit(_REF_DIGITS)}, 1)"
     code = (
-        f"(CASE WHEN lower(substr({r}, 3, 1)) = 'x' THEN TRY_CAST('0x' || substr({r}, 4, length({r}) - 4) AS BIGINT) "
-        f"ELSE TRY_CAST(substr({r}, 3, length({r}) - 3) AS BIGINT) END)"
+        f"(CASE WHEN length({digits}) > {MAX_REF_DIGITS} THEN 1114112 "
+        f"WHEN lower(substr({r}, 3, 1)) = 'x' THEN coalesce(TRY_CAST('0x' || {digits} AS BIGINT), 0) "
+        f"ELSE coalesce(TRY_CAST({digits} AS BIGINT), 0) END)"
     )
+    mapped = f"(CASE WHEN {code} BETWEEN 128 AND 159 THEN {list(C1_CODES)}[{code} - 127] ELSE {code} END)"
     valid = f"({code} > 0 AND {code} <= 1114111 AND NOT ({code} >= 55296 AND {code} <= 57343))"
-    return f"(CASE WHEN {valid} THEN chr(CAST({code} AS INTEGER)) ELSE '�' END)"
+    char = f"(CASE WHEN {valid} THEN chr(CAST({mapped} AS INTEGER)) ELSE '�' END)"
+    return f"(CASE WHEN starts_with({r}, '&#') THEN {char} ELSE coalesce({_NAMES}[{r}], {r}) END)"
 
 
 def decode_entities(x: str) -> str:
-    refs = f"regexp_extract_all({x}, {lit('(' + _NUMERIC_REF + ')')}, 1)"
-    pieces = f"regexp_split_to_array({x}, {lit(_NUMERIC_REF)})"
+    refs = f"regexp_extract_all({x}, {lit('(' + _REFERENCE + ')')}, 1)"
+    pieces = f"regexp_split_to_array({x}, {lit(_REFERENCE)})"
     joined = (
         f"list_transform([{{'p': {pieces}, 'r': {refs}}}], lambda z: z.p[1] || "
-        f"array_to_string(list_transform(z.r, lambda r, i: {_ref_char('r')} || z.p[i + 1]), ''))[1]"
+        f"array_to_string(list_transform(z.r, lambda r, i: {_ref_text('r')} || z.p[i + 1]), ''))[1]"
     )
-    out = f"(CASE WHEN len({refs}) = 0 THEN {x} ELSE {joined} END)"
-    for name, char in HTML_ENTITIES:
-        out = f"replace({out}, {lit(name)}, {lit(char)})"
-    return out
+    return f"(CASE WHEN len({refs}) = 0 THEN {x} ELSE {joined} END)"
 
 
 def markup_text(x: str) -> str:

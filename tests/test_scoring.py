@@ -1,4 +1,5 @@
 from postline.constants import EXPORT_CONTROL_PHRASE
+from postline.operators.merge import flag_batch
 from postline.operators.scoring import Rule, score_by_tokens, score_postings
 from tests.conftest import frame
 
@@ -78,3 +79,18 @@ def test_token_path_labels_follow_g_format(spark):
     a = score_postings(df, rules).first().match_reason
     b = score_by_tokens(df, rules).first().match_reason
     assert a == b, (a, b)
+
+
+def test_thousands_of_rules_through_flag_batch(spark):
+    """More rules than literal columns take: same scores, also for keywords that begin with no word character or have none."""
+    few = [Rule("include", 0, "C++", 10.0), Rule("include", 1, ".NET", 7.0), Rule("include", 2, "++", 3.0), Rule("title_boost", 0, "#1 engineer", 20.0), Rule("exclude", 0, "sales", 4.0)]
+    many = few + [Rule("include", 10 + i, f"absent{i}", 1.0) for i in range(5000)]
+    df = frame(spark, [
+        dict(seq=1, title="#1 Engineer", description="C++ and .NET", location="Austin, TX"),
+        dict(seq=2, title="Engineer", description="x ++ y, sales", location="Austin, TX"),
+        dict(seq=3, title="C++ Engineer", location="Toronto, Canada"),
+        dict(seq=4, title="Plain", location="Austin, TX"),
+    ])
+    want, got = ({r.seq: (r.eligible, r.match_score, r.match_reason) for r in flag_batch(df, rules).collect()} for rules in (few, many))
+    assert got == want
+    assert want[1][1] == 37 and want[3] == (False, None, None) and "++" in want[2][2]

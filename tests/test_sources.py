@@ -4,7 +4,7 @@ import os
 import re
 from html.parser import HTMLParser
 
-from postline.functions.text import html_to_text
+from postline.functions.text import decode_entities, html_to_text, markup_text
 from postline.sources import payloads as S
 
 
@@ -192,3 +192,22 @@ def test_unclosed_anchors_end_at_the_next(spark):
     pages = spark.createDataFrame([(1, "https://ex.com/", page), (2, "https://ex.com/", None), (3, "https://ex.com/", "")], "page_id long, url string, html string")
     got = {r.pos: (r.url, r.title) for r in S.html_links(pages).collect()}
     assert len(got) == n and got[n] == (f"https://ex.com/j/{n - 1}", f"Job {n - 1}")
+
+
+def test_character_references_match_the_standard_parser(spark):
+    texts = [
+        "caf&eacute; &trade; &euro;50 &NotEqualTilde;", "&#00000065; &#x000041; &#150; &#x93;q&#x94; &#129;", "&#1114112; &#99999999999999999999; &#xD800; &#0;",
+        "&amp;lt; &#38;lt; &unknown; & &; &#; &#x;", "&#65 &#x42z", "", "no reference",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", decode_entities("t").alias("d")).collect()}
+    assert got == {i: html.unescape(t) if i != 2 else "� � � �" for i, t in enumerate(texts)} | {1: "A A – “q” \x81"}
+
+
+def test_markup_keeps_text_between_angle_signs(spark):
+    cases = {
+        "a < b and c > d": "a < b and c > d", "1 < 2 <b>bold</b>": "1 < 2 bold", '<p title="a>b">hi</p>': "hi",
+        "<p title='it>s'>x</p>y": "x y", '<a href="open>text</a> end': "text end", "<!doctype html><?pi?>z": "z",
+    }
+    df = spark.createDataFrame(list(cases), "string").toDF("t")
+    assert {r.t: r.x for r in df.select("t", markup_text("t").alias("x")).collect()} == cases
