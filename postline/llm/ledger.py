@@ -122,13 +122,12 @@ class Ledger:
         paths = cut(own.select("path", "blob"), "paths")
         every = F.array(*[F.lit(r.name) for r in rules])
         seen = self.scanned().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = paths.groupBy("blob").agg(F.min(F.struct(F.col("path").isNull().alias("no"), F.col("path"))).alias("first"))
         missing = F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))
-        todo = blobs.join(seen, "blob", "left").withColumn("rules", missing).where(F.size("rules") > 0)
-        todo = cut(todo.select(F.col("blob").alias("_blob"), F.col("first.path").alias("_path"), "rules"), "todo")
-        # one row of each blob; by blob and path, so that a blob with very many paths isn't dealt to one task
-        text = own.join(todo.hint("shuffle_hash"), (own.blob == todo["_blob"]) & own.path.eqNullSafe(todo["_path"]))
-        text = text.select("blob", F.coalesce("text", F.lit("")).alias("text"), "rules")
+        todo = paths.select("blob").distinct().join(seen, "blob", "left").withColumn("rules", missing).where(F.size("rules") > 0)
+        todo = cut(todo.select(F.col("blob").alias("_blob"), "rules"), "todo")
+        # one row of each blob, whatever its paths; each task keeps one before they are dealt, so a blob with very many rows isn't dealt to one task
+        one = own.groupBy("blob").agg(F.any_value(F.coalesce("text", F.lit(""))).alias("text"))
+        text = one.join(todo.hint("shuffle_hash"), one.blob == todo["_blob"]).select("blob", "text", "rules")
         scan(text, rules).write.mode("append").parquet(f"{self.root}/findings")
         todo.select(F.col("_blob").alias("blob"), "rules").write.mode("append").parquet(f"{self.root}/scanned")
         return paths

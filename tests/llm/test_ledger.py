@@ -98,3 +98,11 @@ def test_redaction_takes_out_every_span_and_nothing_else(spark):
     assert ledger.redact(docs).columns == docs.columns
     untouched = documents(spark)
     assert collected(ledger.redact(untouched), "doc_id", "text") == collected(untouched, "doc_id", "text")
+
+
+def test_repeated_rows_with_a_text_of_their_own_are_scanned_once(spark):
+    text = "0123456789" + "a1" * 10 + " mid " + "b2" * 15 + " end"
+    docs = documents(spark, [(70, text, "en", "a"), (70, text, "en", "a"), (None, text + "!", "en", "a"), (None, text + "!", "en", "b")])
+    want = sorted((expected(r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert collected(ledger.secrets(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
+    assert {r.text for r in ledger.redact(docs).collect()} == {"[SECRET] mid [SECRET] end", "[SECRET] mid [SECRET] end!"}
