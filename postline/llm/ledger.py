@@ -53,9 +53,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
+#: A key block reaches to its END line. Without one (cut off, or another block begins first) it has the header fields
+#: and runs of base64 that follow, and a shorter last line. Loops are possessive, so they need no stack and no second pass.
+_TO_END = r"(?>[^-]*+(?:-(?!----)[^-]*+)*+)-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_GAP = r"(?:[\s\x22',+>]|\\[nrt])"
+_BODY = rf"(?:{_GAP}++(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+(?:{_GAP}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?![^\s\x22'\\]|[\x20\t]*+[^\s\x22'\\]))?+)*+"
 #: Kinds beside them: key blocks, JSON web tokens, and tokens with a service's own beginning.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_TO_END}|{_BODY})", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
     Rule("service", r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"),
 )

@@ -106,3 +106,22 @@ def test_repeated_rows_with_a_text_of_their_own_are_scanned_once(spark):
     want = sorted((expected(r.doc_id, r.text) for r in docs.collect()), key=repr)
     assert collected(ledger.secrets(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
     assert {r.text for r in ledger.redact(docs).collect()} == {"[SECRET] mid [SECRET] end", "[SECRET] mid [SECRET] end!"}
+
+
+def test_redaction_takes_out_whole_private_keys(spark):
+    lines = [("MIIEowIBAAKCAQEA" + "Ab1+/Zq9" * 6)[:64] for _ in range(25)] + ["Qx7T9kd="]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n"
+    body = "\n".join(lines)
+    texts = [
+        f"see {head}\n{body}\n{tail} end", f"see {head}\r\n{fields}{body}\r\n{tail} end", "see " + f"{head}\n{body}\n{tail}".replace("\n", "\\n") + " end",
+        f"see {head} {' '.join(lines)} {tail} end", f"see {head}\n{body}", f"see {head}\n{fields}{body}\n\nwords that follow end",
+        f"see {head}\n{body}\n{head}\n{body}\n{tail} end", f"see {head} and {head} in words, end", "see " + f"{head}\n{lines[0] * 3000}\n" + "- " * 20_000 + tail + " end",
+    ]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = dict(collected(ledger.redact(docs), "doc_id", "text"))
+    for i, t in got.items():
+        assert lines[0][:20] not in t and lines[-1] not in t and "0A1B2C3D" not in t, i
+        assert t.startswith("see [SECRET]") and (i == 4 or t.endswith(" end")), i
+    assert [got[i] for i in (0, 1, 2, 3, 8)] == ["see [SECRET] end"] * 5 and got[4] == "see [SECRET]"
+    assert got[5] == "see [SECRET]\n\nwords that follow end" and got[7] == "see [SECRET] and [SECRET] in words, end"
