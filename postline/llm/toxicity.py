@@ -252,9 +252,7 @@ def _sample_features(model: np.ndarray):
                 every.update(found)
                 if toxic:
                     pos.update(found)
-            names = list(pos)  # a feature that no toxic row has can't be chosen
-            rest = [n for n in every if n not in pos and every[n] > 1]
-            names += rest
+            names = list(every)  # what can't be chosen is known only from the sums over all batches
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[n] for n in names], pa.int64()), pa.array([every[n] for n in names], pa.int64())], names=["name", "pos", "n"])
 
     return run

@@ -114,3 +114,16 @@ def test_character_counts_match_one_pass(spark):
     model = toxicity.character_model(docs)
     assert model.shape == (28,) * 4 and np.allclose(np.exp(model.astype(float)).sum(axis=-1), 1, atol=1e-3)
     assert model[27, 27, 27, 0] > model[27, 27, 27, 25]  # a word began with a, none with z
+
+
+def test_counts_of_features_do_not_depend_on_batches(spark, corpus):
+    rows, labels = corpus
+    docs, told = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chosen = []
+    for size in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            chosen.append(toxicity.train(docs, told).names)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert chosen[0] == chosen[1] and {"idiot", "scumbag", "worthless"} <= set(chosen[0])
