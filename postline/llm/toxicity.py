@@ -3,15 +3,16 @@
 Channel. A written token may come from a word by leetspeak (a digit or symbol for a
 letter), by spacing or separators between single letters, or by repeated letters. Each
 token that shows such marks spans a character lattice: a symbol may stand for its letters or
-for nothing, a repeated letter may be dropped, a separator may be dropped. Viterbi decoding
+for nothing, a repeated letter may be dropped, a separator may be dropped or end a word. Viterbi decoding
 finds the path with the best sum of channel costs and character language model scores
 (order 4, counted by Spark over every document). A token without marks has one path, itself.
 
 Scores. A logistic regression over whole words and word beginnings of the restored text,
 fitted on at most ``sample_rows`` labelled rows (the bound is a parameter; rows are taken by
-a hash of their id). Only the marked tokens whose skeleton (letters folded over what leet
-symbols may mean, repetitions collapsed) begins like some feature are decoded: a lattice path
-keeps its token's skeleton, so no other token could restore to a feature.
+a hash of their id). A token of any length is decoded twice, as one word and with word ends at
+its symbols, and the reading with most features counts. Only the marked tokens of which some path
+may have a word that begins like some feature (letters folded over what leet symbols may mean, repetitions
+collapsed, symbols there or left out) are decoded; no other token could restore to a feature.
 
 Defined cases: null and empty texts score like a text without any feature; null labels and
 labels of unknown documents are not learned from; without labels of both kinds every
@@ -124,41 +125,76 @@ def skeleton(token: str) -> str:
     return "".join(out)
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The best path through the lattice of a lower-case token, letters only."""
-    token = token.lower().translate(_ACCENTS)
-    best: dict[tuple[int, int, int], tuple[float, str]] = {(_EDGE, _EDGE, _EDGE): (0.0, "")}
+def _ways(c: str, last: str) -> list[tuple[str, float]]:
+    if c in LEET:
+        return [(x, COST_LEET) for x in LEET[c]] + [("", COST_DROP)] + ([("", COST_REPEAT)] if c == last else [])
+    if c.isalpha():
+        return [(c, 0.0)] + ([("", COST_REPEAT)] if c == last else [])
+    return [("", COST_SPACE if c in SEPARATORS else COST_DROP)]
+
+
+def _best_path(token: str, model: np.ndarray, split: bool) -> str:
+    """The best path through the lattice of a token; with ``split``, a symbol may end a word, which gives a space.
+
+    Steps are given out as soon as all paths share them, so a token of any length needs little memory.
+    """
+    start = (_EDGE, _EDGE, _EDGE)
+    best: dict[tuple[int, int, int], float] = {start: 0.0}
+    steps: list[dict] = []  # state -> (state before, what is written)
+    out: list[str] = []
     last = ""
-    for c in token:
-        ways: list[tuple[str, float]] = []
-        if c in LEET:
-            ways = [(x, COST_LEET) for x in LEET[c]] + [("", COST_DROP)]
-            if c == last:
-                ways.append(("", COST_REPEAT))
-        elif c.isalpha():
-            ways = [(c, 0.0)] + ([("", COST_REPEAT)] if c == last else [])
-        elif c in SEPARATORS:
-            ways = [("", COST_SPACE)]
-        else:
-            ways = [("", COST_DROP)]
+
+    def trace(upto: int, state: tuple[int, int, int]) -> None:
+        path = []
+        for step in reversed(steps[:upto]):
+            state, written = step[state]
+            path.append(written)
+        out.extend(reversed(path))
+        del steps[:upto]
+
+    for c in token.lower().translate(_ACCENTS):
+        ways = [(x, cost, int(_codes(x)[0]) if x else -1) for x, cost in _ways(c, last)]
+        if split and not c.isalnum():
+            ways.append((" ", 0.0, _EDGE))
         last = c
-        after: dict[tuple[int, int, int], tuple[float, str]] = {}
-        for state, (score, out) in best.items():
-            for letter, cost in ways:
-                if letter:
-                    s = int(_codes(letter)[0])
-                    at, value, text = (*state[1:], s), score + float(model[state][s]) - cost, out + letter
+        after, back = {}, {}
+        for state, score in best.items():
+            for written, cost, s in ways:
+                if written == " ":
+                    at, value = start, score + (float(model[state][s]) if state != start else 0.0)
+                elif written:
+                    at, value = (state[1], state[2], s), score + float(model[state][s]) - cost
                 else:
-                    at, value, text = state, score - cost, out
-                if at not in after or value > after[at][0]:
-                    after[at] = (value, text)
+                    at, value = state, score - cost
+                if at not in after or value > after[at]:
+                    after[at], back[at] = value, (state, written)
         best = after
-    return max(best.values() if not best else [(v + float(model[s][_EDGE]), t) for s, (v, t) in best.items()])[1]
+        steps.append(back)
+        if len(best) == 1 or len(steps) % 1024 == 0:
+            heads, upto = set(best), len(steps)
+            while len(heads) > 1 and upto:
+                upto -= 1
+                heads = {steps[upto][s][0] for s in heads}
+            if len(heads) == 1:
+                trace(upto, heads.pop())
+    end = max(best, key=lambda s: best[s] + (0.0 if split and s == start else float(model[s][_EDGE])))
+    trace(len(steps), end)
+    return "".join(out)
+
+
+def decode(token: str, model: np.ndarray) -> str:
+    """The best path that makes one word of a token, letters only."""
+    return _best_path(token, model, False)
+
+
+def restore(token: str, model: np.ndarray) -> list[str]:
+    """The words of the best path on which each symbol may be a word's end."""
+    return _best_path(token, model, True).split()
 
 
 _CORE = re.compile(r"^[\W_]+|[\W_]+$")
 _REPEATED = re.compile(r"(.)\1\1|(.)\2(?=.*(.)\3\3)")
-LONGEST = 64  # a token of more characters is no obfuscated word; its letter runs are taken as they stand
+LONGEST = 64  # longer tokens are decoded as well, but not remembered
 
 
 @dataclass
@@ -169,31 +205,58 @@ class Reader:
     names: dict[str, int] | None = None
     memo: dict[str, tuple[int, ...] | tuple[str, ...]] = field(default_factory=dict)
     starts: set[str] = field(default_factory=set)
+    begins: set[str] | None = None
 
     def __post_init__(self):
         if self.names is not None:
             self.starts = {skeleton(n.lstrip("^"))[:3] for n in self.names}
 
+    def may_restore(self, low: str) -> bool:
+        """Whether some path of a lower-case token has a word that begins like a feature: each leet symbol may be
+        its letter or nothing, and a word may begin first or after any symbol."""
+        if "" in self.starts:
+            return True
+        if self.begins is None:
+            self.begins = {s[:k] for s in self.starts for k in range(len(s))}
+        states = {""}
+        for c in low.translate(_ACCENTS):
+            x = LEET[c][0] if c in LEET else c
+            x = _SAME.get(x, x)
+            if x.isalpha():
+                after = {s if s[-1:] == x else s + x for s in states}
+                if not after.isdisjoint(self.starts):
+                    return True
+                after &= self.begins
+                states = after | states if c in LEET else after
+            if not c.isalnum():
+                states = states | {""}
+        return False
+
+    def evidence(self, words: list[str]) -> tuple[int, int]:
+        """How many words are features, and how many features they have."""
+        return sum(w in self.names for w in words), sum(f in self.names for w in words for f in self.features(w))
+
     def words(self, token: str) -> list[str]:
-        """The restored words of one token."""
+        """The restored words of one token: of its readings the one with most features, as it stands where none has more."""
         low = token.lower()
         core = _CORE.sub("", low)
-        if core.isalpha() and not (len(core) <= LONGEST and re.search(r"(.)\1\1", core)):
+        if core.isalpha() and not re.search(r"(.)\1\1", core):
             if core == low or not any(c in LEET for c in low):
                 return [core]
             plain = [core]  # symbols at its edges may be letters as well
         else:
             plain = [w for w in re.split(r"[\W\d_]+", core) if w]
-        if len(low) > LONGEST or not any(c.isalpha() for c in low):
+        if not any(c.isalpha() for c in low):
             return plain
-        shapes = {skeleton(core)} | {skeleton(low)}
-        if self.names is not None and not any(s[:3] in self.starts for s in shapes):
+        if self.names is not None and not self.may_restore(low):
             return plain
-        restored = {decode(core, self.model), decode(low, self.model)} - {""}
+        written = sorted({core, low})
+        readings = [[w] for w in sorted({decode(t, self.model) for t in written} - {""})]
+        if re.search(r"[\W_]", core):
+            readings += [restore(t, self.model) for t in written]
         if self.names is None:
-            return sorted({*plain, *restored})
-        known = [w for w in sorted(restored) if w in self.names]
-        return [known[0]] if known else plain
+            return sorted({*plain, *(w for r in readings for w in r)})
+        return max([plain, *readings], key=self.evidence)
 
     @staticmethod
     def features(word: str) -> list[str]:
@@ -244,11 +307,21 @@ class Reader:
 
 def _sample_features(model: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader, known = Reader(model), {}
+
+        def look(token: str) -> tuple[str, ...]:
+            if (got := known.get(token)) is None:
+                got = tuple({f for w in reader.words(token) for f in reader.features(w)})
+                if len(known) >= MEMO:
+                    known.clear()
+                if len(token) <= LONGEST:
+                    known[token] = got
+            return got
+
         for batch in batches:
             pos, every = Counter(), Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = {f for t in reader.tokens(text or "") for w in reader.words(t) for f in reader.features(w)}
+                found = {f for t in reader.tokens(text or "") for f in look(t)}
                 every.update(found)
                 if toxic:
                     pos.update(found)

@@ -127,3 +127,20 @@ def test_counts_of_features_do_not_depend_on_batches(spark, corpus):
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert chosen[0] == chosen[1] and {"idiot", "scumbag", "worthless"} <= set(chosen[0])
+
+
+@pytest.mark.parametrize("written", ["id" + "i" * 80 + "ot", "w" + " . - " * 3 + "o r t h l e s s", "1d10ts", "id0iot", "o n s c u m b a g", "i d i o t w o r t h l e s s", "the/" * 20 + "1d10t", " ".join("ontheing" * 5) + " i d i o t", "on-1d10t", "idiot!scumb4g"])
+def test_obfuscated_words_are_found_in_long_tokens_runs_and_inflections(spark, corpus, written, _cache={}):
+    if "scorer" not in _cache:
+        _cache["scorer"] = scorer_of(spark, corpus)
+    s = _cache["scorer"]
+    reader = toxicity.Reader(s.model, s.names)
+    low, high = s.scores([prose(900, 40), f"{prose(900, 20)} {written} {prose(901, 20)} {written}"], reader)
+    assert low < 0.5 and high > 2 * low, (low, high)
+    assert reader.numbers(written)
+
+
+def test_a_long_path_is_the_same_in_pieces(spark, corpus):
+    model = scorer_of(spark, corpus).model
+    assert toxicity.restore("the-" * 3000 + "1d10t", model) == ["the"] * 3000 + ["idiot"]
+    assert len(toxicity.decode("1" * 5000 + "a", model)) > 0
