@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postline.llm import embeddings, ledger, mixing, packing, quality, sharding, simhash, token_counts, toxicity, warc
+from postline.llm import embeddings, ledger, line_dedup, mixing, oracle, packing, quality, sharding, simhash, simplex, token_counts, toxicity, warc, whitening
 from postline.llm.common import read
 
 
@@ -54,6 +54,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"), keep="none", min_docs=10, min_chars=1)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_simplex": op11_simplex,
+    "op12_lines": op12_lines,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.QUERIES)
