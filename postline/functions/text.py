@@ -1,4 +1,4 @@
-"""Text column functions: whitespace cleaning, case folding, HTML to text.
+"""Text column functions: whitespace cleaning and case folding.
 
 All built from ``pyspark.sql.functions`` so they stay inside whole-stage
 codegen; none of them is a Python UDF.
@@ -6,9 +6,7 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
-import json as _json
 import re as _re
-from html.entities import html5 as _html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +20,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body of a variable that stands for value, so that value is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(c) -> Column:
     """Strip and collapse whitespace; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), _WS_RUN, " "))
@@ -70,103 +73,3 @@ def nonempty(c) -> Column:
 
 def first_truthy(*cols) -> Column:
     return F.coalesce(*[nonempty(c) for c in cols], F.lit(""))
-
-
-# named character references with their semicolon, as the standard library tables them
-HTML_ENTITIES = {"&" + name: text for name, text in _html5.items() if name.endswith(";")}
-# code points 128 to 159 are read as that byte of windows-1252, where it has a character
-C1_CODES = tuple(ord(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(128, 160))
-_REFERENCE = r"&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;)"
-# sign and leading zeros of a numeric reference, then the digits that count
-_REF_DIGITS = r"^&#[xX]?0*([0-9a-fA-F]*)"
-MAX_REF_DIGITS = 7  # more significant digits are beyond the last code point
-
-
-def _code_point_text(code: Column) -> Column:
-    """UTF-8 text of one code point given as a BIGINT column."""
-    b1 = F.when(code < 0x80, F.lpad(F.hex(code), 2, "0"))
-    b2 = F.when(
-        code < 0x800,
-        F.concat(F.hex(F.lit(0xC0) + F.shiftright(code, 6)), F.hex(F.lit(0x80) + (code % 64))),
-    )
-    b3 = F.when(
-        code < 0x10000,
-        F.concat(
-            F.hex(F.lit(0xE0) + F.shiftright(code, 12)),
-            F.hex(F.lit(0x80) + (F.shiftright(code, 6) % 64)),
-            F.hex(F.lit(0x80) + (code % 64)),
-        ),
-    )
-    b4 = F.concat(
-        F.hex(F.lit(0xF0) + F.shiftright(code, 18)),
-        F.hex(F.lit(0x80) + (F.shiftright(code, 12) % 64)),
-        F.hex(F.lit(0x80) + (F.shiftright(code, 6) % 64)),
-        F.hex(F.lit(0x80) + (code % 64)),
-    )
-    valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
-    return F.when(
-        valid, F.decode(F.unhex(F.coalesce(b1, b2, b3, b4)), "UTF-8")
-    ).otherwise(F.lit("�"))
-
-
-def _ref_code(ref: Column) -> Column:
-    digits = F.regexp_extract(ref, _REF_DIGITS, 1)
-    hexed = F.lower(F.substring(ref, 3, 1)) == "x"
-    code = F.when(hexed, F.conv(digits, 16, 10).try_cast("bigint")).otherwise(digits.try_cast("bigint"))
-    return F.when(F.length(digits) > MAX_REF_DIGITS, F.lit(0x110000)).otherwise(F.coalesce(code, F.lit(0))).cast("bigint")
-
-
-def decode_entities(c) -> Column:
-    """Decode numeric character references of any length and named ones (with their semicolon), in one pass.
-
-    A code that is no character becomes U+FFFD; an unknown name stays as it is.
-    """
-    c = _col(c)
-    refs = F.regexp_extract_all(c, F.lit("(" + _REFERENCE + ")"), 1)
-    pieces = F.split(c, _REFERENCE, -1)
-    names = F.from_json(F.lit(_json.dumps(HTML_ENTITIES)), "map<string,string>")  # folded to one literal
-    c1 = F.array(*[F.lit(x).cast("bigint") for x in C1_CODES])
-    # (code, reference) first, so that the text of a code refers to a variable and not to its whole expression
-    coded = F.transform(refs, lambda r: F.struct(F.when(F.startswith(r, F.lit("&#")), _ref_code(r)).alias("n"), r.alias("r")))
-    coded = F.transform(
-        coded, lambda x: F.struct(F.when(x["n"].between(128, 159), F.element_at(c1, (x["n"] - 127).cast("int"))).otherwise(x["n"]).alias("n"), x["r"].alias("r"))
-    )
-
-    def ref_text(x: Column) -> Column:
-        return F.when(x["n"].isNotNull(), _code_point_text(x["n"])).otherwise(F.coalesce(F.try_element_at(names, x["r"]), x["r"]))
-
-    decoded = F.concat(
-        F.element_at(pieces, 1),
-        F.array_join(F.zip_with(coded, F.slice(pieces, 2, 1 << 30), lambda x, p: F.concat(ref_text(x), p)), ""),
-    )
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
-
-
-_COMMENT = r"(?s)<!--.*?-->"
-_BLOCKS = tuple(
-    r"(?is)<" + tag + r"\b[^>]*>.*?</" + tag + r"\s*>" for tag in ("script", "style", "template")
-)
-# a tag begins with a letter, '/', '!' or '?'; a '>' within a quoted value doesn't end it
-_TAG = (
-    r"<[A-Za-z/!?](?:[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*|[^>]*)>"
-)
-
-
-def markup_text(c) -> Column:
-    """Text of a markup fragment: comments, script/style/template blocks and
-    tags dropped, character references decoded, whitespace collapsed."""
-    s = F.coalesce(_col(c), F.lit(""))
-    s = F.regexp_replace(s, _COMMENT, " ")
-    for block in _BLOCKS:
-        s = F.regexp_replace(s, block, " ")
-    s = F.regexp_replace(s, _TAG, " ")
-    return clean_text(decode_entities(s))
-
-
-def html_to_text(c) -> Column:
-    """Markup to whitespace-collapsed text.
-
-    Escaped markup is decoded first (payloads often carry ``&lt;p&gt;``),
-    then the fragment's text is taken with ``markup_text``.
-    """
-    return markup_text(decode_entities(F.coalesce(_col(c), F.lit(""))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NETLOC_SCHEMES, TRACKING_PARAMETERS, TRACKING_PREFIX
 from .regex import WS_CLASS
+from .text import let
 
 # scheme, authority, path, query, fragment
 URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -99,76 +100,49 @@ def safe_link(c) -> Column:
 
 
 def _remove_dots(segments: Column) -> Column:
-    init = F.array().cast("array<string>")
-
     def step(acc: Column, seg: Column) -> Column:
-        return (
-            F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .when(seg == ".", acc)
-            .otherwise(F.array_append(acc, seg))
-        )
+        return F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(seg == ".", acc).otherwise(F.array_append(acc, seg))
 
-    resolved = F.aggregate(segments, init, step)
-    last = F.element_at(segments, -1)
-    resolved = F.when(last.isin(".", ".."), F.array_append(resolved, F.lit(""))).otherwise(resolved)
-    return F.array_join(resolved, "/")
+    resolved = F.aggregate(segments, F.array().cast("array<string>"), step)
+    open_end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(resolved, open_end), "/")
+
+
+def _relative_segments(b_path: Column, h_path: Column) -> Column:
+    """Segments of the base's folder followed by the link's; empty ones between the first and the last go."""
+    base = let(F.split(b_path, "/", -1), lambda b: F.when(F.element_at(b, -1) != "", F.slice(b, 1, F.size(b) - 1)).otherwise(b))
+    return let(
+        F.concat(base, F.split(h_path, "/", -1)),
+        lambda x: F.filter(x, lambda s, i: (s != "") | (i == 0) | (i == F.size(x) - 1)),
+    )
+
+
+#: Scheme, authority, path, query with its sign and fragment with its sign of a link; the base needs the first four.
+_LINK_PARTS = (("s", URL_PARTS, 1), ("n", URL_PARTS, 2), ("p", URL_PARTS, 3), ("q", r"(?s)^[^?#]*(\?[^#]*)?", 1), ("f", r"(?s)^[^#]*(#.*)?", 1))
 
 
 def resolve_url(base, href) -> Column:
     """Resolve ``href`` against ``base`` the way a browser link does."""
-    base = F.coalesce(_col(base), F.lit(""))
-    href = F.coalesce(_col(href), F.lit(""))
-    b_scheme = F.regexp_extract(base, URL_PARTS, 1)
-    b_netloc = F.regexp_extract(base, URL_PARTS, 2)
-    b_path = F.regexp_extract(base, URL_PARTS, 3)
-    b_query = F.regexp_extract(base, URL_PARTS, 4)
-    h_scheme = F.regexp_extract(href, URL_PARTS, 1)
-    h_netloc = F.regexp_extract(href, URL_PARTS, 2)
-    h_path = F.regexp_extract(href, URL_PARTS, 3)
-    h_query_raw = F.regexp_extract(href, r"(?s)^[^?#]*(\?[^#]*)?", 1)
-    h_frag_raw = F.regexp_extract(href, r"(?s)^[^#]*(#.*)?", 1)
-
-    origin = F.concat(
-        F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(b_netloc != "", F.concat(F.lit("//"), b_netloc)).otherwise(F.lit("")),
-    )
-    base_dir = F.split(b_path, "/", -1)
-    base_dir = F.when(F.element_at(base_dir, -1) != "", F.slice(base_dir, 1, F.size(base_dir) - 1)).otherwise(
-        base_dir
-    )
-    rel_segments = F.concat(base_dir, F.split(h_path, "/", -1))
-    n = F.size(rel_segments)
-    rel_segments = F.when(
-        n > 2,
-        F.concat(
-            F.slice(rel_segments, 1, 1),
-            F.filter(F.slice(rel_segments, 2, n - 2), lambda s: s != ""),
-            F.slice(rel_segments, n, 1),
-        ),
-    ).otherwise(rel_segments)
-    abs_path = _remove_dots(F.split(h_path, "/", -1))
-    rel_path = _remove_dots(rel_segments)
-
-    def with_path(p: Column) -> Column:
-        p = F.when(p == "", F.lit("/")).otherwise(p)
-        p = F.when((b_netloc != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)
-        return F.concat(origin, p, h_query_raw, h_frag_raw)
-
-    return (
-        F.when(href == "", base)
-        .when(h_scheme != "", href)
-        .when(href.startswith("//") & (h_netloc != ""), F.concat(b_scheme, F.lit(":"), href))
-        .when(
-            h_path == "",
-            F.concat(
-                origin,
-                b_path,
-                F.when(h_query_raw != "", h_query_raw).otherwise(
-                    F.when(b_query != "", F.concat(F.lit("?"), b_query)).otherwise(F.lit(""))
-                ),
-                h_frag_raw,
-            ),
+
+    def parts(c: Column) -> Column:
+        return F.struct(c.alias("u"), *[F.regexp_extract(c, pattern, group).alias(name) for name, pattern, group in _LINK_PARTS])
+
+    def resolved(z: Column) -> Column:
+        b, h = z["b"], z["h"]
+        origin = F.concat(F.when(b["s"] != "", F.concat(b["s"], F.lit(":"))).otherwise(F.lit("")), F.when(b["n"] != "", F.concat(F.lit("//"), b["n"])).otherwise(F.lit("")))
+        segments = F.when(h["p"].startswith("/"), F.split(h["p"], "/", -1)).otherwise(_relative_segments(b["p"], h["p"]))
+        path = let(
+            let(segments, _remove_dots),
+            lambda p: F.when(p == "", F.lit("/")).when((b["n"] != "") & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p),
         )
-        .when(h_path.startswith("/"), with_path(abs_path))
-        .otherwise(with_path(rel_path))
-    )
+        # an empty query sign of the base doesn't carry over
+        query = F.when(h["q"] != "", h["q"]).when(b["q"] != "?", b["q"]).otherwise(F.lit(""))
+        return (
+            F.when(h["u"] == "", b["u"])
+            .when(h["s"] != "", h["u"])
+            .when(h["u"].startswith("//") & (h["n"] != ""), F.concat(b["s"], F.lit(":"), h["u"]))
+            .otherwise(F.concat(origin, F.when(h["p"] == "", F.concat(b["p"], query)).otherwise(F.concat(path, h["q"])), h["f"]))
+        )
+
+    pair = F.struct(parts(F.coalesce(_col(base), F.lit(""))).alias("b"), parts(F.coalesce(_col(href), F.lit(""))).alias("h"))
+    return let(pair, resolved)

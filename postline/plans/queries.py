@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, SNAPSHOTS_KEPT
 from ..functions import text as T
 from ..functions.dates import iso_text, next_slot, normalize_date
+from ..functions.markup import html_to_text
 from ..functions.urls import normalize_url, safe_link, url_domain
 from ..operators import eligibility as E
 from ..operators import explore as X
@@ -168,7 +169,7 @@ def fold_text(spark, sf):
 
 def html_text(spark, sf):
     pg = fx.table(spark, sf, "pages")
-    return pg.select("page_id", T.html_to_text("html").alias("text"))
+    return pg.select("page_id", html_to_text("html").alias("text"))
 
 
 def normalize_url_q(spark, sf):

@@ -217,28 +217,31 @@ def score_columns(rules, t: str = "_st", d: str = "_sd", c: str = "_sc") -> tupl
 
 
 # --- markup -------------------------------------------------------------------
-from ..functions.text import C1_CODES, HTML_ENTITIES, MAX_REF_DIGITS, _BLOCKS, _COMMENT, _REFERENCE, _REF_DIGITS, _TAG  # noqa: E402
+from ..functions import markup as M  # noqa: E402
 
 
-_NAMES = "MAP {" + ", ".join(f"{lit(name)}: {lit(text)}" for name, text in HTML_ENTITIES.items()) + "}"
+_NAMES = "MAP {" + ", ".join(f"{lit(name)}: {lit(text)}" for name, text in M.NAMES.items()) + "}"
 
 
 def _ref_text(r: str) -> str:
-    digits = f"regexp_extract({r}, {lit(_REF_DIGITS)}, 1)"
+    digits = f"regexp_extract({r}, {lit(M.REF_DIGITS)}, 1)"
     code = (
-        f"(CASE WHEN length({digits}) > {MAX_REF_DIGITS} THEN 1114112 "
+        f"(CASE WHEN length({digits}) > {M.MAX_REF_DIGITS} THEN 1114112 "
         f"WHEN lower(substr({r}, 3, 1)) = 'x' THEN coalesce(TRY_CAST('0x' || {digits} AS BIGINT), 0) "
         f"ELSE coalesce(TRY_CAST({digits} AS BIGINT), 0) END)"
     )
-    mapped = f"(CASE WHEN {code} BETWEEN 128 AND 159 THEN {list(C1_CODES)}[{code} - 127] ELSE {code} END)"
+    mapped = f"(CASE WHEN {code} BETWEEN 128 AND 159 THEN {list(M.C1_CODES)}[{code} - 127] ELSE {code} END)"
     valid = f"({code} > 0 AND {code} <= 1114111 AND NOT ({code} >= 55296 AND {code} <= 57343))"
-    char = f"(CASE WHEN {valid} THEN chr(CAST({mapped} AS INTEGER)) ELSE '�' END)"
-    return f"(CASE WHEN starts_with({r}, '&#') THEN {char} ELSE coalesce({_NAMES}[{r}], {r}) END)"
+    dropped = " OR ".join([f"({code} % 65536 >= 65534 AND {code} <= 1114111)", *[f"{code} BETWEEN {low} AND {high}" for low, high in M.DROPPED_CODES]])
+    char = f"(CASE WHEN {dropped} THEN '' WHEN {valid} THEN chr(CAST({mapped} AS INTEGER)) ELSE '�' END)"
+    known = f"regexp_extract({r}, {lit(M.PREFIX)})"
+    named = f"coalesce({_NAMES}[{r}], CASE WHEN {known} <> '' THEN {_NAMES}[{known}] || substr({r}, length({known}) + 1) END, {r})"
+    return f"(CASE WHEN starts_with({r}, '&#') THEN {char} ELSE {named} END)"
 
 
 def decode_entities(x: str) -> str:
-    refs = f"regexp_extract_all({x}, {lit('(' + _REFERENCE + ')')}, 1)"
-    pieces = f"regexp_split_to_array({x}, {lit(_REFERENCE)})"
+    refs = f"regexp_extract_all({x}, {lit('(' + M.REFERENCE + ')')}, 1)"
+    pieces = f"regexp_split_to_array({x}, {lit(M.REFERENCE)})"
     joined = (
         f"list_transform([{{'p': {pieces}, 'r': {refs}}}], lambda z: z.p[1] || "
         f"array_to_string(list_transform(z.r, lambda r, i: {_ref_text('r')} || z.p[i + 1]), ''))[1]"
@@ -246,11 +249,15 @@ def decode_entities(x: str) -> str:
     return f"(CASE WHEN len({refs}) = 0 THEN {x} ELSE {joined} END)"
 
 
+def _parts(x: str, whole: str, simple: str) -> str:
+    """``whole`` of z.h, the part that tokens cover, and ``simple`` of z.r and z.l, the rest up to its last '>' and what is behind."""
+    head = f"(SELECT {{'h': h, 't': substr(x, length(h) + 1)}} FROM (SELECT x, regexp_extract(x, {lit(M.plain(M.HEAD))}) AS h FROM (SELECT {x} AS x)))"
+    return f"""(SELECT CASE WHEN t = '' THEN {whole} ELSE {whole} || {simple} END
+        FROM (SELECT y.h AS h, y.t AS t, split_part(y.t, '>', -1) AS l, left(y.t, length(y.t) - length(split_part(y.t, '>', -1))) AS r FROM (SELECT {head} AS y)))"""
+
+
 def markup_text(x: str) -> str:
-    s = f"regexp_replace(coalesce({x}, ''), {lit(_COMMENT)}, ' ', 'g')"
-    for block in _BLOCKS:
-        s = f"regexp_replace({s}, {lit(block)}, ' ', 'g')"
-    s = f"regexp_replace({s}, {lit(_TAG)}, ' ', 'g')"
+    s = _parts(f"coalesce({x}, '')", f"regexp_replace(h, {lit(M.plain(M.MARKUP))}, ' ', 'g')", f"regexp_replace(r, {lit(M.plain(M.SIMPLE))}, ' ', 'g') || l")
     return clean(decode_entities(s))
 
 
@@ -313,26 +320,29 @@ def resolve_url(base: str, href: str) -> str:
     return f"list_transform([{packed}], lambda z: {lam})[1]"
 
 
-ANCHOR_OPEN, ANCHOR_CLOSE = r"(?i)<a\b", r"(?i)</a\s*>"
+_SPACE = r"[ \t\n\r\f]"
+_ANCHOR, _ANCHOR_END = r"(?s)^<(?i:a)[ \t\n\r\f/>]", r"(?s)^</[ \t\n\r\f]*(?i:a)[ \t\n\r\f/>]"
 
 
-def attr(attrs: str, name: str) -> str:
-    pat = r"(?is)\b" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    val = (
-        f"coalesce(nullif(regexp_extract({attrs}, {lit(pat)}, 1), ''), nullif(regexp_extract({attrs}, {lit(pat)}, 2), ''), "
-        f"nullif(regexp_extract({attrs}, {lit(pat)}, 3), ''))"
-    )
-    decoded = decode_entities(f"coalesce({val}, '')")
-    return f"(CASE WHEN regexp_matches({attrs}, {lit(pat)}) THEN {decoded} END)"
+def _attr(tag: str, name: str) -> str:
+    """Value of the last attribute of that name, its references decoded; '' without value, NULL without attribute."""
+    inside = f"regexp_replace({tag}, '^<[^ \t\n\r\f/>]*|>$', '', 'g')"
+    found = f"list_filter(regexp_extract_all({inside}, {lit(M.plain(M.ATTRIBUTE))}), lambda a: regexp_matches(a, {lit(f'(?i)^{name}(?:{_SPACE}*=|$)')}))[-1]"
+    value = f"regexp_replace({found}, {lit(f'(?s)^[^=]+(?:{_SPACE}*=+{_SPACE}*)?')}, '')"
+    return f"CASE WHEN left({value}, 1) IN ('\"', chr(39)) THEN substr({value}, 2, length({value}) - 2) ELSE {value} END"
 
 
 def page_links_sql(pages: str = "pages") -> str:
-    return f"""SELECT page_id, page_url, CAST(pos AS BIGINT) AS pos, {attr('a', 'href')} AS href,
-        {markup_text('t')} AS text, {attr('a', 'title')} AS title_attr, {attr('a', 'aria-label')} AS aria_label,
-        {decode_entities("regexp_replace(regexp_replace(t, '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g')")} AS raw_text
-    FROM (SELECT page_id, page_url, split_part(p, '>', 1) AS a, pos,
-            string_split_regex(substr(p, strpos(p, '>') + 1), {lit(ANCHOR_CLOSE)})[1] AS t
-          FROM (SELECT page_id, page_url, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS pos
-            FROM (SELECT page_id, url AS page_url,
-                list_filter(string_split_regex(html, {lit(ANCHOR_OPEN)})[2:], lambda p: contains(p, '>')) AS ps
-              FROM {pages})))"""
+    """Tokens of each page as rows; an anchor's text is that of the tokens up to the next token that begins or ends an anchor."""
+    found = _parts("coalesce(html, '')", f"regexp_extract_all(h, {lit(M.plain(M.TOKEN))})", f"regexp_extract_all(r, {lit(M.plain(M.SIMPLE_TOKEN))}) || [replace(l, '<', '&lt;')]")
+    rows = f"SELECT page_id, page_url, unnest(ts) AS t, unnest(range(len(ts))) AS i FROM (SELECT page_id, url AS page_url, {found} AS ts FROM {pages})"
+    marked = f"SELECT *, regexp_matches(t, {lit(_ANCHOR)}) AS opens, regexp_matches(t, {lit(_ANCHOR)}) OR regexp_matches(t, {lit(_ANCHOR_END)}) AS marks, length(t) > 1 AND left(t, 1) = '<' AS tag FROM ({rows})"
+    grouped = f"SELECT *, sum(CAST(marks AS INTEGER)) OVER (PARTITION BY page_id ORDER BY i) AS g FROM ({marked})"
+    anchors = f"""SELECT page_id, any_value(page_url) AS page_url, g, bool_or(opens) AS anchor, arg_min(t, i) AS a,
+        coalesce(string_agg(CASE WHEN tag THEN ' ' ELSE t END, '' ORDER BY i), '') AS spaced,
+        coalesce(string_agg(CASE WHEN NOT tag THEN t END, '' ORDER BY i), '') AS raw_text
+      FROM ({grouped}) WHERE g > 0 GROUP BY page_id, g"""
+    attrs = f"""SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY g) AS pos, spaced, raw_text,
+        {_attr('a', 'href')} AS href0, {_attr('a', 'title')} AS title0, {_attr('a', 'aria-label')} AS label0 FROM ({anchors}) WHERE anchor"""
+    return f"""SELECT page_id, page_url, CAST(pos AS BIGINT) AS pos, {decode_entities('href0')} AS href, {clean(decode_entities('spaced'))} AS text, raw_text,
+        {decode_entities('title0')} AS title_attr, {decode_entities('label0')} AS aria_label FROM ({attrs})"""

@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_text, decode_entities, first_truthy, html_to_text, markup_text, nonempty, strip_text
+from ..functions.markup import attributes, decode_each, html_to_text, is_markup, tokens
+from ..functions.text import clean_text, first_truthy, nonempty, strip_text
 from ..functions.urls import resolve_url
 from ..operators.ordering import broadcast_if_small
 
@@ -207,19 +208,9 @@ def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = Fal
     return payloads if kind == "html" else payloads.unionByName(faulty_items(items(lines, kind), kind))
 
 
-_ANCHOR_OPEN = r"(?i)<a\b"
-_ANCHOR_CLOSE = r"(?i)</a\s*>"
-
-
-def _attr(attrs: Column, name: str) -> Column:
-    pat = r"(?is)\b" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    val = F.coalesce(
-        nonempty(F.regexp_extract(attrs, pat, 1)),
-        nonempty(F.regexp_extract(attrs, pat, 2)),
-        nonempty(F.regexp_extract(attrs, pat, 3)),
-    )
-    present = attrs.rlike(pat)
-    return F.when(present, decode_entities(F.coalesce(val, F.lit(""))))
+_ANCHOR = r"(?s)^<(?i:a)[ \t\n\r\f/>]"
+_ANCHOR_END = r"(?s)^</[ \t\n\r\f]*(?i:a)[ \t\n\r\f/>]"
+ANCHOR_ATTRIBUTES = ("href", "title", "aria-label")
 
 
 def page_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None = None) -> DataFrame:
@@ -227,27 +218,38 @@ def page_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None
 
     ``number`` names a column that numbers the anchors in the order of pages and positions.
 
-    An anchor ends at its end tag, or at the next anchor when it has none. The
-    page is cut at the tags, so the work is linear in its length.
+    Anchors are tokens of the page, so what looks like one within a comment, a script or a quoted value isn't.
+    An anchor ends at its end tag, or at the next anchor when it has none.
     """
-    def anchor(piece: Column) -> Column:
-        inner = F.substring(piece, F.locate(">", piece) + 1, F.length(piece))
-        return F.struct(F.substring_index(piece, ">", 1).alias("a"), F.element_at(F.split(inner, _ANCHOR_CLOSE, 2), 1).alias("t"))
-
-    pieces = F.filter(F.slice(F.split("html", _ANCHOR_OPEN), 2, 1 << 30), lambda p: F.contains(p, F.lit(">")))
-    z = pages.select("page_id", F.col("url").alias("page_url"), *keep, F.posexplode(F.transform(pieces, anchor)).alias("pos", "x"))
-    return z.select(
+    page = pages.select("page_id", F.col("url").alias("page_url"), *keep, tokens("html").alias("tokens"))
+    # places (from 1) of the tokens that begin or end an anchor, then each beginning with the next place
+    places = F.filter(F.transform("tokens", lambda t, i: F.when(t.rlike(_ANCHOR) | t.rlike(_ANCHOR_END), i + 1)), lambda i: i.isNotNull())
+    page = page.select("page_id", "page_url", *keep, "tokens", places.alias("places"))
+    ends = F.concat(F.slice("places", 2, 1 << 30), F.array(F.size("tokens") + 1))
+    spans = F.zip_with("places", ends, lambda b, e: F.struct(F.get("tokens", b - 1).alias("tag"), F.slice("tokens", b + 1, e - b - 1).alias("inner")))
+    z = page.select("page_id", "page_url", *keep, F.posexplode(F.filter(spans, lambda x: x["tag"].rlike(_ANCHOR))).alias("pos", "x"))
+    spaced = F.array_join(F.transform(F.col("x.inner"), lambda t: F.when(is_markup(t), F.lit(" ")).otherwise(t)), "")
+    texts = F.filter(F.col("x.inner"), lambda t: ~is_markup(t))
+    z = z.select(
         "page_id",
         "page_url",
         *keep,
         *([F.monotonically_increasing_id().alias(number)] if number else []),  # right after the explode: no shuffle before
         (F.col("pos") + 1).cast("long").alias("pos"),
-        _attr(F.col("x.a"), "href").alias("href"),
-        markup_text(F.col("x.t")).alias("text"),
-        # the anchor's text nodes joined without separators: '' only when it has no text at all
-        decode_entities(F.regexp_replace(F.regexp_replace(F.col("x.t"), r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "")).alias("raw_text"),
-        _attr(F.col("x.a"), "title").alias("title_attr"),
-        _attr(F.col("x.a"), "aria-label").alias("aria_label"),
+        F.array_join(texts, "").alias("raw_text"),  # '' only when the anchor has no text at all
+        decode_each(F.concat(attributes(F.col("x.tag"), ANCHOR_ATTRIBUTES), F.array(spaced))).alias("v"),
+    )
+    return z.select(
+        "page_id",
+        "page_url",
+        *keep,
+        *([number] if number else []),
+        "pos",
+        F.get("v", F.lit(0)).alias("href"),
+        clean_text(F.get("v", F.lit(3))).alias("text"),
+        "raw_text",
+        F.get("v", F.lit(1)).alias("title_attr"),
+        F.get("v", F.lit(2)).alias("aria_label"),
     )
 
 

@@ -4,7 +4,7 @@ import os
 import re
 from html.parser import HTMLParser
 
-from postline.functions.text import decode_entities, html_to_text, markup_text
+from postline.functions.markup import decode_entities, html_to_text, markup_text
 from postline.sources import payloads as S
 
 
