@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -43,9 +43,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def key_parts(name: str) -> list[Column]:
-    """A nullable key as two columns that compare equal for nulls, for plain equi-joins and for hashing."""
-    return [F.col(name).isNull().alias(f"{name}_no"), F.coalesce(F.col(name), F.lit(0)).alias(f"{name}_is")]
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores until no column of df has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def numbered(df: DataFrame, by: list[str], spread: list[str], order: list[str], out: str, label: str) -> DataFrame:
@@ -77,14 +80,14 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     children; the loop ends when no node has two parents and no parent has one.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p"))
-    e = cut(e.repartition("c").distinct(), label)
+    e = cut(e.distinct(), label)
     while True:
         least = e.withColumn("m", F.min("p").over(W.partitionBy("c")))
         one = least.select(F.explode(F.expr("if(p = m, array(named_struct('c', c, 'p', m, 'more', 0L)), array(named_struct('c', p, 'p', m, 'more', 1L)))")).alias("x")).select("x.*")
         one = cut(one, label)
         up = one.groupBy("c").agg(F.min("p").alias("up")).withColumnRenamed("c", "q")
         jumped = one.join(up, one.p == up.q, "left").select("c", F.coalesce("up", "p").alias("p"), F.greatest(F.col("more"), F.col("up").isNotNull().cast("long")).alias("more"))
-        e = cut(jumped.repartition("c").groupBy("c", "p").agg(F.max("more").alias("more")), label)
+        e = cut(jumped.groupBy("c", "p").agg(F.max("more").alias("more")), label)
         if not e.agg(F.max("more").alias("x")).first().x:
             return e.select(F.col("c").alias("node"), F.col("p").alias("root"))
         e = e.select("c", "p")

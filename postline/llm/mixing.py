@@ -9,8 +9,8 @@
 3. The quotas are split among the output shards by a binary tree. A node gives its left half
    a share of its draws without replacement, source by source, so the counts of a level are
    multivariate hypergeometric, and the leaves add up to the quotas exactly.
-4. The draws of a source, permuted by hash, go to the shards by those counts; a shard's
-   documents are put in an order of their own by hash.
+4. The draws of a source, permuted by hash, go to the shards by those counts; a shard is dealt by hash to parts,
+   and the documents of a part are put in an order of their own by hash.
 
 Defined cases: a null text has size 0, a null source is a source (the last one); documents of size 0 are
 drawn with their block and take 0 words; equal rows are rows of their own; with no words at
@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postline.llm.common import WORD, cut
+from postline.llm.common import WORD, cut, free_name
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SHARDS = 16
 SEED = "mix-1"
+PART_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -90,8 +91,16 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     ``draws`` is an array of (shard, copy, words): words is null for a whole copy, else how many
     of the document's first words that copy has.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), row_key(F.col(id_col), F.col(text_col), seed).alias("key"))
-    rows = cut(rows, "sizes")
+    return _plan(sizes(docs, id_col, text_col, source_col, seed), shards, seed, weights, most)
+
+
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(doc_id, source, size, bytes, key) of every row of docs."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"), row_key(F.col(id_col), F.col(text_col), seed).alias("key"))
+    return cut(rows, "sizes")
+
+
+def _plan(rows: DataFrame, shards: int, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
     aims = targets(rows, weights, most).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
     aims = aims.withColumn("passes", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0)).cast("long"))
     aims = aims.withColumn("rest", F.col("goal") - F.col("passes") * F.col("source_size")).withColumn("blocks", F.ceil(F.sqrt("docs")).cast("long"))
@@ -128,30 +137,41 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return rows.withColumn("draws", copies).select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """The mix itself: all columns of docs and __shard, a row for each copy, in shards that are shuffled within."""
-    planned = plan(docs, id_col, text_col, source_col, shards, seed)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: str = SEED, shard_col: str | None = "__shard", part_bytes: int = PART_BYTES) -> DataFrame:
+    """The mix itself: all columns of docs and the shard, a row for each copy, in shards that are shuffled within.
+
+    A shard is written in parts, dealt by hash, of about a quarter of ``part_bytes``, so tasks grow in
+    number with the data and not in size. ``shard_col`` gets underscores where docs has that name; None leaves it out.
+    """
+    rows = sizes(docs, id_col, text_col, source_col, seed)
+    total = rows.agg(F.sum("bytes").alias("b")).first().b or 0  # the mix has about as many words as docs
+    tasks = max(shards, -(-total // part_bytes))
+    parts = -(-4 * tasks // shards)
+    planned = _plan(rows, shards, seed, WEIGHTS, MOST)
     # equal rows have the same key and the same fate, but for those of a part; number them to match one to one
-    number = F.row_number().over(W.partitionBy("__key").orderBy("__place"))
+    number = F.row_number().over(W.partitionBy("key").orderBy("place"))
     named = planned.select(F.col("key").alias("_key"), "draws")
     repeated = named.groupBy("_key").agg(F.count(F.lit(1)).alias("n"), F.first("draws").alias("draws"), F.count_distinct(F.col("draws").cast("string")).alias("kinds"))
     # rows of one key that are drawn alike need no number
     alike = cut(repeated.where("kinds <= 1").select("_key", "draws"), "alike")
-    rows = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col), seed))
-    one = rows.join(alike, rows["__key"] == alike["_key"])
+    # the columns of docs travel as one struct, so none of their names can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_col), F.col(text_col), seed).alias("key"))
+    one = whole.join(alike, F.col("key") == F.col("_key"))
     unlike = cut(named.join(repeated.where("kinds > 1").select("_key"), "_key"), "unlike")
     numbered = unlike.withColumn("_at", F.row_number().over(W.partitionBy("_key").orderBy(F.col("draws").cast("string"))))
-    other = rows.join(unlike.select("_key").distinct(), rows["__key"] == F.col("_key"), "left_semi").withColumn("__place", F.lit(0)).withColumn("__at", number)
-    other = other.join(numbered, (other["__key"] == numbered["_key"]) & (other["__at"] == numbered["_at"]))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    drawn = one.select(*columns, "__key", "draws").unionByName(other.select(*columns, "__key", "draws"))
-    drawn = drawn.select(*columns, "__key", F.explode("draws").alias("__draw"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("__draw.words").cast("int")), "")
-    drawn = drawn.withColumn(text_col, F.when(F.col("__draw.words").isNotNull(), first).otherwise(F.col(text_col)))
-    drawn = drawn.select(*columns, F.col("__draw.shard").alias("__shard"), F.xxhash64("__key", "__draw.copy", F.lit(seed)).alias("__order"))
-    return drawn.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order").select(*columns, "__shard")
+    other = whole.join(unlike.select("_key").distinct(), F.col("key") == F.col("_key"), "left_semi").withColumn("place", F.lit(0)).withColumn("at", number)
+    other = other.join(numbered, (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at")))
+    drawn = one.select("row", "key", "draws").unionByName(other.select("row", "key", "draws")).select("row", "key", F.explode("draws").alias("draw"))
+    text = F.col("row").getField(text_col)
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("draw.words").cast("int")), "")
+    order = F.xxhash64("key", "draw.copy", F.lit(seed))
+    drawn = drawn.select("row", F.when(F.col("draw.words").isNotNull(), first).otherwise(text).alias("text"), F.col("draw.shard").alias("shard"), order.alias("order"), F.pmod(F.xxhash64(order, F.lit(1)), F.lit(parts)).alias("part"))
+    drawn = drawn.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "order")
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return drawn.select(*columns, *([F.col("shard").alias(free_name(docs, shard_col))] if shard_col else []))
 
 
 def mixing(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs."""
-    return plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken, and the shard of each copy, for every row of docs."""
+    shards = F.transform("draws", lambda x: x["shard"])
+    return plan(docs).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postline.llm.common import ship
+from postline.llm.common import cut, ship
 
 SAMPLE_ROWS = 20_000
 N_FEATURES = 512
@@ -351,13 +351,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _fit(x: list[list[int]], y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+def _fit(x: list[tuple[list[int], list[int]]], y: np.ndarray, n: int) -> tuple[np.ndarray, float]:
     """Logistic regression on log counts, L2 with a free bias, by Newton steps with conjugate gradients' dense solve."""
     m = np.zeros((len(x), n + 1), dtype=np.float64)
     m[:, n] = 1
-    for i, found in enumerate(x):
-        for f, k in Counter(found).items():
-            m[i, f] = np.log1p(k)
+    for i, (features, counts) in enumerate(x):
+        m[i, features] = np.log1p(counts)
     w, ridge = np.zeros(n + 1), np.append(np.full(n, 0.3), 1e-6)
     w[n] = np.log(y.mean() / (1 - y.mean()))
     for _ in range(25):
@@ -380,7 +379,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not ids:
         return Scorer(model, {}, np.zeros(0), -40.0)
     told = spark.createDataFrame(ids, told.schema)
-    rows = docs.join(F.broadcast(told), docs[id_col] == told["_id"]).select(docs[text_col].alias("text"), (F.col("toxic") > 0).alias("toxic"))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(told), F.col("_doc") == F.col("_id"))
+    # an id that several rows have is learned from one of them, so that there are at most sample_rows
+    rows = rows.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max(F.col("toxic") > 0).alias("toxic"))
+    rows = cut(rows.select("text", "toxic"), "labelled")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("toxic").cast("int")), F.lit(0)).alias("p")).first()
     if not 0 < stats.p < stats.n:
         return Scorer(model, {}, np.zeros(0), -40.0 if not stats.p else 40.0)
@@ -400,12 +402,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*shared.value)
         for batch in batches:
-            found = [reader.numbers(t or "") for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["x", "y"])
+            found = [sorted(Counter(reader.numbers(t or "")).items()) for t in batch.column(0).to_pylist()]
+            parts = [pa.array([[p[i] for p in pairs] for pairs in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*parts, batch.column(1)], names=["x", "k", "y"])
 
     # sorted, so that the sums of the fit don't depend on the order in which tasks end
-    got = sorted((r.x, r.y) for r in rows.mapInArrow(vectors, "x array<int>, y boolean").collect())
-    weights, bias = _fit([x for x, _ in got], np.array([float(y) for _, y in got]), len(names))
+    # at most sample_rows rows of at most n_features pairs
+    got = sorted((r.x, r.k, r.y) for r in rows.mapInArrow(vectors, "x array<int>, k array<int>, y boolean").collect())
+    weights, bias = _fit([(x, k) for x, k, _ in got], np.array([float(y) for *_, y in got]), len(names))
     return Scorer(model, names, weights, bias)
 
 

@@ -32,5 +32,18 @@ def documents(spark, rows=None):
     return spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, *EXTRA) for r in rows], SCHEMA)
 
 
+#: Names that modules give to columns of their own.
+CLASHING = """toxic _id _doc name pos n x k y __toxicity draws _key _at at place row key whole order part draw draws shard __shard _s nth block size bytes passes last copies
+source_size target goal got fp c p q node root a b up more t1 t2 h1 h2 m1 m2 m_id keep gone head heads kind doc seq piece tokens ids length start offset fill seen blob path version rule
+findings span spans _n _k _by0 _b _bk _in score held_out predicted band low high perplexity words n_words digest rank slot shard_ bin room group size_ law class cid""".split()
+
+
+def clashing(docs):
+    """docs with all of CLASHING as further columns of text."""
+    have = {c.lower() for c in docs.columns}
+    extra = [c for c in dict.fromkeys(CLASHING) if c.lower() not in have]
+    return docs.selectExpr("*", *[f"'x' as `{c}`" for c in extra])
+
+
 def collected(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)

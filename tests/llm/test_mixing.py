@@ -94,3 +94,23 @@ def test_tree_splits_every_quota_exactly_and_fairly(spark):
     for shard in range(5):  # means of 4 draws: 80 and 7.4 of each
         assert abs(total[0, shard] / 4 - 80) < 10 and abs(total[1, shard] / 4 - 7.4) < 5
     assert len({total[1, s] for s in range(5)}) > 1
+
+
+def test_shards_come_in_parts_that_grow_in_number_with_the_data(spark):
+    rows = [(i, prose(i, 20), "en", "ab"[i % 2]) for i in range(300)]
+    docs = documents(spark, rows)
+    mixed = mixing.mix(docs, shards=4, part_bytes=2000)
+    assert mixed.rdd.getNumPartitions() >= 15
+    filled = [n for n in mixed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(filled) >= 10 and max(filled) < 0.25 * sum(filled)
+    own = {r.doc_id: sorted(r.shards) for r in mixing.plan(docs, shards=4).selectExpr("doc_id", "transform(draws, x -> x.shard) as shards").collect()}
+    got = {}
+    for r in mixed.collect():
+        got.setdefault(r.doc_id, []).append(r["__shard"])
+    assert {i: sorted(s) for i, s in got.items()} == {i: s for i, s in own.items() if s}
+
+
+def test_the_query_tells_the_shard_of_each_copy(spark):
+    rows = [(i, prose(i, 8 + i % 5), "en", "abc"[i % 3]) for i in range(90)]
+    for r in mixing.mixing(documents(spark, rows)).collect():
+        assert (r.taken > 0) == bool(r.shards) and all(0 <= s < mixing.SHARDS for s in r.shards)

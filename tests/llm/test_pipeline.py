@@ -1,6 +1,7 @@
 import corpus_pipeline
 from postline.llm.common import components
-from tests.llm.helpers import awkward, collected, documents, prose
+from postline.llm import ledger, line_dedup, mixing, packing, quality, sharding, simhash, token_counts, toxicity
+from tests.llm.helpers import awkward, clashing, collected, documents, prose
 
 SF = "/root/testdata/sf0.001"
 LABELLED = "/root/testdata/sf0.01"
@@ -33,3 +34,36 @@ def test_components_of_chains_stars_and_cycles(spark):
     got = dict(collected(components(spark.createDataFrame(edges, "a long, b long"), "t"), "node", "root"))
     want = {n: 100 for n in [*range(101, 161), 950, 951]} | {500 + i: 500 for i in range(1, 40)} | {900 + i: 900 for i in range(1, 9)}
     assert got == want
+
+
+def some_documents(spark):
+    rows = [(i, prose(i % 9, 30 + i % 4), "en", "ab"[i % 2]) for i in range(24)] + [(50, "password = abcdefgh12345678 " + prose(50, 20), "en", None), (51, None, "en", "a")]
+    return documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+
+
+def test_no_column_name_clashes_in_a_stage(spark):
+    docs = some_documents(spark)
+    wide = clashing(docs)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        a, b = stage(spark, docs, SF), stage(spark, wide, SF)
+        assert b.columns == wide.columns, name
+        assert collected(a, *docs.columns) == collected(b, *docs.columns), name
+        assert {r["toxic"] for r in b.select("toxic").collect()} == {"x"}, name
+    a, b = (corpus_pipeline.STAGES[-1][1](spark, d, SF) for d in (docs, wide))
+    assert a.columns == b.columns and a.count() == b.count()
+
+
+def test_no_column_name_clashes_in_an_operator(spark):
+    import public_tokenizers
+
+    docs = some_documents(spark)
+    wide, labels = clashing(docs), spark.createDataFrame([(i, 0, i % 2) for i in range(24)], "doc_id long, quality int, toxic int")
+    for run in (
+        lambda d: simhash.simhash(d, shingle=4, max_bits=4), lambda d: toxicity.toxicity(d, labels), mixing.mixing, lambda d: sharding.sharding(d, shards=8),
+        quality.quality, ledger.secrets, line_dedup.line_dedup, lambda d: packing.packing(d, public_tokenizers.path("word_bpe_49k.json")),
+        lambda d: token_counts.token_counts(d, public_tokenizers.path("piece_bpe_32k.model")),
+    ):
+        a, b = run(docs), run(wide)
+        assert a.columns == b.columns
+        if "sequence_id" not in a.columns:
+            assert collected(a, *a.columns) == collected(b, *a.columns)
