@@ -6,6 +6,8 @@ pattern is compiled once per task and the whole test stays in codegen.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +97,38 @@ def is_eligible(df: DataFrame) -> Column:
     )
 
 
+#: What the rules are: a stored verdict counts only if it was made by the same patterns.
+RULES_TAG = hashlib.sha256(repr((US_LOCATION_PATTERNS, INTERNSHIP_PATTERNS, SECURITY_CLEARANCE_PATTERNS)).encode()).hexdigest()[:16]
+VERDICT = "verdict"
+VERDICT_TYPE = "struct<rules: string, text: bigint, eligible: boolean>"
+
+
+def text_digest() -> Column:
+    """64 bits of the fields that eligibility reads."""
+    return F.xxhash64("location", "title", "employment_type", "description")
+
+
+def with_verdict(df: DataFrame, eligible: str | Column) -> DataFrame:
+    """df with the verdict column: the rules' tag, the digest of the text judged, and the flag."""
+    flag = F.col(eligible) if isinstance(eligible, str) else eligible
+    return df.withColumn(VERDICT, F.struct(F.lit(RULES_TAG).alias("rules"), text_digest().alias("text"), flag.alias("eligible")))
+
+
+def fresh_verdict(df: DataFrame) -> Column:
+    """Whether the row's verdict was made by the present rules from its present text."""
+    if VERDICT not in df.columns:
+        return F.lit(False)
+    known = (F.col(f"{VERDICT}.rules") == RULES_TAG) & (F.col(f"{VERDICT}.text") == text_digest()) & F.col(f"{VERDICT}.eligible").isNotNull()
+    return F.coalesce(known, F.lit(False))
+
+
+def still_eligible(df: DataFrame) -> Column:
+    """The stored verdict where it is fresh, else the rules' own."""
+    if VERDICT not in df.columns:
+        return is_eligible(df)
+    return F.when(fresh_verdict(df), F.col(f"{VERDICT}.eligible")).otherwise(is_eligible(df))
+
+
 def eligible_only(df: DataFrame) -> DataFrame:
     return df.filter(is_eligible(df))
 

@@ -10,6 +10,7 @@ from ..constants import DEFAULT_REASON, NO_LOCATION, STRONG_SCORE, UI_DEFAULT_MI
 from ..functions.identity import job_key, legacy_key
 from ..functions.urls import safe_link
 from .eligibility import is_us_location
+from .exports import zero_filled
 from .ordering import with_global_rank
 
 
@@ -130,12 +131,8 @@ def review_buckets(feed: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def bucket_counts(buckets: DataFrame) -> DataFrame:
-    spark = buckets.sparkSession
-    enum = spark.createDataFrame([("review",), ("applied",), ("not-fit",)], "bucket string")
-    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"))
-    per = enum.join(counts, "bucket", "left").select("bucket", F.coalesce(F.col("count"), F.lit(0)).alias("count"))
-    total = buckets.agg(F.count(F.lit(1)).alias("count")).select(F.lit("total").alias("bucket"), "count")
-    return per.unionByName(total)
+    """Rows per bucket (0 for empty ones) and in total, from one scan."""
+    return zero_filled(buckets, "bucket", ("review", "applied", "not-fit"), "total")
 
 
 def feed_summary(feed: DataFrame) -> DataFrame:

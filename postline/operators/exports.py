@@ -43,14 +43,22 @@ def jobs_sheet(stored: DataFrame, minimum_score: int = WORKBOOK_MIN_SCORE) -> Da
 
 def status_counts(stored: DataFrame) -> DataFrame:
     """Count per status, zero-filled over the six statuses, unknown ones kept, plus 'Total'."""
-    spark = stored.sparkSession
-    enum = spark.createDataFrame([(s,) for s in STATUSES], "status string")
-    counts = stored.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
-    per = enum.join(counts, "status", "full_outer").select(
-        "status", F.coalesce(F.col("count"), F.lit(0)).alias("count")
-    )
-    total = stored.agg(F.count(F.lit(1)).alias("count")).select(F.lit("Total").alias("status"), "count")
-    return per.unionByName(total)
+    return zero_filled(stored, "status", STATUSES, "Total")
+
+
+def zero_filled(rows: DataFrame, column: str, values, total: str) -> DataFrame:
+    """(column, count): rows per value with 0 for absent ones of ``values``, and a row named ``total`` with all rows.
+
+    One scan: the grouping sets (column) and () share it, and so they share the partial counts.
+    """
+    spark = rows.sparkSession
+    enum = spark.createDataFrame([(v,) for v in [*values, total]], "_v string")
+    sets = rows.groupingSets([[F.col(column)], []], F.col(column)).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id().alias("_all"))
+    counts = sets.select(F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(column)).alias("_c"), (F.col("_all") == 1).alias("_t"), "_n")
+    # the total's row is matched by its flag, so that a value of the same name stays apart
+    named = enum.withColumn("_f", F.col("_v") == total)
+    j = named.join(counts, (F.col("_v") == F.col("_c")) & (F.col("_f") == F.col("_t")), "full_outer")
+    return j.select(F.coalesce("_v", "_c").alias(column), F.coalesce("_n", F.lit(0)).cast("long").alias("count"))
 
 
 def summary_metrics(stored: DataFrame, as_of, slots=()) -> DataFrame:

@@ -4,8 +4,9 @@ The stored table is a DataFrame (a Parquet snapshot on disk, see
 ``snapshots``).  One batch is merged set-at-a-time:
 
 1. ``collapse_batch`` — one row per ``entity_key`` (first row fixes the
-   hash, last row wins the other fields).  ``min_by`` / ``max_by`` aggregate
-   partially before the shuffle, so a hot key costs one row per map task.
+   hash, last row wins the other fields).  Counts and the first hash come from an
+   aggregation of narrow columns; the winning row is the first of a window, whose group
+   limit works before the shuffle too, so a hot key costs one row per map task.
 2. ``upsert`` — one full outer equi-join of stored and batch on
    ``entity_key``; both sides hold one row per key after step 1, so the join
    cannot fan out whatever the key skew.
@@ -22,7 +23,7 @@ from ..functions.dates import normalize_date
 from ..functions.identity import entity_key, job_hash
 from ..functions.text import clean_text, fold_cleaned
 from ..functions.urls import normalize_url
-from .eligibility import eligible_folded, is_eligible
+from .eligibility import VERDICT, VERDICT_TYPE, eligible_folded, still_eligible
 from .scoring import Rule, score_postings
 
 SOURCE_FIELDS = (
@@ -120,32 +121,43 @@ def collapse_batch(
 ) -> DataFrame:
     """One row per entity_key: first row's hash, last row's other fields.
 
-    With ``eligible`` (a flag column) ineligible rows are skipped inside the
-    aggregate (their ordering key is NULL), so no filter is needed before it.
+    With ``eligible`` (a flag column) ineligible rows lose to eligible ones and count nowhere, so no
+    filter on a derived column is needed before the aggregate.
     ``keep_ineligible`` keeps entities whose sightings are all ineligible and
     adds ``newest_eligible`` (the flag of the entity's latest sighting).
     ``time`` names a per-row sighting time: ``first_time`` / ``last_time`` of
     the entity's first and last (eligible) sightings are added.
+
+    Rows without an order come first; among rows of equal order the smallest hash
+    comes first and the row with the largest content hash wins. Descriptions and other wide fields are
+    shuffled once, by the window; they enter no aggregate.
     """
-    key = F.when(F.col(eligible), F.col(order)) if eligible else F.col(order)
-    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible, time)]
-    last = F.max_by(F.struct(*[F.col(c) for c in fields]), key).alias("_last")
+    from pyspark.sql import Window
+
+    live = F.coalesce(F.col(eligible), F.lit(False)) if eligible else F.lit(True)
+    at = lambda *cols: F.when(live, F.struct(F.col(order), *cols))  # noqa: E731  not null even where the order is
     aggs = [
-        F.min_by("job_hash", key).alias("job_hash"),
-        F.min(key).alias("first_seq"),
-        F.max(key).alias("last_seq"),
-        F.count(key).alias("sightings"),
-        last,
+        F.min_by("job_hash", at(F.col("job_hash"))).alias("job_hash"),
+        F.min(F.when(live, F.col(order))).alias("first_seq"),
+        F.max(F.when(live, F.col(order))).alias("last_seq"),
+        F.count_if(live).alias("sightings"),
     ]
+    extra = []
     if eligible and keep_ineligible:
-        aggs.append(F.max_by(F.col(eligible), F.col(order)).alias("newest_eligible"))
+        aggs.append(F.max_by(live, F.struct(F.col(order), live)).alias("newest_eligible"))
+        extra.append("newest_eligible")
     if time:
-        aggs += [F.min_by(F.col(time), key).alias("first_time"), F.max_by(F.col(time), key).alias("last_time")]
-    agg = batch.groupBy("entity_key").agg(*aggs)
-    extra = (["newest_eligible"] if eligible and keep_ineligible else []) + (["first_time", "last_time"] if time else [])
+        aggs += [F.min_by(F.col(time), at(F.col(time))).alias("first_time"), F.max_by(F.col(time), at(F.col(time))).alias("last_time")]
+        extra += ["first_time", "last_time"]
+    narrow = batch.groupBy("entity_key").agg(*aggs)
+
+    fields = [c for c in batch.columns if c not in ("entity_key", "job_hash", order, eligible, time)]
+    newest = Window.partitionBy("entity_key").orderBy(live.desc(), F.col(order).desc_nulls_last(), F.xxhash64(*fields).desc())
+    wide = batch.select("entity_key", *fields, F.row_number().over(newest).alias("_nth")).filter(F.col("_nth") == 1).drop("_nth")
+    out = wide.join(narrow, "entity_key")
     if eligible and not keep_ineligible:
-        agg = agg.filter(F.col("first_seq").isNotNull())
-    return agg.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", *extra, "_last.*")
+        out = out.filter(F.col("sightings") > 0)
+    return out.select("entity_key", "job_hash", "first_seq", "last_seq", "sightings", *extra, *fields)
 
 
 def upsert(
@@ -165,6 +177,9 @@ def upsert(
     reason, last_seen and updated_at and never touch job_hash, status,
     notes, date_found or created_at.
 
+    A ``verdict`` column of either side (see ``eligibility.with_verdict``) goes with the text it
+    was made from.
+
     By default a stored row whose newest sighting is ineligible is kept as
     stored (the sighting is skipped).  ``expire_ineligible=True`` (needs
     ``eligible``) drops such rows instead.
@@ -175,6 +190,12 @@ def upsert(
     one after the other in ``order``.
     """
     expire = bool(expire_ineligible and eligible)
+    memo = [VERDICT] if VERDICT in batch.columns or VERDICT in stored.columns else []
+
+    def with_memo(df: DataFrame) -> DataFrame:
+        return df if not memo or VERDICT in df.columns else df.withColumn(VERDICT, F.lit(None).cast(VERDICT_TYPE))
+
+    stored, batch = with_memo(stored), with_memo(batch)
     b = collapse_batch(batch, order=order, eligible=eligible, keep_ineligible=expire, time=time) if collapse else batch
     b = b.select(
         "entity_key",
@@ -182,12 +203,13 @@ def upsert(
         *SOURCE_FIELDS,
         "match_score",
         "match_reason",
-        (F.col("first_seq").isNotNull() if expire else F.lit(True)).alias("_in_batch"),
+        *memo,
+        (F.col("sightings") > 0 if expire else F.lit(True)).alias("_in_batch"),
         (~F.col("newest_eligible") if expire else F.lit(False)).alias("_expire"),
         (F.col("first_time") if time else as_timestamp(as_of)).alias("_t_first"),
         (F.col("last_time") if time else as_timestamp(as_of)).alias("_t_last"),
     )
-    s = stored.select(*STORED_COLUMNS).withColumn("_in_store", F.lit(True))
+    s = stored.select(*STORED_COLUMNS, *memo).withColumn("_in_store", F.lit(True))
     j = s.alias("s").join(b.alias("b"), "entity_key", "full_outer")
     hit = F.coalesce(F.col("b._in_batch"), F.lit(False))
     old = F.coalesce(F.col("s._in_store"), F.lit(False))
@@ -210,6 +232,7 @@ def upsert(
         F.when(old, F.col("s.notes")).otherwise(F.lit("")).alias("notes"),
         F.when(old, F.col("s.created_at")).otherwise(F.col("b._t_first")).alias("created_at"),
         F.when(hit, F.col("b._t_last")).otherwise(F.col("s.updated_at")).alias("updated_at"),
+        *[fresh(c) for c in memo],
         (~old).alias("is_new"),
     ]
     return j.select(*cols)
@@ -230,49 +253,36 @@ def clean_edits(edits: DataFrame) -> DataFrame:
     )
 
 
-def _last_edit(edits: DataFrame, key: str) -> DataFrame:
-    return edits.groupBy(key).agg(
-        F.max_by(F.struct("seq", "status", "notes"), "seq").alias("e")
-    )
+def edits_by_row(stored: DataFrame, edits: DataFrame) -> DataFrame:
+    """(entity_key, status, notes): the edit that each edited row ends with.
+
+    Only keys of the stored table are read and joined. Edits are reduced to one per hash or URL before they
+    meet the table, so a hot key stays one row; rows without a URL take part in the join by hash only.
+    """
+    e = clean_edits(edits).filter(F.col("status").isin(*STATUSES))
+    last = F.max_by(F.struct("status", "notes"), F.struct("seq", "status", "notes")).alias("edit")
+    by_hash = e.filter(F.col("job_hash") != "").groupBy("job_hash").agg(F.max("seq").alias("seq"), last)
+    by_url = e.filter((F.col("job_hash") == "") & (F.col("url") != "")).groupBy("url").agg(F.max("seq").alias("seq"), last)
+    keys = stored.select("entity_key", "job_hash", "url")
+    found = keys.join(by_hash, "job_hash").select("entity_key", "seq", F.lit(1).alias("by"), "edit")
+    found = found.unionByName(keys.filter(F.col("url") != "").join(by_url, "url").select("entity_key", "seq", F.lit(0).alias("by"), "edit"))
+    # the later edit wins, one by hash over one by URL of the same place
+    return found.groupBy("entity_key").agg(F.max_by("edit", F.struct("seq", "by")).alias("e")).select("entity_key", "e.status", "e.notes")
 
 
 def apply_edits(stored: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     """Human edits of status / notes: by hash when the edit has one, else by URL.
 
     An invalid status rejects the whole edit.  Several edits of one row: the
-    last (largest ``seq``) wins.  Edits are reduced to one per key before the
-    joins, so a hot key does not reach the join.
+    last (largest ``seq``) wins.  Edits are resolved to rows on narrow columns first; the wide table is
+    joined once, on its unique key, with one row per edited row (a side that AQE broadcasts when it is small).
     """
-    ts = as_timestamp(as_of)
-    e = clean_edits(edits).filter(F.col("status").isin(*STATUSES))
-    by_hash = _last_edit(e.filter(F.col("job_hash") != ""), "job_hash").withColumnRenamed("e", "eh")
-    by_url = _last_edit(
-        e.filter((F.col("job_hash") == "") & (F.col("url") != "")), "url"
-    ).select(F.col("url").alias("_u"), F.col("e").alias("eu"))
-    # one row per edited key; both sides come out of an aggregation stage, so AQE
-    # sees their actual size and broadcasts them when small (no stored-table shuffle)
-    # rows without a URL match none of by_url; their key is their hash, so they aren't dealt to one task
-    blank = F.coalesce(F.col("url"), F.lit("")) == ""
-    j = stored.join(by_hash, "job_hash", "left")
-    j = j.withColumn("_u", F.when(blank, F.concat(F.lit("\u0000"), F.col("job_hash"))).otherwise(F.col("url"))).join(by_url, "_u", "left")
-    pick = (
-        F.when(F.col("eh").isNull(), F.col("eu"))
-        .when(F.col("eu").isNull(), F.col("eh"))
-        .when(F.col("eh.seq") >= F.col("eu.seq"), F.col("eh"))
-        .otherwise(F.col("eu"))
-    )
-    j = j.withColumn("_e", pick)
-    out = [
-        F.when(F.col("_e").isNotNull(), F.col("_e.status")).otherwise(F.col("status")).alias("status")
-        if c == "status"
-        else F.when(F.col("_e").isNotNull(), F.col("_e.notes")).otherwise(F.col("notes")).alias("notes")
-        if c == "notes"
-        else F.when(F.col("_e").isNotNull(), ts).otherwise(F.col("updated_at")).alias("updated_at")
-        if c == "updated_at"
-        else F.col(c)
-        for c in stored.columns
-    ]
-    return j.select(*out, F.col("_e").isNotNull().alias("edited"))
+    e = edits_by_row(stored, edits).select(F.col("entity_key").alias("_key"), F.col("status").alias("_status"), F.col("notes").alias("_notes"))
+    j = stored.join(e, F.col("entity_key") == F.col("_key"), "left")
+    edited = F.col("_key").isNotNull()
+    new = {"status": F.col("_status"), "notes": F.col("_notes"), "updated_at": as_timestamp(as_of)}
+    out = [F.when(edited, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in stored.columns]
+    return j.select(*out, edited.alias("edited"))
 
 
 def edits_that_hit(stored: DataFrame, edits: DataFrame) -> DataFrame:
@@ -322,8 +332,12 @@ def hash_purge(stored: DataFrame, doomed: DataFrame, broadcast_limit: int = 1_00
 
 
 def eligibility_purge(stored: DataFrame) -> DataFrame:
-    """Stored rows that still pass eligibility (re-evaluated on stored text)."""
-    return stored.filter(is_eligible(stored))
+    """Stored rows that still pass eligibility.
+
+    A row whose ``verdict`` was made by the present rules from its present text is taken at that; the
+    patterns are evaluated on the others only.
+    """
+    return stored.filter(still_eligible(stored))
 
 
 def first_last_seen(sightings: DataFrame, key: str = "entity", ts: str = "run_time") -> DataFrame:

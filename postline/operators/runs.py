@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..constants import SUPPORTED_SOURCE_TYPES
@@ -42,24 +42,35 @@ def source_results(sources: DataFrame, fetched: DataFrame, errors: DataFrame) ->
     return j.select("name", n.alias("fetched"), result.alias("last_result"))
 
 
-def run_stats(sources: DataFrame, fetched: DataFrame, errors: DataFrame, upserted: DataFrame) -> DataFrame:
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df and an observation of it: its metrics are there once df has been written, without a scan of their own."""
+    seen = Observation(name)
+    return df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+def run_record(sources: DataFrame, errors: DataFrame, found: Column, new: Column) -> DataFrame:
     """One row: sources checked, jobs found, new jobs, errors (newline-joined), status 0/1.
 
-    Each figure is a one-row aggregate evaluated on the cluster; the row is
-    assembled from those scalars.
+    The counts come as columns (numbers, or aggregates of a one-row table); sources and errors are dimensions, an
+    error at most for each source, and are read once each.
     """
-    spark = sources.sparkSession
-    checked = enabled_sources(sources).count()
-    found = fetched.count()
-    new = upserted.agg(F.count_if(F.col("is_new"))).first()[0] or 0
-    errs = errors.agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "error"))), lambda e: e["error"]), "\n"),
-        F.count(F.lit(1)),
-    ).first()
-    text, n_err = (errs[0] or ""), int(errs[1] or 0)
-    return spark.createDataFrame(
-        [(int(checked), int(found), int(new), text, 1 if n_err else 0)],
-        "sources_checked int, jobs_found bigint, new_jobs_added bigint, errors string, run_status int",
+    told = errors.agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "error"))), lambda e: e["error"]), "\n").alias("errors"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    checked = enabled_sources(sources).agg(F.count(F.lit(1)).cast("int").alias("sources_checked"))
+    one = checked.crossJoin(told)  # one row each
+    return one.select(
+        "sources_checked", found.cast("long").alias("jobs_found"), new.cast("long").alias("new_jobs_added"), "errors", F.when(F.col("n") > 0, 1).otherwise(0).alias("run_status")
+    )
+
+
+def run_stats(sources: DataFrame, fetched: DataFrame, errors: DataFrame, upserted: DataFrame) -> DataFrame:
+    """``run_record`` of a run whose tables aren't written: both are read once, within the same plan."""
+    counts = fetched.agg(F.count(F.lit(1)).alias("_found")).crossJoin(upserted.agg(F.count_if(F.col("is_new")).alias("_new")))
+    row = run_record(sources, errors, F.lit(0), F.lit(0)).drop("jobs_found", "new_jobs_added").crossJoin(counts)  # one row each
+    return row.select(
+        "sources_checked", F.col("_found").cast("long").alias("jobs_found"), F.col("_new").cast("long").alias("new_jobs_added"), "errors", "run_status"
     )
 
 

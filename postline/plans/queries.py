@@ -247,9 +247,14 @@ def hash_purge(spark, sf):
 
 
 def legacy_store(spark, sf):
-    """A store written without the eligibility filter (rows a later rule removes)."""
-    n = normalized(spark, sf)
-    return merge.upsert(merge.empty_store(spark), score_postings(n, RULES), fx.AS_OF_FIRST).drop("is_new")
+    """A store written without the eligibility filter (rows a later rule removes), with the verdicts of the run."""
+
+    def build():
+        rows = flagged(spark, sf)
+        batch = E.with_verdict(score_postings(rows.drop("match_score", "match_reason"), RULES), "eligible").drop("eligible")
+        return merge.upsert(merge.empty_store(spark), batch, fx.AS_OF_FIRST).drop("is_new")
+
+    return persisted(spark, sf, "legacy", build)
 
 
 def eligibility_purge(spark, sf):
@@ -429,28 +434,20 @@ def bucket_counts(spark, sf):
 
 
 def change_counts(spark, sf):
-    """Affected rows per step of the two runs."""
+    """Affected rows per step of the two runs; each table is read once, all counts of a table in one aggregate."""
     st1 = stored_first(spark, sf)
-    e = edits(spark, sf)
-    up2 = upserted_second(spark, sf)
-    rev = reviewed(spark, sf)
-    doomed = None
-    for ph in PURGE_PHRASES:
-        p = F.coalesce(merge.phrase_predicate(ph), F.lit(False))
-        doomed = p if doomed is None else (doomed | p)
+    doomed = reduce(lambda a, b: a | b, [F.coalesce(merge.phrase_predicate(ph), F.lit(False)) for ph in PURGE_PHRASES])
+    second = ~F.col("is_new") & (F.col("updated_at") == F.lit(fx.AS_OF_SECOND).cast("timestamp"))
+    legacy = legacy_store(spark, sf)
     parts = [
-        ("inserted_run1", st1.agg(F.count(F.lit(1)).alias("n"))),
-        ("edits_applied", merge.edits_that_hit(st1, e).agg(F.count(F.lit(1)).alias("n"))),
-        ("inserted_run2", up2.agg(F.count_if(F.col("is_new")).alias("n"))),
-        ("updated_run2", up2.agg(F.count_if(~F.col("is_new") & (F.col("updated_at") == F.lit(fx.AS_OF_SECOND).cast("timestamp"))).alias("n"))),
-        ("phrase_deleted", rev.agg(F.count_if(doomed).alias("n"))),
-        ("eligibility_deleted", legacy_store(spark, sf).agg(F.count_if(~E.is_eligible(None)).alias("n"))),
+        st1.agg(F.count(F.lit(1)).alias("inserted_run1")),
+        merge.edits_that_hit(st1, edits(spark, sf)).agg(F.count(F.lit(1)).alias("edits_applied")),
+        upserted_second(spark, sf).agg(F.count_if(F.col("is_new")).alias("inserted_run2"), F.count_if(second).alias("updated_run2")),
+        reviewed(spark, sf).agg(F.count_if(doomed).alias("phrase_deleted")),
+        legacy.agg(F.count_if(~E.still_eligible(legacy)).alias("eligibility_deleted")),
     ]
-    out = None
-    for name, df in parts:
-        row = df.select(F.lit(name).alias("metric"), F.col("n").cast("long").alias("count"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    named = [df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("long").alias("count")) for c in df.columns])).alias("x")).select("x.*") for df in parts]
+    return reduce(DataFrame.unionByName, named)
 
 
 def feed_manifest(spark, sf):

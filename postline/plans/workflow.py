@@ -22,6 +22,7 @@ from ..operators import exports as P
 from ..operators import merge
 from ..operators import runs as U
 from ..operators import snapshots as K
+from ..operators.eligibility import with_verdict
 from ..operators.ordering import broadcast_if_small
 from ..operators.scoring import Rule
 from ..sources import payloads as S
@@ -99,9 +100,11 @@ def run(
 
     raw, errors = read_sources(spark, sources, landed)
     staging = f"{store_root}/_staging/{as_of.replace(' ', 'T').replace(':', '')}"
+    raw, seen_raw = U.observed(raw, "raw", found=F.count(F.lit(1)))
     raw = _stage(raw, f"{staging}/raw")
-    flagged = _stage(merge.flag_batch(raw, rules), f"{staging}/flagged")
-    merged = _stage(merge.upsert(stored, flagged, as_of, eligible="eligible"), f"{staging}/merged")
+    flagged = _stage(with_verdict(merge.flag_batch(raw, rules), "eligible"), f"{staging}/flagged")
+    merged, seen_merged = U.observed(merge.upsert(stored, flagged, as_of, eligible="eligible"), "merged", new=F.count_if(F.col("is_new")))
+    merged = _stage(merged, f"{staging}/merged")
 
     checks_now = U.source_results(sources, raw, errors).select(
         F.col("name").alias("source_name"),
@@ -110,7 +113,8 @@ def run(
         F.lit(1).cast("long").alias("seq"),
     )
     checks = checks_now if old_checks is None else merge.latest_checks(old_checks, checks_now)
-    stats = U.run_stats(sources, raw, errors, merged)
+    # both counts were taken while the tables were written
+    stats = U.run_record(sources, errors, F.lit(seen_raw.get["found"]), F.lit(seen_merged.get["new"]))
     run_log = stats.select(
         F.lit(as_of).cast("timestamp").alias("run_time"),
         "*",

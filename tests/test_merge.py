@@ -8,57 +8,120 @@ from postline.operators import exports as P
 from postline.operators import merge
 from tests.conftest import frame
 
-AS1 = "2026-06-08 09:00:00"
-AS2 = "2026-06-08 12:00:00"
+AS1 = "2025-02-03 06:30:00"
+AS2 = "2025-02-10 06:30:00"
+EDITS = "seq long, job_hash string, url string, status string, notes string"
 
 
-def _job(spark, score=80, description=""):
-    df = frame(spark, [dict(seq=1, title="Rendering Engineer", company="Acme", location="Remote",
-                            url="https://example.com/jobs/1", source_name="Test", source_type="html",
-                            description=description)])
-    n = merge.normalize_postings(df)
-    return n.withColumn("match_score", F.lit(score)).withColumn("match_reason", F.lit("Strong match"))
+def scored(spark, rows, score=55):
+    """Normalised rows with a score; rows are (url, title, description)."""
+    df = frame(spark, [dict(seq=i, title=t, company="Lumen Forge", location="Tulsa, OK", url=u, source_name="forge", source_type="lever", description=d) for i, (u, t, d) in enumerate(rows, 1)])
+    return merge.normalize_postings(df).withColumn("match_score", F.lit(score)).withColumn("match_reason", F.lit("why"))
 
 
-def test_upsert_preserves_status_and_edit_round_trip(spark):
-    store = merge.upsert(merge.empty_store(spark), _job(spark), AS1)
-    assert store.filter("is_new").count() == 1
-    store = store.drop("is_new")
-    sheet = P.jobs_sheet(store, 35).collect()
-    assert len(sheet) == 1
-    edits = spark.createDataFrame(
-        [(1, sheet[0]["Job Hash"], sheet[0]["URL"], "Applied", "Applied on company site")],
-        "seq long, job_hash string, url string, status string, notes string",
-    )
-    assert merge.edits_that_hit(store, edits).count() == 1
-    store = merge.apply_edits(store, edits, "2026-06-08 10:00:00").drop("edited")
-    again = merge.upsert(store, _job(spark, description="Updated description"), AS2)
-    assert again.filter("is_new").count() == 0
-    row = P.jobs_sheet(again.drop("is_new"), 35).first()
-    assert row["Status"] == "Applied" and row["Notes"] == "Applied on company site"
-    full = again.first()
-    assert full.description == "Updated description"
-    assert str(full.date_found) == "2026-06-08 09:00:00" and str(full.last_seen) == "2026-06-08 12:00:00"
+def _job(spark, score=80, description="", url="https://forge.example/o/77"):
+    return scored(spark, [(url, "Shader Tools Lead", description)], score)
 
 
-def test_low_score_is_stored_but_not_exported(spark):
-    store = merge.upsert(merge.empty_store(spark), _job(spark, score=10), AS1).drop("is_new")
-    assert store.count() == 1
-    assert P.jobs_sheet(store, 35).count() == 0
+THREE = [("https://forge.example/o/1", "Pipeline TD", "usd and c++"), ("https://forge.example/o/2", "Build Engineer", None), ("", "Rigging TD", "100% remote")]
 
 
-def test_delete_jobs_containing_phrase_removes_matching_rows(spark):
-    store = merge.upsert(merge.empty_store(spark), _job(spark, description=EXPORT_CONTROL_PHRASE), AS1).drop("is_new")
-    assert merge.phrase_purge(store, EXPORT_CONTROL_PHRASE).count() == 0
-    assert merge.phrase_purge(store, "must be a u.s. PERSON").count() == 0  # ASCII case-insensitive
-    assert merge.phrase_purge(store, "nothing like this").count() == 1
+def stored(spark, rows=THREE):
+    return merge.upsert(merge.empty_store(spark), scored(spark, rows), AS1).drop("is_new")
 
 
-def test_delete_jobs_by_hashes_removes_matching_rows(spark):
-    store = merge.upsert(merge.empty_store(spark), _job(spark), AS1).drop("is_new")
-    h = store.first().job_hash
-    doomed = spark.createDataFrame([(h,), ("",)], "job_hash string")
-    assert merge.hash_purge(store, doomed).count() == 0
+def test_an_edit_by_url_survives_the_next_sighting(spark):
+    store = stored(spark)
+    edits = spark.createDataFrame([(4, None, " https://FORGE.example/o/2#apply ", "Interested", "call back")], EDITS)
+    assert [(r.url, r.status) for r in merge.edits_that_hit(store, edits).collect()] == [("https://forge.example/o/2", "Interested")]
+    edited = merge.apply_edits(store, edits, "2025-02-04 00:00:00")
+    assert {(r.title, r.status, r.notes, r.edited) for r in edited.collect()} == {("Pipeline TD", "New", "", False), ("Build Engineer", "Interested", "call back", True), ("Rigging TD", "New", "", False)}
+    again = merge.upsert(edited.drop("edited"), scored(spark, [THREE[1][:2] + ("rewritten",)]), AS2)
+    row = {r.title: r for r in again.collect()}["Build Engineer"]
+    assert (row.status, row.notes, row.description, row.is_new) == ("Interested", "call back", "rewritten", False)
+    assert str(row.date_found) == AS1 and str(row.last_seen) == str(row.updated_at) == AS2
+
+
+def test_of_two_edits_of_a_row_the_later_wins_whatever_its_key(spark):
+    store = stored(spark)
+    key = {r.title: r.job_hash for r in store.collect()}
+    for first, second, want in (("hash", "url", "Rejected"), ("url", "hash", "Rejected"), ("hash", "hash", "Rejected"), ("url", "url", "Rejected")):
+        def edit(seq, by, status):
+            return (seq, key["Pipeline TD"] if by == "hash" else "", "https://forge.example/o/1" if by == "url" else "", status, by)  # noqa: B023
+
+        rows = [edit(2, second, want), edit(1, first, "Applied"), (3, key["Pipeline TD"], "", "no such status", "x")]
+        out = {r.title: (r.status, r.notes) for r in merge.apply_edits(store, spark.createDataFrame(rows, EDITS), AS2).collect()}
+        assert out["Pipeline TD"] == (want, second) and out["Build Engineer"] == ("New", ""), (first, second)
+
+
+def test_an_edit_on_an_unknown_key_changes_nothing(spark):
+    store = stored(spark)
+    edits = spark.createDataFrame([(1, "0" * 64, "https://forge.example/o/1", "Applied", "x"), (2, "", "https://forge.example/unknown", "Applied", "y"), (3, None, None, "Applied", "z")], EDITS)
+    assert merge.edits_that_hit(store, edits).count() == 0
+    out = merge.apply_edits(store, edits, AS2)
+    assert out.filter("edited").count() == 0 and sorted(map(tuple, out.drop("edited").collect()), key=repr) == sorted(map(tuple, store.collect()), key=repr)
+
+
+def test_a_phrase_may_hold_wildcards_and_null_text_never_matches(spark):
+    store = stored(spark)
+    titles = lambda text: sorted(r.title for r in merge.phrase_purge(store, text).collect())
+    assert titles("USD%C++") == ["Build Engineer", "Rigging TD"]
+    assert titles("_igging") == ["Build Engineer", "Pipeline TD"]
+    assert titles("rewritten") == sorted(t for _, t, _ in THREE) and titles("why") == []
+    null = store.withColumn("description", F.lit(None).cast("string")).withColumn("match_reason", F.lit(None).cast("string"))
+    assert merge.phrase_purge(null, "remote").count() == 3
+    assert merge.phrase_purge(stored(spark, [("", "Any", "x " + EXPORT_CONTROL_PHRASE.upper())]), EXPORT_CONTROL_PHRASE).count() == 0
+
+
+def test_rows_below_the_threshold_stay_in_the_store(spark):
+    store = merge.upsert(merge.empty_store(spark), scored(spark, THREE, score=3), AS1).drop("is_new")
+    assert (store.count(), P.jobs_sheet(store, 4).count(), P.jobs_sheet(store, 3).count()) == (3, 0, 3)
+
+
+def test_blank_and_unknown_hashes_purge_nothing(spark):
+    store = stored(spark)
+    one = store.filter("title = 'Build Engineer'").first().job_hash
+    doomed = spark.createDataFrame([(one,), (one,), ("",), (None,), ("f" * 64,)], "job_hash string")
+    assert sorted(r.title for r in merge.hash_purge(store, doomed).collect()) == ["Pipeline TD", "Rigging TD"]
+
+
+def test_the_collapse_has_no_aggregate_over_wide_fields_and_one_wide_shuffle(spark):
+    batch = scored(spark, THREE * 2)
+    plan = merge.collapse_batch(batch)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Aggregate" in line and "description" in line]
+    assert wide == [] and "WindowGroupLimit" in plan and plan.count("Partial") >= 1
+    assert len([x for x in plan.splitlines() if "Window " in x]) == 1
+
+
+def test_rows_without_order_and_ties(spark):
+    rows = scored(spark, [("https://forge.example/o/9", t, t) for t in ("a", "b", "c")])
+    late = rows.withColumn("seq", F.when(F.col("title") == "b", F.lit(None)).otherwise(F.lit(5)).cast("long"))
+    one = merge.collapse_batch(late).collect()
+    assert len(one) == 1 and one[0].sightings == 3 and one[0].title in ("a", "c")
+    assert merge.collapse_batch(late.orderBy(F.col("title").desc()).repartition(3)).first().title == one[0].title
+    only = merge.collapse_batch(rows.withColumn("seq", F.lit(None).cast("long"))).collect()
+    assert len(only) == 1 and (only[0].first_seq, only[0].sightings) == (None, 3)
+
+
+def test_a_second_purge_with_equal_rules_evaluates_no_pattern(spark):
+    from postline.operators import eligibility as E
+
+    rows = scored(spark, [(f"https://forge.example/o/{i}", "Build Engineer Intern" if i % 3 == 0 else "Build Engineer", "x") for i in range(12)])
+    store = merge.upsert(merge.empty_store(spark), E.with_verdict(rows, E.is_eligible(rows)), AS1).drop("is_new")
+    assert store.filter(E.fresh_verdict(store)).count() == 12
+    kept = merge.eligibility_purge(store)
+    assert kept.count() == 8 == merge.eligibility_purge(store.drop("verdict")).count()
+    # the verdict alone decides while it is fresh: a wrong one shows that no pattern is asked
+    lie = store.withColumn("verdict", F.col("verdict").withField("eligible", ~F.col("verdict.eligible")))
+    assert merge.eligibility_purge(lie).count() == 4
+    # other text, or other rules: evaluated anew
+    for stale in (lie.withColumn("location", F.lit("Reno, NV")), lie.withColumn("verdict", F.col("verdict").withField("rules", F.lit("older")))):
+        assert stale.filter(E.fresh_verdict(stale)).count() == 0 and merge.eligibility_purge(stale).count() == 8
+    # the verdict goes with the text: an update brings its own, an untouched row keeps its own
+    new = E.with_verdict(scored(spark, [("https://forge.example/o/1", "Build Engineer", "y")]), F.lit(True))
+    after = merge.upsert(store, new, AS2).drop("is_new")
+    assert after.filter(E.fresh_verdict(after)).count() == 12
+    assert merge.upsert(store, new.drop("verdict"), AS2).filter("verdict is null").count() == 1
 
 
 def test_invalid_status_rejects_whole_edit(spark):
@@ -72,8 +135,8 @@ def test_invalid_status_rejects_whole_edit(spark):
 def test_edit_by_url_only_when_no_hash(spark):
     store = merge.upsert(merge.empty_store(spark), _job(spark), AS1).drop("is_new")
     edits = spark.createDataFrame(
-        [(1, "", "HTTPS://example.com/jobs/1/?utm_source=x", "Interested", None),
-         (2, "deadbeef", "https://example.com/jobs/1", "Rejected", "wrong hash")],
+        [(1, "", "HTTPS://forge.example/o/77/?utm_source=x", "Interested", None),
+         (2, "deadbeef", "https://forge.example/o/77", "Rejected", "wrong hash")],
         "seq long, job_hash string, url string, status string, notes string",
     )
     out = merge.apply_edits(store, edits, AS2).first()

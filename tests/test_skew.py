@@ -52,3 +52,4 @@ def test_collapse_with_hot_entity_aggregates_before_the_shuffle(spark):
     # partial aggregation below the exchange: a hot key is one row per map task before the shuffle
     assert plan.count("SortAggregate") + plan.count("HashAggregate") >= 2
     assert "partial_min_by" in plan or "partial_max_by" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
