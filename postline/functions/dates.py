@@ -7,35 +7,36 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 ISO_OUT = "yyyy-MM-dd'T'HH:mm:ssxxx"
 # Largest epoch second that still formats as a four-digit year.
 MAX_EPOCH_SECONDS = 253402300799
 EPOCH_MILLIS_ABOVE = 10_000_000_000
 
-# fixed values: free-text date layouts tried after the ISO-8601 forms
-DATE_FORMATS = (
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "MM/dd/yyyy",
-    "yyyy/MM/dd",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "d MMMM yyyy",
-    "M/d/yyyy",
-    "MMMM d, yyyy h:mm a",
-    "MMM d, yyyy h:mm a",
-    "d MMM yyyy HH:mm:ss",
-)
-# a mail date: weekday, date, time, GMT
-_MAIL_DATE = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), ([0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} [0-9:]{8}) GMT$"
+# fixed values: shapes of a written date (Y: four digits, 9: one or two, M: a month's name) and how each is read
+DATE_SHAPES = {
+    "M 9, Y": "MMM d, yyyy", "M 9 Y": "MMM d yyyy", "9 M Y": "d MMM yyyy", "9 M, Y": "d MMM, yyyy", "9-M-Y": "d-MMM-yyyy", "Y M 9": "yyyy MMM d",
+    "Y-9-9": "yyyy-M-d", "Y/9/9": "yyyy/M/d", "Y.9.9": "yyyy.M.d", "9/9/Y": "M/d/yyyy", "9-9-Y": "M-d-yyyy", "9.9.Y": "M.d.yyyy",
+    "9/9/9": "M/d/yy", "9-9-9": "M-d-yy", "9.9.9": "M.d.yy",
+}
+# fixed values: the same for a written time (P: half of the day)
+TIME_SHAPES = {"9:9": "H:m", "9:9:9": "H:m:s", "9:9 P": "h:m a", "9:9:9 P": "h:m:s a"}
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+_MONTH = r"(?i)\b(" + "|".join(MONTHS) + r")(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b\.?"
+_WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\.?,? +"
+# a date, and a time behind it
+_WRITTEN = r"^(.*?[0-9A-Za-z])(?:(?:,? +(?:at +)?| *T)([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?: ?[AaPp]\.?[Mm]\.?)?))?$"
+# a mail date ends in a zone of its own
+_MAIL_ZONE = r"(?i) (?:GMT|UTC)$"
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-_ZONE = r"(Z|z|[+-][0-9]{2}:?[0-9]{2})$"
+# an offset stands behind a time only (the end of 06-08-2026 is none)
+_ZONE = r"(Z|z|(?<=:[0-9]{2} ?|[.][0-9]{1,9} ?)[+-][0-9]{2}:?[0-9]{2})$"
 
 
 def _epoch(s: Column) -> Column:
@@ -44,9 +45,41 @@ def _epoch(s: Column) -> Column:
     return F.when(secs <= MAX_EPOCH_SECONDS, F.timestamp_seconds(secs))
 
 
+def _shape(text: Column, names: str, mark: str) -> Column:
+    """The text with four digits as Y, one or two as 9 and the names as mark."""
+    s = F.regexp_replace(text, names, mark)
+    return F.regexp_replace(F.regexp_replace(s, r"(?<![0-9])[0-9]{4}(?![0-9])", "Y"), r"(?<![0-9])[0-9]{1,2}(?![0-9])", "9")
+
+
+def _by_shape(text: Column, shape: Column, shapes: dict[str, str]) -> Column:
+    """One parse: by the layout that the shape names."""
+    out = None
+    for known, layout in shapes.items():
+        read = F.try_to_timestamp(text, F.lit(layout))
+        out = F.when(shape == known, read) if out is None else out.when(shape == known, read)
+    return out
+
+
+def _written(body: Column) -> Column:
+    """Wall-clock time of a written date with or without a time."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(body), _WEEKDAY, ""), _MONTH, "$1")
+
+    def parts(s: Column) -> Column:
+        clock = F.upper(F.regexp_replace(F.regexp_replace(F.regexp_extract(s, _WRITTEN, 2), r"\.", ""), r"(?<=[0-9])(?=[AaPp])", " "))
+        return F.struct(F.regexp_extract(s, _WRITTEN, 1).alias("d"), clock.alias("t"))
+
+    def read(z: Column) -> Column:
+        day = _by_shape(z["d"], _shape(z["d"], "(?i)\\b(" + "|".join(MONTHS) + ")\\b", "M"), DATE_SHAPES)
+        time = _by_shape(z["t"], _shape(z["t"], "[AP]M$", "P"), TIME_SHAPES)
+        both = F.try_to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd "), F.date_format(time, "HH:mm:ss")))
+        return F.when(z["t"] == "", day).otherwise(both)
+
+    return let(let(plain, parts), read)
+
+
 def _wall_clock(body: Column) -> Column:
-    """Wall-clock time written in ``body`` (no zone), or NULL."""
-    return F.coalesce(F.try_to_timestamp(body), *[F.try_to_timestamp(body, F.lit(fmt)) for fmt in DATE_FORMATS])
+    """Wall-clock time written in ``body`` (no zone), or NULL: the ISO-8601 forms, else the layout of its shape."""
+    return F.coalesce(F.try_to_timestamp(body), _written(body))
 
 
 def normalize_date(c) -> Column:
@@ -57,14 +90,22 @@ def normalize_date(c) -> Column:
     ``+HH:MM`` (``Z`` -> ``+00:00``), without one no offset is written;
     microseconds appear only when non-zero.
     """
-    s = F.coalesce(_col(c).cast("string"), F.lit(""))
+    return let(F.coalesce(_col(c).cast("string"), F.lit("")), _normalized)
+
+
+def _normalized(s: Column) -> Column:
     digits = s.rlike("^[0-9]+$")
     epoch = _epoch(s)
-    mail = F.regexp_extract(s, _MAIL_DATE, 1)
-    zone = F.when(mail != "", F.lit("Z")).otherwise(F.regexp_extract(s, _ZONE, 1))
-    body = F.when(mail != "", mail).when(zone != "", F.substring(s, F.lit(1), F.length(s) - F.length(zone))).otherwise(s)
-    # a trailing zone name (UTC, PST, ...) would be converted away: keep such text as is
+    mail = s.rlike(_MAIL_ZONE)
+    zone = F.when(mail, F.lit("Z")).otherwise(F.regexp_extract(s, _ZONE, 1))
+    body = F.when(mail, F.regexp_replace(s, _MAIL_ZONE, "")).when(zone != "", F.substring(s, F.lit(1), F.length(s) - F.length(zone))).otherwise(s)
+    # a trailing zone name (PST, ...) would be converted away: keep such text as is
     wall = F.when(~body.rlike("[A-Za-z]{3,}$"), _wall_clock(body))
+    return let(F.struct(s.alias("s"), digits.alias("digits"), epoch.alias("epoch"), zone.alias("zone"), wall.alias("wall")), _as_iso)
+
+
+def _as_iso(z: Column) -> Column:
+    s, digits, epoch, zone, wall = (z[c] for c in ("s", "digits", "epoch", "zone", "wall"))
     offset = (
         F.when(zone == "", F.lit(""))
         .when(F.upper(zone) == "Z", F.lit("+00:00"))

@@ -90,7 +90,10 @@ def sort_keys(mode: str) -> list[Column]:
 
 def sorted_feed(feed: DataFrame, mode: str = "score") -> DataFrame:
     """Feed in a browser sort mode with its position (``feed_pos`` is the stored order)."""
-    return with_global_rank(feed, sort_keys(mode), "sort_pos")
+    if "entity_key" not in feed.columns:
+        return with_global_rank(feed, sort_keys(mode), "sort_pos")
+    reads = {"newest": ("date_found",), "company": ("company",), "title": ("title",)}.get(mode, ("match_score", "date_found"))
+    return with_global_rank(feed, sort_keys(mode), "sort_pos", key="entity_key", reads=(*reads, "feed_pos"))
 
 
 def migrate_actions(actions: DataFrame, feed: DataFrame) -> DataFrame:

@@ -25,6 +25,10 @@ def status_rank(c="status") -> Column:
     return out.otherwise(F.lit(len(STATUSES) + 1))
 
 
+#: The columns that ``review_order`` reads; the last one is unique.
+REVIEW_READS = ("status", "match_score", "date_found", "job_hash", "entity_key")
+
+
 def review_order() -> list[Column]:
     """Status rank, score desc, date_found desc; hash and key make it total."""
     return [
@@ -36,8 +40,20 @@ def review_order() -> list[Column]:
     ]
 
 
-def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank", key: str | None = None, reads: tuple[str, ...] = ()) -> DataFrame:
+    """df with its position (from 1) in ``order``.
+
+    With ``key``, a column whose values are unique, only it and ``reads``, the columns that ``order`` reads, are
+    range-sorted and checkpointed, and the rank is joined back to the rows; without one, whole rows are.
+    """
     checkpoint_dir(df.sparkSession)
+    if key is None:
+        return _ranked(df, order, name)
+    ranks = _ranked(df.select(*dict.fromkeys((key, *reads))), order, name).select(F.col(key).alias("_key"), name)
+    return df.join(ranks, F.col(key) == F.col("_key")).drop("_key")
+
+
+def _ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     pinned = df.orderBy(*order).checkpoint(eager=True)
     tagged = pinned.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)

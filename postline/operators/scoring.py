@@ -303,20 +303,23 @@ def keyword_hits(df: DataFrame, rules: list[Rule], title: str = "title", descrip
     (title, description or the combined text), one row per pair.
 
     Each rule is a literal test; the hits of a row are built as one array and
-    exploded, so no row is paired with rules that do not hit it.
+    exploded, so no row is paired with rules that do not hit it. Title and description are tested once for each
+    rule. The combined text has a hit where one of them has; beyond that only a keyword with a space can lie
+    across their border, so just its surroundings there are tested.
     """
-    t, d = fold_text(title), fold_text(description)
-    x = df.withColumn("_t", t).withColumn("_d", d).withColumn("_c", F.concat("_t", F.lit(" "), "_d"))
+    x = df.withColumn("_t", fold_text(title)).withColumn("_d", fold_text(description))
+    keep = [c for c in df.columns if c not in (title, description)]
+    x = x.select(*keep, "_t", "_d", *[_word(F.col(c), r).alias(f"{c}{i}") for i, r in enumerate(rules) for c in ("_t", "_d")])
     hits = []
-    for r in rules:
-        for field, col in (("title", "_t"), ("description", "_d"), ("all", "_c")):
-            hits.append(
-                F.when(
-                    _word(F.col(col), r),
-                    F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"),
-                             F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")),
-                )
-            )
+    for i, r in enumerate(rules):
+        across = F.lit(False)
+        if " " in r.folded:
+            n = len(r.folded) + 1  # one character more, so that the edges of the word are seen; a letter stands for what is cut off
+            across = _word(F.expr(f"if(length(_t) > {n}, 'x', '') || right(_t, {n}) || ' ' || left(_d, {n}) || if(length(_d) > {n}, 'x', '')"), r)
+        found = {"title": F.col(f"_t{i}"), "description": F.col(f"_d{i}"), "all": F.col(f"_t{i}") | F.col(f"_d{i}") | across}
+        hits += [
+            F.when(test, F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"), F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")))
+            for field, test in found.items()
+        ]
     arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    keep = [c for c in df.columns if c not in (title, description)]
     return x.select(*keep, F.explode(arr).alias("_h")).select(*keep, "_h.*")

@@ -105,16 +105,63 @@ def write_snapshot(df: DataFrame, root: str, only_if_changed: bool = True, exclu
     spark = df.sparkSession
     root = root.rstrip("/")
     cur = current_version(root, spark)
+    version = (cur or 0) + 1
+    df.write.mode("overwrite").parquet(f"{root}/v={version}")  # evaluated once; compared as written
     if only_if_changed and cur is not None:
-        old = spark.read.parquet(f"{root}/v={cur}")
-        if not snapshot_changed(df, old, exclude):
+        old, new = (spark.read.parquet(f"{root}/v={v}") for v in (cur, version))
+        if set(old.columns) == set(new.columns) and not snapshot_changed(new.select(*old.columns), old, exclude):
+            delete_path(f"{root}/v={version}", spark)
             return cur
-    version = (cur or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
     write_pointer(f"{root}/{POINTER}", str(version), spark)
     return version
 
 
+def delete_path(path: str, spark: SparkSession | None = None) -> bool:
+    """Delete a file or folder, if it is there."""
+    fs, p = _hadoop(spark or _active(), path)
+    return bool(fs.delete(p, True))
+
+
+def children(path: str, spark: SparkSession | None = None) -> list[str]:
+    """Names in a folder (a few: versions, not data files)."""
+    fs, p = _hadoop(spark or _active(), path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def expire_versions(root: str, keep: int, spark: SparkSession | None = None) -> list[int]:
+    """Delete all versions but the newest ``keep`` (the live one always stays); returns those deleted."""
+    root = root.rstrip("/")
+    live = current_version(root, spark)
+    versions = sorted(int(n[2:]) for n in children(root, spark) if n.startswith("v=") and n[2:].isdigit())
+    old = [v for v in versions[: max(len(versions) - max(keep, 1), 0)] if v != live]
+    return [v for v in old if delete_path(f"{root}/v={v}", spark)]
+
+
+def publish_feed(feed: DataFrame, manifest: DataFrame, root: str) -> str:
+    """Publish the feed in a folder of its own and swap the pointer; an unchanged feed keeps the folder that is live.
+
+    The folder's name is the feed's checksum, so a changed feed never overwrites what readers see, and publishing
+    again after a failure writes the same folder. The folder before stays for readers that have opened it; older ones go.
+    """
+    spark = feed.sparkSession
+    root = root.rstrip("/")
+    aside = f"{root}/_next"
+    feed.write.mode("overwrite").parquet(aside)  # evaluated once
+    rows = spark.read.parquet(aside)
+    sums = content_checksum(rows).first()
+    name = f"{sums.rows}-{sums.checksum & (2**64 - 1):016x}-{sums.checksum2 & (2**64 - 1):016x}"
+    live = read_pointer(f"{root}/{POINTER}", spark)
+    if name != live:
+        rows.write.mode("overwrite").json(f"{root}/{name}/jobs")
+        manifest.write.mode("overwrite").json(f"{root}/{name}/manifest")
+        write_pointer(f"{root}/{POINTER}", name, spark)
+        for other in children(root, spark):
+            if other not in (name, live, POINTER, "_next") and "-" in other:
+                delete_path(f"{root}/{other}", spark)
+    delete_path(aside, spark)
+    return name
+
+
 def expired_snapshots(manifest: DataFrame, keep: int, version: str = "version") -> DataFrame:
     """Versions to expire: all but the newest ``keep`` (a distributed top-k keeps them)."""
     newest = manifest.orderBy(F.col(version).desc()).limit(keep).select(version)
@@ -123,17 +170,3 @@ def expired_snapshots(manifest: DataFrame, keep: int, version: str = "version")
 
 def append_run_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
-
-
-def write_bucketed(df: DataFrame, table: str, buckets: int | None = None, key: str = "entity_key") -> DataFrame:
-    """Write the stored table bucketed and sorted by ``key`` (needs a catalog).
-
-    With ``buckets`` equal to ``spark.sql.shuffle.partitions`` the merge
-    join reads the stored table in place: the collapsed batch is already
-    hash-partitioned on ``key`` into the same number of partitions, so
-    neither side of the join is shuffled again.
-    """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.mode("overwrite").bucketBy(n, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)

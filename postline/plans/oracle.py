@@ -444,6 +444,11 @@ def queries() -> dict[str, str]:
             {q.iso('date_found')} AS date_found, {q.iso('last_seen')} AS last_seen, {q.iso('updated_at')} AS updated_at, is_new
         FROM stored2_u"""
     )
+    out["merge_buckets"] = W(
+        f"""SELECT job_hash, entity_key, title, location, status, match_score, notes,
+            {q.iso('date_found')} AS date_found, {q.iso('last_seen')} AS last_seen, {q.iso('updated_at')} AS updated_at
+        FROM stored2_u"""
+    )
     out["apply_edits"] = W(f"SELECT job_hash, status, notes, {q.iso('updated_at')} AS updated_at, edited FROM reviewed_e")
     out["edits_clean"] = W("SELECT * FROM e_clean")
     latest = _latest("checks1", "checks2")
@@ -701,7 +706,8 @@ def _scan_oracles() -> dict[str, str]:
             {lever_desc} AS description, CASE WHEN {i} % 6 = 5 THEN '' ELSE {sal} END AS salary,
             p.employment_type, CAST((1700000000 + {i} * 3600) * 1000 AS VARCHAR) AS date_posted
         {base} WHERE lower(s.type) = 'lever') WHERE title <> ''"""
-    stream = f"""SELECT job_hash, entity_key, title, location, match_score, match_reason
+    stream = f"""SELECT job_hash, entity_key, title, company, location, url, source_name, source_type, description, salary,
+            employment_type, date_posted, 'New' AS status, '' AS notes, match_score, match_reason
         FROM ({_collapsed("(" + _scored("(" + _normalized("(" + stream_rows + ")") + ")", fx.FIXTURE_RULES) + ")")})"""
     # two workflow runs over the enabled, type-dispatched sources; edits mark rows scoring 60+
     def with_seq(body: str) -> str:

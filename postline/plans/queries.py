@@ -21,6 +21,7 @@ from ..functions import text as T
 from ..functions.dates import iso_text, next_slot, normalize_date
 from ..functions.markup import html_to_text
 from ..functions.urls import normalize_url, safe_link, url_domain
+from ..operators import buckets as B
 from ..operators import eligibility as E
 from ..operators import explore as X
 from ..operators import exports as P
@@ -28,7 +29,7 @@ from ..operators import merge
 from ..operators import requests_log as R
 from ..operators import runs as U
 from ..operators import snapshots as K
-from ..operators.ordering import review_order, with_global_rank
+from ..operators.ordering import REVIEW_READS, review_order, with_global_rank
 from ..operators.scoring import score_postings
 from ..sources import fixtures as fx
 from ..session import work_dir
@@ -111,7 +112,7 @@ def stored_second(spark: SparkSession, sf: str) -> DataFrame:
 
 def ranked_postings(spark: SparkSession, sf: str, minimum_score: int = 35) -> DataFrame:
     rows = reviewed(spark, sf).filter(F.col("match_score") >= minimum_score)
-    ranked = with_global_rank(rows, review_order())
+    ranked = with_global_rank(rows, review_order(), key="entity_key", reads=REVIEW_READS)
     return ranked.select(
         "rank", "job_hash", "title", "company", "location", "url", "status", "match_score",
         "match_reason", "notes", iso_text("date_found").alias("date_found"),
@@ -138,7 +139,7 @@ def feed(spark: SparkSession, sf: str) -> DataFrame:
 
     def build():
         rows = reviewed(spark, sf).filter(F.col("match_score") >= FEED_MIN)
-        ranked = with_global_rank(rows, review_order(), "feed_pos")
+        ranked = with_global_rank(rows, review_order(), "feed_pos", key="entity_key", reads=REVIEW_READS)
         return P.public_feed(ranked, FEED_MIN, keep=("feed_pos", "entity_key"))
 
     return persisted(spark, sf, "feed", build)
@@ -551,8 +552,9 @@ def feed_scan(spark, sf):
     """The public feed written as an envelope of JSON Lines parts plus a manifest, read back."""
     root = fresh_dir(spark, "feed")
     f = feed(spark, sf).drop("feed_pos", "entity_key")
-    f.write.mode("overwrite").json(os.path.join(root, "jobs"))
-    P.feed_manifest(f, FEED_MIN, fx.AS_OF_SECOND).write.mode("overwrite").json(os.path.join(root, "manifest"))
+    manifest = P.feed_manifest(f, FEED_MIN, fx.AS_OF_SECOND)
+    K.publish_feed(f, manifest, root)
+    K.publish_feed(f, manifest, root)  # unchanged: the folder that is live stays
     return S.read_feed(spark, root)
 
 
@@ -594,14 +596,30 @@ def stream_ingest(spark, sf):
               merge_every=4, sources=fx.sources(spark, sf))
     # sighting times depend on which files each micro-batch picked up; the streaming
     # tests check them against batch-by-batch merging
-    return out.select("job_hash", "entity_key", "title", "location", "match_score", "match_reason")
+    return out.select(
+        "job_hash", "entity_key", "title", "company", "location", "url", "source_name", "source_type", "description", "salary",
+        "employment_type", "date_posted", "status", "notes", "match_score", "match_reason",
+    )
+
+
+def merge_buckets(spark, sf):
+    """The second sighting merged into a store of 32 buckets; the whole table read back."""
+    root = fresh_dir(spark, "buckets")
+    B.create(reviewed(spark, sf), root, 32)
+    B.merge_batch(spark, root, flagged(spark, sf, 1), fx.AS_OF_SECOND, "second", eligible="eligible")
+    return _iso(B.read(spark, root), "date_found", "last_seen", "updated_at").select(
+        "job_hash", "entity_key", "title", "location", "status", "match_score", "notes", "date_found", "last_seen", "updated_at"
+    )
 
 
 def stream_first_last_seen(spark, sf):
     from ..streaming.ingest import running_first_last_seen
 
     base = fresh_dir(spark, "stream_seen")
-    return _iso(running_first_last_seen(spark, sf, base), "first_seen", "last_seen")
+    # the events as they would arrive: several files, each a micro-batch of its own
+    arrived = os.path.join(base, "arrived")
+    fx.table(spark, sf, "events").repartition(4, "event_id").write.parquet(arrived)
+    return _iso(running_first_last_seen(spark, arrived, base, file_glob="*.parquet"), "first_seen", "last_seen")
 
 
 def sheet_round_trip(spark, sf):
@@ -665,6 +683,7 @@ REGISTRY = {
     "safe_links": safe_links,
     "export_run_log": export_run_log,
     "upsert_postings": upsert_postings,
+    "merge_buckets": merge_buckets,
     "apply_edits": apply_edits,
     "edits_clean": edits_clean,
     "latest_checks": latest_checks,

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, WEBSITE_MIN_SCORE, WORKBOOK_MIN_SCORE
+from ..constants import CLEARANCE_EXCLUSION_PHRASE, EXPORT_CONTROL_PHRASE, SNAPSHOTS_KEPT, WEBSITE_MIN_SCORE, WORKBOOK_MIN_SCORE
 from ..operators import exports as P
 from ..operators import merge
 from ..operators import runs as U
@@ -113,8 +113,10 @@ def run(
         F.lit(1).cast("long").alias("seq"),
     )
     checks = checks_now if old_checks is None else merge.latest_checks(old_checks, checks_now)
+    checks = _stage(checks, f"{store_root.rstrip('/')}/_checks/{staging.rsplit('/', 1)[1]}")
     # both counts were taken while the tables were written
     stats = U.run_record(sources, errors, F.lit(seen_raw.get["found"]), F.lit(seen_merged.get["new"]))
+    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row
     run_log = stats.select(
         F.lit(as_of).cast("timestamp").alias("run_time"),
         "*",
@@ -127,14 +129,15 @@ def run(
         store = merge.phrase_purge(store, phrase)
     store = merge.eligibility_purge(store)
     version = K.write_snapshot(store, store_root)
+    K.expire_versions(store_root, SNAPSHOTS_KEPT, spark)
+    K.delete_path(staging, spark)  # nothing reads it any more
     written = K.read_current(spark, store_root)
     feed = P.public_feed(written, WEBSITE_MIN_SCORE)
     if export_dir:
         from ..operators.scoring import default_rules
 
         out = export_dir.rstrip("/")
-        feed.write.mode("overwrite").json(f"{out}/feed/jobs")
-        P.feed_manifest(feed, WEBSITE_MIN_SCORE, as_of).write.mode("overwrite").json(f"{out}/feed/manifest")
+        K.publish_feed(feed, P.feed_manifest(feed, WEBSITE_MIN_SCORE, as_of), f"{out}/feed")
         runs = spark.read.parquet(f"{store_root.rstrip('/')}/_run_log")
         P.write_review_export(f"{out}/review", written, sources, checks, rules or default_rules(), runs, as_of, slots)
     return RunResult(

@@ -53,11 +53,19 @@ def salary_text(lo, hi, currency) -> Column:
 def _with_source(df: DataFrame) -> DataFrame:
     """Source name from the landed layout: ``<root>/source_name=<name>/...``
     (partition discovery) or ``<root>/<name>/<file>``."""
-    path = F.input_file_name()
-    df = df.withColumn("_file", path)
-    if "source_name" in df.columns:
+    named = "source_name" in df.columns
+    # where a line is from, whatever files a task reads: the order of payloads rests on it
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    df = df.select("*", place.alias("place"))
+    if named:
         return df.withColumn("source_name", F.col("source_name").cast("string"))
-    return df.withColumn("source_name", F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1))
+    return df.withColumn("source_name", F.regexp_extract("place.file", r"/([^/]+)/[^/]+$", 1))
+
+
+def _seq(lines: DataFrame) -> Column:
+    """Order of rows exploded from lines: file, block and the position there (ids grow within a block, however blocks are packed)."""
+    row = F.monotonically_increasing_id()  # right after the explode: no shuffle before
+    return F.struct("place.file", "place.start", row.alias("row")) if "place" in lines.columns else row
 
 
 def payload_lines(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
@@ -90,9 +98,9 @@ def items(lines: DataFrame, kind: str) -> DataFrame:
         postings = F.from_json("value", "array<string>")
     else:
         postings = F.from_json("value", "struct<jobs: array<string>>")["jobs"]
-    one = lines.filter(_well_shaped(kind)).select("source_name", F.posexplode(F.coalesce(postings, F.array().cast("array<string>"))).alias("pos", "raw"))
-    # payload order: ids taken right after the explode (no shuffle before)
-    one = one.select("source_name", F.monotonically_increasing_id().alias("seq"), "raw", F.try_parse_json("raw").alias("item"))
+    place = [c for c in lines.columns if c == "place"]
+    one = lines.filter(_well_shaped(kind)).select("source_name", *place, F.posexplode(F.coalesce(postings, F.array().cast("array<string>"))).alias("pos", "raw"))
+    one = one.select("source_name", _seq(lines).alias("seq"), "raw", F.try_parse_json("raw").alias("item"))
 
     def fault(path: str, want: str) -> Column:
         shape = F.schema_of_variant(F.try_variant_get("item", f"$.{path}", "variant"))
@@ -200,12 +208,17 @@ def faulty_items(rows: DataFrame, kind: str) -> DataFrame:
 def quarantine(spark: SparkSession, root: str, kind: str, multi_line: bool = False) -> DataFrame:
     """Payloads that are not of the expected shape, and single postings with a field that is not."""
     lines = payload_lines(spark, root, multi_line)
+    return quarantine_lines(lines, None if kind == "html" else items(lines, kind), kind)
+
+
+def quarantine_lines(lines: DataFrame, rows: DataFrame | None, kind: str) -> DataFrame:
+    """Payloads of ``lines`` that are not of the expected shape and faulty postings of ``rows`` (those of ``items``)."""
     payloads = lines.filter(~F.coalesce(_well_shaped(kind), F.lit(False))).select(
         "source_name",
         F.lit(kind).alias("source_type"),
         F.concat(F.col("source_name"), F.lit(": CollectorError: Unexpected "), F.lit(kind), F.lit(" API response")).alias("error"),
     )
-    return payloads if kind == "html" else payloads.unionByName(faulty_items(items(lines, kind), kind))
+    return payloads if rows is None else payloads.unionByName(faulty_items(rows, kind))
 
 
 _ANCHOR = r"(?s)^<(?i:a)[ \t\n\r\f/>]"
@@ -216,7 +229,7 @@ ANCHOR_ATTRIBUTES = ("href", "title", "aria-label")
 def page_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None = None) -> DataFrame:
     """Every anchor of every page: (page_id, pos, href, text, title_attr, aria_label) and the columns ``keep``.
 
-    ``number`` names a column that numbers the anchors in the order of pages and positions.
+    ``number`` names a column that orders the anchors by page (by its ``place``, where pages have and keep one) and position.
 
     Anchors are tokens of the page, so what looks like one within a comment, a script or a quoted value isn't.
     An anchor ends at its end tag, or at the next anchor when it has none.
@@ -234,7 +247,7 @@ def page_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None
         "page_id",
         "page_url",
         *keep,
-        *([F.monotonically_increasing_id().alias(number)] if number else []),  # right after the explode: no shuffle before
+        *([_seq(pages).alias(number)] if number else []),
         (F.col("pos") + 1).cast("long").alias("pos"),
         F.array_join(texts, "").alias("raw_text"),  # '' only when the anchor has no text at all
         decode_each(F.concat(attributes(F.col("x.tag"), ANCHOR_ATTRIBUTES), F.array(spaced))).alias("v"),
@@ -275,9 +288,9 @@ def read_html(spark: SparkSession, root: str, multi_line: bool = False) -> DataF
     """HTML sources: each payload is a landed page ``{"url": ..., "html": ...}``; its titled links are the postings."""
     lines = payload_lines(spark, root, multi_line).filter(F.coalesce(_well_shaped("html"), F.lit(False)))
     page = F.from_json("value", "struct<url: string, html: string>")
-    pages = lines.select("source_name", F.monotonically_increasing_id().alias("page_id"), page.alias("p"))
-    pages = pages.select("source_name", "page_id", "p.url", F.col("p.url").alias("source_page"), "p.html")
-    links = html_links(pages, keep=("source_name", "source_page"), number="seq")
+    pages = lines.select("source_name", "place", F.monotonically_increasing_id().alias("page_id"), page.alias("p"))
+    pages = pages.select("source_name", "place", "page_id", "p.url", F.col("p.url").alias("source_page"), "p.html")
+    links = html_links(pages, keep=("source_name", "source_page", "place"), number="seq")
     empty = F.lit("")
     return links.select(
         "seq",
@@ -328,11 +341,16 @@ FEED_MANIFEST = T.StructType(
 
 
 def read_feed(spark: SparkSession, root: str) -> DataFrame:
-    """Public feed as written by the export: ``jobs/`` (JSON Lines) + ``manifest/``.
+    """Public feed as written by the export: ``jobs/`` (JSON Lines) + ``manifest/``, in the folder
+    that ``CURRENT`` names where the feed is published in versions.
 
     Each job row carries the manifest's generated_at and minimum_score (the
     manifest is one row, read as two scalars).
     """
+    from ..operators.snapshots import POINTER, read_pointer
+
+    live = read_pointer(f"{root.rstrip('/')}/{POINTER}", spark)
+    root = f"{root.rstrip('/')}/{live}" if live else root
     jobs = spark.read.schema(FEED_JOB).json(f"{root}/jobs")
     m = spark.read.schema(FEED_MANIFEST).json(f"{root}/manifest").first()
     gen, minimum = (m.generated_at, m.minimum_score) if m else (None, None)

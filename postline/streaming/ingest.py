@@ -38,15 +38,13 @@ def stream_ingest(
 ) -> DataFrame:
     """Run an ``availableNow`` stream over landed Lever payloads; return the final table.
 
-    ``merge_every=None``: every micro-batch is merged into the stored table
-    (a new snapshot per micro-batch).  ``merge_every=k``: micro-batches are
-    only staged (flagged rows + batch time, written under the table folder;
-    cost grows with the batch, not the table) and merged every ``k`` batches
-    and at the end in one time-aware merge, which equals merging them one
-    after the other.
-
-    Rows are those of the batch reader, company included (``sources`` has the
-    configured ones); postings that can't be read go to ``_quarantine``.
+    Micro-batches are staged (flagged rows + batch time, written under the table folder;
+    cost grows with the batch, not the table) and merged every ``merge_every`` batches
+    (None: each) and at the end in one time-aware merge, which equals merging them one
+    after the other. A merge writes a new snapshot.
+
+    Rows are those of the batch reader, company and raw payload included (``sources`` has the
+    configured ones); payloads and postings that can't be read go to ``_quarantine``.
     """
     stream = (
         spark.readStream.schema("value string, source_name string")
@@ -84,23 +82,21 @@ def stream_ingest(
 
     def _in_order(rows: DataFrame) -> DataFrame:
         """Order within a micro-batch is the posting's creation time; postings without one come first."""
-        rows = rows.withColumn("seq", F.coalesce(F.col("date_posted").try_cast("bigint"), F.lit(0).cast("bigint"))).drop("raw_data")
+        rows = rows.withColumn("seq", F.coalesce(F.col("date_posted").try_cast("bigint"), F.lit(0).cast("bigint")))
         if sources is None:
             return rows.withColumn("company", F.col("source_name"))
         return payloads.with_company(rows, sources)
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # the batch is a static DataFrame: run the batch path on it
-        rows = payloads.items(batch.filter(F.trim("value") != ""), "lever")
-        payloads.faulty_items(rows, "lever").write.mode("overwrite").parquet(f"{root}/_quarantine/batch_id={batch_id}")
+        lines = batch.filter(F.trim("value") != "")
+        rows = payloads.items(lines, "lever")
+        payloads.quarantine_lines(lines, rows, "lever").write.mode("overwrite").parquet(f"{root}/_quarantine/batch_id={batch_id}")
         flagged = merge.flag_batch(_in_order(payloads.lever_rows(rows)), rules)
-        if merge_every is None:
-            new = merge.upsert(current(), flagged, batch_time(batch_id), eligible="eligible").drop("is_new")
-            snapshots.write_snapshot(new, root, only_if_changed=False)
-            return
+        # written once: the merge reads keys and rows of what lies there
         staged = flagged.withColumn("batch_time", F.lit(batch_time(batch_id)).cast("timestamp"))
         staged.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
-        if (batch_id + 1) % merge_every == 0:
+        if (batch_id + 1) % (merge_every or 1) == 0:
             merge_staged()
 
     q = (
@@ -110,17 +106,24 @@ def stream_ingest(
         .start()
     )
     q.awaitTermination()
-    if merge_every is not None:
-        merge_staged()
+    merge_staged()
     return current()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def running_first_last_seen(
-    spark: SparkSession, events_dir: str, checkpoint: str, file_glob: str = "events.parquet"
+    spark: SparkSession, events_dir: str, checkpoint: str, file_glob: str = "events.parquet", files_per_batch: int = 1
 ) -> DataFrame:
-    """Streaming first/last seen per entity over the events table; returns the final state."""
-    schema = spark.read.parquet(os.path.join(events_dir, file_glob)).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(events_dir)
+    """Streaming first/last seen per entity over the events table; returns the final state.
+
+    A micro-batch takes ``files_per_batch`` files. The state of the entities is carried from batch to batch in
+    the RocksDB store, which holds it outside of the heap and checkpoints changes only.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    schema = spark.read.option("pathGlobFilter", file_glob).parquet(events_dir).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", files_per_batch).parquet(events_dir)
     seen = stream.select(
         F.concat(F.col("event_type"), F.lit(":"), F.col("user_id").cast("string")).alias("entity"),
         F.col("ts").cast("timestamp").alias("run_time"),

@@ -42,6 +42,18 @@ def test_unparsable_text_is_kept(spark):
 def test_more_layouts(spark):
     texts = {"Mar 5 2024": "2024-03-05T00:00:00", "5 March 2024": "2024-03-05T00:00:00", "3/5/2024": "2024-03-05T00:00:00",
              "March 5, 2024 10:30 AM": "2024-03-05T10:30:00", "Tue, 05 Mar 2024 10:20:30 GMT": "2024-03-05T10:20:30+00:00",
-             "Tue, 5 Blah 2024": "Tue, 5 Blah 2024"}
+             "Tue, 5 Blah 2024": "Tue, 5 Blah 2024", "8 June 2026 10:00": "2026-06-08T10:00:00", "2026-06-08 10:30 AM": "2026-06-08T10:30:00",
+             "3.5.2026": "2026-03-05T00:00:00", "6/8/26": "2026-06-08T00:00:00", "Monday, June 8, 2026": "2026-06-08T00:00:00"}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.n for r in df.select("t", normalize_date("t").alias("n")).collect()} == texts
+
+
+def test_every_layout_reads_as_the_date_guesser_does(spark):
+    days = ["June 8, 2026", "Jun 8, 2026", "Jun. 8 2026", "8 June 2026", "08 Jun 2026", "8-Jun-2026", "2026-6-8", "2026/06/08", "2026.06.08", "6/8/2026", "06-08-2026", "6.8.2026", "6/8/26", "6-8-26", "Sept 8, 2026", "September 8 2026", "Mon, Jun 8, 2026", "Monday 8 June 2026", "8 may 2026", "DEC 31, 1999", "Tue, 9 June 2026", "2026 Jun 8"]
+    clocks = ["", " 10:30", " 10:30:05", " 1:05 PM", " 01:05:07 am", " 12:00 AM", " 9:15pm", ", 7:45 PM", " at 16:20"]
+    texts = [d + c for d in days for c in clocks]
+    texts += ["June 31, 2026", "13/45/2026", "June 8", "8 June 2026 25:00", "8 June 2026 10:00 PST", "Tuesday", "2026-06-08 10:30 XM", "1.2", "June 8, 2026 soon", "Tue, 05 Mar 2024 10:20:30 UTC"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.n for r in df.select("t", normalize_date("t").alias("n")).collect()}
+    assert {t: got[t] for t in texts[:-10] if got[t] != _expected(t)} == {}
+    assert [got[t] for t in texts[-10:-1]] == texts[-10:-1] and got[texts[-1]] == "2024-03-05T10:20:30+00:00"

@@ -211,3 +211,27 @@ def test_markup_keeps_text_between_angle_signs(spark):
     }
     df = spark.createDataFrame(list(cases), "string").toDF("t")
     assert {r.t: r.x for r in df.select("t", markup_text("t").alias("x")).collect()} == cases
+
+
+def test_payload_order_does_not_depend_on_how_files_are_packed(spark, tmp_dir):
+    from postline.operators import merge
+
+    for i in range(6):
+        items = [{"text": f"Title {i}-{j}", "hostedUrl": f"https://o/{j % 2}", "categories": {"location": "Austin"}} for j in range(4)]
+        d = os.path.join(tmp_dir, "lever", "source_name=acme")
+        os.makedirs(d, exist_ok=True)
+        with open(os.path.join(d, f"{i}.json"), "w") as fh:
+            fh.write((" " * (5 - i) * 4000) + json.dumps(items) + "\n" + json.dumps(items[:1]) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    found = []
+    try:
+        for size, cost in (("128m", "4m"), ("1m", "0"), ("20k", "0")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            raw = S.read_lever(spark, os.path.join(tmp_dir, "lever")).withColumn("company", S.F.lit("Acme"))
+            n = merge.normalize_postings(raw).withColumn("match_score", S.F.lit(1)).withColumn("match_reason", S.F.lit(""))
+            found.append(sorted((r.entity_key, r.title, r.sightings) for r in merge.collapse_batch(n).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2] == [("https://o/0", "Title 5-0", 18), ("https://o/1", "Title 5-3", 12)]

@@ -78,3 +78,34 @@ def test_staged_merge_equals_per_batch_merge(spark, tmp_dir):
     rows_a = sorted(tuple(r) for r in a.select(*cols).collect())
     rows_b = sorted(tuple(r) for r in b.select(*cols).collect())
     assert rows_a == rows_b and len(rows_a) == 6
+
+
+def test_the_stream_quarantines_like_the_batch_and_keeps_raw_postings(spark, tmp_dir):
+    from postline.sources import payloads
+
+    landed = os.path.join(tmp_dir, "lever")
+    good = {"text": "Good", "hostedUrl": "https://a/1", "categories": {"location": "Austin"}, "createdAt": 7, "team": "Core"}
+    _write(landed, "acme", "a.json", [good, {"text": ["bad"]}])
+    _write(landed, "acme", "b.json", {"error": "rate limited"})
+    with open(os.path.join(landed, "source_name=acme", "c.json"), "w") as fh:
+        fh.write("not json\n\n")
+    want = sorted(r.error for r in payloads.quarantine(spark, landed, "lever").collect())
+    assert len(want) == 3
+    for i, every in enumerate((None, 1, 2, 5)):
+        table = os.path.join(tmp_dir, f"t{i}")
+        out = stream_ingest(spark, landed, table, os.path.join(tmp_dir, f"c{i}"), RULES, files_per_batch=1, merge_every=every).collect()
+        assert [(r.title, json.loads(r.raw_data)) for r in out] == [("Good", good)]
+        assert sorted(r.error for r in spark.read.parquet(f"{table}/_quarantine").collect()) == want
+
+
+def test_state_is_carried_across_batches(spark, tmp_dir):
+    events = os.path.join(tmp_dir, "events")
+    rows = [("view", i % 3, f"2026-01-{1 + i:02d} 00:00:00") for i in range(12)]
+    df = spark.createDataFrame(rows, "event_type string, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(4):
+        df.filter(F.dayofmonth("ts").between(3 * i + 1, 3 * i + 3)).coalesce(1).write.mode("append").parquet(events)
+    base = os.path.join(tmp_dir, "seen")
+    got = running_first_last_seen(spark, events, base, file_glob="*.parquet")
+    assert sorted((r.entity, r.first_seen.day, r.last_seen.day, r.sightings) for r in got.collect()) == [("view:0", 1, 10, 4), ("view:1", 2, 11, 4), ("view:2", 3, 12, 4)]
+    updates = spark.read.parquet(os.path.join(base, "updates"))
+    assert updates.select("batch_id").distinct().count() == 4 and updates.filter("sightings > 1").count() == 9

@@ -1,7 +1,9 @@
+import glob
 import json
 import os
 
 from postline.operators import snapshots as K
+from postline.sources import payloads
 from postline.operators.scoring import Rule
 from postline.plans import workflow
 
@@ -53,7 +55,8 @@ def test_two_runs_keep_edits_and_purge(spark, tmp_dir):
                       export_dir=out, slots=["09:00"])
     review = spark.read.option("header", True).option("multiLine", True).csv(os.path.join(out, "review", "Run_Log"))
     assert review.count() == 2  # both runs are in the run log
-    assert spark.read.json(os.path.join(out, "feed", "jobs")).count() == 1
+    assert payloads.read_feed(spark, os.path.join(out, "feed")).count() == 1
+    assert not os.path.exists(os.path.join(store_root, "_staging", "2026-06-08T120000"))
     row = r2.store.first()
     assert (row.status, row.notes, str(row.date_found), str(row.last_seen)) == (
         "Applied", "sent", "2026-06-08 09:00:00", "2026-06-08 12:00:00")
@@ -86,3 +89,30 @@ def test_pointer_files_through_hadoop_fs(spark, tmp_dir):
     df.write.parquet(root + "/v=3")
     assert K.write_snapshot(df.union(df), root, only_if_changed=False) == 3
     assert K.read_current(spark, root).count() == 2
+
+
+def test_old_versions_are_deleted_and_the_live_one_stays(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "versions")
+    for i in range(5):
+        K.write_snapshot(spark.createDataFrame([(i,)], "id int"), root)
+    assert K.expire_versions(root, 2, spark) == [1, 2, 3]
+    assert [n for n in K.children(root, spark) if n.startswith("v=")] == ["v=4", "v=5"] and K.read_current(spark, root).first().id == 4
+    assert K.expire_versions(root, 2, spark) == [] and K.expire_versions(os.path.join(tmp_dir, "none"), 1, spark) == []
+    K.write_pointer(root + "/CURRENT", "4", spark)
+    assert K.expire_versions(root, 1, spark) == [] and K.read_current(spark, root).first().id == 3
+
+
+def test_an_unchanged_feed_is_not_published_again(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "feed")
+    manifest = spark.createDataFrame([("t1", 20, 2)], "generated_at string, minimum_score int, total long")
+    feed = spark.createDataFrame([("h1", "A", 50), ("h2", "B", 40)], "job_hash string, title string, match_score int")
+    first = K.publish_feed(feed, manifest, root)
+    before = {p: os.path.getmtime(p) for p in glob.glob(f"{root}/{first}/*/*")}
+    assert K.publish_feed(feed.orderBy("title"), manifest.replace("t1", "t2"), root) == first
+    assert {p: os.path.getmtime(p) for p in glob.glob(f"{root}/{first}/*/*")} == before
+    assert {r.generated_at for r in payloads.read_feed(spark, root).collect()} == {"t1"}
+    second = K.publish_feed(feed.filter("match_score > 45"), manifest, root)
+    assert second != first and [r.title for r in payloads.read_feed(spark, root).collect()] == ["A"]
+    assert glob.glob(f"{root}/{first}/jobs/*.json")  # readers that have opened it go on
+    third = K.publish_feed(feed.filter("match_score < 45"), manifest, root)
+    assert sorted(n for n in os.listdir(root) if "-" in n) == sorted([second, third])
