@@ -35,7 +35,7 @@ LEAST = 0.95
 SAMPLE = 20_000
 CELL = 4096
 MOST_CELLS = 4096
-BLOCK = 2048
+BLOCK = 8192
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -100,7 +100,7 @@ def cells(classes: DataFrame, centres: dict[int, np.ndarray], least: float = LEA
                         rows = part.take(pa.array(i[s : s + 8192]))
                         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(c[s : s + 8192].astype(np.int32)), pa.array(flag[s : s + 8192]), rows.column(1), rows.column(2), rows.column(3)], names=["dim", "cell", "guest", "cid", "n", "embedding"])
 
-    return classes.select("dim", "cid", "n", "embedding").mapInArrow(run, "dim int, cell int, guest boolean, cid long, n long, embedding array<float>")
+    return classes.select("dim", "cid", "n", "embedding").mapInArrow(run, f"dim int, cell int, guest boolean, cid long, n long, embedding {classes.schema['embedding'].dataType.simpleString()}")
 
 
 def _products(least: float):
@@ -190,7 +190,9 @@ def link(classes: DataFrame, centres: dict[int, np.ndarray], least: float = LEAS
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", least: float = LEAST, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     ship(vectors.sparkSession)
-    own = vectors.select(F.col(id_col).alias("vec_id"), F.col(embedding_col).cast("array<float>").alias("embedding"))
+    # single precision is exact for floats; anything else is compared as doubles
+    single = vectors.schema[embedding_col].dataType.simpleString() == "array<float>"
+    own = vectors.select(F.col(id_col).alias("vec_id"), F.col(embedding_col).cast("array<float>" if single else "array<double>").alias("embedding"))
     own = own.withColumn("valid", _valid("embedding")).withColumn("h1", F.when(F.col("valid"), F.xxhash64("embedding"))).withColumn("h2", F.when(F.col("valid"), F.xxhash64(F.lit(1), "embedding")))
     rows = cut(own.select("vec_id", "h1", "h2"), "vectors")
     classes = own.where("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding"))

@@ -5,6 +5,16 @@ from __future__ import annotations
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+OP1 = """
+WITH own AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, url, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM own),
+first AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM sized),
+told AS (SELECT *, payload_bytes >= 1000 AND page_id <> first_id AS visits FROM first)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN visits THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN visits THEN first_id END AS refers_to, regexp_replace(url, '[\\x00-\\x20\\x7f]', '%20', 'g') AS url, CAST(1 AS INTEGER) AS n_requests
+FROM told
+"""
+
 OP12 = f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
 lines AS (SELECT doc_id, unnest(every) AS line, unnest(range(len(every))) AS pos FROM docs),
@@ -44,4 +54,4 @@ SELECT h.vec_id, CAST(h.c AS INTEGER) AS cluster, CAST(h.d2 AS BIGINT) AS distan
 FROM home{rounds} h JOIN digest g ON h.c = g.c"""
 
 
-QUERIES: dict[str, str] = {"op11_simplex": op11(), "op12_lines": OP12}
+QUERIES: dict[str, str] = {"op1_warc": OP1, "op11_simplex": op11(), "op12_lines": OP12}

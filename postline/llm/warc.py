@@ -2,12 +2,13 @@
 
 Writing. Each page gives three records, request, response and metadata, tied by
 WARC-Concurrent-To identifiers. A payload of at least ``least`` bytes that a page of larger
-id has as well becomes a revisit record without it. The archives are gzip files in a shared
+id has as well becomes a revisit record without it, whose WARC-Refers-To names the response's record. The archives are gzip files in a shared
 folder, written by Spark's text writer (a record of UTF-8 pages is text whose last byte is the
 line end).
 
-Reading. Spark's text reader cuts the archives at the version line. A payload may hold that
-line itself, so Content-Length decides: pieces are joined until a record is whole. Archives
+Reading. Spark's text reader cuts the archives where a version line (WARC/1.0 or 1.1) may begin. A payload may hold
+such a text itself, so Content-Length decides: pieces are joined until a record is whole, and anything but line
+ends behind a record is an error, as is an archive that ends within one. Archives
 are compressed, so a file is one stream and a record never lies in two tasks; memory is bounded by
 the longest record.
 
@@ -42,13 +43,16 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
-def record_id(kind: str) -> Column:
-    """A record id that is unique to the row and kind."""
-    h = F.md5(F.concat_ws(":", F.lit(kind), F.col("row").cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest")))
+def _urn(h: Column) -> Column:
     part = lambda at, n: F.substring(h, at, n)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
 
 
+def record_id(kind: str) -> Column:
+    """A record id that is unique to the row and kind."""
+    return _urn(F.md5(F.concat_ws(":", F.lit(kind), F.col("row").cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("digest"))))
+
+
 def record(kind: Column, own_id: Column, fields: list[tuple[str, Column]], content: Column) -> Column:
     """A record as text; a field whose value is null is left out."""
     head = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", F.lit(DATE)), *fields, ("Content-Length", F.octet_length(content).cast("string"))]
@@ -61,17 +65,22 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long"))
     # narrow: only payloads that several pages have; what goes with the pages is a row for each such payload
-    shared = own.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = cut(shared.select(F.col("digest").alias("_digest"), "first_id"), "shared")
+    shared = own.where(F.col("size") >= least).groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.max_by("n", "page_id").alias("n_first"), F.sum("n").alias("n")).where("n > 1")
+    # the one record that others refer to has an id that all of them can tell
+    told = F.when(F.col("n_first") == 1, _urn(F.md5(F.concat_ws(":", F.lit("first"), F.col("first_id").cast("string"), F.col("digest")))))
+    shared = cut(shared.select(F.col("digest").alias("_digest"), "first_id", told.alias("first_record")), "shared")
     rows = own.join(shared, own.digest == F.col("_digest"), "left").withColumn("row", F.monotonically_increasing_id())
     revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("page_id").isNull() & F.col("first_id").isNotNull())
     url = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
-    response, request, target = record_id("response"), record_id("request"), ("WARC-Target-URI", url)
+    own_id = F.when((F.col("page_id") == F.col("first_id")) & F.col("first_record").isNotNull(), F.col("first_record")).otherwise(record_id("response"))
+    rows = rows.withColumn("response", own_id)
+    response, request, target = F.col("response"), record_id("request"), ("WARC-Target-URI", url)
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))
     main = record(
         F.when(revisit, "revisit").otherwise("response"), response,
-        [target, digest, ("WARC-Profile", F.when(revisit, PROFILE)), ("Content-Type", F.lit("application/http;msgtype=response"))],
+        [target, digest, ("WARC-Profile", F.when(revisit, PROFILE)), ("WARC-Refers-To", F.when(revisit, F.col("first_record"))), ("Content-Type", F.lit("application/http;msgtype=response"))],
         F.concat(http, F.when(revisit, "").otherwise(F.col("html"))),
     )
     ask = record(F.lit("request"), request, [target, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(f" HTTP/1.1{CRLF * 2}")))
@@ -113,9 +122,13 @@ def parse(raw: bytes, with_content: bool) -> tuple:
     return (*row, payload) if with_content else (*row, payload if told.get("warc-type") == "metadata" else None)
 
 
+#: What every version line begins with, and what follows it there.
+MARK, VERSIONS = "WARC/1.", (b"0\r\n", b"1\r\n")
+
+
 def whole_records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
-    """Records from (file, piece) in order, pieces being what lies between version lines."""
-    line = f"{VERSION}{CRLF}".encode()
+    """Records (without their version line) from (file, piece) in order, pieces being what lies between marks."""
+    mark = MARK.encode()
     held, name, need = bytearray(), None, 0
 
     def wanted(raw: bytes | bytearray) -> int:
@@ -130,15 +143,19 @@ def whole_records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
     def done() -> bytes:
         if len(held) < need:
             raise ValueError(f"{name} ends within a record")
-        return bytes(held)
+        if held[need:].strip(b"\r\n"):
+            raise ValueError(f"{name} has bytes between records")
+        return bytes(held[3:need])
 
     for file, piece in pieces:
         if held and file == name and len(held) < need:
-            held += line + piece  # that version line was part of a payload
+            held += mark + piece  # that mark was part of a record
         else:
             if held:
                 yield done()
-            held, name = bytearray(piece), file
+            if piece[:3] not in VERSIONS and piece.strip(b"\r\n"):
+                raise ValueError(f"{file} has bytes between records")
+            held, name = bytearray(piece if piece[:3] in VERSIONS else b""), file
         need = wanted(held) if held else 0
     if held:
         yield done()
@@ -147,7 +164,7 @@ def whole_records(pieces: Iterator[tuple[str, bytes]]) -> Iterator[bytes]:
 def read_records(spark: SparkSession, folder: str, with_content: bool = True) -> DataFrame:
     """RECORD and ``content`` (binary; without ``with_content`` that of metadata records only) of each record in the gzip archives of folder."""
     ship(spark)
-    lines = spark.read.option("lineSep", f"{VERSION}{CRLF}").text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    lines = spark.read.option("lineSep", MARK).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces():
@@ -207,14 +224,18 @@ def captures_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
     about = F.decode(F.element_at("metadata.content", 1), "UTF-8")
     revisit = F.col("response.type") == "revisit"
     rows = nested.where("response is not null").select(
+        "capture_id",
         F.regexp_extract(about, r"(?m)^page-id: (-?\d+)", 1).try_cast("long").alias("page_id"),
         F.when(revisit, F.col("response.http_length")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.regexp_replace(F.element_at("response.fields", "warc-payload-digest"), "^sha1:", "")).otherwise(F.col("response.payload_sha1")).alias("payload_digest"),
         F.col("response.type").alias("record_type"), F.col("response.target_uri").alias("url"), F.size("requests").alias("n_requests"),
+        F.when(revisit, F.try_element_at("response.fields", F.lit("warc-refers-to"))).alias("refers"),
     )
     rows = cut(rows, "captures")
-    first = rows.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least)).groupBy("payload_digest").agg(F.max("page_id").alias("_first"))
-    first = first.withColumnRenamed("payload_digest", "_digest")
-    visits = rows.where("record_type = 'revisit'").join(first, F.col("payload_digest") == F.col("_digest"), "left").withColumnRenamed("_first", "refers_to").drop("_digest")
-    rows = rows.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(visits)
+    whole, visits = rows.where("record_type <> 'revisit'"), rows.where("record_type = 'revisit'")
+    named = whole.select(F.col("capture_id").alias("_record"), F.col("page_id").alias("refers_to"))
+    by_record = visits.where("refers is not null").join(named, F.col("refers") == F.col("_record"), "left").drop("_record")
+    first = whole.where((F.col("record_type") == "response") & (F.col("payload_bytes") >= least)).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"))
+    by_digest = visits.where("refers is null").join(first.withColumnRenamed("payload_digest", "_digest"), F.col("payload_digest") == F.col("_digest"), "left").drop("_digest")
+    rows = whole.withColumn("refers_to", F.lit(None).cast("long")).unionByName(by_record).unionByName(by_digest)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "n_requests")

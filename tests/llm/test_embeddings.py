@@ -65,3 +65,14 @@ def test_centres_are_unit_vectors():
     c = embeddings.spherical_kmeans(x, 12)
     assert c.shape == (12, 6) and np.allclose(np.linalg.norm(c, axis=1), 1)
     assert (x @ c.T).max(axis=1).mean() > (x @ x[:12].T).max(axis=1).mean()
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    # the cosine is 0.95 to within 1e-12 on either side; as floats both vectors would be the same
+    at = math.acos(0.95)
+    rows = [(1, [1.0, 0.0]), (2, [math.cos(at - 1e-11), math.sin(at - 1e-11)]), (3, [0.0, 5.0]), (4, [5 * math.sin(at + 1e-11), 5 * math.cos(at + 1e-11)])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+    whole = spark.createDataFrame([(1, [3, 4]), (2, [6, 8]), (3, [4, -3])], "vec_id long, embedding array<int>")
+    assert {r.vec_id: r.component_id for r in embeddings.near_duplicates(whole).collect()} == {1: 1, 2: 1, 3: 3}

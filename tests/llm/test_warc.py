@@ -65,9 +65,36 @@ def test_a_cut_archive_is_an_error(spark, tmp_dir):
 
 
 def test_pieces_are_joined_until_a_record_is_whole():
-    line = b"WARC/1.1\r\n"
-    inner = b"p" + line + b"q" + line
+    line, mark = b"WARC/1.1\r\n", b"WARC/1."
+    inner = b"p" + line + b"q" + line + b"WARC/1.0 and WARC/1."
     raw = one("response", "a", content=inner) + one("response", "b", content=b"")
-    pieces = [("f", x) for x in raw.split(line)] + [("g", x) for x in one("request", "c").split(line)]
+    pieces = [("f", x) for x in raw.split(mark)] + [("g", x) for x in one("request", "c").split(mark)]
     assert [warc.parse(r, True)[1] for r in warc.whole_records(iter(pieces))] == ["a", "b", "c"]
     assert warc.parse(next(warc.whole_records(iter(pieces))), True)[-1] == inner
+
+
+def test_both_versions_are_read_and_nothing_is_dropped(spark, tmp_dir):
+    old = lambda *a, **k: one(*a, **k).replace(b"WARC/1.1", b"WARC/1.0", 1)
+    for name, records in {"old": [old("response", "a"), old("request", "b", ["a"]), old("metadata", "c", ["b"])], "mixed": [one("response", "a"), old("response", "b"), one("response", "c")]}.items():
+        with open(f"{tmp_dir}/{name}.warc.gz", "wb") as f:
+            f.write(gzip.compress(b"".join(records)))
+        assert [r.record_id for r in warc.read_records(spark, f"file://{tmp_dir}/{name}.warc.gz").collect()] == ["a", "b", "c"]
+    for i, junk in enumerate((one("response", "a") + b"lost bytes", b"ahead" + one("response", "a"), one("response", "a", content=b"xyz").replace(b"Content-Length: 3", b"Content-Length: 1"), one("response", "a") + b"WARC/0.9\r\n" + one("response", "b"))):
+        with open(f"{tmp_dir}/j{i}.warc.gz", "wb") as f:
+            f.write(gzip.compress(junk))
+        with pytest.raises(Exception, match="bytes between records"):
+            warc.read_records(spark, f"file://{tmp_dir}/j{i}.warc.gz").count()
+
+
+def test_revisits_name_the_record_they_refer_to(spark, tmp_dir):
+    folder = f"file://{tmp_dir}/w"
+    warc.write_pages(frame(spark, [(1, "a", "q" * 2000), (5, "b", "q" * 2000), (3, "c", "q" * 2000), (2, "d", "r" * 1500), (2, "d", "r" * 1500), (1, "e", "r" * 1500)]), folder)
+    read = warc.read_records(spark, folder).collect()
+    main = {r.record_id: r for r in read if r.type in ("response", "revisit")}
+    assert len(main) == 6 and len({r.record_id for r in read}) == 18
+    for r in main.values():
+        to = r.fields.get("warc-refers-to")
+        if r.type == "revisit" and r.target_uri in "abc":
+            assert main[to].target_uri == "b" and main[to].type == "response" and main[to].fields["warc-payload-digest"] == r.fields["warc-payload-digest"]
+        else:
+            assert to is None
