@@ -82,8 +82,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p"))
     e = cut(e.distinct(), label)
     while True:
-        least = e.withColumn("m", F.min("p").over(W.partitionBy("c")))
-        one = least.select(F.explode(F.expr("if(p = m, array(named_struct('c', c, 'p', m, 'more', 0L)), array(named_struct('c', p, 'p', m, 'more', 1L)))")).alias("x")).select("x.*")
+        # a join and not a window, so that AQE can split the rows of a node that has very many parents
+        least = e.groupBy("c").agg(F.min("p").alias("m")).withColumnRenamed("c", "q")
+        one = e.join(least, e.c == least.q).select(F.explode(F.expr("if(p = m, array(named_struct('c', c, 'p', m, 'more', 0L)), array(named_struct('c', p, 'p', m, 'more', 1L)))")).alias("x")).select("x.*")
         one = cut(one, label)
         up = one.groupBy("c").agg(F.min("p").alias("up")).withColumnRenamed("c", "q")
         jumped = one.join(up, one.p == up.q, "left").select("c", F.coalesce("up", "p").alias("p"), F.greatest(F.col("more"), F.col("up").isNotNull().cast("long")).alias("more"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from postline.llm.common import cut, shared_folder
+from postline.llm.common import cut, free_name, shared_folder
 
 
 @dataclass(frozen=True)
@@ -166,13 +166,13 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", id_c
     """docs, all their rows and columns, with each span of a secret in the text replaced by ``mark`` (overlapping spans by one)."""
     ledger = ledger or Ledger(docs.sparkSession)
     ledger.update(docs, id_col, text_col)
-    spans = cut(ledger.by_blob().select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")), "spans")
-    rows = docs.withColumn("__own", address(F.col(text_col)))
-    rows = rows.join(spans, rows["__own"] == spans["__blob"], "left")
+    own, blob, found = (free_name(docs, n) for n in ("__own", "__blob", "__spans"))
+    spans = cut(ledger.by_blob().select(F.col("blob").alias(blob), F.col("spans").alias(found)), "spans")
+    rows = docs.withColumn(own, address(F.col(text_col))).join(spans, F.col(own) == F.col(blob), "left")
     text = F.col(text_col)
     # (text so far, end of the last span): a span that begins before that end only moves it
     step = lambda s, x: F.when(x["start"] < s["at"], F.struct(s["out"].alias("out"), F.greatest(s["at"], x["stop"]).alias("at"))).otherwise(
         F.struct(F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mark)).alias("out"), x["stop"].alias("at"))
     )
-    done = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"].cast("int") + 1, F.length(text))))
+    return rows.withColumn(text_col, F.when(F.col(found).isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postline.llm.common import components, cut, ship
+from postline.llm.common import components, cut, free_name, ship
 
 BLOCK = 2048
 SMALL = 48
@@ -231,7 +231,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of docs, all their columns, of which each near-duplicate group keeps one: that of its smallest id."""
     ship(docs.sparkSession)
-    fp, no, at = "__simhash_fp", "__simhash_no", "__simhash_id"
+    fp, no, at = (free_name(docs, n) for n in ("__simhash_fp", "__simhash_no", "__simhash_id"))
     wide = cut(docs.withColumn(fp, fingerprint_column(F.col(text_col), shingle)), "simhash")
     groups = near_duplicates(wide.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), "doc_id", max_bits)
     least = wide.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")).join(groups, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))

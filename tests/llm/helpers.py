@@ -35,7 +35,7 @@ def documents(spark, rows=None):
 #: Names that modules give to columns of their own.
 CLASHING = """toxic _id _doc name pos n x k y __toxicity draws _key _at at place row key whole order part draw draws shard __shard _s nth block size bytes passes last copies
 source_size target goal got fp c p q node root a b up more t1 t2 h1 h2 m1 m2 m_id keep gone head heads kind doc seq piece tokens ids length start offset fill seen blob path version rule
-findings span spans _n _k _by0 _b _bk _in score held_out predicted band low high perplexity words n_words digest rank slot shard_ bin room group size_ law class cid""".split()
+findings span spans _n _k _by0 _b _bk _in score held_out predicted band low high perplexity words n_words digest rank slot shard_ bin room group size_ law class cid __own __blob __spans __simhash_fp __simhash_no __simhash_id""".split()
 
 
 def clashing(docs):

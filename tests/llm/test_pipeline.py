@@ -1,7 +1,17 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from postline.llm.common import components
 from postline.llm import ledger, line_dedup, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from tests.llm.helpers import awkward, clashing, collected, documents, prose
+from tests.llm.test_mixing import plain_targets
+from tests.llm.test_simhash import plain_fingerprint, plain_groups
 
 SF = "/root/testdata/sf0.001"
 LABELLED = "/root/testdata/sf0.01"
@@ -67,3 +77,73 @@ def test_no_column_name_clashes_in_an_operator(spark):
         assert a.columns == b.columns
         if "sequence_id" not in a.columns:
             assert collected(a, *a.columns) == collected(b, *a.columns)
+
+
+def test_run_equals_a_plain_pass_through_all_stages(spark, tmp_dir):
+    """Every row of run() against the stages done one by one in plain Python; the mix, which is drawn by hash, by its targets and prefixes."""
+    labelled = spark.read.parquet(f"{LABELLED}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").limit(400)
+    key = "secret = abcdef0123456789abcd"
+    own = [(10_000, "the idiot on the stupid idiot moron " + prose(50, 40), "en", "a"), (10_001, f"{prose(61, 50)} {key} {prose(62, 20)}", "en", "b"), (10_002, prose(63, 80), "en", "b"), (10_003, prose(63, 80), "en", "a"), (10_004, None, "en", "a"), (None, prose(64, 70), "fr", None)]
+    docs = labelled.unionByName(documents(spark, own).select(*labelled.columns))
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.read.parquet(f"{LABELLED}/labels.parquet").write.parquet(f"{tmp_dir}/labels.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+
+    scorer = toxicity.train(spark.read.parquet(f"{tmp_dir}/documents.parquet"), spark.read.parquet(f"{tmp_dir}/labels.parquet"))
+    scores = scorer.scores([r[1] for r in rows], toxicity.Reader(scorer.model, scorer.names))
+    rows = [r for r, s in zip(rows, scores, strict=True) if s < 0.5]
+    assert 10_000 not in {r[0] for r in rows} and len(rows) > 300
+
+    groups = plain_groups([plain_fingerprint(r[1]) for r in rows], 4)
+    least = {g: min((r[0] for r, h in zip(rows, groups, strict=True) if h == g and r[0] is not None), default=None) for g in set(groups)}
+    rows = [r for r, g in zip(rows, groups, strict=True) if r[0] == least[g]]
+    assert {10_001, 10_002} <= {r[0] for r in rows} and 10_003 not in {r[0] for r in rows}
+
+    found = {r.doc_id: r.spans for r in ledger.secrets(documents(spark, [r[:4] for r in rows])).collect()}
+
+    def redacted(r):
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in found[r[0]].split(",") if x)
+        out, at = "", 0
+        for start, stop in spans:
+            if start >= at:
+                out, at = out + r[1][at:start] + "[SECRET]", stop
+            at = max(at, stop)
+        return out + r[1][at:] if r[1] is not None else None
+
+    texts = {r[0]: (redacted(r), r[3]) for r in rows}
+    assert "abcdef0123456789abcd" not in texts[10_001][0] and "[SECRET]" in texts[10_001][0]
+
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
+
+    def pieces(text):
+        ids = np.array([*encode.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        return tuple((s, len(p), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), 4096) for p in [ids[s : s + 4096]])
+
+    got = Counter()
+    windows = {}
+    for r in corpus_pipeline.run(spark, tmp_dir).collect():
+        got[r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens] += 1
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in windows.values():  # gapless, and no longer than a window
+        ends = np.cumsum([0, *[n for _, n in sorted(spans)]])
+        assert [o for o, _ in sorted(spans)] == ends[:-1].tolist() and ends[-1] <= 4096
+
+    sizes, taken = Counter(), Counter()
+    for text, source in texts.values():
+        sizes[source] += len(whole.findall(text or ""))
+    for doc_id, (text, source) in texts.items():
+        mine = Counter({k[1:]: n for k, n in got.items() if k[0] == doc_id})
+        full = Counter(pieces(text))
+        copies = min((mine[p] // n for p, n in full.items()), default=0)
+        for p, n in full.items():
+            mine[p] -= copies * n
+        parts, mine = whole.findall(text or ""), +mine
+        taken[source] += copies * len(parts)
+        if mine:  # one copy more, cut after a word
+            cut = [n for n in range(1, len(parts) + 1) if Counter(pieces("".join(parts[:n]))) == mine]
+            assert cut, doc_id
+            taken[source] += cut[0]
+    assert {k[0] for k in got} <= set(texts)
+    aims = plain_targets(dict(sizes))
+    assert all(abs(taken[s] - aims[s]) <= 0.5 + 1e-6 for s in sizes)
