@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
+from .text import let, remembered
 
 ISO_OUT = "yyyy-MM-dd'T'HH:mm:ssxxx"
 # Largest epoch second that still formats as a four-digit year.
@@ -82,6 +82,7 @@ def _wall_clock(body: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(body), _written(body))
 
 
+@remembered
 def normalize_date(c) -> Column:
     """'' for empty; ISO-8601 text when it parses; else unchanged.
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_text
+from .text import fold_text, remembered
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@remembered
 def job_hash(title, company, url, location) -> Column:
     """sha256(fold(title) | fold(company) | url) with fold(location) when url is ''.
 
@@ -22,6 +23,7 @@ def job_hash(title, company, url, location) -> Column:
     return F.sha2(F.concat_ws("|", fold_text(title), fold_text(company), third), 256)
 
 
+@remembered
 def entity_key(url, job_hash_col) -> Column:
     """The stored row a posting merges into: its URL, else its hash.
 

@@ -18,7 +18,7 @@ from html.entities import html5 as _html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, clean_text, let
+from .text import _col, clean_text, let, remembered
 
 # --- character references -----------------------------------------------------
 # named references as the standard library tables them, those that need no semicolon included
@@ -77,6 +77,7 @@ def _decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
+@remembered
 def decode_entities(c) -> Column:
     """Decode numeric character references of any length and named ones, with or without their semicolon, in one pass.
 
@@ -141,6 +142,7 @@ def _parts(text: Column, whole, simple) -> Column:
     )
 
 
+@remembered
 def markup_text(c) -> Column:
     """Text of a markup fragment: comments, script/style/template elements and tags dropped, character
     references decoded, whitespace collapsed."""
@@ -152,6 +154,7 @@ def markup_text(c) -> Column:
     return clean_text(decode_entities(let(F.coalesce(_col(c), F.lit("")), text)))
 
 
+@remembered
 def html_to_text(c) -> Column:
     """Markup to whitespace-collapsed text.
 
@@ -161,6 +164,7 @@ def html_to_text(c) -> Column:
     return markup_text(decode_entities(F.coalesce(_col(c), F.lit(""))))
 
 
+@remembered
 def tokens(c) -> Column:
     """The tokens of a fragment in order; put together they are the fragment, but for '<' of an
     unfinished tag at its end, which comes as its reference."""

@@ -6,8 +6,10 @@ codegen; none of them is a Python UDF.
 
 from __future__ import annotations
 
+import functools
 import re as _re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,21 +22,44 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def remembered(build):
+    """Keep the expression that ``build`` makes of column names: building one takes a call to the JVM for each of its parts.
+
+    Only calls by names (and other plain values) are kept; an expression of names holds no data and no session.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def get(*args, **kwargs):
+        values = (*args, *kwargs.values())
+        if not any(isinstance(v, str) for v in values) or not all(isinstance(v, (str, int, tuple, type(None))) for v in values):
+            return build(*args, **kwargs)
+        key = (id(SparkContext._gateway), args, tuple(sorted(kwargs.items())))  # a new JVM needs a new expression
+        if key not in kept:
+            kept[key] = build(*args, **kwargs)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body) -> Column:
     """body of a variable that stands for value, so that value is evaluated once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+@remembered
 def clean_text(c) -> Column:
     """Strip and collapse whitespace; NULL becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), _WS_RUN, " "))
 
 
+@remembered
 def strip_text(c) -> Column:
     """Leading and trailing whitespace removed (every character str.isspace accepts)."""
     return F.regexp_replace(F.coalesce(_col(c), F.lit("")), "^" + _WS_RUN + "|" + _WS_RUN + "$", "")
 
 
+@remembered
 def fold_text(c) -> Column:
     """clean_text + case folding (lower case, sharp s to ss, final sigma to sigma)."""
     return _casefold(clean_text(c))
@@ -46,6 +71,7 @@ def _casefold(c: Column) -> Column:
     return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
+@remembered
 def fold_cleaned(c) -> Column:
     """Case folding of text that is already whitespace-clean (no second regex pass)."""
     return _casefold(F.coalesce(_col(c), F.lit("")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NETLOC_SCHEMES, TRACKING_PARAMETERS, TRACKING_PREFIX
 from .regex import WS_CLASS
-from .text import let
+from .text import let, remembered
 
 # scheme, authority, path, query, fragment
 URL_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -60,6 +60,7 @@ def _clean_query(query: Column) -> Column:
     return F.array_join(F.transform(F.filter(pieces, keep), encode), "&")
 
 
+@remembered
 def normalize_url(c) -> Column:
     """Trim; lower-case scheme and authority; drop fragment, trailing '/',
     tracking parameters; re-encode the query.  NULL or '' gives ''."""
@@ -87,11 +88,13 @@ def normalize_url(c) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("")).otherwise(out)
 
 
+@remembered
 def url_domain(c) -> Column:
     """Lower-cased authority (host and port) of a URL; '' when there is none."""
     return F.lower(url_part(c, 2))
 
 
+@remembered
 def safe_link(c) -> Column:
     """The URL when its scheme is http or https (or it has none), else '#'."""
     c = F.coalesce(_col(c), F.lit(""))
@@ -121,6 +124,7 @@ def _relative_segments(b_path: Column, h_path: Column) -> Column:
 _LINK_PARTS = (("s", URL_PARTS, 1), ("n", URL_PARTS, 2), ("p", URL_PARTS, 3), ("q", r"(?s)^[^?#]*(\?[^#]*)?", 1), ("f", r"(?s)^[^#]*(#.*)?", 1))
 
 
+@remembered
 def resolve_url(base, href) -> Column:
     """Resolve ``href`` against ``base`` the way a browser link does."""
 

@@ -18,7 +18,7 @@ from ..constants import (
     US_LOCATION_PATTERNS,
 )
 from ..functions.regex import java_pattern
-from ..functions.text import fold_text
+from ..functions.text import fold_text, remembered
 
 # Every clearance pattern contains this word: a cheap exact pre-test.
 CLEARANCE_WORD = "clearance"
@@ -36,6 +36,7 @@ def _any(text: Column, patterns) -> Column:
     return out if out is not None else F.lit(False)
 
 
+@remembered
 def is_us_location(location, mode: str = "strict") -> Column:
     """US location test on the original-case text.
 
@@ -51,26 +52,31 @@ def is_us_location(location, mode: str = "strict") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+@remembered
 def internship_folded(title_f, type_f) -> Column:
     """Internship test on folded title and employment type."""
     text = F.concat_ws(" ", _col(title_f), _col(type_f))
     return _any(text, INTERNSHIP_PATTERNS)
 
 
+@remembered
 def clearance_folded(title_f, type_f, desc_f) -> Column:
     """Clearance-language test on folded title, employment type and description."""
     text = F.concat_ws(" ", _col(title_f), _col(type_f), _col(desc_f))
     return F.contains(text, F.lit(CLEARANCE_WORD)) & _any(text, SECURITY_CLEARANCE_PATTERNS)
 
 
+@remembered
 def is_internship(title, employment_type) -> Column:
     return internship_folded(fold_text(title), fold_text(employment_type))
 
 
+@remembered
 def requires_clearance(title, employment_type, description) -> Column:
     return clearance_folded(fold_text(title), fold_text(employment_type), fold_text(description))
 
 
+@remembered
 def eligible_folded(location, title_f, type_f, desc_f) -> Column:
     return (
         is_us_location(location)

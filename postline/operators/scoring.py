@@ -309,17 +309,28 @@ def keyword_hits(df: DataFrame, rules: list[Rule], title: str = "title", descrip
     """
     x = df.withColumn("_t", fold_text(title)).withColumn("_d", fold_text(description))
     keep = [c for c in df.columns if c not in (title, description)]
-    x = x.select(*keep, "_t", "_d", *[_word(F.col(c), r).alias(f"{c}{i}") for i, r in enumerate(rules) for c in ("_t", "_d")])
-    hits = []
+    tests, hits = [], []
     for i, r in enumerate(rules):
-        across = F.lit(False)
+        across = "false"
         if " " in r.folded:
             n = len(r.folded) + 1  # one character more, so that the edges of the word are seen; a letter stands for what is cut off
-            across = _word(F.expr(f"if(length(_t) > {n}, 'x', '') || right(_t, {n}) || ' ' || left(_d, {n}) || if(length(_d) > {n}, 'x', '')"), r)
-        found = {"title": F.col(f"_t{i}"), "description": F.col(f"_d{i}"), "all": F.col(f"_t{i}") | F.col(f"_d{i}") | across}
-        hits += [
-            F.when(test, F.struct(F.lit(r.section).alias("section"), F.lit(r.pos).alias("pos"), F.lit(r.keyword).alias("keyword"), F.lit(field).alias("field")))
-            for field, test in found.items()
-        ]
-    arr = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return x.select(*keep, F.explode(arr).alias("_h")).select(*keep, "_h.*")
+            across = _word_sql(f"(if(length(_t) > {n}, 'x', '') || right(_t, {n}) || ' ' || left(_d, {n}) || if(length(_d) > {n}, 'x', ''))", r)
+        tests += [f"{_word_sql(c, r)} AS `{c}{i}`" for c in ("_t", "_d")]
+        rule = f"'section', {_quoted(r.section)}, 'pos', {int(r.pos)}, 'keyword', {_quoted(r.keyword)}"
+        found = {"title": f"`_t{i}`", "description": f"`_d{i}`", "all": f"`_t{i}` OR `_d{i}` OR {across}"}
+        hits += [f"if({test}, named_struct({rule}, 'field', '{field}'), null)" for field, test in found.items()]
+    if not rules:
+        hits = ["cast(null AS struct<section: string, pos: int, keyword: string, field: string>)"]
+    quoted = [f"`{c}`" for c in keep]
+    x = x.selectExpr(*quoted, "_t", "_d", *tests).selectExpr(*quoted, f"explode(filter(array({', '.join(hits)}), h -> h IS NOT NULL)) AS _h")
+    return x.select(*quoted, "_h.*")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _word_sql(text: str, rule: Rule) -> str:
+    """``_word`` as SQL text: a rule set is one parse then, and not a call to the JVM for each part of each rule."""
+    folded = rule.folded
+    return f"(contains({text}, {_quoted(folded)}) AND regexp_like({text}, {_quoted(java_word(folded))}))" if folded else "false"

@@ -278,7 +278,7 @@ def html_links(pages: DataFrame, keep: tuple[str, ...] = (), number: str | None
         clean_text(first_truthy(F.col("title_attr"), F.col("aria_label")))
     )
     out = links.select(
-        "page_id", "pos", resolve_url(F.col("page_url"), F.col("href")).alias("url"), title.alias("title"), *keep, *([number] if number else [])
+        "page_id", "pos", resolve_url("page_url", "href").alias("url"), title.alias("title"), *keep, *([number] if number else [])
     ).filter(F.col("title") != "")
     w = Window.partitionBy("page_id", "url").orderBy("pos")
     return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") == 1).drop("_k")
