@@ -603,6 +603,10 @@ def queries() -> dict[str, str]:
     out["sorted_feed"] = W(
         "SELECT job_hash, row_number() OVER (ORDER BY match_score DESC, date_found DESC, feed_pos) AS sort_pos FROM feed"
     )
+    # the root collation's order of Unicode text, which 'en' doesn't tailor
+    out["sorted_feed_title"] = W(
+        "SELECT job_hash, title, row_number() OVER (ORDER BY coalesce(title, '') COLLATE en, feed_pos) AS sort_pos FROM feed"
+    )
     out["sorted_feed_company"] = W(
         "SELECT job_hash, company, row_number() OVER (ORDER BY company, feed_pos) AS sort_pos FROM feed"
     )
