@@ -172,6 +172,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixing(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the shard of each copy, for every row of docs."""
-    shards = F.transform("draws", lambda x: x["shard"])
+    """doc_id, size, source_size, target, taken, and the shards of its copies (comma-joined, a number for each copy), for every row of docs."""
+    shards = F.array_join(F.transform("draws", lambda x: x["shard"].cast("string")), ",")
     return plan(docs).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
