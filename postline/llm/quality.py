@@ -1,11 +1,22 @@
 """Quality rules with an n-gram perplexity band for each language.
 
-Model: character 4-grams over a folded alphabet, counted by Spark over every text, made into a
-modified Kneser-Ney model (three discounts for each order, continuation counts below the
-highest order, interpolated). It is kept as sorted hash arrays, one pair of keys and values for
-each order and a pair for the weights of contexts; what is broadcast is bounded by the alphabet, not
-by the corpus. A text's perplexity is exp of the mean negative log probability of its
-characters, where a run of digits is one.
+Model: for each language a modified Kneser-Ney model of character 5-grams, counted by Spark over
+every text (three discounts for each order, continuation counts below the highest order,
+interpolated). Code points below 2048 are characters of their own, those above share 2048
+classes; a run of digits is one. So the model grows with the languages and texts of the corpus,
+and nothing of it is broadcast or sent to the driver:
+
+* ``blocks`` writes the texts of each task in blocks of about ``BLOCK`` characters, together with
+  the distinct 5-grams of a block and their counts, dealt to ``PARTS`` by the top bits of their hash.
+* ``probabilities`` makes the model by grouping and joining n-grams; ``arrays`` keeps it as sorted
+  hash arrays, one for each language and part.
+* ``looked_up`` answers the 5-grams of every block, part by part. At most about ``GROUP`` blocks meet one
+  copy of a part, so neither side of a task grows with the corpus.
+* ``measured`` brings the answers of a block to its texts and sums them.
+
+The texts scored are those counted, so each 5-gram asked for has been seen, all lower orders are
+mixed into its probability, and there is no backing off. A text's perplexity is exp of the mean negative log probability
+of its characters.
 
 Bands: over the distinct texts that pass the base rules, each language has the median and the median
 absolute deviation of log perplexity (copies count once, so they don't set the band); a text outside ``width`` deviations, above or below, is
@@ -13,8 +24,8 @@ rejected. As a mean over few characters scatters more, a text of n has its band
 sqrt(1 + SHORT / n). Both medians come from counts on a grid of ``GRID``, so they are exact there, need
 little memory and don't depend on the order of tasks.
 
-Defined cases: null and empty texts have no words and fail the base rules; a null language is a
-language of its own; where a language has a single value of perplexity, the deviation is
+Defined cases: null and empty texts have no words and fail the base rules; a null language is
+a language of its own, and so is an empty one; where a language has a single value of perplexity, the deviation is
 ``LEAST``; equal rows get equal verdicts; null ids are ids like others; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -22,173 +33,60 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from postline.llm.common import cut, ship
 
-ORDER = 4
+ORDER = 5
+BITS = 12
 WIDTH = 5.0
 SHORT = 500
 GRID = 1e-4
 LEAST = 0.01
 PIECE = 1 << 20
-ALPHABET = 48
-DIGIT = ALPHABET - 2
-MARKS = "\n .,;:!?'\"-|#$%&*<>()"  # classes of their own, after 26 letters and 8 classes of other letters
-
-
-def _alphabet() -> np.ndarray:
-    table = np.full(0x110000, ALPHABET - 1, dtype=np.uint8)
-    other = np.arange(0x80, 0x110000)
-    table[other] = 26 + other % 8
-    for c in range(0x80, 0x250):
-        low = ord(chr(c).lower()[0])
-        table[c] = 26 + low % 8
-    for i in range(26):
-        table[65 + i] = table[97 + i] = i
-    for i, c in enumerate(MARKS[: ALPHABET - 36]):
-        table[ord(c)] = 34 + i
-    for c in MARKS[ALPHABET - 36 :]:
-        table[ord(c)] = ALPHABET - 1
-    table[48:58] = DIGIT
-    table[9] = table[13] = table[ord(" ")]
-    return table
-
-
-_TABLE: np.ndarray | None = None
+BLOCK = 1 << 24
+PARTS = 64
+GROUP = 512
+OWN = 2048  # code points below have a class of their own
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """The packed 4-grams that end at each character, some 2^20 at a time; three line ends stand before the text."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = _alphabet()
-    before = np.full(ORDER - 1, _TABLE[ord("\n")], dtype=np.int64)
+    """The packed 5-grams that end at each character, some 2^20 at a time; four line ends stand before the text."""
+    before = np.full(ORDER - 1, ord("\n"), dtype=np.int64)
     for at in range(0, len(text), PIECE):
         piece = text[at : at + PIECE]
-        c = _TABLE[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4")].astype(np.int64)
-        digit = c == DIGIT
+        c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        c = np.where(c < OWN, c, OWN + c % OWN)
+        digit = (c >= ord("0")) & (c <= ord("9"))
+        c[digit] = ord("0")
         again = digit[1:] & digit[:-1]
-        if again.any():  # a run of digits is one of its class
+        if again.any():  # a run of digits is one of them
             c = c[np.append(True, ~again)]
         c = np.append(before, c)
         before = c[-(ORDER - 1) :]
         packed = c[: len(c) - ORDER + 1]
         for k in range(1, ORDER):
-            packed = packed * ALPHABET + c[k : len(c) - ORDER + 1 + k]
+            packed = (packed << BITS) + c[k : len(c) - ORDER + 1 + k]
         yield packed
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(ALPHABET**ORDER, dtype=np.int64)
-    for batch in batches:
-        for text in batch.column(0):
-            for packed in grams(text.as_py() or ""):
-                np.add.at(total, packed, 1)
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "n"])
-
-
-def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) over every text."""
-    ship(docs.sparkSession)
-    return docs.select(F.col(text_col)).mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def hashed(packed: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit mix of (order, packed); it is one to one within an order."""
+def hashed(packed: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of packed n-grams; it is one to one."""
     with np.errstate(over="ignore"):
-        x = packed.astype(np.uint64) + np.uint64(order << 56)
+        x = packed.astype(np.uint64)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
 
-@dataclass
-class HashArray:
-    keys: np.ndarray
-    values: np.ndarray
-
-    @classmethod
-    def of(cls, packed: np.ndarray, order: int, values: np.ndarray) -> HashArray:
-        keys = hashed(packed, order)
-        by = np.argsort(keys)
-        return cls(keys[by], values[by])
-
-    def find(self, packed: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(values, whether there)."""
-        if len(self.keys) == 0:
-            return np.zeros(len(packed)), np.zeros(len(packed), dtype=bool)
-        want = hashed(packed, order)
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return self.values[at], self.keys[at] == want
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """D for counts 1, 2 and 3 or more, from how many n-grams have counts 1 to 4."""
-    n = [0.0, *(float((counts == k).sum()) for k in (1, 2, 3, 4))]
-    if min(n[1:4]) == 0:
-        return np.array([0.5, 0.75, 0.9])  # too regular to estimate
-    y = n[1] / (n[1] + 2 * n[2])
-    d = np.array([k - (k + 1) * y * n[k + 1] / n[k] for k in (1, 2, 3)])
-    return np.clip(d, 0.05, [0.95, 1.95, 2.95])
-
-
-@dataclass
-class KneserNey:
-    """By order: probabilities of the n-grams seen (all lower orders mixed in), and weights of the contexts seen."""
-
-    seen: list[HashArray]
-    weight: list[HashArray]
-
-    @classmethod
-    def of(cls, packed: np.ndarray, counts: np.ndarray) -> KneserNey:
-        levels: list[tuple[np.ndarray, np.ndarray]] = [(packed.astype(np.int64), counts.astype(np.float64))]
-        for order in range(ORDER - 1, 0, -1):  # how many different characters stand before
-            kinds, n = np.unique(levels[-1][0] % ALPHABET**order, return_counts=True)
-            levels.append((kinds, n.astype(np.float64)))
-        model = cls([], [])
-        for order, (grams_, c) in enumerate(reversed(levels), 1):
-            d = discounts(c)
-            step = np.where(c >= 3, d[2], np.where(c >= 2, d[1], d[0]))
-            context, at = np.unique(grams_ // ALPHABET, return_inverse=True)
-            total, lost = np.bincount(at, c, len(context)), np.bincount(at, step, len(context))
-            lower = np.exp(model.log_p(grams_ % ALPHABET ** (order - 1), order - 1))
-            model.seen.append(HashArray.of(grams_, order, np.log((c - step) / total[at] + lost[at] / total[at] * lower)))
-            model.weight.append(HashArray.of(context, order, np.log(lost / total)))
-        return model
-
-    def log_p(self, packed: np.ndarray, order: int) -> np.ndarray:
-        """log P(last character | those before) of packed n-grams of an order."""
-        if order == 0:
-            return np.full(len(packed), -np.log(ALPHABET))
-        out, there = self.seen[order - 1].find(packed, order)
-        out = out.copy()
-        if not there.all():
-            rest = packed[~there]
-            weight, known = self.weight[order - 1].find(rest // ALPHABET, order)
-            out[~there] = np.where(known, weight, 0.0) + self.log_p(rest % ALPHABET ** (order - 1), order - 1)
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    """What reaches the driver is bounded by the alphabet: at most 48^4 counts."""
-    table = count_grams(docs, text_col).toArrow()
-    packed, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    by = np.argsort(packed)
-    return KneserNey.of(packed[by], n[by])
-
-
 def base_columns(text: str) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -212,34 +110,185 @@ def base_columns(text: str) -> tuple[int, int, int, int, int]:
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def measured(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base columns, the mean log loss (null without characters), the characters and the text's SHA-256 of each row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known = np.full(ALPHABET**ORDER, np.nan, dtype=np.float32)  # what has been looked up here
-        for batch in batches:
-            rows, losses, sizes, own_hash = [], [], [], []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                rows.append(base_columns(text))
-                own_hash.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
+BASE_NAMES = [c.split()[0] for c in BASE.split(", ")]
+_DOCS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
+_BLOCKS = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("lang", pa.string()), ("part", pa.int32()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+def _language(lang: str | None) -> str:
+    """A name of the language that is never null."""
+    return "" if lang is None else "=" + lang
+
+
+class _Counts:
+    """Counts of packed n-grams; what is added is merged as soon as it is as long as what is counted."""
+
+    def __init__(self):
+        self.grams, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, packed: np.ndarray) -> None:
+        self.waiting.append(packed)
+        self.size += len(packed)
+        if self.size > max(PIECE, len(self.grams)):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.waiting:
+            return
+        kinds, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.size = [], 0
+        both, at = np.unique(np.concatenate([self.grams, kinds]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
+        self.grams = both
+
+
+def _block_rows(docs: list[tuple], counts: dict[str, _Counts]) -> Iterator[pa.RecordBatch]:
+    name = uuid.uuid4().hex
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(pa.table([list(x) for x in zip(*docs, strict=True)], schema=_DOCS))
+    yield pa.RecordBatch.from_pylist([{"block": name, "docs": sink.getvalue().to_pybytes()}], schema=_BLOCKS)
+    for lang, own in counts.items():
+        own.merge()
+        part = (hashed(own.grams) >> np.uint64(58)).astype(np.int64) * PARTS // 64
+        by = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[by], np.arange(PARTS + 1))
+        kinds, n = own.grams[by], own.counts[by]
+        there = [p for p in range(PARTS) if ends[p] < ends[p + 1]]
+        at = pa.array([*ends[there], ends[-1]], pa.int32()) if there else pa.array([0], pa.int32())
+        cols = [pa.array([name] * len(there), pa.string()), pa.nulls(len(there), pa.binary()), pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.ListArray.from_arrays(at, pa.array(kinds)), pa.ListArray.from_arrays(at, pa.array(n))]
+        yield pa.RecordBatch.from_arrays(cols, schema=_BLOCKS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs, size, counts = [], 0, defaultdict(_Counts)
+    for batch in batches:
+        for doc_id, lang, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+            text = text.as_py() or ""
+            lang = lang.as_py()
+            docs.append((doc_id.as_py(), lang, text))
+            size += len(text) + 64
+            for packed in grams(text):
+                counts[_language(lang)].add(packed)
+            if size >= BLOCK:
+                yield from _block_rows(docs, counts)
+                docs, size, counts = [], 0, defaultdict(_Counts)
+    if docs:
+        yield from _block_rows(docs, counts)
+
+
+def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """A row with the texts of each block, and rows (block, lang, part, grams, counts) of its distinct 5-grams; written."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col))
+    return cut(rows.mapInArrow(_blocks, "block string, docs binary, lang string, part int, grams array<long>, counts array<long>"), "blocks")
+
+
+def count_grams(held: DataFrame) -> DataFrame:
+    """(lang, part, gram, n) over all blocks."""
+    one = held.where("docs is null").select("lang", "part", F.explode(F.arrays_zip("grams", "counts")).alias("x"))
+    return cut(one.select("lang", "part", F.col("x.grams").alias("gram"), F.col("x.counts").alias("n")).groupBy("lang", "part", "gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def _step(n: Column) -> Column:
+    return F.when(n >= 3, F.col("d3")).when(n >= 2, F.col("d2")).otherwise(F.col("d1"))
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(_lang, d1, d2, d3) for counts 1, 2 and 3 or more, from how many n-grams of the language have counts 1 to 4."""
+    few = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    enough = F.least("n1", "n2", "n3") > 0
+    own = [F.when(enough, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).otherwise(plain).alias(f"d{k}") for k, plain in ((1, 0.5), (2, 0.75), (3, 0.9))]  # too regular to estimate: plain
+    return cut(few.select(F.col("lang").alias("_lang"), *own), "discounts")
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, part, gram, p) of the 5-grams counted: interpolated modified Kneser-Ney."""
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):  # how many different characters stand before
+        levels[order] = cut(levels[order + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << BITS * order) - 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "grams")
+    lower = None
+    for order in range(1, ORDER + 1):
+        level = levels[order]
+        d = discounts(level)
+        rows = level.join(d, F.col("lang") == F.col("_lang")).withColumns({"step": _step(F.col("n")), "context": F.shiftright("gram", BITS)}).drop("_lang", "d1", "d2", "d3")
+        total = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("step").alias("lost"))
+        rows = rows.join(total, ["lang", "context"])
+        if lower is None:
+            rows = rows.withColumn("below", F.lit(1.0 / (1 << BITS)))
+        else:
+            below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << BITS * (order - 1)) - 1)).join(below, ["lang", "suffix"])
+        p = (F.col("n") - F.col("step") + F.col("lost") * F.col("below")) / F.col("total")
+        lower = cut(rows.select("lang", *(["part"] if order == ORDER else []), "gram", p.alias("p")), "probabilities")
+    return lower
+
+
+def _array(table: pa.Table) -> pa.Table:
+    keys = hashed(table["gram"].to_numpy())
+    by = np.argsort(keys)
+    whole = pa.array([0, len(by)], pa.int32())
+    return pa.table([table["lang"][:1], table["part"][:1], pa.ListArray.from_arrays(whole, pa.array(keys[by].view(np.int64))), pa.ListArray.from_arrays(whole, pa.array(np.log(table["p"].to_numpy()[by])))], names=["lang", "part", "keys", "log_p"])
+
+
+def arrays(model: DataFrame) -> DataFrame:
+    """(lang, part, keys, log_p): for each language and part the sorted hashes of its 5-grams, and their log probabilities."""
+    return cut(model.groupBy("lang", "part").applyInArrow(_array, "lang string, part int, keys array<long>, log_p array<double>"), "arrays")
+
+
+def find(keys: np.ndarray, values: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """The values of packed n-grams, all of which are in the sorted hash array."""
+    return values[np.searchsorted(keys, hashed(packed))]
+
+
+def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+    keys, values = model["keys"][0].values.to_numpy().view(np.uint64), model["log_p"][0].values.to_numpy()
+    found = [find(keys, values, g.values.to_numpy()).astype(np.float32) for g in asked["grams"]]
+    return pa.table([asked["block"], asked["lang"], asked["grams"], pa.array(found, pa.list_(pa.float32()))], names=["block", "lang", "grams", "log_p"])
+
+
+def looked_up(held: DataFrame, model: DataFrame) -> DataFrame:
+    """(block, lang, grams, log_p) of every block's 5-grams."""
+    n_blocks = held.where("docs is not null").count()
+    copies = -(-max(1, n_blocks) // GROUP)
+    asked = held.where("docs is null").select("block", "lang", "part", "grams", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"))
+    model = model.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    by = ["lang", "part", "copy"]
+    model = model.join(asked.select(*by).distinct(), by, "left_semi")
+    return asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(_answer, "block string, lang string, grams array<long>, log_p array<float>")
+
+
+def _measure(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    langs = np.array(answers["lang"].to_pylist(), dtype=object)
+    for lang in set(langs):
+        own = answers.filter(pa.array(langs == lang))
+        kinds, found = (np.concatenate([x.values.to_numpy() for x in own[c]]) for c in ("grams", "log_p"))
+        by = np.argsort(kinds)
+        known[lang] = kinds[by], found[by]
+    rows = []
+    for held in texts["docs"]:
+        for doc in pa.ipc.open_stream(held.as_py()).read_all().to_batches():
+            for doc_id, lang, text in zip(*doc.columns, strict=True):
+                lang, text = lang.as_py(), text.as_py()
                 loss, n = 0.0, 0
                 for packed in grams(text):
-                    got = known[packed]
-                    if (new := np.isnan(got)).any():
-                        fresh = np.unique(packed[new])
-                        known[fresh] = own.log_p(fresh, ORDER)
-                        got = known[packed]
-                    loss, n = loss - float(got.sum(dtype=np.float64)), n + len(packed)
-                losses.append(loss / n if n else None)
-                sizes.append(n)
-            cols = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols, pa.array(losses, pa.float64()), pa.array(sizes, pa.int64()), pa.array(own_hash, pa.binary())], names=[f"c{i}" for i in range(10)])
+                    kinds, found = known[_language(lang)]
+                    loss, n = loss - float(found[np.searchsorted(kinds, packed)].sum(dtype=np.float64)), n + len(packed)
+                rows.append((doc_id.as_py(), lang, *base_columns(text), loss / n if n else None, n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()))
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in BASE_NAMES], ("loss", pa.float64()), ("n_chars", pa.int64()), ("content", pa.binary())])
+    return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in schema], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, f"doc_id long, lang string, {BASE}, loss double, n_chars long, content binary")
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, the base columns, the mean log loss (null without characters), the characters and the text's SHA-256 of each row."""
+    held = blocks(docs, id_col, text_col, lang_col)
+    answers = looked_up(held, arrays(probabilities(count_grams(held))))
+    texts = held.where("docs is not null").select("block", "docs")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_measure, f"doc_id long, lang string, {BASE}, loss double, n_chars long, content binary")
 
 
 def _median(bins: DataFrame, value: str) -> DataFrame:
@@ -262,7 +311,7 @@ def bands(losses: DataFrame, width: float = WIDTH) -> DataFrame:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH) -> DataFrame:
     """doc_id, the base columns, base_failed, kept, perplexity, lower, upper for every row of docs."""
-    rows = cut(measured(docs, train(docs, text_col), id_col, text_col, lang_col), "measured")
+    rows = cut(measured(docs, id_col, text_col, lang_col), "measured")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     distinct = rows.where("not base_failed").groupBy("lang", "content").agg(F.min("loss").alias("loss"))

@@ -54,40 +54,77 @@ def test_copies_do_not_set_the_band(spark):
 
 
 def plain_model(texts):
-    """Modified Kneser-Ney, term by term."""
+    """Modified Kneser-Ney of the texts of one language, term by term: {gram: probability}."""
     ngrams = Counter()
     for t in texts:
         for packed in quality.grams(t):
             ngrams.update(packed.tolist())
-    a = quality.ALPHABET
-    split = lambda g, n: tuple(g // a**k % a for k in reversed(range(n)))
-    levels = {4: Counter({split(g, 4): c for g, c in ngrams.items()})}
-    for n in (3, 2, 1):
+    top, classes = quality.ORDER, 1 << quality.BITS
+    levels = {top: Counter({tuple(g // classes**k % classes for k in reversed(range(top))): c for g, c in ngrams.items()})}
+    for n in range(top - 1, 0, -1):
         levels[n] = Counter(g[1:] for g in levels[n + 1])
-    d = {n: quality.discounts(np.array(list(levels[n].values()))) for n in levels}
+
+    def discounts(counts):
+        n = [0, *(sum(c == k for c in counts) for k in (1, 2, 3, 4))]
+        if min(n[1:4]) == 0:
+            return 0.5, 0.75, 0.9
+        y = n[1] / (n[1] + 2 * n[2])
+        return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))
+
+    d = {n: discounts(list(levels[n].values())) for n in levels}
+    after = {n: defaultdict(dict) for n in levels}
+    for n, level in levels.items():
+        for g, c in level.items():
+            after[n][g[:-1]][g] = c
 
     def p(g):
         n = len(g)
         if n == 0:
-            return 1 / a
-        own = {x: c for x, c in levels[n].items() if x[:-1] == g[:-1]}
-        if not own:
-            return p(g[1:])
+            return 1 / classes
+        own = after[n][g[:-1]]
         lost = sum(d[n][min(c, 3) - 1] for c in own.values())
-        c = own.get(g, 0)
-        return ((c - d[n][min(c, 3) - 1] if c else 0) + lost * p(g[1:])) / sum(own.values())
-
-    return lambda packed: math.log(p(split(packed, 4)))
-
-
-def test_model_matches_the_plain_formula(spark):
-    texts = [prose(1, 60), prose(2, 60) + " 4444 55é", None, ""]
-    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
-    model, plain = quality.train(docs), plain_model([t for t in texts if t])
-    probe = np.concatenate([g for t in ("the thin zz ring\n12é", prose(3, 30)) for g in quality.grams(t)])
-    assert np.allclose(model.log_p(probe, 4), [plain(int(g)) for g in probe])
-    total = [sum(math.exp(x) for x in model.log_p(h * quality.ALPHABET + np.arange(quality.ALPHABET), 4)) for h in (int(probe[5]) // 48, 7)]
-    assert np.allclose(total, 1)
+        return (own[g] - d[n][min(own[g], 3) - 1] + lost * p(g[1:])) / sum(own.values())
+
+    return {g: p(tuple(g // classes**k % classes for k in reversed(range(top)))) for g in ngrams}
+
+
+def test_losses_match_the_plain_formula(spark, monkeypatch):
+    texts = [(prose(1, 60), "en"), (prose(2, 60) + " 4444 55é 漢字", "en"), (None, "en"), ("", None), (prose(3, 40), None), (prose(4, 40), ""), (prose(1, 60), "de"), (prose(1, 60), "en")]
+    docs = documents(spark, [(i, t, lang, "a") for i, (t, lang) in enumerate(texts)])
+    plain = {lang: plain_model([t for t, other in texts if t and other == lang]) for _, lang in texts}
+    want = {}
+    for i, (t, lang) in enumerate(texts):
+        own = [plain[lang][g] for packed in quality.grams(t or "") for g in packed.tolist()]
+        want[i] = -sum(map(math.log, own)) / len(own) if own else None
+    # blocks of any size, and several copies of each part, give the same
+    for block, group in ((quality.BLOCK, quality.GROUP), (300, 1)):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        monkeypatch.setattr(quality, "GROUP", group)
+        got = {r.doc_id: r.loss for r in quality.measured(docs).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] is None if want[i] is None else math.isclose(got[i], want[i], rel_tol=1e-5) for i in want)
+
+
+def test_probabilities_sum_to_less_than_one_and_the_model_grows(spark):
+    few = [(i, prose(i, 100), "en", "a") for i in range(3)]
+    many = few + [(100 + i, prose(100 + i, 100) + f" añ{chr(300 + i)}x", "en", "a") for i in range(20)]
+    sizes = []
+    for rows in (few, many):
+        p = quality.probabilities(quality.count_grams(quality.blocks(documents(spark, rows))))
+        sizes.append(p.count())
+        total = p.groupBy((p.gram / (1 << quality.BITS)).cast("long").alias("context")).sum("p").collect()
+        assert all(0 < r["sum(p)"] <= 1 + 1e-9 for r in total)
+    assert sizes[0] < sizes[1]
+
+
+def test_other_languages_and_reversed_words_are_rejected(spark):
+    rows = [(i, prose(i, 150), "en", "a") for i in range(120)]
+    other = [(500 + i, prose(500 + i, 150).translate(str.maketrans("aeiou", "äëïöü")), "de", "a") for i in range(120)]
+    wrong = [(1000 + i, other[i][1], "en", "a") for i in range(3)]
+    mixed = [(3000 + i, " ".join(w[::-1] for w in rows[i][1].split()), "en", "a") for i in range(3)]
+    kept = {r.doc_id: r.kept for r in quality.quality(documents(spark, rows + other + wrong + mixed)).collect()}
+    assert all(kept[i] for i in (*range(120), *range(500, 620)))
+    assert not any(kept[i] for i in (1000, 1001, 1002, 3000, 3001, 3002))
 
 
 def test_grams_do_not_depend_on_pieces(monkeypatch):
