@@ -3,16 +3,16 @@
 Model: for each language a modified Kneser-Ney model of character 5-grams, counted by Spark over
 every text (three discounts for each order, continuation counts below the highest order,
 interpolated). Code points below 2048 are characters of their own, those above share 2048
-classes; a run of digits is one. So the model grows with the languages and texts of the corpus,
-and nothing of it is broadcast or sent to the driver:
+classes; a run of digits is one. So the model grows with the languages and texts of the corpus.
 
-* ``blocks`` writes the texts of each task in blocks of about ``BLOCK`` characters, together with
-  the distinct 5-grams of a block and their counts, dealt to ``PARTS`` by the top bits of their hash.
+* ``blocks`` has the distinct 5-grams of each block of about ``BLOCK`` characters and their counts,
+  dealt to ``PARTS`` by the top bits of their hash; ``count_grams`` merges them.
 * ``probabilities`` makes the model by grouping and joining n-grams; ``arrays`` keeps it as sorted
   hash arrays, one for each language and part.
-* ``looked_up`` answers the 5-grams of every block, part by part. At most about ``GROUP`` blocks meet one
-  copy of a part, so neither side of a task grows with the corpus.
-* ``measured`` brings the answers of a block to its texts and sums them.
+* A model of at most ``SHARED`` 5-grams (counted first) is broadcast, and ``measured`` scores texts
+  where they are read. A larger one stays in its parts: ``looked_up`` answers the 5-grams of every
+  block, part by part (about ``GROUP`` blocks meet one copy of a part, so neither side of a
+  task grows with the corpus), and the answers of a block are brought to its texts. Both give the same.
 
 The texts scored are those counted, so each 5-gram asked for has been seen, all lower orders are
 mixed into its probability, and there is no backing off. A text's perplexity is exp of the mean negative log probability
@@ -35,7 +35,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +50,13 @@ BITS = 12
 WIDTH = 5.0
 SHORT = 500
 GRID = 1e-4
+COARSE = 100  # steps of the grid in a coarse one
 LEAST = 0.01
 PIECE = 1 << 20
-BLOCK = 1 << 24
+BLOCK = 1 << 26
 PARTS = 64
 GROUP = 512
+SHARED = 1 << 22  # a model of at most so many 5-grams (12 bytes each) is broadcast
 OWN = 2048  # code points below have a class of their own
 
 
@@ -112,7 +114,19 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 
 BASE_NAMES = [c.split()[0] for c in BASE.split(", ")]
 _DOCS = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("text", pa.string())])
-_BLOCKS = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("lang", pa.string()), ("part", pa.int32()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_BLOCKS = pa.schema([("block", pa.string()), ("docs", pa.binary()), ("lang", pa.string()), ("part", pa.int32()), ("asked", pa.binary()), ("counts", pa.binary())])
+
+
+def _squeeze(kinds: np.ndarray) -> bytes:
+    """Sorted n-grams (or any longs) as differences, their bytes by place, compressed; the length stands before them."""
+    steps = np.diff(kinds, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(kinds).to_bytes(8, "little") + pa.Codec("zstd").compress(steps, asbytes=True)
+
+
+def _expand(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    steps = pa.Codec("zstd").decompress(raw[8:], 8 * n, asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(steps, np.uint8).reshape(8, n).T).view(np.int64).ravel())
 
 
 def _language(lang: str | None) -> str:
@@ -144,12 +158,17 @@ class _Counts:
         self.grams = both
 
 
-def _block_rows(docs: list[tuple], counts: dict[str, _Counts]) -> Iterator[pa.RecordBatch]:
-    name = uuid.uuid4().hex
+def _block_texts(name: str, docs: list[tuple]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, _DOCS, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_table(pa.table([list(x) for x in zip(*docs, strict=True)], schema=_DOCS))
-    yield pa.RecordBatch.from_pylist([{"block": name, "docs": sink.getvalue().to_pybytes()}], schema=_BLOCKS)
+    return pa.RecordBatch.from_pylist([{"block": name, "docs": sink.getvalue().to_pybytes()}], schema=_BLOCKS)
+
+
+def _block_rows(docs: list[tuple], counts: dict[str, _Counts], texts: bool) -> Iterator[pa.RecordBatch]:
+    name = uuid.uuid4().hex
+    if texts:
+        yield _block_texts(name, docs)
     for lang, own in counts.items():
         own.merge()
         part = (hashed(own.grams) >> np.uint64(58)).astype(np.int64) * PARTS // 64
@@ -157,39 +176,57 @@ def _block_rows(docs: list[tuple], counts: dict[str, _Counts]) -> Iterator[pa.Re
         ends = np.searchsorted(part[by], np.arange(PARTS + 1))
         kinds, n = own.grams[by], own.counts[by]
         there = [p for p in range(PARTS) if ends[p] < ends[p + 1]]
-        at = pa.array([*ends[there], ends[-1]], pa.int32()) if there else pa.array([0], pa.int32())
-        cols = [pa.array([name] * len(there), pa.string()), pa.nulls(len(there), pa.binary()), pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.ListArray.from_arrays(at, pa.array(kinds)), pa.ListArray.from_arrays(at, pa.array(n))]
+        cuts = [slice(ends[p], ends[p + 1]) for p in there]
+        cols = [pa.array([name] * len(there), pa.string()), pa.nulls(len(there), pa.binary()), pa.array([lang] * len(there), pa.string()), pa.array(there, pa.int32()), pa.array([_squeeze(kinds[c]) for c in cuts], pa.binary()), pa.array([_squeeze(n[c]) for c in cuts], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, schema=_BLOCKS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], texts: bool, most: int) -> Iterator[pa.RecordBatch]:
     docs, size, counts = [], 0, defaultdict(_Counts)
     for batch in batches:
         for doc_id, lang, text in zip(*(batch.column(i) for i in range(3)), strict=True):
             text = text.as_py() or ""
             lang = lang.as_py()
-            docs.append((doc_id.as_py(), lang, text))
+            if texts:
+                docs.append((doc_id.as_py(), lang, text))
             size += len(text) + 64
             for packed in grams(text):
                 counts[_language(lang)].add(packed)
-            if size >= BLOCK:
-                yield from _block_rows(docs, counts)
+            if size >= most:
+                yield from _block_rows(docs, counts, texts)
                 docs, size, counts = [], 0, defaultdict(_Counts)
-    if docs:
-        yield from _block_rows(docs, counts)
+    if size:
+        yield from _block_rows(docs, counts, texts)
+
+
+def blocks(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """Rows (block, lang, part, asked, counts) of the distinct 5-grams of blocks of docs (doc_id, lang, text), compressed; with ``texts`` also a row with the texts of each block. Written."""
+    most = BLOCK
+    return cut(docs.mapInArrow(lambda batches: _blocks(batches, texts, most), "block string, docs binary, lang string, part int, asked binary, counts binary"), "blocks")
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row with the texts of each block, and rows (block, lang, part, grams, counts) of its distinct 5-grams; written."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long"), F.col(lang_col).cast("string"), F.col(text_col))
-    return cut(rows.mapInArrow(_blocks, "block string, docs binary, lang string, part int, grams array<long>, counts array<long>"), "blocks")
+def _copy(held: DataFrame) -> tuple[Column, int]:
+    """Which of so many copies of a part a block belongs to: about GROUP blocks to each."""
+    copies = -(-max(1, held.select("block").distinct().count()) // GROUP)
+    return F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"), copies
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    kinds, n = np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = list(zip(table["asked"], table["counts"], strict=True))
+    for at in range(0, len(rows), 32):
+        some = [(kinds, n), *((_expand(a.as_py()), _expand(b.as_py())) for a, b in rows[at : at + 32])]
+        both, where = np.unique(np.concatenate([a for a, _ in some]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([b for _, b in some]), len(both)).astype(np.int64)
+        kinds = both
+    return pa.table([pa.array([table["lang"][0].as_py()] * len(n), pa.string()), pa.array([table["part"][0].as_py()] * len(n), pa.int32()), kinds, n], names=["lang", "part", "gram", "n"])
 
 
 def count_grams(held: DataFrame) -> DataFrame:
-    """(lang, part, gram, n) over all blocks."""
-    one = held.where("docs is null").select("lang", "part", F.explode(F.arrays_zip("grams", "counts")).alias("x"))
-    return cut(one.select("lang", "part", F.col("x.grams").alias("gram"), F.col("x.counts").alias("n")).groupBy("lang", "part", "gram").agg(F.sum("n").alias("n")), "grams")
+    """(lang, part, gram, n) over all blocks: those of a part and copy are merged compressed, then the copies are summed."""
+    rows = held.where("docs is null").select("lang", "part", _copy(held)[0], "asked", "counts")
+    merged = rows.groupBy("lang", "part", "copy").applyInArrow(_merge, "lang string, part int, gram long, n long")
+    return cut(merged.groupBy("lang", "part", "gram").agg(F.sum("n").alias("n")), "grams")
 
 
 def _step(n: Column) -> Column:
@@ -246,56 +283,86 @@ def find(keys: np.ndarray, values: np.ndarray, packed: np.ndarray) -> np.ndarray
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     keys, values = model["keys"][0].values.to_numpy().view(np.uint64), model["log_p"][0].values.to_numpy()
-    found = [find(keys, values, g.values.to_numpy()).astype(np.float32) for g in asked["grams"]]
-    return pa.table([asked["block"], asked["lang"], asked["grams"], pa.array(found, pa.list_(pa.float32()))], names=["block", "lang", "grams", "log_p"])
+    found = [find(keys, values, _expand(g.as_py())).astype(np.float32).tobytes() for g in asked["asked"]]
+    return pa.table([asked["block"], asked["lang"], asked["asked"], pa.array(found, pa.binary())], names=["block", "lang", "asked", "log_p"])
 
 
 def looked_up(held: DataFrame, model: DataFrame) -> DataFrame:
-    """(block, lang, grams, log_p) of every block's 5-grams."""
-    n_blocks = held.where("docs is not null").count()
-    copies = -(-max(1, n_blocks) // GROUP)
-    asked = held.where("docs is null").select("block", "lang", "part", "grams", F.pmod(F.xxhash64("block"), F.lit(copies)).cast("int").alias("copy"))
+    """(block, lang, asked, log_p): every block's 5-grams, compressed, and the bytes of their log probabilities."""
+    copy, copies = _copy(held)
+    asked = held.where("docs is null").select("block", "lang", "part", "asked", copy)
     model = model.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     by = ["lang", "part", "copy"]
     model = model.join(asked.select(*by).distinct(), by, "left_semi")
-    return asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(_answer, "block string, lang string, grams array<long>, log_p array<float>")
+    return asked.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(_answer, "block string, lang string, asked binary, log_p binary")
 
 
 def _measure(texts: pa.Table, answers: pa.Table) -> pa.Table:
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    langs = np.array(answers["lang"].to_pylist(), dtype=object)
-    for lang in set(langs):
-        own = answers.filter(pa.array(langs == lang))
-        kinds, found = (np.concatenate([x.values.to_numpy() for x in own[c]]) for c in ("grams", "log_p"))
+    parts = defaultdict(list)
+    for lang, kinds, found in zip(*(answers[c].to_pylist() for c in ("lang", "asked", "log_p")), strict=True):
+        parts[lang].append((_expand(kinds), np.frombuffer(found, np.float32)))
+    for lang, own in parts.items():
+        kinds, found = (np.concatenate(x) for x in zip(*own, strict=True))
         by = np.argsort(kinds)
         known[lang] = kinds[by], found[by]
-    rows = []
-    for held in texts["docs"]:
-        for doc in pa.ipc.open_stream(held.as_py()).read_all().to_batches():
-            for doc_id, lang, text in zip(*doc.columns, strict=True):
-                lang, text = lang.as_py(), text.as_py()
-                loss, n = 0.0, 0
-                for packed in grams(text):
-                    kinds, found = known[_language(lang)]
-                    loss, n = loss - float(found[np.searchsorted(kinds, packed)].sum(dtype=np.float64)), n + len(packed)
-                rows.append((doc_id.as_py(), lang, *base_columns(text), loss / n if n else None, n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in BASE_NAMES], ("loss", pa.float64()), ("n_chars", pa.int64()), ("content", pa.binary())])
-    return pa.table([list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in schema], schema=schema)
+    docs = (batch for held in texts["docs"] for batch in pa.ipc.open_stream(held.as_py()).read_all().to_batches())
+    return pa.Table.from_batches(_score(docs, lambda lang, packed: (found := known[lang])[1][np.searchsorted(found[0], packed)]), schema=_MEASURED)
+
+
+_MEASURED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(c, pa.int64()) for c in BASE_NAMES], ("loss", pa.float64()), ("n_chars", pa.int64()), ("content", pa.binary())])
+
+
+def _score(batches: Iterator[pa.RecordBatch], log_p: Callable[[str, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, lang, text in zip(*batch.columns, strict=True):
+            lang, text = lang.as_py(), text.as_py() or ""
+            loss, n = 0.0, 0
+            for packed in grams(text):
+                loss, n = loss - float(log_p(_language(lang), packed).sum(dtype=np.float64)), n + len(packed)
+            rows.append((doc_id.as_py(), lang, *base_columns(text), loss / n if n else None, n, hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MEASURED, strict=True)], schema=_MEASURED)
+
+
+def _whole(model: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """lang -> sorted hashes and log probabilities of a model of at most ``SHARED`` 5-grams; parts are ranges of the hash."""
+    out = defaultdict(list)
+    for batch in model.toArrow().sort_by([("lang", "ascending"), ("part", "ascending")]).to_batches():
+        for lang, keys, log_p in zip(*(batch[c] for c in ("lang", "keys", "log_p")), strict=True):
+            out[lang.as_py()].append((keys.values.to_numpy().view(np.uint64), log_p.values.to_numpy().astype(np.float32)))
+    return {lang: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for lang, parts in out.items()}
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, the base columns, the mean log loss (null without characters), the characters and the text's SHA-256 of each row."""
-    held = blocks(docs, id_col, text_col, lang_col)
-    answers = looked_up(held, arrays(probabilities(count_grams(held))))
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    model = arrays(probabilities(count_grams(blocks(docs, texts=False))))
+    schema = f"doc_id long, lang string, {BASE}, loss double, n_chars long, content binary"
+    if model.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n <= SHARED:
+        shared = spark.sparkContext.broadcast(_whole(model))
+        return docs.mapInArrow(lambda batches: _score(batches, lambda lang, packed: find(*shared.value[lang], packed)), schema)
+    held = blocks(docs)
     texts = held.where("docs is not null").select("block", "docs")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_measure, f"doc_id long, lang string, {BASE}, loss double, n_chars long, content binary")
+    return texts.groupBy("block").cogroup(looked_up(held, model).groupBy("block")).applyInArrow(_measure, schema)
 
 
 def _median(bins: DataFrame, value: str) -> DataFrame:
-    """(lang, middle) of bins (lang, value, n): the smallest value that half of the rows don't exceed."""
-    upto = F.sum("n").over(W.partitionBy("lang").orderBy(value))
-    half = F.sum("n").over(W.partitionBy("lang"))
-    return bins.withColumn("_at", upto).withColumn("_all", half).where(F.col("_at") * 2 >= F.col("_all")).groupBy("lang").agg(F.min(value).alias("middle"))
+    """(lang, middle) of bins (lang, value, n): the smallest value that half of the rows don't exceed.
+
+    Counts on a coarse grid give the step that holds the middle, so no task sees all values of a language.
+    """
+    steps = bins.groupBy("lang", F.floor(F.col(value) / COARSE).alias("_step")).agg(F.sum("n").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy("lang").orderBy("_step"))
+    steps = steps.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(W.partitionBy("lang")))
+    steps = steps.where((F.col("_upto") * 2 >= F.col("_all")) & ((F.col("_upto") - F.col("_n")) * 2 < F.col("_all")))
+    steps = steps.select(F.col("lang").alias("_lang"), F.col("_step").alias("_held"), (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
+    inside = bins.join(steps, bins.lang.eqNullSafe(F.col("_lang")) & (F.floor(F.col(value) / COARSE) == F.col("_held")))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy(value)) + F.col("_before")
+    return inside.withColumn("_at", upto).where(F.col("_at") * 2 >= F.col("_all")).groupBy("lang").agg(F.min(value).alias("middle"))
 
 
 def bands(losses: DataFrame, width: float = WIDTH) -> DataFrame:

@@ -96,8 +96,9 @@ def test_losses_match_the_plain_formula(spark, monkeypatch):
     for i, (t, lang) in enumerate(texts):
         own = [plain[lang][g] for packed in quality.grams(t or "") for g in packed.tolist()]
         want[i] = -sum(map(math.log, own)) / len(own) if own else None
-    # blocks of any size, and several copies of each part, give the same
-    for block, group in ((quality.BLOCK, quality.GROUP), (300, 1)):
+    # a model that is broadcast or not, blocks of any size, and several copies of each part give the same
+    for block, group, shared in ((quality.BLOCK, quality.GROUP, quality.SHARED), (quality.BLOCK, quality.GROUP, 0), (300, 1, 0)):
+        monkeypatch.setattr(quality, "SHARED", shared)
         monkeypatch.setattr(quality, "BLOCK", block)
         monkeypatch.setattr(quality, "GROUP", group)
         got = {r.doc_id: r.loss for r in quality.measured(docs).collect()}
@@ -110,7 +111,7 @@ def test_probabilities_sum_to_less_than_one_and_the_model_grows(spark):
     many = few + [(100 + i, prose(100 + i, 100) + f" añ{chr(300 + i)}x", "en", "a") for i in range(20)]
     sizes = []
     for rows in (few, many):
-        p = quality.probabilities(quality.count_grams(quality.blocks(documents(spark, rows))))
+        p = quality.probabilities(quality.count_grams(quality.blocks(documents(spark, rows).select("doc_id", "lang", "text"))))
         sizes.append(p.count())
         total = p.groupBy((p.gram / (1 << quality.BITS)).cast("long").alias("context")).sum("p").collect()
         assert all(0 < r["sum(p)"] <= 1 + 1e-9 for r in total)
