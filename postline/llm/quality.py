@@ -276,14 +276,33 @@ def arrays(model: DataFrame) -> DataFrame:
     return cut(model.groupBy("lang", "part").applyInArrow(_array, "lang string, part int, keys array<long>, log_p array<double>"), "arrays")
 
 
-def find(keys: np.ndarray, values: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """The values of packed n-grams, all of which are in the sorted hash array."""
-    return values[np.searchsorted(keys, hashed(packed))]
+class Lookup:
+    """The values of packed n-grams, all of which are in the sorted hash array ``keys``.
+
+    Hashes are spread evenly over their range, so their top bits tell the place but for a few steps; a binary
+    search would read some twenty places of a large array for each n-gram.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = np.uint64(max(0, int(keys[-1] - keys[0]).bit_length() - len(keys).bit_length()))
+        slots = (keys - keys[0]) >> self.shift
+        self.first = np.searchsorted(slots, np.arange(int(slots[-1]) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, packed: np.ndarray) -> np.ndarray:
+        asked = hashed(packed)
+        at = self.first[(asked - self.keys[0]) >> self.shift]
+        left = np.flatnonzero(self.keys[at] != asked)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != asked[left]]
+        return self.values[at]
 
 
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     keys, values = model["keys"][0].values.to_numpy().view(np.uint64), model["log_p"][0].values.to_numpy()
-    found = [find(keys, values, _expand(g.as_py())).astype(np.float32).tobytes() for g in asked["asked"]]
+    find = Lookup(keys, values)
+    found = [find(_expand(g.as_py())).astype(np.float32).tobytes() for g in asked["asked"]]
     return pa.table([asked["block"], asked["lang"], asked["asked"], pa.array(found, pa.binary())], names=["block", "lang", "asked", "log_p"])
 
 
@@ -344,7 +363,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     schema = f"doc_id long, lang string, {BASE}, loss double, n_chars long, content binary"
     if model.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).first().n <= SHARED:
         shared = spark.sparkContext.broadcast(_whole(model))
-        return docs.mapInArrow(lambda batches: _score(batches, lambda lang, packed: find(*shared.value[lang], packed)), schema)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[str, Lookup] = {}
+            return _score(batches, lambda lang, packed: (found.get(lang) or found.setdefault(lang, Lookup(*shared.value[lang])))(packed))
+
+        return docs.mapInArrow(score, schema)
     held = blocks(docs)
     texts = held.where("docs is not null").select("block", "docs")
     return texts.groupBy("block").cogroup(looked_up(held, model).groupBy("block")).applyInArrow(_measure, schema)

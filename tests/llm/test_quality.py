@@ -148,3 +148,18 @@ def test_medians_match_sorted_values(spark):
         reach = 2.0 * max(quality.LEAST, 1.4826 * mad)
         assert math.isclose(limits[lang].lower, m - reach, abs_tol=1e-3) and math.isclose(limits[lang].upper, m + reach, abs_tol=1e-3)
     assert set(limits) == {"en", None}
+
+
+def test_lookup_finds_each_ngram_in_a_few_places_of_the_array():
+    rng = np.random.default_rng(3)
+    for size in (1, 2, 1000, 50_000):
+        kinds = np.unique(rng.integers(0, 1 << 60, size))
+        keys = np.sort(quality.hashed(kinds))
+        for part in (keys, keys[keys <= keys[len(keys) // 3]]):  # the whole range, and a part of it
+            values = rng.random(len(part)).astype(np.float32)
+            asked = rng.permutation(kinds[np.isin(quality.hashed(kinds), part)])
+            asked = np.append(asked, asked)
+            find = quality.Lookup(part, values)
+            np.testing.assert_array_equal(find(asked), values[np.searchsorted(part, quality.hashed(asked))])
+            # so few keys have the same top bits that no search is needed
+            assert np.diff(find.first).max(initial=0) < 16 and len(find.first) <= 4 * len(part) + 2
