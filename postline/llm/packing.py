@@ -34,7 +34,7 @@ from postline.llm.common import cut, numbered, ship
 
 CAPACITY = 4096
 END = 2
-CHUNKS, WORDS = 600_000, 500_000
+CHUNKS, WORDS, LATE = 200_000, 100_000, 20
 
 #: Characters for which a chunk's lower case and pieces are the same alone as within its text.
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-įı-ɏ]+")
@@ -72,6 +72,7 @@ class Encoder:
         self.written = {c: step.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x250)}
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.late = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -81,9 +82,7 @@ class Encoder:
         if got is None:
             text = word if word.isascii() else word.translate(self.written)
             got = array("I", [t.id for t in self.tokenizer.model.tokenize(text)]).tobytes()
-            if len(self.words) >= WORDS:
-                self.words.clear()
-            self.words[word] = got
+            self._remember(self.words, word, got, WORDS)
         return got
 
     def _chunk(self, chunk: str) -> bytes:
@@ -94,12 +93,26 @@ class Encoder:
             got = b"".join([self._word(w) for w in self.split.findall(chunk.lower())])
         else:
             got = self.whole(chunk)
-        if len(self.chunks) >= CHUNKS:
-            self.chunks.clear()
         if len(chunk) <= 64:
-            self.chunks[chunk] = got
+            self._remember(self.chunks, chunk, got, CHUNKS)
         return got
 
+    def _remember(self, table: dict[str, bytes], text: str, ids: bytes, most: int) -> None:
+        """Frequent texts come early, so a full table stays as it is until many more were met than it holds."""
+        if len(table) >= most:
+            self.late += 1
+            if self.late < LATE * most:
+                return
+            table.clear()
+            self.late = 0
+        table[text] = ids
+
+    def forget(self) -> None:
+        """Empty the tables: worker processes outlive their tasks, and what they hold counts against later steps."""
+        self.chunks.clear()
+        self.words.clear()
+        self.late = 0
+
     def ids(self, text: str) -> bytes:
         if not self.by_chunk or _ODD.search(text):
             return self.whole(text)
@@ -112,7 +125,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each worker process; its tables serve all tasks that run there."""
+    """One for each worker process; its tables serve one task at a time and are emptied after it."""
     return Encoder(path)
 
 
@@ -126,17 +139,20 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.ids(text.as_py() or "") + last
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, *([np.frombuffer(part, dtype="<u4")] if with_ids else [])))
-            cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
-            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[*"dslcn", "ids"][: 5 + with_ids])
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = own.ids(text.as_py() or "") + last
+                    n = len(ids) // 4
+                    for start in range(0, n, capacity):
+                        part = ids[4 * start : 4 * (start + capacity)]
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n, *([np.frombuffer(part, dtype="<u4")] if with_ids else [])))
+                cols = list(zip(*rows, strict=True)) or [()] * (5 + with_ids)
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[*"dslcn", "ids"][: 5 + with_ids])
+        finally:
+            own.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 

@@ -90,3 +90,27 @@ def test_plan_uses_every_piece_once_with_little_padding():
     assert used == counts and max(fills.values()) <= 4096
     padding = sum((4096 - fills[w]) * t for w, t in times.items())
     assert padding / (4096 * plan.windows) < 0.01
+
+
+def test_worker_processes_keep_no_tables_after_a_task(spark):
+    packing.pieces(documents(spark), PATH).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            own = packing.encoder(PATH)
+            yield pa.RecordBatch.from_pydict({"n": [len(own.chunks) + len(own.words)]})
+
+    found = spark.range(64, numPartitions=16).mapInArrow(held, "n long").collect()
+    assert found and all(r.n == 0 for r in found)
+
+
+def test_a_full_table_keeps_early_texts_until_many_others_were_met(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS", 3)
+    monkeypatch.setattr(packing, "LATE", 2)
+    own = packing.Encoder(PATH)
+    own.ids("one two three four five")
+    assert set(own.chunks) == {"one", "two", "three"}
+    own.ids(" ".join(f"w{chr(97 + i)}" for i in range(20)))
+    assert "one" not in own.chunks and len(own.chunks) <= 3
