@@ -106,7 +106,7 @@ def write_snapshot(df: DataFrame, root: str, only_if_changed: bool = True, exclu
     root = root.rstrip("/")
     cur = current_version(root, spark)
     version = (cur or 0) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")  # evaluated once; compared as written
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/v={version}")  # evaluated once; compared as written
     if only_if_changed and cur is not None:
         old, new = (spark.read.parquet(f"{root}/v={v}") for v in (cur, version))
         if set(old.columns) == set(new.columns) and not snapshot_changed(new.select(*old.columns), old, exclude):

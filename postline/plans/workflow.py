@@ -69,7 +69,7 @@ def read_sources(spark: SparkSession, sources: DataFrame, landed: dict[str, str]
 def _stage(df: DataFrame, path: str) -> DataFrame:
     """Write an intermediate once and read it back (cuts the lineage; later
     steps do not re-run the text work)."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -101,12 +101,13 @@ def run(
     raw, errors = read_sources(spark, sources, landed)
     staging = f"{store_root}/_staging/{as_of.replace(' ', 'T').replace(':', '')}"
     raw, seen_raw = U.observed(raw, "raw", found=F.count(F.lit(1)))
-    raw = _stage(raw, f"{staging}/raw")
+    errors = _stage(errors, f"{staging}/errors")  # a row for each source that failed; the payloads are tested once
+    # every posting as read is a row of this table: it is counted while it is written, and by source below
     flagged = _stage(with_verdict(merge.flag_batch(raw, rules), "eligible"), f"{staging}/flagged")
     merged, seen_merged = U.observed(merge.upsert(stored, flagged, as_of, eligible="eligible"), "merged", new=F.count_if(F.col("is_new")))
     merged = _stage(merged, f"{staging}/merged")
 
-    checks_now = U.source_results(sources, raw, errors).select(
+    checks_now = U.source_results(sources, flagged, errors).select(
         F.col("name").alias("source_name"),
         F.lit(as_of).cast("timestamp").alias("last_checked"),
         "last_result",
@@ -114,6 +115,7 @@ def run(
     )
     checks = checks_now if old_checks is None else merge.latest_checks(old_checks, checks_now)
     checks = _stage(checks, f"{store_root.rstrip('/')}/_checks/{staging.rsplit('/', 1)[1]}")
+    K.delete_path(f"{staging}/flagged", spark)  # merged and counted
     # both counts were taken while the tables were written
     stats = U.run_record(sources, errors, F.lit(seen_raw.get["found"]), F.lit(seen_merged.get["new"]))
     stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row

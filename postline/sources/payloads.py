@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.markup import attributes, decode_each, html_to_text, is_markup, tokens
-from ..functions.text import clean_text, first_truthy, nonempty, strip_text
+from ..functions.text import clean_text, first_truthy, let, nonempty, strip_text
 from ..functions.urls import resolve_url
 from ..operators.ordering import broadcast_if_small
 
@@ -73,18 +73,27 @@ def payload_lines(spark: SparkSession, root: str, multi_line: bool = False) -> D
     return _with_source(spark.read.text(root, wholetext=multi_line)).filter(F.trim("value") != "")
 
 
+def _opens(text: str, mark: str) -> Column:
+    """Whether JSON text that can be parsed is an object ('{') or an array ('[')."""
+    return F.startswith(F.ltrim(F.col(text), F.lit(" \t\n\r")), F.lit(mark))
+
+
 def _well_shaped(kind: str) -> Column:
     """Lever payloads are a JSON array, landed pages an object with text ``url`` and ``html``;
     the others an object whose ``jobs`` (when present) is an array."""
-    v = F.try_parse_json(F.col("value"))
-    shape = F.schema_of_variant(v)
-    if kind == "html":
-        text = [F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.lit(False)) for k in ("url", "html")]
-        return v.isNotNull() & shape.startswith("OBJECT") & text[0] & text[1] & (F.trim(F.try_variant_get(v, "$.url", "string")) != "")
-    if kind == "lever":
-        return v.isNotNull() & shape.startswith("ARRAY")
-    jobs = F.try_variant_get(v, "$.jobs", "variant")
-    return v.isNotNull() & shape.startswith("OBJECT") & (jobs.isNull() | F.schema_of_variant(jobs).rlike("^(ARRAY|VOID)"))
+
+    def shaped(v: Column) -> Column:
+        if kind == "html":
+            text = [F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "STRING", F.lit(False)) for k in ("url", "html")]
+            return v.isNotNull() & _opens("value", "{") & text[0] & text[1] & (F.trim(F.try_variant_get(v, "$.url", "string")) != "")
+        if kind == "lever":
+            return v.isNotNull() & _opens("value", "[")
+        jobs = F.try_variant_get(v, "$.jobs", "variant")
+        # read as an array, not by its schema: that would be merged over all postings
+        listed = F.is_variant_null(jobs) | F.try_variant_get(v, "$.jobs", "array<variant>").isNotNull()
+        return v.isNotNull() & _opens("value", "{") & (jobs.isNull() | listed)
+
+    return let(F.try_parse_json(F.col("value")), shaped)  # a payload is parsed once
 
 
 def items(lines: DataFrame, kind: str) -> DataFrame:
@@ -99,16 +108,17 @@ def items(lines: DataFrame, kind: str) -> DataFrame:
     else:
         postings = F.from_json("value", "struct<jobs: array<string>>")["jobs"]
     place = [c for c in lines.columns if c == "place"]
-    one = lines.filter(_well_shaped(kind)).select("source_name", *place, F.posexplode(F.coalesce(postings, F.array().cast("array<string>"))).alias("pos", "raw"))
-    one = one.select("source_name", _seq(lines).alias("seq"), "raw", F.try_parse_json("raw").alias("item"))
+    one = lines.select("source_name", *place, F.posexplode(F.when(_well_shaped(kind), postings)).alias("pos", "raw"))
+    # what a generator makes is made once: a filter on it isn't moved below, to parse the posting again
+    one = one.select("source_name", _seq(lines).alias("seq"), "raw").select("*", F.inline(F.array(F.struct(F.try_parse_json("raw").alias("item")))))
 
     def fault(path: str, want: str) -> Column:
         shape = F.schema_of_variant(F.try_variant_get("item", f"$.{path}", "variant"))
-        bad = shape.rlike("^(OBJECT|ARRAY)") if want == "text" else ~shape.rlike(f"^({want}|VOID)")
+        bad = shape.startswith("OBJECT") | shape.startswith("ARRAY") if want == "text" else ~(shape.startswith(want) | shape.startswith("VOID"))
         return F.when(bad, F.lit(path))
 
     every = F.array_compact(F.array(*[fault(path, want) for want, paths in FIELDS[kind].items() for path in paths]))
-    whole = F.coalesce(F.schema_of_variant("item").startswith("OBJECT"), F.lit(False))
+    whole = F.col("item").isNotNull() & _opens("raw", "{")
     return one.withColumn("faults", F.when(whole, every).otherwise(F.array(F.lit("not an object"))))
 
 
@@ -119,8 +129,12 @@ def _text(path: str) -> Column:
 
 
 def _readable(rows: DataFrame, kind: str) -> DataFrame:
-    """The postings without a fault, their text fields as columns named by path (so each is read once)."""
-    return rows.filter(F.size("faults") == 0).select("source_name", "seq", "raw", "item", *[_text(p).alias(p) for p in FIELDS[kind]["text"]])
+    """The postings without a fault, their text fields as columns named by path (so each is read once).
+
+    None of these fields is of another shape, that would be a fault.
+    """
+    text = [F.try_variant_get("item", f"$.{p}", "string").alias(p) for p in FIELDS[kind]["text"]]
+    return rows.filter(F.size("faults") == 0).select("source_name", "seq", "raw", "item", *text)
 
 
 def _f(path: str) -> Column:
@@ -129,12 +143,14 @@ def _f(path: str) -> Column:
 
 def lever_rows(rows: DataFrame) -> DataFrame:
     """Raw posting rows of Lever items; the batch reader and the stream share it."""
-    desc = F.concat_ws(
-        " ",
-        nonempty(first_truthy(_f("descriptionPlain"), html_to_text(_f("description")))),
-        nonempty(html_to_text(first_truthy(_f("additionalPlain"), _f("additional")))),
+    # columns of their own: nonempty() names its text twice, and markup is read once this way
+    texts = _readable(rows, "lever").select(
+        "*",
+        F.coalesce(nonempty(_f("descriptionPlain")), html_to_text(_f("description"))).alias("_plain"),
+        html_to_text(first_truthy(_f("additionalPlain"), _f("additional"))).alias("_more"),
     )
-    out = _readable(rows, "lever").select(
+    desc = F.concat_ws(" ", nonempty("_plain"), nonempty("_more"))
+    out = texts.select(
         "seq",
         strip_text(_f("text")).alias("title"),
         F.lit(None).cast("string").alias("company"),

@@ -235,3 +235,33 @@ def test_payload_order_does_not_depend_on_how_files_are_packed(spark, tmp_dir):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert found[0] == found[1] == found[2] == [("https://o/0", "Title 5-0", 18), ("https://o/1", "Title 5-3", 12)]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payloads_and_postings_are_parsed_once_and_markup_is_read_once(spark, tmp_dir):
+    roots = {
+        "lever": _land(tmp_dir, "lever", "acme", [[{"text": "A", "description": "<p>One</p>", "additional": "<b>More</b>"}]]),
+        "ashby": _land(tmp_dir, "ashby", "acme", [{"jobs": [{"title": "A", "descriptionHtml": "<p>One</p>"}]}]),
+        "greenhouse": _land(tmp_dir, "greenhouse", "acme", [{"jobs": [{"title": "A", "content": "<p>One</p>"}]}]),
+    }
+    for kind, root in roots.items():
+        plan = _optimized(S.READERS[kind](spark, root))
+        assert plan.count("parseJson(") == 2  # the payload, and each posting
+        assert _optimized(S.quarantine(spark, root, kind)).count("parseJson(") == 3  # payloads, and payloads with their postings
+        assert plan.count("schemaOfVariant(value") == plan.count("schemaOfVariant(static_invoke(VariantExpressionEvalUtils.parseJson(value") == 0
+    texts = 2  # description and additional
+    markup = _optimized(S.read_lever(spark, roots["lever"])).count("(?=<)") / _optimized(S.read_ashby(spark, roots["ashby"])).count("(?=<)")
+    assert markup == texts
+
+
+def test_payload_shapes(spark, tmp_dir):
+    lever = _land(tmp_dir, "lever", "s", [" \t[]", "{}", "[1", "3", '"[]"', "null", '[{"text": "ok"}, [1], 2, null]', '[{"text": "a", "text": "b"}]'])
+    assert S.quarantine(spark, lever, "lever").filter("error LIKE '%response'").count() == 6
+    assert S.quarantine(spark, lever, "lever").filter("error LIKE '%not an object'").count() == 3
+    assert [r.title for r in S.read_lever(spark, lever).collect()] == ["ok"]
+    ashby = _land(tmp_dir, "ashby", "s", ['{"jobs": null}', '{"jobs": {}}', '{"jobs": "[]"}', '{"jobs": 1}', " {}", "[]", '{"jobs": [{"title": "ok"}]}'])
+    assert S.quarantine(spark, ashby, "ashby").count() == 4
+    assert [r.title for r in S.read_ashby(spark, ashby).collect()] == ["ok"]

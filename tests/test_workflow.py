@@ -2,6 +2,8 @@ import glob
 import json
 import os
 
+from pyspark.sql import DataFrame
+
 from postline.operators import snapshots as K
 from postline.sources import payloads
 from postline.operators.scoring import Rule
@@ -116,3 +118,29 @@ def test_an_unchanged_feed_is_not_published_again(spark, tmp_dir):
     assert glob.glob(f"{root}/{first}/jobs/*.json")  # readers that have opened it go on
     third = K.publish_feed(feed.filter("match_score < 45"), manifest, root)
     assert sorted(n for n in os.listdir(root) if "-" in n) == sorted([second, third])
+
+
+def test_payloads_are_tested_once_and_the_batch_is_staged_once(spark, tmp_dir, monkeypatch):
+    landed = os.path.join(tmp_dir, "landed")
+    _write(landed, "lever", "acme", [{"text": "Graphics Engineer", "hostedUrl": "https://acme.example/1", "categories": {"location": "Austin"}}])
+    _write(landed, "ashby", "beta", {"jobs": "unavailable"})
+    sources = spark.createDataFrame(
+        [(0, "acme", "lever", True, None), (1, "beta", "ashby", True, None)], "pos int, name string, type string, enabled boolean, company string"
+    )
+    read, staged = [], []
+
+    def told(f):
+        def call(*args):
+            read.extend(path for df in args if isinstance(df, DataFrame) for path in df.inputFiles())
+            return f(*args)
+
+        return call
+
+    for name in ("source_results", "run_record"):
+        monkeypatch.setattr(workflow.U, name, told(getattr(workflow.U, name)))
+    monkeypatch.setattr(workflow, "_stage", lambda df, path, f=workflow._stage: (staged.append(os.path.basename(path)), f(df, path))[1])
+    r = workflow.run(spark, os.path.join(tmp_dir, "store"), sources, {k: os.path.join(landed, k) for k in ("lever", "ashby")}, RULES, "2026-06-08 09:00:00")
+    assert read and not [x for x in read if "/landed/" in x]  # errors come from what was written, not from the payloads again
+    assert "errors" in staged and "flagged" in staged and "raw" not in staged
+    assert (r.run_log.first().jobs_found, r.run_log.first().errors) == (1, "beta: CollectorError: Unexpected ashby API response")
+    assert {c.source_name: c.last_result for c in r.checks.collect()}["acme"] == "Success: 1 jobs"
